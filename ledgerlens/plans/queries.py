@@ -617,3 +617,167 @@ def a10_basket_length_summary(spark, sf_dir):
     """A10: rows-per-receipt distribution."""
     out = B.basket_length_summary(TB.sales_lines(spark, sf_dir))
     return out.select(*[r6(c).alias(c) if c in ("mean", "std", "q25", "q50", "q75") else c for c in out.columns])
+
+
+# --------------------------------------------------------------- similarity
+from ..operators import similarity as SIM  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+
+
+def _product_sides(spark, sf_dir):
+    """A = parts sold together in the last year, B = parts with no sale in
+    the last year (the dead-stock report); both (id, text = name)."""
+    win = _window_lines(spark, sf_dir)
+    sold = B.sold_together(win, item=S.ITEM_ID).withColumnRenamed(S.ITEM_ID, "id")
+    names = TB.products(spark, sf_dir).select(F.col(S.ITEM_ID).alias("id"), F.col(S.NAME).alias("text"))
+    a = sold.join(names, "id")
+    dead = (TB.deadstock_report(spark, sf_dir).where(F.col("DS") == S.DEADSTOCK_FLAG)
+            .select(F.col(S.ITEM_ID).alias("id"), F.col(S.RAW_NAME).alias("text")))
+    return a, dead
+
+
+_PRODUCT_SIDES_SQL = f"""{Q.sales_cte(years=1)}, {Q.deadstock_report_cte()},
+pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
+wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
+sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide))"""
+_A_SQL = "SELECT s.id, p.p_name AS text FROM sold s JOIN part p ON p.p_partkey = s.id"
+_B_SQL = "SELECT id_barang AS id, deskripsi_brg AS text FROM dead"
+
+
+def _pairs_out(pairs, c1="id_1", c2="id_2"):
+    return pairs.select(F.col("id_1").alias(c1), F.col("id_2").alias(c2), r6("score").alias("score"))
+
+
+@register("T2_tfidf_products", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}
+SELECT side, id, token, round(w, 6) AS w FROM w""")
+def t2_tfidf_products(spark, sf_dir):
+    """Smooth-idf TF-IDF weights of sold and dead product names."""
+    a, b = _product_sides(spark, sf_dir)
+    return SIM.tfidf(a, b).select("side", "id", "token", r6("w").alias("w"))
+
+
+@register("T3_cosine_products", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()}
+SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, round(score, 6) AS score FROM pairs
+WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}""")
+def t3_cosine_products(spark, sf_dir):
+    """Sold x dead name pairs with cosine > 0.3 (app)."""
+    a, b = _product_sides(spark, sf_dir)
+    return _pairs_out(SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD), "id_barang_1", "id_barang_2")
+
+
+@register("T4_all_similarities", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
+ga AS ({_A_SQL}), gb AS ({_B_SQL})
+SELECT ga.id AS id_1, gb.id AS id_2, round(coalesce(p.score, 0.0), 6) AS score
+FROM ga CROSS JOIN gb LEFT JOIN pairs p ON p.id_1 = ga.id AND p.id_2 = gb.id""")
+def t4_all_similarities(spark, sf_dir):
+    """T4: the full sold x dead matrix in long form, zeros included
+    (size-guarded)."""
+    a, b = _product_sides(spark, sf_dir)
+    return _pairs_out(SIM.all_similarities(a, b))
+
+
+@register("T5_threshold_sets", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
+th AS (SELECT * FROM (VALUES {", ".join(f"('Filtered (>{t})', {Q.lit_d(t)})" for t in S.NOTEBOOK_SIMILARITY_THRESHOLDS)}) v(label, t))
+SELECT th.label, p.id_1, p.id_2, round(p.score, 6) AS score FROM pairs p, th WHERE p.score > th.t""")
+def t5_threshold_sets(spark, sf_dir):
+    """T5: the labelled '> 0.1 / 0.3 / 0.5' pair sets."""
+    a, b = _product_sides(spark, sf_dir)
+    sets = SIM.threshold_sets(SIM.cosine_pairs(a, b))
+    return sets.select("label", "id_1", "id_2", r6("score").alias("score"))
+
+
+@register("T6_purge_identical", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
+kept AS (SELECT * FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
+gone AS (SELECT DISTINCT id_2 FROM kept WHERE score >= 1 - 1e-9)
+SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, round(score, 6) AS score FROM kept
+WHERE id_2 NOT IN (SELECT id_2 FROM gone)""")
+def t6_purge_identical(spark, sf_dir):
+    """Pairs left after dead items with an identical sold name are
+    purged (set-wise)."""
+    a, b = _product_sides(spark, sf_dir)
+    pairs = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD)
+    dead = b.select(F.col("id").alias(S.ITEM_ID))
+    pairs, _, _ = SIM.purge_identical(pairs, dead, TB.products(spark, sf_dir))
+    return _pairs_out(pairs, "id_barang_1", "id_barang_2")
+
+
+# documents corpus: benchmark (A) x documents (B); labels give validity
+_DOC_A = "SELECT item_id AS id, text FROM benchmark"
+_DOC_B = "SELECT doc_id AS id, text FROM documents"
+DOC_T = 0.1
+
+
+def _doc_pairs(spark, sf_dir, threshold=DOC_T):
+    a, b = TB.text_corpus(spark, sf_dir)
+    return SIM.cosine_pairs(a, b, threshold)
+
+
+def _labelled(spark, sf_dir, pairs):
+    labels = TB.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id_2"), "quality")
+    return (pairs.join(labels, "id_2", "left")
+            .withColumn("valid", F.when(F.col("quality") == 0, 0).otherwise(1)).drop("quality"))
+
+
+_DOC_SQL = f"""WITH {Q.tfidf_ctes(_DOC_A, _DOC_B)}, {Q.cosine_cte()},
+dp AS (SELECT * FROM pairs WHERE score > {Q.lit_d(DOC_T)}),
+lp AS (SELECT dp.*, CASE WHEN l.quality = 0 THEN 0 ELSE 1 END AS valid FROM dp
+  LEFT JOIN labels l ON l.doc_id = dp.id_2)"""
+
+
+@register("T3_cosine_documents", _DOC_SQL + "\nSELECT id_1, id_2, round(score, 6) AS score FROM dp")
+def t3_cosine_documents(spark, sf_dir):
+    """T3 on whole texts: benchmark items x documents with cosine > 0.1."""
+    return _pairs_out(_doc_pairs(spark, sf_dir))
+
+
+def _band_sql(col="score"):
+    whens = " ".join(f"WHEN {col} >= {lo} AND {col} < {hi} THEN 'Range {lo}-{round(hi - 0.001, 3)}'"
+                     for lo, hi in S.SIMILARITY_BANDS)
+    return f"CASE {whens} END"
+
+
+@register("T7_band_counts", _DOC_SQL + f"""
+SELECT band, CAST(least(count(*), {S.BAND_SAMPLE_SIZE}) AS BIGINT) AS n_sampled FROM
+  (SELECT {_band_sql()} AS band FROM dp) WHERE band IS NOT NULL GROUP BY band""")
+def t7_band_counts(spark, sf_dir):
+    """Pairs per band after sampling at most 50 per band (the
+    sampled rows are Spark-hash specific; their number per band is exact)."""
+    s = SIM.sample_bands(_doc_pairs(spark, sf_dir))
+    return s.groupBy("band").agg(F.count(F.lit(1)).alias("n_sampled"))
+
+
+@register("T7_band_samples")
+def t7_band_samples(spark, sf_dir):
+    """The sampled pairs themselves (rows-only check)."""
+    return _pairs_out(SIM.sample_bands(_doc_pairs(spark, sf_dir))).withColumn("band", SIM.band("score"))
+
+
+@register("A15_range_validity", _DOC_SQL + f"""
+SELECT band, count(*) AS total_entries, CAST(sum(CASE WHEN valid = 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_count,
+  round((count(*) - sum(CASE WHEN valid = 0 THEN 1 ELSE 0 END)) * 100.0 / count(*), 6) AS valid_percentage
+FROM (SELECT {_band_sql()} AS band, valid FROM lp) WHERE band IS NOT NULL GROUP BY band""")
+def a15_range_validity(spark, sf_dir):
+    """Per similarity band, invalid count and valid % (labels)."""
+    lp = _labelled(spark, sf_dir, _doc_pairs(spark, sf_dir)).withColumn("band", SIM.band("score"))
+    out = EV.range_validity(lp.where(F.col("band").isNotNull()))
+    return out.withColumn("valid_percentage", r6("valid_percentage"))
+
+
+@register("W4_precision_at", _DOC_SQL + f"""
+, ranked AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id_1, id_2) AS r, valid FROM lp),
+cum AS (SELECT r, sum(valid) OVER (ORDER BY r) AS c FROM ranked),
+ks AS (SELECT * FROM (VALUES {", ".join(f"({k})" for k in S.PAIR_PRECISION_KS)}) v(k))
+SELECT CAST(ks.k AS INTEGER) AS k, CAST(coalesce(c, 0) AS BIGINT) AS valid_at_k,
+  round(coalesce(c, 0) / ks.k, 6) AS precision
+FROM ks LEFT JOIN cum ON cum.r = least(ks.k, (SELECT max(r) FROM ranked))""")
+def w4_precision_at(spark, sf_dir):
+    """Precision at 50..250 of document pairs by score (divides by k)."""
+    lp = _labelled(spark, sf_dir, _doc_pairs(spark, sf_dir))
+    order = [F.round("score", 9).desc(), F.col("id_1"), F.col("id_2")]
+    out = EV.precision_at(lp, order=order)
+    return out.withColumn("precision", r6("precision"))
