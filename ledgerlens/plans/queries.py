@@ -781,3 +781,319 @@ def w4_precision_at(spark, sf_dir):
     order = [F.round("score", 9).desc(), F.col("id_1"), F.col("id_2")]
     out = EV.precision_at(lp, order=order)
     return out.withColumn("precision", r6("precision"))
+
+
+# ------------------------------------------------------------------ bundles
+APP_S, APP_C = R.rule_params("General")
+
+
+def _app_bundles(spark, sf_dir):
+    """M4: rules of the last-year window (by name, General preset) as
+    header + items, item ids = first part id of the name."""
+    rules = BU.bundle_all(_window_lines(spark, sf_dir), APP_S, APP_C)
+    return BU.normalise_bundles(rules, TB.products(spark, sf_dir))
+
+
+_APP_RULES_SQL = f"""{Q.sales_cte(years=1)}, {Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_brg')},
+{Q.rules_ctes('bk', APP_S, APP_C)},
+keyed AS (SELECT *, {Q.rule_key_sql('ante', 'cons')} AS rule_key FROM rules),
+header AS (SELECT CAST(row_number() OVER (ORDER BY support DESC, rule_key) AS BIGINT) AS id_bundling, * FROM keyed),
+n2id AS (SELECT p_name AS deskripsi_brg, min(p_partkey) AS id_barang FROM part GROUP BY p_name),
+items AS (SELECT DISTINCT h.id_bundling, n.id_barang, x.role FROM header h,
+  (SELECT id_bundling, 'antecedent' AS role, unnest(ante) AS nm FROM header
+   UNION ALL SELECT id_bundling, 'consequent', unnest(cons) FROM header) x
+  JOIN n2id n ON n.deskripsi_brg = x.nm WHERE h.id_bundling = x.id_bundling)"""
+
+
+def _ids_text(col):
+    return F.array_join(F.array_sort(F.collect_list(col)).cast("array<string>"), ", ")
+
+
+def _bundle_ids_out(header, items):
+    agg = items.groupBy("id_bundling").agg(
+        _ids_text(F.when(F.col("role") == BU.ROLE_A, F.col(S.ITEM_ID))).alias("antecedent_ids"),
+        _ids_text(F.when(F.col("role") == BU.ROLE_C, F.col(S.ITEM_ID))).alias("consequent_ids"))
+    return header.join(agg, "id_bundling").select(
+        "id_bundling", "antecedent_ids", "consequent_ids", r6("support").alias("support"),
+        r6("lift").alias("lift"), r6("confidence").alias("confidence"))
+
+
+def _bundle_ids_sql(h="header", i="items"):
+    return f"""SELECT h.id_bundling,
+  array_to_string(list_sort(list(i.id_barang) FILTER (WHERE i.role = 'antecedent')), ', ') AS antecedent_ids,
+  array_to_string(list_sort(list(i.id_barang) FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_ids,
+  round(h.support, 6) AS support, round(h.lift, 6) AS lift, round(h.confidence, 6) AS confidence
+FROM {h} h JOIN {i} i USING (id_bundling) GROUP BY h.id_bundling, h.support, h.lift, h.confidence"""
+
+
+@register("M4_bundle_all", f"WITH {_APP_RULES_SQL}\n{_bundle_ids_sql()}")
+def m4_bundle_all(spark, sf_dir):
+    """All-product bundles as header + item rows."""
+    header, items = _app_bundles(spark, sf_dir)
+    return _bundle_ids_out(header, items)
+
+
+# Replace by the first similar dead item (pairs of T3, before any purge)
+_M13_SQL = f"""{_APP_RULES_SQL}, {Q.deadstock_report_cte()},
+pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
+wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
+sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide)),
+{Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
+sim AS (SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, score FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
+partner AS (SELECT id_barang_1, min(id_barang_2) AS rep FROM sim GROUP BY id_barang_1),
+choice AS (SELECT i.id_bundling,
+  arg_min(struct_pack(role := i.role, old_id := i.id_barang, new_id := p.rep),
+          struct_pack(r := CASE WHEN i.role = 'antecedent' THEN 0 ELSE 1 END, x := i.id_barang)) AS c
+  FROM items i JOIN partner p ON p.id_barang_1 = i.id_barang GROUP BY i.id_bundling),
+new_header AS (SELECT * FROM header WHERE id_bundling IN (SELECT id_bundling FROM choice)),
+new_items AS (SELECT DISTINCT i.id_bundling,
+  CASE WHEN i.role = c.c.role AND i.id_barang = c.c.old_id THEN c.c.new_id ELSE i.id_barang END AS id_barang, i.role
+  FROM items i JOIN choice c USING (id_bundling))"""
+
+
+def _m13(spark, sf_dir):
+    header, items = _app_bundles(spark, sf_dir)
+    a, b = _product_sides(spark, sf_dir)
+    sim = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD).select(
+        F.col("id_1").alias("id_barang_1"), F.col("id_2").alias("id_barang_2"), "score")
+    new_header, new_items, choice = BU.replace_first(header, items, sim)
+    return header, items, new_header, new_items, choice
+
+
+@register("M13_replace_first", f"WITH {_M13_SQL}\n{_bundle_ids_sql('new_header', 'new_items')}")
+def m13_replace_first(spark, sf_dir):
+    """App replacement — the first antecedent (else consequent)
+    with a similar dead item is swapped for the first such dead item."""
+    _, _, nh, ni, _ = _m13(spark, sf_dir)
+    return _bundle_ids_out(nh, ni)
+
+
+@register("M15_change_log", f"""WITH {_M13_SQL},
+nm AS (SELECT p_partkey AS id_barang, p_name FROM part),
+old_l AS (SELECT i.id_bundling,
+  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'antecedent')), ', ') AS antecedent_old,
+  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_old
+  FROM items i LEFT JOIN nm USING (id_barang) WHERE i.id_bundling IN (SELECT id_bundling FROM choice) GROUP BY i.id_bundling),
+new_l AS (SELECT i.id_bundling,
+  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'antecedent')), ', ') AS antecedent_new,
+  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_new
+  FROM new_items i LEFT JOIN nm USING (id_barang) GROUP BY i.id_bundling)
+SELECT * FROM old_l JOIN new_l USING (id_bundling)""")
+def m15_change_log(spark, sf_dir):
+    """Old and new item names of every replaced bundle."""
+    _, items, _, new_items, choice = _m13(spark, sf_dir)
+    return BU.change_log(items, new_items, choice, TB.products(spark, sf_dir))
+
+
+def _item_category_by_part(spark, sf_dir):
+    return _v1_item_category(spark, sf_dir).select(F.col("item").cast("long").alias("item"), "category")
+
+
+_REPORT_SQL = f"""WITH {_APP_RULES_SQL}, {Q.v1_cte('lines', 'id_barang')},
+detail AS (SELECT h.id_bundling, h.support, h.lift, h.confidence, i.role, p.p_name AS deskripsi_brg, s.category
+  FROM header h JOIN items i USING (id_bundling) JOIN part p ON p.p_partkey = i.id_barang
+  LEFT JOIN seg s ON s.item = i.id_barang),
+report AS (SELECT id_bundling, round(support, 6) AS support, round(lift, 6) AS lift, round(confidence, 6) AS confidence,
+  array_to_string(list_sort(list(DISTINCT deskripsi_brg) FILTER (WHERE role = 'antecedent')), ', ') AS antecedents,
+  array_to_string(list_sort(list(DISTINCT deskripsi_brg) FILTER (WHERE role = 'consequent')), ', ') AS consequents,
+  coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (WHERE role = 'consequent' AND category IS NOT NULL)), ', '), '')
+    AS consequent_categories,
+  array_to_string(list_sort(list(DISTINCT coalesce(category, '{S.CAT_DEADSTOCK}')) FILTER (WHERE role = 'consequent')), ', ')
+    AS consequent_categories_ds
+  FROM detail GROUP BY id_bundling, support, lift, confidence)"""
+
+
+def _report(spark, sf_dir, **kw):
+    header, items = _app_bundles(spark, sf_dir)
+    detail = BU.bundle_detail(header, items, TB.products(spark, sf_dir), _item_category_by_part(spark, sf_dir))
+    out = BU.bundle_report(detail, **kw)
+    return out.select(*[r6(c).alias(c) if c in ("support", "lift", "confidence") else c for c in out.columns])
+
+
+@register("A11_bundle_report", _REPORT_SQL + """
+SELECT support, lift, confidence, antecedents, consequents, consequent_categories FROM report""")
+def a11_bundle_report(spark, sf_dir):
+    """J8 + A11: bundle report with names and consequent categories."""
+    return _report(spark, sf_dir)
+
+
+@register("A12_bundle_report_ids", _REPORT_SQL + """
+SELECT id_bundling, support, lift, confidence, antecedents, consequents FROM report""")
+def a12_bundle_report_ids(spark, sf_dir):
+    """The report without categories, keeping the bundle id."""
+    return _report(spark, sf_dir, with_category=False, keep_id=True)
+
+
+@register("A13_bundle_report_deadstock", _REPORT_SQL + """
+SELECT support, lift, confidence, antecedents, consequents, consequent_categories_ds AS consequent_categories FROM report""")
+def a13_bundle_report_deadstock(spark, sf_dir):
+    """The report with a missing category shown as dead stock."""
+    return _report(spark, sf_dir, missing_category=S.CAT_DEADSTOCK)
+
+
+@register("O4_page", _REPORT_SQL + """
+SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY support DESC, antecedents, consequents) AS BIGINT) AS row_no,
+  support, antecedents, consequents FROM report) WHERE row_no BETWEEN 11 AND 20""")
+def o4_page(spark, sf_dir):
+    """Page 2 (rows 11-20) of the report by support desc."""
+    rep = _report(spark, sf_dir)
+    pg, _ = EV.page(rep, 2, [F.col("support").desc(), F.col("antecedents"), F.col("consequents")])
+    return pg.select(F.col("_row").alias("row_no"), "support", "antecedents", "consequents")
+
+
+@register("O4_page_totals", _REPORT_SQL + """
+SELECT count(*) AS total_rows, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM report""")
+def o4_page_totals(spark, sf_dir):
+    """Total rows and pages of the report."""
+    _, totals = EV.page(_report(spark, sf_dir), 1, [F.col("support").desc()])
+    return totals
+
+
+@register("O3_top_k", _REPORT_SQL + """
+SELECT support, antecedents, consequents FROM report ORDER BY support DESC, antecedents, consequents LIMIT 5""")
+def o3_top_k(spark, sf_dir):
+    """O3: the five bundles with the highest support."""
+    rep = _report(spark, sf_dir)
+    return EV.top_k(rep, 5, [F.col("support").desc(), F.col("antecedents"), F.col("consequents")]).select(
+        "support", "antecedents", "consequents")
+
+
+@register("J7_orphan_bundles", f"""WITH {_M13_SQL},
+per AS (SELECT i.id_bundling,
+  sum(CASE WHEN role = 'antecedent' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN role = 'consequent' THEN 1 ELSE 0 END) AS c,
+  sum(CASE WHEN role = 'antecedent' AND p.p_partkey IS NOT NULL THEN 1 ELSE 0 END) AS a_ok,
+  sum(CASE WHEN role = 'consequent' AND p.p_partkey IS NOT NULL THEN 1 ELSE 0 END) AS c_ok
+  FROM new_items i LEFT JOIN part p ON p.p_partkey = i.id_barang GROUP BY i.id_bundling)
+SELECT CAST(coalesce(sum(a * c - a_ok * c_ok), 0) AS BIGINT) AS orphans FROM per""")
+def j7_orphan_bundles(spark, sf_dir):
+    """Antecedent x consequent pairs of replaced bundles whose item is
+    missing from the product table (counted, not materialised)."""
+    _, _, nh, ni, _ = _m13(spark, sf_dir)
+    return BU.orphan_bundles(nh, ni, TB.products(spark, sf_dir))
+
+
+@register("M16_consistency", f"""WITH {_M13_SQL}
+SELECT (SELECT count(*) FROM part) > 0 AS has_supporting_data,
+  ((SELECT count(*) FROM header) > 0 OR (SELECT count(*) FROM new_header) > 0) AS any_bundles,
+  CAST(0 AS BIGINT) AS orphans,
+  (SELECT count(*) FROM part) > 0 AND ((SELECT count(*) FROM header) > 0 OR (SELECT count(*) FROM new_header) > 0)
+    AS consistent""")
+def m16_consistency(spark, sf_dir):
+    """Supporting tables non-empty, some bundle table non-empty, no
+    orphan in the bundle tables."""
+    header, items, nh, ni, _ = _m13(spark, sf_dir)
+    product = TB.products(spark, sf_dir)
+    cats = _v1_item_category(spark, sf_dir)
+    tables = {"barang": product, "rfm": cats, "category": cats.select("category").distinct(),
+              "bundling_all": header, "bundling_similarity": nh}
+    return BU.consistency(tables, {"bundling_all": (header, items), "bundling_similarity": (nh, ni)}, product)
+
+
+# --------------------------------------------------------------- evaluation
+
+def _labelled_grid(spark, sf_dir):
+    """The all-product grid with the stand-in owner label validity =
+    int(lift >= 1) (no owner labels exist for the driver tables)."""
+    return all_product_grid(spark, sf_dir).withColumn("validity", (F.col("lift") >= 1).cast("int"))
+
+
+_LABELLED_SQL = _GRID_SQL + """,
+lab AS (SELECT *, CAST(lift >= 1 AS INTEGER) AS validity FROM status),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY support DESC, rule_key, grid_ord) AS BIGINT) AS k, validity FROM lab),
+curve AS (SELECT k, CAST(sum(validity) OVER (ORDER BY k) AS BIGINT) AS valid_at_k FROM ranked)"""
+
+
+@register("W2_precision_at_k", _LABELLED_SQL + """
+SELECT k, valid_at_k, round(valid_at_k / k, 6) AS precision FROM curve""")
+def w2_precision_at_k(spark, sf_dir):
+    """Precision at every k over all labelled grid rules by support
+    desc (distributed prefix sum)."""
+    order = [F.col("support").desc(), F.col("rule_key"), F.col("grid_ord")]
+    return EV.precision_at_k(_labelled_grid(spark, sf_dir), order=order).withColumn("precision", r6("precision"))
+
+
+@register("W5_curve_points", _LABELLED_SQL + """
+SELECT k, valid_at_k, round(valid_at_k / k, 6) AS precision FROM curve
+WHERE (k - 1) % greatest(1, (SELECT max(k) FROM curve) // 7) = 0""")
+def w5_curve_points(spark, sf_dir):
+    """The labelled points of the curve (every N // 7-th, from k = 1)."""
+    order = [F.col("support").desc(), F.col("rule_key"), F.col("grid_ord")]
+    curve = EV.precision_at_k(_labelled_grid(spark, sf_dir), order=order)
+    return EV.curve_points(curve, 7).withColumn("precision", r6("precision"))
+
+
+@register("A14_rule_quality", _GRID_SQL + """,
+lab AS (SELECT *, CAST(lift >= 1 AS INTEGER) AS validity FROM status),
+inv AS (SELECT sheet, support, rule_key FROM lab WHERE validity = 0),
+bnd AS (SELECT sheet, max(support) AS bs FROM inv GROUP BY sheet),
+bnd2 AS (SELECT b.sheet, b.bs, min(i.rule_key) AS bk FROM bnd b JOIN inv i ON i.sheet = b.sheet AND i.support = b.bs
+  GROUP BY b.sheet, b.bs),
+agg AS (SELECT l.sheet, count(*) AS total_rules, CAST(coalesce(sum(l.validity), 0) AS BIGINT) AS valid_rules,
+  CAST(sum(CASE WHEN l.validity = 1 AND (b.bs IS NULL OR l.support > b.bs OR (l.support = b.bs AND l.rule_key < b.bk))
+    THEN 1 ELSE 0 END) AS BIGINT) AS rules_before_first_zero
+  FROM lab l LEFT JOIN bnd2 b USING (sheet) GROUP BY l.sheet)
+SELECT sheet, total_rules, valid_rules, round(valid_rules / total_rules * 100.0, 6) AS validity_percentage,
+  rules_before_first_zero, round(rules_before_first_zero / total_rules * 100.0, 6) AS percentage_rules_before_zero,
+  CAST(regexp_extract(sheet, 'Sup(\\d+\\.?\\d*)', 1) AS DOUBLE) AS grid_support,
+  CAST(regexp_extract(sheet, 'Conf(\\d+\\.?\\d*)', 1) AS DOUBLE) AS grid_confidence FROM agg""")
+def a14_rule_quality(spark, sf_dir):
+    """Per grid cell: totals, validity %, rules before the first
+    invalid one by support desc."""
+    out = EV.rule_quality(_labelled_grid(spark, sf_dir))
+    return out.select(*[r6(c).alias(c) if c.endswith("percentage") or c.startswith("percentage") else c
+                        for c in out.columns])
+
+
+# M14 (notebook): the Sup0.001/Conf0.1 cell, pairs > 0.5 between sold-together
+# names and not-sold names
+_M14_S, _M14_C = 0.001, 0.1
+
+
+def _m14(spark, sf_dir):
+    lines = TB.sales_lines(spark, sf_dir)
+    rules = R.mine_grid(_all_product_baskets(spark, sf_dir), [_M14_S], [_M14_C])
+    a = B.sold_together(lines).select(F.col(S.NAME).alias("id"), F.col(S.NAME).alias("text"))
+    dead = IO.load_deadstock(TB.deadstock_report(spark, sf_dir))
+    b = dead.select(F.col(S.NAME).alias("id"), F.col(S.NAME).alias("text"))
+    pairs = SIM.cosine_pairs(a, b, 0.5).select(F.col("id_1").alias("sold"), F.col("id_2").alias("dead"), "score")
+    return BU.replace_all_in_side(rules, pairs)
+
+
+def _clean_sql(x):
+    return f"regexp_replace(trim({x}), '[\\n\"'']', '', 'g')"
+
+
+_M14_SQL = f"""WITH {Q.sales_cte()}, {Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_brg')},
+{Q.rules_ctes('bk', _M14_S, _M14_C)}, {Q.deadstock_report_cte()},
+keyed AS (SELECT *, {Q.rule_key_sql('ante', 'cons')} AS rule_key FROM rules),
+pn AS (SELECT DISTINCT kode_nota, deskripsi_brg FROM lines WHERE deskripsi_brg IS NOT NULL),
+wn AS (SELECT kode_nota FROM pn GROUP BY kode_nota HAVING count(*) > 1),
+together AS (SELECT DISTINCT deskripsi_brg FROM pn WHERE kode_nota IN (SELECT kode_nota FROM wn)),
+{Q.tfidf_ctes("SELECT deskripsi_brg AS id, deskripsi_brg AS text FROM together",
+               "SELECT DISTINCT deskripsi_brg AS id, deskripsi_brg AS text FROM dead")}, {Q.cosine_cte()},
+partner AS (SELECT {_clean_sql('id_1')} AS sold, min({_clean_sql('id_2')}) AS rep FROM pairs
+  WHERE score > {Q.lit_d(0.5)} GROUP BY 1),
+ex AS (SELECT k.rule_key, 0 AS side, u.pos, u.nm FROM keyed k, unnest(list_sort(k.ante)) WITH ORDINALITY AS u(nm, pos)
+  UNION ALL SELECT k.rule_key, 1, u.pos, u.nm FROM keyed k, unnest(list_sort(k.cons)) WITH ORDINALITY AS u(nm, pos)),
+exm AS (SELECT ex.*, {_clean_sql('ex.nm')} AS cl, p.rep FROM ex LEFT JOIN partner p ON p.sold = {_clean_sql('ex.nm')}),
+pick AS (SELECT rule_key, min(side) AS rside, arg_max(cl, struct_pack(s := -side, p := pos)) AS replaced_item
+  FROM exm WHERE rep IS NOT NULL GROUP BY rule_key),
+rebuilt AS (SELECT e.rule_key, p.replaced_item,
+  string_agg(CASE WHEN e.side = p.rside AND e.rep IS NOT NULL THEN e.rep ELSE e.nm END, ', ' ORDER BY e.pos)
+    FILTER (WHERE e.side = 0) AS antecedent_replaced,
+  string_agg(CASE WHEN e.side = p.rside AND e.rep IS NOT NULL THEN e.rep ELSE e.nm END, ', ' ORDER BY e.pos)
+    FILTER (WHERE e.side = 1) AS consequent_replaced
+  FROM exm e JOIN pick p USING (rule_key) GROUP BY e.rule_key, p.replaced_item)
+SELECT {Q.txt('ante')} AS antecedent, {Q.txt('cons')} AS consequent, round(confidence, 6) AS confidence,
+  round(lift, 6) AS lift, round(support, 6) AS support, antecedent_replaced, consequent_replaced, replaced_item
+FROM keyed JOIN rebuilt USING (rule_key)"""
+
+
+@register("M14_replace_all_in_side", _M14_SQL)
+def m14_replace_all_in_side(spark, sf_dir):
+    """Notebook replacement — every matching antecedent (else every
+    matching consequent) swapped for its similar not-sold product."""
+    out = _m14(spark, sf_dir)
+    out = (out.withColumn("antecedent_replaced", F.array_join("antecedent_replaced", ", "))
+           .withColumn("consequent_replaced", F.array_join("consequent_replaced", ", ")))
+    return rules_out(out, "replaced_item", "antecedent_replaced", "consequent_replaced")
