@@ -31,22 +31,38 @@ def bundle_all(lines: DataFrame, min_support: float, min_conf: float,
     return R.dedup_rules(R.mine_rules(bk, min_support, min_conf, num_partitions=num_partitions))
 
 
-def deadstock_baskets(lines: DataFrame, item_category: DataFrame, item: str = S.NAME,
-                      label: str = S.CAT_DEADSTOCK) -> DataFrame:
-    """M5: C11 -> J2 (left join the category of each line's item) -> J5
-    (receipts with any dead-stock line) -> A3.
+def name_category(seg: DataFrame, product: DataFrame, key: str = S.ITEM_ID) -> DataFrame:
+    """Category per product *name* from a per-id segmentation; when
+    several ids share a name the last one (largest id) wins, as a dictionary
+    built in id order would.  Columns (item, category)."""
+    return (seg.select(key, "category").join(product.select(key, S.NAME), key)
+            .groupBy(S.NAME).agg(F.max_by("category", key).alias("category"))
+            .select(F.col(S.NAME).alias("item"), "category"))
+
 
-    ``item_category`` holds (item, category), one row per item."""
+def deadstock_baskets(lines: DataFrame, item_category: DataFrame, item: str = S.NAME,
+                      label: str = S.CAT_DEADSTOCK, line_key: str | None = None,
+                      line_category: DataFrame | None = None) -> DataFrame:
+    """M5: C11 -> J2 (left join the category of each line) -> J5 (receipts
+    with any dead-stock line) -> A3 over ``item``.
+
+    ``item_category`` holds (item, category), one row per item.  When the
+    line's category comes from another key (the app flags a line by its
+    product id but mines names), pass ``line_key`` and ``line_category``
+    (keyed by ``item`` column holding that key)."""
     multi = B.multi_item_baskets(lines, item=item)
-    cats = item_category.select(F.col("item").alias("_k"), F.col("category"))
-    joined = multi.join(cats, multi[item] == cats["_k"], "left").drop("_k")
+    key = line_key or item
+    src = line_category if line_category is not None else item_category
+    cats = src.select(F.col("item").alias("_k"), F.col("category"))
+    joined = multi.join(cats, multi[key] == cats["_k"], "left").drop("_k")
     flagged = B.baskets_containing(joined, F.col("category") == label)
     return B.baskets(flagged, item=item)
 
 
 def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Sequence[float],
                      confs: Sequence[float], item: str = S.NAME, normalise: bool = False,
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, line_key: str | None = None,
+                     line_category: DataFrame | None = None) -> DataFrame:
     """Dead-stock baskets mined over a grid, rules that touch dead
     stock, their category arrays and new/existing status.
 
@@ -59,7 +75,10 @@ def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Seque
         item_category = (item_category.withColumn("item", normalise_name("item"))
                          .na.drop(subset=["item", "category"])
                          .groupBy("item").agg(F.max("category").alias("category")))
-    bk = deadstock_baskets(lines, item_category, item)
+    # one row per product, read by the basket filter, the rule filter and both
+    # category arrays: materialised once
+    item_category = item_category.checkpoint(eager=True)
+    bk = deadstock_baskets(lines, item_category, item, line_key=line_key, line_category=line_category)
     rules = R.mine_grid(bk, supports, confs, num_partitions=num_partitions)
     rules = R.rules_touching(rules, item_category)
     rules = R.rule_categories(rules, item_category)
@@ -120,7 +139,8 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
               .agg(F.min_by(F.struct(F.col("role"), F.col(S.ITEM_ID).alias("old_id"),
                                      F.col("replacement").alias("new_id")),
                             F.struct(side_rank, F.col(S.ITEM_ID))).alias("_c"))
-              .select("id_bundling", "_c.*"))
+              .select("id_bundling", "_c.*")
+              .checkpoint(eager=True))  # one row per bundle, used by header, items and log
     new_header = header.join(choice.select("id_bundling"), "id_bundling", "left_semi")
     new_items = (items.join(choice.withColumnRenamed("role", "_r"), "id_bundling")
                  .select("id_bundling",
@@ -168,7 +188,7 @@ def replace_all_in_side(rules: DataFrame, pairs: DataFrame) -> DataFrame:
                          F.posexplode(side).alias("_pos", "_name"))
         sides.append(ex)
     ex = sides[0].unionByName(sides[1]).withColumn("_clean", clean_product_name("_name"))
-    ex = ex.join(p, ex["_clean"] == p["_sold"], "left").drop("_sold")
+    ex = ex.join(p, ex["_clean"] == p["_sold"], "left").drop("_sold").checkpoint(eager=True)
     # the side that gets replaced: antecedent if any antecedent matched
     side_pick = (ex.where(F.col("_rep").isNotNull()).groupBy("rule_key")
                  .agg(F.min("_side").alias("_rside"),

@@ -82,7 +82,11 @@ def mine_grid(baskets: DataFrame, supports: Sequence[float], confs: Sequence[flo
     """M6: rules of every (support x confidence) cell, labelled
     ``Sup{s}_Conf{c}_Rules``, from one FP-Growth fit at the loosest cell."""
     spark = baskets.sparkSession
-    rules = mine_rules(baskets, min(supports), min(confs), items_col, num_partitions)
+    # The baskets feed both the fit and n, the mined rules feed every cell:
+    # both are written once to the checkpoint folder instead of being
+    # recomputed from the ledger for each use.
+    baskets = baskets.select(items_col).checkpoint(eager=True)
+    rules = mine_rules(baskets, min(supports), min(confs), items_col, num_partitions).checkpoint(eager=True)
     n = baskets.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     grid = grid_dim(spark, supports, confs)
     cells = grid.crossJoin(n).withColumn("_min_count", F.ceil(F.col("min_support") * F.col("_n")))

@@ -191,12 +191,15 @@ def classify_products(lines: DataFrame, dead_names: DataFrame, purchased: DataFr
     dead-stock names; Unclassified = (sold or purchased) minus the three;
     All Products = (sold or purchased) minus Unclassified."""
     from . import baskets as B
-    together = B.sold_together(lines, item=item).select(F.col(item).alias("product"))
-    once = (B.receipts_per_product(lines, item=item).where(F.col("n_receipts") == 1)
+    # distinct (receipt, product) pairs carry everything the classes need;
+    # they are far smaller than the ledger and are written once
+    pairs = lines.where(F.col(item).isNotNull()).select(S.NOTA, item).distinct().checkpoint(eager=True)
+    together = B.sold_together(pairs, item=item).select(F.col(item).alias("product"))
+    once = (pairs.groupBy(item).agg(F.count(F.lit(1)).alias("n_receipts")).where(F.col("n_receipts") == 1)
             .select(F.col(item).alias("product")))
     alone = once.join(together, "product", "left_anti")
     dead = dead_names.select(F.col(S.NAME).alias("product")).distinct()
-    sold = lines.where(F.col(item).isNotNull()).select(F.col(item).alias("product"))
+    sold = pairs.select(F.col(item).alias("product"))
     universe = sold.unionByName(purchased.select(F.col(S.NAME).alias("product"))).distinct()
     classified = together.unionByName(alone).unionByName(dead).distinct()
     unclassified = universe.join(classified, "product", "left_anti")

@@ -30,19 +30,30 @@ def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     return toks.groupBy("side", "id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text",
+          materialise: bool = True) -> DataFrame:
     """Normalised weights (side, id, token, w, df) over the corpus A ∪ B.
 
-    A document with no token has no row (its vector is zero)."""
+    A document with no token has no row (its vector is zero).
+
+    Tokenising whole texts is the expensive step, and its result feeds the
+    document frequencies, the weights and the norms.  The term counts and
+    the final weights are therefore written once with a reliable checkpoint
+    (the session's shared checkpoint folder): every later use reads them
+    instead of re-tokenising, and a lost executor recomputes nothing
+    upstream of them."""
     tc = term_counts(a, id_col, text_col, "A").unionByName(term_counts(b, id_col, text_col, "B"))
+    if materialise:
+        tc = tc.checkpoint(eager=True)
     n_docs = (a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(1).alias("x")))
               .agg(F.count(F.lit(1)).cast("double").alias("_n")))
     dfreq = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = (tc.join(dfreq, "token").crossJoin(F.broadcast(n_docs))
          .withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0)))
     norm = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return (w.join(norm, ["side", "id"]).select("side", "id", "token", (F.col("w") / F.col("_norm")).alias("w"),
-                                                 "df"))
+    out = w.join(norm, ["side", "id"]).select("side", "id", "token", (F.col("w") / F.col("_norm")).alias("w"),
+                                                "df")
+    return out.checkpoint(eager=True) if materialise else out
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
@@ -53,7 +64,8 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
     when given.  Pairs with score 0 do not appear (see ``all_similarities``).
     """
     wt = tfidf(a, b, id_col, text_col)
-    # number of B postings of each token decides its split factor
+    # number of B postings of each token (its B-side document frequency)
+    # decides its split factor
     b_post = wt.where(F.col("side") == "B")
     split = (b_post.groupBy("token").agg(F.count(F.lit(1)).alias("_nb"))
              .select("token", F.greatest(F.lit(1), F.ceil(F.col("_nb") / F.lit(postings_per_task)))

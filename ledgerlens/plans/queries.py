@@ -133,19 +133,34 @@ DS_S, DS_C = S.DEADSTOCK_GRIDS["Shopee"]
 
 
 def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False):
-    lines = _window_lines(spark, sf_dir).withColumn(S.ITEM_ID, F.col(S.ITEM_ID).cast("string"))
-    return BU.bundle_deadstock(lines, _v1_item_category(spark, sf_dir), supports, confs,
-                               item=S.ITEM_ID, normalise=normalise)
-
-
-def _deadstock_sql(supports, confs):
+    """Dead-stock bundling as the app runs it: a line is flagged by its
+    product id's V1 category, the baskets hold product names, and a rule is
+    kept when one of its names is dead stock (category per name, last id
+    wins)."""
+    lines = _window_lines(spark, sf_dir)
+    by_id = G.segment(lines, "V1", key=S.ITEM_ID)
+    line_cat = by_id.select(F.col(S.ITEM_ID).alias("item"), "category")
+    name_cat = BU.name_category(by_id, TB.products(spark, sf_dir))
+    return BU.bundle_deadstock(lines, name_cat, supports, confs, item=S.NAME, normalise=normalise,
+                               line_key=S.ITEM_ID, line_category=line_cat)
+
+
+def _deadstock_sql(supports, confs, normalise=False):
+    nm = "lower(trim(deskripsi_brg))" if normalise else "deskripsi_brg"
+    pn = "lower(trim(p.p_name))" if normalise else "p.p_name"
+    lines_src = (f"nlines AS (SELECT kode_nota, id_barang, {nm} AS deskripsi_brg FROM lines "
+                 f"WHERE {nm} IS NOT NULL AND kode_nota IS NOT NULL)")
+    ncat = (f"ncat0 AS (SELECT p.p_name AS nm, arg_max(s.category, s.item) AS category FROM seg s "
+            f"JOIN part p ON p.p_partkey = s.item GROUP BY p.p_name), "
+            + (f"cat AS (SELECT lower(trim(nm)) AS item, max(category) AS category FROM ncat0 "
+               f"WHERE lower(trim(nm)) IS NOT NULL AND category IS NOT NULL GROUP BY lower(trim(nm)))"
+               if normalise else "cat AS (SELECT nm AS item, category FROM ncat0)"))
     return f"""
-WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')},
-cat AS (SELECT CAST(item AS VARCHAR) AS item, category FROM seg),
-{Q.multi_item_cte('lines', 'id_barang')},
-jl AS (SELECT m.*, c.category FROM mlines m LEFT JOIN cat c ON CAST(m.id_barang AS VARCHAR) = c.item),
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {ncat}, {lines_src},
+{Q.multi_item_cte('nlines', 'deskripsi_brg')},
+jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang),
 dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
-{Q.baskets_cte('dl', 'id_barang')},
+{Q.baskets_cte('dl', 'deskripsi_brg')},
 {Q.rules_ctes('bk', min(supports), min(confs))},
 grid AS (SELECT * FROM {Q.grid_values(supports, confs)}),
 cells AS (SELECT g.sheet, g.grid_ord, r.*, {Q.rule_key_sql('r.ante', 'r.cons')} AS rule_key
@@ -179,18 +194,19 @@ def _deadstock_out(rules):
 
 @register("M9_deadstock_grid", _deadstock_sql(DS_S, DS_C))
 def m9_deadstock_grid(spark, sf_dir):
-    """M5 -> M6 -> M7 -> M8 -> W1: dead-stock bundling over the Shopee
-    dead-stock grid, categories from V1 on the last year (item = part)."""
+    """M5 -> M6 -> M7 -> M8 -> W1 / J9: dead-stock bundling over the Shopee
+    dead-stock grid; lines flagged by V1 on the last year per part, items
+    and rule categories by product name."""
     return _deadstock_out(deadstock_grid(spark, sf_dir))
 
 
-LZ_S, LZ_C = S.DEADSTOCK_GRIDS["Tokopedia"]
+LZ_S, LZ_C = S.DEADSTOCK_GRIDS["Lazada"]
 
 
-@register("M10_deadstock_grid_normalised", _deadstock_sql(LZ_S, LZ_C))
+@register("M10_deadstock_grid_normalised", _deadstock_sql(LZ_S, LZ_C, normalise=True))
 def m10_deadstock_grid_normalised(spark, sf_dir):
     """The normalised-name variant (lower/trim, nulls dropped) over the
-    Tokopedia grid."""
+    Lazada grid."""
     return _deadstock_out(deadstock_grid(spark, sf_dir, LZ_S, LZ_C, normalise=True))
 
 
