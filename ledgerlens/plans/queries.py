@@ -1113,3 +1113,82 @@ def m14_replace_all_in_side(spark, sf_dir):
     out = (out.withColumn("antecedent_replaced", F.array_join("antecedent_replaced", ", "))
            .withColumn("consequent_replaced", F.array_join("consequent_replaced", ", ")))
     return rules_out(out, "replaced_item", "antecedent_replaced", "consequent_replaced")
+
+
+# ------------------------------------------------------- joins and pipeline
+from ..operators import joins as J  # noqa: E402
+from . import pipeline as PL  # noqa: E402
+
+
+@register("J1_sales_with_product", f"""
+WITH {Q.sales_cte()} SELECT kode_nota, id_barang, deskripsi_brg, jenis_barang, jml FROM lines""")
+def j1_sales_with_product(spark, sf_dir):
+    """Receipt lines joined to the product dimension on the product key."""
+    lines = TB.sales_lines(spark, sf_dir, names=False)
+    return J.sales_with_product(lines, TB.products(spark, sf_dir)).select(
+        S.NOTA, S.ITEM_ID, S.NAME, S.GROUP, S.QTY)
+
+
+@register("J3_product_category", f"""
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
+SELECT s.item AS id_barang, p.p_name AS deskripsi_brg, s.category FROM seg s JOIN part p ON p.p_partkey = s.item""")
+def j3_product_category(spark, sf_dir):
+    """Rfm rows -> category label -> product (3-way join)."""
+    seg = G.segment(_window_lines(spark, sf_dir), "V1", key=S.ITEM_ID)
+    dim, rfm = G.category_dimension(seg)
+    out = J.product_category(rfm, dim, TB.products(spark, sf_dir))
+    return out.select(S.ITEM_ID, S.NAME, "category")
+
+
+@register("A18_matched_products", f"""
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {Q.multi_item_cte()},
+jl AS (SELECT m.id_barang, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang)
+SELECT count(DISTINCT id_barang) FILTER (WHERE category IS NOT NULL) AS matched_products,
+  count(DISTINCT id_barang) FILTER (WHERE category = '{S.CAT_DEADSTOCK}') AS deadstock_products FROM jl""")
+def a18_matched_products(spark, sf_dir):
+    """Multi-item lines of the last year with their part's V1
+    category: products matched and dead-stock products among them."""
+    win = _window_lines(spark, sf_dir)
+    cats = G.segment(win, "V1", key=S.ITEM_ID).select(F.col(S.ITEM_ID).alias("item"), "category")
+    lines = J.with_category(B.multi_item_baskets(win), cats, key=S.ITEM_ID)
+    return J.matched_products(lines, item=S.ITEM_ID)
+
+
+@register("M5_deadstock_baskets", f"""
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {Q.multi_item_cte()},
+jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang),
+dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
+{Q.baskets_cte('dl', 'deskripsi_brg')}
+SELECT kode_nota, {Q.txt('items')} AS items FROM bk""")
+def m5_deadstock_baskets(spark, sf_dir):
+    """M5: name baskets of the last-year receipts that hold a dead-stock
+    line (V1 category of the line's part)."""
+    win = _window_lines(spark, sf_dir)
+    cats = G.segment(win, "V1", key=S.ITEM_ID).select(F.col(S.ITEM_ID).alias("item"), "category")
+    bk = BU.deadstock_baskets(win, cats, S.NAME, line_key=S.ITEM_ID, line_category=cats)
+    return bk.select(S.NOTA, sorted_text("items").alias("items"))
+
+
+@register("O5_rank_pairs", f"""
+WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()}
+SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id_1, id_2) AS BIGINT) AS rank, id_1, id_2,
+  round(score, 6) AS score FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}""")
+def o5_rank_pairs(spark, sf_dir):
+    """Similar pairs ranked by score desc (ties by ids), distributed."""
+    a, b = _product_sides(spark, sf_dir)
+    pairs = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD)
+    ranked = J.rank_pairs(pairs, [F.round("score", 9).desc(), F.col("id_1"), F.col("id_2")])
+    return ranked.select("rank", "id_1", "id_2", r6("score").alias("score"))
+
+
+@register("M17_pipeline")
+def m17_pipeline(spark, sf_dir):
+    """The app's analysis run over the driver tables, every stage a
+    written table under the session's checkpoint folder; returns row counts
+    per table and the consistency verdict (rows-only check)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    out_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex[:8]}"
+    tables = PL.run_pipeline(spark, TB.raw_sales(spark, sf_dir), TB.deadstock_report(spark, sf_dir),
+                             out_dir, platform="General", keywords=TEST_KEYWORDS)
+    return PL.pipeline_status(tables)
