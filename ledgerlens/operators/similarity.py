@@ -5,11 +5,14 @@ Weights follow the common smooth-idf definition: raw term count x
 count every document of both sides (duplicates included).
 
 Pairs come from an inverted-index equi-join on the token — only documents
-that share a token ever meet, no cross join.  A very frequent token would put
-its whole posting list into one join task, so postings of hot tokens are
-split: the B side is salted by document, the A side replicated per salt.
-The split factor follows the token's document frequency, known from the idf
-step anyway.  Partial sums per (a, b) pair are combined map-side.
+that share a token ever meet, no cross join.  With a threshold, only each
+vector's prefix is indexed (rare tokens first, until the rest of the vector
+can no longer reach the threshold, bounded with each token's largest weight
+on the other side), so frequent tokens do not pair up every document that
+contains them; candidates are then scored exactly.  Postings
+of a token with many documents are still split over salts (B salted by
+document, A replicated per salt), the split factor following the token's
+document frequency.  Partial sums per (a, b) pair are combined map-side.
 """
 
 from __future__ import annotations
@@ -56,31 +59,86 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     return out.checkpoint(eager=True) if materialise else out
 
 
+def _token_join(a_post: DataFrame, b_post: DataFrame, postings_per_task: int) -> DataFrame:
+    """Equi-join A and B postings (id, token, w) on the token; the postings of
+    a token with many B documents are split over ``ceil(n_b / per_task)``
+    salts (B salted by document, A replicated per salt)."""
+    split = (b_post.groupBy("token").agg(F.count(F.lit(1)).alias("_nb"))
+             .select("token", F.greatest(F.lit(1), F.ceil(F.col("_nb") / F.lit(postings_per_task)))
+                     .cast("int").alias("_k")))
+    a_s = (a_post.join(split, "token")
+           .select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1"),
+                   F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt")))
+    b_s = (b_post.join(split, "token")
+           .select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2"),
+                   F.pmod(F.xxhash64(F.col("id")), F.col("_k")).alias("_salt")))
+    return a_s.join(b_s, ["token", "_salt"]).drop("_salt")
+
+
+def index_prefix(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFrame:
+    """Prefix filter for ``score >= threshold`` (exact): adds ``_pref`` (the
+    token is indexed) and ``_mw`` (its largest weight on the other side).
+
+    Tokens of every vector are ordered rare-first (document frequency
+    ascending, then token).  A token's largest weight on the other side
+    bounds what it can add to any dot product, so the tail of a vector from
+    token i on can add at most ``sum_j>=i w_j * maxw_j(other side)``.  A
+    token is indexed while that bound is still >= threshold.  If two vectors
+    share no indexed token, all shared tokens lie in the tail of the one
+    whose prefix ends first, whose bound is < threshold — so no pair reaching
+    the threshold is lost.  Tokens absent from the other side bound to 0 and
+    are never indexed; frequent low-weight tokens fall into the tail."""
+    from pyspark.sql import Window
+    maxw = wt.groupBy("side", "token").agg(F.max("w").alias("_mw"))
+    other = maxw.select(F.when(F.col("side") == "A", "B").otherwise("A").alias("side"), "token", "_mw")
+    x = wt.join(other, ["side", "token"], "left").withColumn("_mw", F.coalesce("_mw", F.lit(0.0)))
+    w = (Window.partitionBy("side", "id").orderBy(F.col("df").desc(), F.col("token").desc())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    bound = F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_mw"))).over(w)
+    return (x.withColumn("_pref", (bound >= F.lit(threshold - eps)) & (F.col("_mw") > 0))
+            .checkpoint(eager=True))
+
+
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
                  id_col: str = "id", text_col: str = "text",
                  postings_per_task: int = 200_000) -> DataFrame:
-    """(id_1 from A, id_2 from B, score) for every pair sharing a
-    token, score = dot product of normalised vectors; ``score > threshold``
-    when given.  Pairs with score 0 do not appear (see ``all_similarities``).
-    """
+    """(id_1 from A, id_2 from B, score) with score = dot product of
+    the normalised vectors; ``score > threshold`` when given.  Pairs with
+    score 0 never appear (see ``all_similarities``).
+
+    With a threshold, candidates are the pairs sharing an indexed token
+    (``index_prefix``; no pair reaching the threshold is missed).  Their
+    score is the prefix join's partial sum plus the shared tokens that sit
+    in a tail: A-tail tokens looked up in B, and B-tail tokens looked up in
+    the A prefix — each a join restricted to the candidates, so a frequent
+    tail token never meets documents outside them.  Without a threshold,
+    every pair sharing any token is produced (the result is quadratic)."""
     wt = tfidf(a, b, id_col, text_col)
-    # number of B postings of each token (its B-side document frequency)
-    # decides its split factor
-    b_post = wt.where(F.col("side") == "B")
-    split = (b_post.groupBy("token").agg(F.count(F.lit(1)).alias("_nb"))
-             .select("token", F.greatest(F.lit(1), F.ceil(F.col("_nb") / F.lit(postings_per_task)))
-                     .cast("int").alias("_k")))
-    a_post = (wt.where(F.col("side") == "A").join(split, "token")
-              .select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1"),
-                      F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt")))
-    b_post = (b_post.join(split, "token")
-              .select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2"),
-                      F.pmod(F.xxhash64(F.col("id")), F.col("_k")).alias("_salt")))
-    pairs = (a_post.join(b_post, ["token", "_salt"])
-             .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("score")))
-    if threshold is not None:
-        pairs = pairs.where(F.col("score") > F.lit(float(threshold)))
-    return pairs
+    a_all = wt.where(F.col("side") == "A").select("id", "token", "w")
+    b_all = wt.where(F.col("side") == "B").select("id", "token", "w")
+    if threshold is None or threshold <= 0:
+        pairs = (_token_join(a_all, b_all, postings_per_task)
+                 .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("score")))
+        return pairs if threshold is None else pairs.where(F.col("score") > F.lit(float(threshold)))
+    ix = index_prefix(wt, float(threshold))
+    a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w")
+    b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w")
+    a_tail = ix.where((F.col("side") == "A") & ~F.col("_pref") & (F.col("_mw") > 0))
+    b_tail = ix.where((F.col("side") == "B") & ~F.col("_pref") & (F.col("_mw") > 0))
+    head = (_token_join(a_pref, b_pref, postings_per_task)
+            .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("s")))
+    head = head.checkpoint(eager=True)
+    cand = head.select("id_1", "id_2")
+    # shared tokens in the A tail (any place in B)
+    t1 = (cand.join(a_tail.select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1")), "id_1")
+          .join(b_all.select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2")), ["id_2", "token"])
+          .select("id_1", "id_2", (F.col("w1") * F.col("w2")).alias("s")))
+    # shared tokens in the B tail whose A side is indexed
+    t2 = (cand.join(b_tail.select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2")), "id_2")
+          .join(a_pref.select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1")), ["id_1", "token"])
+          .select("id_1", "id_2", (F.col("w1") * F.col("w2")).alias("s")))
+    scored = head.unionByName(t1).unionByName(t2).groupBy("id_1", "id_2").agg(F.sum("s").alias("score"))
+    return scored.where(F.col("score") > F.lit(float(threshold)))
 
 
 def all_similarities(a: DataFrame, b: DataFrame, max_cells: int = 50_000_000,

@@ -702,7 +702,7 @@ SELECT th.label, p.id_1, p.id_2, round(p.score, 6) AS score FROM pairs p, th WHE
 def t5_threshold_sets(spark, sf_dir):
     """T5: the labelled '> 0.1 / 0.3 / 0.5' pair sets."""
     a, b = _product_sides(spark, sf_dir)
-    sets = SIM.threshold_sets(SIM.cosine_pairs(a, b))
+    sets = SIM.threshold_sets(SIM.cosine_pairs(a, b, min(S.NOTEBOOK_SIMILARITY_THRESHOLDS)))
     return sets.select("label", "id_1", "id_2", r6("score").alias("score"))
 
 

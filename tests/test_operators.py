@@ -270,3 +270,17 @@ def test_classification_sets_add_up(spark):
     assert cls["Sold Together"] == {"A", "B"} and cls["Sold Alone"] == {"C"}
     assert cls["Not Sold"] == {"E"} and cls["Unclassified"] == {"D", "F"}
     assert cls["All Products"] == {"A", "B", "C"}
+
+
+@pytest.mark.parametrize("t", [0.05, 0.2, 0.5, 0.9])
+def test_prefix_filtered_cosine_is_exact(spark, t):
+    words = ["bor", "kayu", "besi", "mata", "the", "and", "of", "gergaji", "baut", "selang", "mesin"]
+    a = [(i, " ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 5)) + " the and") for i in range(12)]
+    b = [(100 + j, " ".join(words[(j * 3 + k) % len(words)] for k in range(1 + j % 6)) + " of the") for j in range(30)]
+    da = spark.createDataFrame(a, "id long, text string")
+    db = spark.createDataFrame(b, "id long, text string")
+    got = {(r.id_1, r.id_2): r.score for r in SIM.cosine_pairs(da, db, t, postings_per_task=3).collect()}
+    want = {k: v for k, v in _brute_tfidf_cosine(a, b).items() if v > t}
+    assert set(got) == set(want)
+    for k in want:
+        assert math.isclose(got[k], want[k], rel_tol=1e-9)
