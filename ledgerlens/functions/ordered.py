@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -35,8 +37,9 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "k",
     order), plus running sums ``running[name]`` of the given expressions.
 
     Plan: range-partition on the order, sort inside partitions, tag every row
-    with (partition, local index), and materialise that with a reliable
-    checkpoint so a lost executor cannot re-sample different ranges.  Per
+    with (partition, local index), and write that once as a table in the
+    shared checkpoint folder so a lost executor cannot re-sample different
+    ranges.  Per
     partition totals (one row per partition) give the offsets; they are the
     only data that meets in one place and their size is the partition count.
     """
@@ -50,8 +53,10 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "k",
               .sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-              .checkpoint(eager=True))
+              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    # (partition, local index) are stored columns of the written table, so
+    # they cannot change if a task is re-run
+    staged = materialise(staged, "ranked")
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [F.sum(c).alias(f"_tot{c}") for c in tmp_vals]
     totals = staged.groupBy("_pid").agg(*aggs)
     w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

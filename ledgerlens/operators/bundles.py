@@ -18,6 +18,7 @@ from ..functions.columns import clean_product_name, normalise_name
 from ..functions.ordered import global_rank
 from . import baskets as B
 from . import rules as R
+from ..session import materialise
 
 ROLE_A, ROLE_C = "antecedent", "consequent"
 
@@ -77,7 +78,7 @@ def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Seque
                          .groupBy("item").agg(F.max("category").alias("category")))
     # one row per product, read by the basket filter, the rule filter and both
     # category arrays: materialised once
-    item_category = item_category.checkpoint(eager=True)
+    item_category = materialise(item_category, "item_category")
     bk = deadstock_baskets(lines, item_category, item, line_key=line_key, line_category=line_category)
     rules = R.mine_grid(bk, supports, confs, num_partitions=num_partitions)
     rules = R.rules_touching(rules, item_category)
@@ -139,8 +140,8 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
               .agg(F.min_by(F.struct(F.col("role"), F.col(S.ITEM_ID).alias("old_id"),
                                      F.col("replacement").alias("new_id")),
                             F.struct(side_rank, F.col(S.ITEM_ID))).alias("_c"))
-              .select("id_bundling", "_c.*")
-              .checkpoint(eager=True))  # one row per bundle, used by header, items and log
+              .select("id_bundling", "_c.*"))
+    choice = materialise(choice, "replacement")  # one row per bundle, used by header, items and log
     new_header = header.join(choice.select("id_bundling"), "id_bundling", "left_semi")
     new_items = (items.join(choice.withColumnRenamed("role", "_r"), "id_bundling")
                  .select("id_bundling",
@@ -188,7 +189,7 @@ def replace_all_in_side(rules: DataFrame, pairs: DataFrame) -> DataFrame:
                          F.posexplode(side).alias("_pos", "_name"))
         sides.append(ex)
     ex = sides[0].unionByName(sides[1]).withColumn("_clean", clean_product_name("_name"))
-    ex = ex.join(p, ex["_clean"] == p["_sold"], "left").drop("_sold").checkpoint(eager=True)
+    ex = materialise(ex.join(p, ex["_clean"] == p["_sold"], "left").drop("_sold"), "rule_items")
     # the side that gets replaced: antecedent if any antecedent matched
     side_pick = (ex.where(F.col("_rep").isNotNull()).groupBy("rule_key")
                  .agg(F.min("_side").alias("_rside"),

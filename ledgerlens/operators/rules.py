@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.columns import rule_key, sheet_label
+from ..session import materialise
 
 
 def rule_params(platform: str, kind: str = "all") -> tuple[float, float]:
@@ -85,8 +86,8 @@ def mine_grid(baskets: DataFrame, supports: Sequence[float], confs: Sequence[flo
     # The baskets feed both the fit and n, the mined rules feed every cell:
     # both are written once to the checkpoint folder instead of being
     # recomputed from the ledger for each use.
-    baskets = baskets.select(items_col).checkpoint(eager=True)
-    rules = mine_rules(baskets, min(supports), min(confs), items_col, num_partitions).checkpoint(eager=True)
+    baskets = materialise(baskets.select(items_col), "baskets")
+    rules = materialise(mine_rules(baskets, min(supports), min(confs), items_col, num_partitions), "rules")
     n = baskets.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     grid = grid_dim(spark, supports, confs)
     cells = grid.crossJoin(n).withColumn("_min_count", F.ceil(F.col("min_support") * F.col("_n")))

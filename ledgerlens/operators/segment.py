@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
+from ..session import materialise
 
 
 # ---------------------------------------------------------------- cleaning
@@ -193,7 +194,7 @@ def classify_products(lines: DataFrame, dead_names: DataFrame, purchased: DataFr
     from . import baskets as B
     # distinct (receipt, product) pairs carry everything the classes need;
     # they are far smaller than the ledger and are written once
-    pairs = lines.where(F.col(item).isNotNull()).select(S.NOTA, item).distinct().checkpoint(eager=True)
+    pairs = materialise(lines.where(F.col(item).isNotNull()).select(S.NOTA, item).distinct(), "pairs")
     together = B.sold_together(pairs, item=item).select(F.col(item).alias("product"))
     once = (pairs.groupBy(item).agg(F.count(F.lit(1)).alias("n_receipts")).where(F.col("n_receipts") == 1)
             .select(F.col(item).alias("product")))

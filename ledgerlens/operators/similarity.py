@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import tokens
 from ..functions.ordered import top_n_per_group
+from ..session import materialise as materialise_table
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -41,13 +42,13 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
 
     Tokenising whole texts is the expensive step, and its result feeds the
     document frequencies, the weights and the norms.  The term counts and
-    the final weights are therefore written once with a reliable checkpoint
-    (the session's shared checkpoint folder): every later use reads them
+    the final weights are therefore written once as tables in the session's
+    shared checkpoint folder (``materialise``): every later use reads them
     instead of re-tokenising, and a lost executor recomputes nothing
     upstream of them."""
     tc = term_counts(a, id_col, text_col, "A").unionByName(term_counts(b, id_col, text_col, "B"))
     if materialise:
-        tc = tc.checkpoint(eager=True)
+        tc = materialise_table(tc, "term_counts")
     n_docs = (a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(1).alias("x")))
               .agg(F.count(F.lit(1)).cast("double").alias("_n")))
     dfreq = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -56,7 +57,7 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     norm = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     out = w.join(norm, ["side", "id"]).select("side", "id", "token", (F.col("w") / F.col("_norm")).alias("w"),
                                                 "df")
-    return out.checkpoint(eager=True) if materialise else out
+    return materialise_table(out, "tfidf") if materialise else out
 
 
 def _token_join(a_post: DataFrame, b_post: DataFrame, postings_per_task: int) -> DataFrame:
@@ -95,8 +96,8 @@ def index_prefix(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFram
     w = (Window.partitionBy("side", "id").orderBy(F.col("df").desc(), F.col("token").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     bound = F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_mw"))).over(w)
-    return (x.withColumn("_pref", (bound >= F.lit(threshold - eps)) & (F.col("_mw") > 0))
-            .checkpoint(eager=True))
+    return materialise_table(x.withColumn("_pref", (bound >= F.lit(threshold - eps)) & (F.col("_mw") > 0)),
+                             "prefix_index")
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
@@ -127,7 +128,7 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
     b_tail = ix.where((F.col("side") == "B") & ~F.col("_pref") & (F.col("_mw") > 0))
     head = (_token_join(a_pref, b_pref, postings_per_task)
             .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("s")))
-    head = head.checkpoint(eager=True)
+    head = materialise_table(head, "candidates")
     cand = head.select("id_1", "id_2")
     # shared tokens in the A tail (any place in B)
     t1 = (cand.join(a_tail.select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1")), "id_1")

@@ -58,3 +58,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialise(df, name: str = "t"):
+    """Write ``df`` once as a Parquet table under the session's shared
+    checkpoint folder and return it read back.
+
+    This is the lineage cut used for intermediates that are read more than
+    once: later stages (and a retried task after a lost executor) read the
+    table instead of recomputing the plan above it.  Parquet rather than
+    ``checkpoint()``: columnar, compressed, and the read-back carries file
+    sizes that Spark's broadcast size check can use."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
