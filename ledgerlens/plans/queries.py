@@ -120,7 +120,10 @@ from ..operators import bundles as BU  # noqa: E402
 
 
 def _window_lines(spark, sf_dir, years=1, **kw):
-    return G.trailing_window(TB.sales_lines(spark, sf_dir, **kw), years)
+    """C7 on the driver tables: the window is cut on orders before the big
+    join (``sales_lines(years=...)``); ``trailing_window`` is the same
+    operator for a ledger that arrives already joined."""
+    return TB.sales_lines(spark, sf_dir, years=years, **kw)
 
 
 def _v1_item_category(spark, sf_dir):

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales_lines(spark: SparkSession, sf_dir: str, *, platform: bool = False,
-                source: bool = False, names: bool = True) -> DataFrame:
+                source: bool = False, names: bool = True, years: int | None = None) -> DataFrame:
     """Cleaned ledger: kode_nota, tanggal, id_barang, [deskripsi_brg,
     jenis_barang], jml, [platform], [source].
 
@@ -38,6 +38,13 @@ def sales_lines(spark: SparkSession, sf_dir: str, *, platform: bool = False,
     turns it into a broadcast only when the runtime size says so).  part is
     a dimension joined on its key; it is not hinted, because at 100 TB the
     part table itself is large — Spark's size check decides.
+
+    ``years`` keeps the trailing window (C7) of the ledger.  The window is
+    applied to *orders* before the big join: the reference date is the
+    latest date of an order that has lines (a semi join on the line keys,
+    one column), so the result equals windowing the joined ledger, but the
+    join only meets the window's orders — and at scale Spark's runtime bloom
+    filter drops the other lineitem rows before their shuffle.
     """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias(S.NOTA), F.col("l_partkey").alias(S.ITEM_ID),
@@ -48,6 +55,12 @@ def sales_lines(spark: SparkSession, sf_dir: str, *, platform: bool = False,
     if source:
         ocols.append(F.col("o_orderpriority").alias(S.SOURCE))
     orders = table(spark, sf_dir, "orders").select(*ocols)
+    if years is not None:
+        with_lines = orders.select(S.NOTA, S.DATE).join(li.select(S.NOTA), S.NOTA, "left_semi")
+        ref = with_lines.agg(F.max(S.DATE).alias("_ref"))
+        orders = (orders.crossJoin(F.broadcast(ref))
+                  .where(F.col(S.DATE) >= F.col("_ref") - F.expr(f"make_ym_interval({int(years)}, 0)"))
+                  .drop("_ref"))
     df = li.join(orders, S.NOTA)
     if names:
         part = table(spark, sf_dir, "part").select(

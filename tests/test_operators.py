@@ -284,3 +284,12 @@ def test_prefix_filtered_cosine_is_exact(spark, t):
     assert set(got) == set(want)
     for k in want:
         assert math.isclose(got[k], want[k], rel_tol=1e-9)
+
+
+def test_window_cut_on_orders_equals_window_on_ledger(spark):
+    from conftest import SF001
+    from ledgerlens.sources import tables as TB
+    early = TB.sales_lines(spark, SF001, years=1)
+    late = G.trailing_window(TB.sales_lines(spark, SF001), 1)
+    cols = ["kode_nota", "id_barang", "jml", "tanggal"]
+    assert rows(early, *cols) == rows(late, *cols)
