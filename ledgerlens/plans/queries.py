@@ -738,8 +738,10 @@ def _doc_pairs(spark, sf_dir, threshold=DOC_T):
 
 def _labelled(spark, sf_dir, pairs):
     labels = TB.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id_2"), "quality")
+    # owner marks: 'x' for an invalid pair, anything else (or nothing) valid
+    marks = F.when(F.col("quality") == 0, F.lit("x")).otherwise(F.col("quality").cast("string"))
     return (pairs.join(labels, "id_2", "left")
-            .withColumn("valid", F.when(F.col("quality") == 0, 0).otherwise(1)).drop("quality"))
+            .withColumn("valid", C.decode_validity(marks, "x")).drop("quality"))
 
 
 _DOC_SQL = f"""WITH {Q.tfidf_ctes(_DOC_A, _DOC_B)}, {Q.cosine_cte()},
