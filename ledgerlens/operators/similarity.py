@@ -5,11 +5,12 @@ Weights follow the common smooth-idf definition: raw term count x
 count every document of both sides (duplicates included).
 
 Pairs come from an inverted-index equi-join on the token — only documents
-that share a token ever meet, no cross join.  With a threshold, only each
-vector's prefix is indexed (rare tokens first, until the rest of the vector
-can no longer reach the threshold, bounded with each token's largest weight
-on the other side), so frequent tokens do not pair up every document that
-contains them; candidates are then scored exactly.  Postings
+that share a token ever meet, no cross join.  With a threshold, pairs are
+found through an exact bound-based index (tokens ordered rare-first; a token
+is indexed while the rest of the vector could still reach the threshold,
+bounded with each token's largest weight on the other side), so frequent
+tokens do not pair up every document that contains them; every found pair
+is then scored over its complete vectors (all tokens of the whole texts).  Postings
 of a token with many documents are still split over salts (B salted by
 document, A replicated per salt), the split factor following the token's
 document frequency.  Partial sums per (a, b) pair are combined map-side.
@@ -76,9 +77,12 @@ def _token_join(a_post: DataFrame, b_post: DataFrame, postings_per_task: int) ->
     return a_s.join(b_s, ["token", "_salt"]).drop("_salt")
 
 
-def index_prefix(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFrame:
-    """Prefix filter for ``score >= threshold`` (exact): adds ``_pref`` (the
-    token is indexed) and ``_mw`` (its largest weight on the other side).
+def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFrame:
+    """Bound-based candidate index for ``score >= threshold`` (exact): adds
+    ``_pref`` (the token is indexed) and ``_mw`` (its largest weight on the
+    other side).  Every token of every whole text keeps its weight; the index
+    only decides which shared tokens are enough to *find* a pair — each
+    found pair is then scored over its complete vectors.
 
     Tokens of every vector are ordered rare-first (document frequency
     ascending, then token).  A token's largest weight on the other side
@@ -108,9 +112,9 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
     score 0 never appear (see ``all_similarities``).
 
     With a threshold, candidates are the pairs sharing an indexed token
-    (``index_prefix``; no pair reaching the threshold is missed).  Their
-    score is the prefix join's partial sum plus the shared tokens that sit
-    in a tail: A-tail tokens looked up in B, and B-tail tokens looked up in
+    (``candidate_index``; no pair reaching the threshold is missed).  Their
+    score is the indexed-token join's partial sum plus the shared tokens that
+    sit in a tail: A-tail tokens looked up in B, and B-tail tokens looked up in
     the A prefix — each a join restricted to the candidates, so a frequent
     tail token never meets documents outside them.  Without a threshold,
     every pair sharing any token is produced (the result is quadratic)."""
@@ -121,7 +125,7 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
         pairs = (_token_join(a_all, b_all, postings_per_task)
                  .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("score")))
         return pairs if threshold is None else pairs.where(F.col("score") > F.lit(float(threshold)))
-    ix = index_prefix(wt, float(threshold))
+    ix = candidate_index(wt, float(threshold))
     a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w")
     b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w")
     a_tail = ix.where((F.col("side") == "A") & ~F.col("_pref") & (F.col("_mw") > 0))

@@ -273,7 +273,7 @@ def test_classification_sets_add_up(spark):
 
 
 @pytest.mark.parametrize("t", [0.05, 0.2, 0.5, 0.9])
-def test_prefix_filtered_cosine_is_exact(spark, t):
+def test_bounded_index_cosine_is_exact(spark, t):
     words = ["bor", "kayu", "besi", "mata", "the", "and", "of", "gergaji", "baut", "selang", "mesin"]
     a = [(i, " ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 5)) + " the and") for i in range(12)]
     b = [(100 + j, " ".join(words[(j * 3 + k) % len(words)] for k in range(1 + j % 6)) + " of the") for j in range(30)]
