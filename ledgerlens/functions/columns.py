@@ -2,6 +2,24 @@
 
 Every function here returns a ``Column`` built from ``pyspark.sql.functions``,
 so it runs inside whole-stage codegen; none of them starts a job.
+
+Scalar function families of SURVEY §2.8 and where they live:
+
+* F1 string — ``normalise_name``, ``clean_product_name``, ``product_type``
+  (upper + contains), ``sheet_name`` / ``io.write_sheets`` (cut to 31).
+* F2 regex — ``clean_qty_text`` (``[^0-9.]``), ``tokens``;
+  ``joins.order_sheets`` / ``evaluate.rules_before_first_invalid`` read
+  ``Sup…`` / ``Conf…`` back out of a sheet label.
+* F3 date — ``coerce_timestamp``; ``segment.trailing_window`` and
+  ``segment.rfm_metrics`` (max, minus a year interval, whole days between).
+* F4 math — ``similarity.tfidf`` (ln, sqrt), ``evaluate.page`` (ceil),
+  percentages in ``baskets`` / ``evaluate``.
+* F5 conditional — ``score_recency``, ``score_cuts``, ``category_rfm``,
+  ``category_fm`` (chained ``when``).
+* F6 array — ``sorted_text``, ``rule_key``, ``baskets.baskets``
+  (``collect_set``), ``rules.rule_categories`` (``posexplode``).
+* F7 map — ``score_by_type`` (a literal map of a handful of keys).
+* F8 list from text — ``joins.parse_list_text``.
 """
 
 from __future__ import annotations
@@ -21,7 +39,7 @@ def _c(col) -> Column:
 # ---------------------------------------------------------------- cleaning
 
 def coerce_timestamp(col) -> Column:
-    """Parse to timestamp; unparsable values become null."""
+    """Parse to timestamp; unparsable values become null."""
     c = _c(col)
     return F.coalesce(F.try_to_timestamp(c.cast("string")),
                       F.try_to_timestamp(c.cast("string"), F.lit("dd/MM/yyyy")))
@@ -34,7 +52,7 @@ def coerce_qty_int(col) -> Column:
 
 
 def clean_qty_text(col) -> Column:
-    """Trim, ',' -> '.', strip everything but digits and '.', coerce.
+    """Trim, ',' -> '.', strip everything but digits and '.', coerce.
 
     The sign is stripped with the rest, so returns become positive; a value
     with two dots becomes null.
@@ -46,12 +64,12 @@ def clean_qty_text(col) -> Column:
 
 
 def normalise_name(col) -> Column:
-    """Lower-case and trim."""
+    """Lower-case and trim."""
     return F.lower(F.trim(_c(col)))
 
 
 def clean_product_name(col) -> Column:
-    """Trim, then drop newlines, double and single quotes."""
+    """Trim, then drop newlines, double and single quotes."""
     return F.regexp_replace(F.trim(_c(col)), "[\n\"']", "")
 
 
@@ -67,7 +85,7 @@ def decode_validity(col, mode: str = "x") -> Column:
 # ------------------------------------------------------------ segmentation
 
 def product_type(col, keywords: Sequence[tuple[str, Sequence[str]]] = S.TYPE_KEYWORDS) -> Column:
-    """G1: first type (in declared order) whose keyword occurs in the
+    """First type (in declared order) whose keyword occurs in the
     upper-cased group, else 'other'."""
     up = F.upper(F.coalesce(_c(col).cast("string"), F.lit("None")))
     expr = None
@@ -80,7 +98,7 @@ def product_type(col, keywords: Sequence[tuple[str, Sequence[str]]] = S.TYPE_KEY
 
 
 def score_recency(days) -> Column:
-    """0 -> 5, 1..7 -> 4, 8..30 -> 3, 31..90 -> 2, else 1."""
+    """0 -> 5, 1..7 -> 4, 8..30 -> 3, 31..90 -> 2, else 1."""
     d = _c(days)
     expr = None
     for lo, hi, score in S.RECENCY_BANDS:
@@ -99,7 +117,7 @@ def score_cuts(value, cuts: Sequence[float]) -> Column:
 
 def score_by_type(value, type_col, table: dict[str, Sequence[float]],
                   default: Sequence[float] = S.UNKNOWN_TYPE_THRESHOLDS) -> Column:
-    """Cut points looked up by product type; unknown types use
+    """Cut points looked up by product type; unknown types use
     ``default`` (all zeros: 5 for any value >= 0)."""
     keys, vals = [], []
     for k, cuts in table.items():
@@ -114,7 +132,7 @@ def score_by_type(value, type_col, table: dict[str, Sequence[float]],
 
 
 def category_rfm(r, f, m) -> Column:
-    """Ladder A (recency-aware), first match wins."""
+    """Ladder A (recency-aware), first match wins."""
     R, Fs, M = _c(r), _c(f), _c(m)
     return (F.when((R > 3) & (Fs > 4), S.CAT_TRENDING)
             .when((R > 3) & (Fs > 3), S.CAT_FAST)
@@ -128,7 +146,7 @@ def category_rfm(r, f, m) -> Column:
 
 
 def category_fm(f, m) -> Column:
-    """Ladder B (frequency / monetary only), first match wins."""
+    """Ladder B (frequency / monetary only), first match wins."""
     Fs, M = _c(f), _c(m)
     return (F.when(Fs > 4, S.CAT_TRENDING)
             .when(Fs > 3, S.CAT_FAST)
@@ -151,12 +169,12 @@ def tokens(col, pattern: str = S.TOKEN_PATTERN) -> Column:
 # ------------------------------------------------------------------ arrays
 
 def sorted_text(col, sep: str = ", ") -> Column:
-    """Array -> sorted, separator-joined text (for reports and comparison)."""
+    """array -> sorted, separator-joined text (reports and comparison)."""
     return F.array_join(F.array_sort(_c(col)), sep)
 
 
 def rule_key(ante, cons) -> Column:
-    """Canonical rule identity: both sides sorted, joined with control
+    """Canonical rule identity: both sides sorted, joined with control
     characters that cannot occur in a product name."""
     return F.concat_ws("\u0002", F.concat_ws("\u0001", F.array_sort(_c(ante))),
                        F.concat_ws("\u0001", F.array_sort(_c(cons))))
@@ -168,5 +186,5 @@ def sheet_label(support: float, confidence: float) -> str:
 
 
 def sheet_name(label: str) -> str:
-    """Sheet names are cut to 31 characters."""
+    """Sheet names are cut to 31 characters."""
     return label[: S.SHEET_NAME_MAX]

@@ -80,8 +80,10 @@ def grid_dim(spark, supports: Sequence[float], confs: Sequence[float]) -> DataFr
 
 def mine_grid(baskets: DataFrame, supports: Sequence[float], confs: Sequence[float],
               items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
-    """M6: rules of every (support x confidence) cell, labelled
-    ``Sup{s}_Conf{c}_Rules``, from one FP-Growth fit at the loosest cell."""
+    """Rules of every (support x confidence) cell, labelled
+    ``Sup{s}_Conf{c}_Rules``, from one FP-Growth fit at the loosest cell.
+    The concatenation of the per-cell runs (U2) is the rules x grid join
+    itself: one row per (cell, rule)."""
     spark = baskets.sparkSession
     # The baskets feed both the fit and n, the mined rules feed every cell:
     # both are written once to the checkpoint folder instead of being

@@ -101,7 +101,7 @@ def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataF
          .rowsBetween(Window.unboundedPreceding, 0))
     bound = F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_mw"))).over(w)
     return materialise_table(x.withColumn("_pref", (bound >= F.lit(threshold - eps)) & (F.col("_mw") > 0)),
-                             "prefix_index")
+                             "candidate_index")
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,

@@ -64,7 +64,8 @@ WITH {Q.sales_cte()}, {Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_
 {Q.rules_ctes('bk', GEN_S, GEN_C)}
 {rules_sql_out()}""")
 def m1_rules_general(spark, sf_dir):
-    """C11 -> A3 -> M1 at the General preset (support .001, confidence .3)."""
+    """C11 -> A3 -> M1 at the General preset of M3 (support .001,
+    confidence .3)."""
     return rules_out(R.mine_rules(_all_product_baskets(spark, sf_dir), GEN_S, GEN_C))
 
 
@@ -197,7 +198,7 @@ def _deadstock_out(rules):
 
 @register("M9_deadstock_grid", _deadstock_sql(DS_S, DS_C))
 def m9_deadstock_grid(spark, sf_dir):
-    """M5 -> M6 -> M7 -> M8 -> W1 / J9: dead-stock bundling over the Shopee
+    """M5 (J2, J5) -> M6 -> M7 -> M8 -> W1 / J9: dead-stock bundling over the Shopee
     dead-stock grid; lines flagged by V1 on the last year per part, items
     and rule categories by product name."""
     return _deadstock_out(deadstock_grid(spark, sf_dir))
@@ -208,7 +209,7 @@ LZ_S, LZ_C = S.DEADSTOCK_GRIDS["Lazada"]
 
 @register("M10_deadstock_grid_normalised", _deadstock_sql(LZ_S, LZ_C, normalise=True))
 def m10_deadstock_grid_normalised(spark, sf_dir):
-    """The normalised-name variant (lower/trim, nulls dropped) over the
+    """The normalised-name variant (lower/trim, nulls dropped) over the
     Lazada grid."""
     return _deadstock_out(deadstock_grid(spark, sf_dir, LZ_S, LZ_C, normalise=True))
 
@@ -247,7 +248,7 @@ def a1_rfm_metrics(spark, sf_dir):
 WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
 {_seg_sql_out('id_barang')}""")
 def g8_segment_v1(spark, sf_dir):
-    """G8 V1 (G2, G3, G4 flat, ladder A) per part on the last year."""
+    """G8 V1 (G2, G3, G4 flat, ladder A = G6) per part on the last year."""
     return _seg_out(G.segment(_window_lines(spark, sf_dir), "V1", key=S.ITEM_ID), S.ITEM_ID)
 
 
@@ -259,7 +260,7 @@ s AS (SELECT *, {Q.recency_case('recency')} AS r_score,
 seg AS (SELECT *, {Q.ladder_b('f_score', 'm_score')} AS category FROM s)
 {_seg_sql_out('deskripsi_brg')}""")
 def g8_segment_v2(spark, sf_dir):
-    """G8 V2 (F, M flat, ladder B) per product name, whole ledger."""
+    """G8 V2 (F, M flat, ladder B = G7) per product name, whole ledger."""
     return _seg_out(G.segment(TB.sales_lines(spark, sf_dir), "V2", key=S.NAME), S.NAME)
 
 
@@ -281,7 +282,7 @@ s AS (SELECT *, {Q.typed_cuts_case('frequency', 'product_type', S.F_THRESHOLDS)}
 seg AS (SELECT *, {Q.ladder_b('f_score', 'm_score')} AS category FROM s)
 {_seg_sql_out('deskripsi_brg', V3_COLS)}""")
 def g8_segment_v3(spark, sf_dir):
-    """G8 V3 (G1 type, G5 cut points by type, ladder B) per product name."""
+    """G8 V3 (G1 type, G5 cut points by type, ladder B = G7) per product name."""
     seg = G.segment(TB.sales_lines(spark, sf_dir), "V3", key=S.NAME, keywords=TEST_KEYWORDS)
     return _seg_out(seg, S.NAME, V3_COLS)
 
@@ -307,7 +308,7 @@ s AS (SELECT m.item, f.product_type, m.recency, m.frequency, m.monetary, 5 AS r_
 seg AS (SELECT *, {Q.ladder_a('r_score', 'f_score', 'm_score')} AS category FROM s)
 {_seg_sql_out('id_barang', V4_COLS)}""")
 def g8_segment_v4(spark, sf_dir):
-    """G8 V4 (app: R = 5, G5 by type, ladder A) per part on the last year."""
+    """G8 V4 (app: R = 5, G5 by type, ladder A = G6) per part on the last year."""
     seg = G.segment(_window_lines(spark, sf_dir), "V4", key=S.ITEM_ID, keywords=TEST_KEYWORDS)
     return _seg_out(seg, S.ITEM_ID, V4_COLS)
 
@@ -523,6 +524,68 @@ def s11_profile(spark, sf_dir):
     return IO.profile(TB.sales_lines(spark, sf_dir))
 
 
+# ------------------------------------------------------------ sinks
+
+def _scratch(spark, name):
+    """A fresh folder for a query's output under the session's checkpoint
+    folder (the shared folder on a cluster)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _written_grid(spark, sf_dir):
+    """The General grid written as one partition per sheet; returns the
+    folder."""
+    path = _scratch(spark, "grid-sheets")
+    IO.write_sheets(rules_out(all_product_grid(spark, sf_dir), "sheet", "status"), path)
+    return path
+
+
+@register("S6_write_sheets", _GRID_SQL + "\n" + rules_sql_out("status", "sheet, status, "))
+def s6_write_sheets(spark, sf_dir):
+    """Every grid cell written as its own sheet partition (names cut
+    to 31 characters), the whole workbook read back."""
+    return spark.read.parquet(_written_grid(spark, sf_dir))
+
+
+SHEET_READ = "Sup0.001_Conf0.1_Rules"
+
+
+@register("S2_load_sheet", _GRID_SQL + "\n" + rules_sql_out("status", "sheet, status, ")
+          + f"\nWHERE sheet = '{SHEET_READ}'")
+def s2_load_sheet(spark, sf_dir):
+    """One named sheet of the written workbook (partition pruning: only
+    that sheet's folder is listed and read)."""
+    return IO.load_sheet(spark, _written_grid(spark, sf_dir), SHEET_READ)
+
+
+REPLACED_PLATFORM = "BUILDING"
+
+
+@register("S7_replace_table", f"""
+WITH {Q.sales_cte(platform=True)},
+recent AS (SELECT * FROM lines WHERE tanggal >= (SELECT max(tanggal) FROM lines) - INTERVAL 1 YEAR),
+kept AS (SELECT platform, kode_nota, jml FROM lines WHERE platform <> '{REPLACED_PLATFORM}'
+  UNION ALL SELECT platform, kode_nota, jml FROM recent WHERE platform = '{REPLACED_PLATFORM}')
+SELECT platform, count(*) AS n_rows, count(DISTINCT kode_nota) AS n_receipts,
+  CAST(sum(jml) AS DOUBLE) AS total_qty FROM kept GROUP BY platform""")
+def s7_replace_table(spark, sf_dir):
+    """The platform-keyed ledger written as a table, then one
+    platform's rows replaced by its last-year rows (dynamic partition
+    overwrite: the other platforms' partitions stay as they were); per
+    platform totals of the table read back."""
+    path = _scratch(spark, "ledger-by-platform")
+    cols = [S.NOTA, S.ITEM_ID, S.QTY, S.PLATFORM]
+    IO.replace_table(TB.sales_lines(spark, sf_dir, platform=True, names=False).select(*cols), path)
+    recent = _window_lines(spark, sf_dir, platform=True, names=False).select(*cols)
+    IO.replace_table(IO.platform_table(recent, REPLACED_PLATFORM), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(S.PLATFORM).agg(F.count(F.lit(1)).alias("n_rows"),
+                                        F.countDistinct(S.NOTA).alias("n_receipts"),
+                                        F.sum(S.QTY).cast("double").alias("total_qty"))
+
+
 # ------------------------------------------------------------------ baskets
 
 @register("C11_multi_item_lines", f"""
@@ -1166,8 +1229,8 @@ dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE categ
 {Q.baskets_cte('dl', 'deskripsi_brg')}
 SELECT kode_nota, {Q.txt('items')} AS items FROM bk""")
 def m5_deadstock_baskets(spark, sf_dir):
-    """M5: name baskets of the last-year receipts that hold a dead-stock
-    line (V1 category of the line's part)."""
+    """M5 (C11, J2, J5, A3): name baskets of the last-year receipts that
+    hold a dead-stock line (V1 category of the line's part)."""
     win = _window_lines(spark, sf_dir)
     cats = G.segment(win, "V1", key=S.ITEM_ID).select(F.col(S.ITEM_ID).alias("item"), "category")
     bk = BU.deadstock_baskets(win, cats, S.NAME, line_key=S.ITEM_ID, line_category=cats)

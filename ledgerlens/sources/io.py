@@ -90,16 +90,11 @@ def replace_table(df: DataFrame, path: str, partition_col: str | None = S.PLATFO
                   fmt: str = "parquet") -> None:
     """Replace a table (or, when partitioned, only the partitions present
     in ``df``: dynamic partition overwrite leaves other platforms alone)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        w = df.write.mode("overwrite").format(fmt)
-        if partition_col:
-            w = w.partitionBy(partition_col)
-        w.save(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    w = df.write.mode("overwrite").format(fmt)
+    if partition_col:
+        # a writer option: the session's setting is left untouched
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
+    w.save(path)
 
 
 def source_platform_violations(df: DataFrame, platform: str) -> DataFrame:
