@@ -30,29 +30,74 @@ def rule_params(platform: str, kind: str = "all") -> tuple[float, float]:
 
 def _fit(baskets: DataFrame, min_support: float, min_conf: float,
          items_col: str = "items", num_partitions: int | None = None):
+    """MLlib FP-Growth.  The number of FP-tree groups defaults to the
+    session's shuffle parallelism (the cluster's configured width), and an
+    input with fewer partitions than cores is spread first, so building the
+    conditional trees uses every core.  On large inputs neither changes
+    anything."""
+    spark = baskets.sparkSession
+    data = baskets.select(items_col)
+    cores = spark.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
+    if not num_partitions:
+        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fp = FPGrowth(itemsCol=items_col, minSupport=float(min_support),
-                  minConfidence=float(min_conf))
-    if num_partitions:
-        fp = fp.setNumPartitions(int(num_partitions))
-    return fp.fit(baskets.select(items_col))
+                  minConfidence=float(min_conf)).setNumPartitions(int(num_partitions))
+    return fp.fit(data)
 
 
 def empty_rules(spark) -> DataFrame:
     return spark.createDataFrame([], S.RULE_SCHEMA)
 
 
+def rules_from_itemsets(itemsets: DataFrame, n_baskets: DataFrame, min_conf: float) -> DataFrame:
+    """M1: single-consequent association rules of frequent itemsets
+    (items sorted, freq) — for every itemset X of size > 1 and item c in X,
+    ``X - {c} -> c`` with confidence freq(X) / freq(X - {c}) (kept when
+    >= ``min_conf``), lift = confidence / (freq({c}) / n) and support =
+    freq(X) / n, n = number of baskets (a one-row frame).  The antecedent
+    is itself frequent, so it is found by an equi-join on the sorted item
+    array; each consequent's own count by a join on the item."""
+    ante = itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_fa"))
+    single = itemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("_c"),
+                                                         F.col("freq").alias("_fc"))
+    cand = (itemsets.where(F.size("items") > 1)
+            .select("items", "freq", F.explode("items").alias("_c"))
+            .withColumn("antecedent", F.array_remove("items", F.col("_c"))))
+    conf = F.col("freq").cast("double") / F.col("_fa").cast("double")
+    r = (cand.join(ante, "antecedent").join(single, "_c")
+         .crossJoin(F.broadcast(n_baskets.select(F.col(n_baskets.columns[0]).cast("double").alias("_n"))))
+         .withColumn("confidence", conf)
+         .where(F.col("confidence") >= F.lit(float(min_conf))))
+    return r.select(
+        "antecedent", F.array(F.col("_c")).alias("consequent"), "confidence",
+        (F.col("confidence") / (F.col("_fc").cast("double") / F.col("_n"))).alias("lift"),
+        (F.col("freq").cast("double") / F.col("_n")).alias("support"),
+    ).withColumn("rule_key", rule_key("antecedent", "consequent"))
+
+
 def mine_rules(baskets: DataFrame, min_support: float, min_conf: float,
                items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
     """M1: rules (antecedent, consequent, confidence, lift, support) with
     both sides sorted and a canonical ``rule_key``.  Support counts compare
     with ``ceil(min_support * n)``; confidence with ``>=``.  ``n`` counts
-    every basket passed in, including one-item sets."""
-    model = _fit(baskets, min_support, min_conf, items_col, num_partitions)
-    r = model.associationRules
-    return r.select(F.array_sort("antecedent").alias("antecedent"),
-                    F.array_sort("consequent").alias("consequent"),
-                    "confidence", "lift", "support").withColumn(
-        "rule_key", rule_key("antecedent", "consequent"))
+    every basket passed in, including one-item sets.
+
+    The baskets are written once as a table (they feed the fit and ``n``),
+    and FP-Growth runs once: its frequent itemsets are written as a table
+    too (the model's own rule generation would recompute the trees for each
+    side of its join), and the rules are derived from that table."""
+    return _mine(materialise(baskets.select(items_col), "baskets"), min_support, min_conf,
+                 items_col, num_partitions)
+
+
+def _mine(baskets: DataFrame, min_support: float, min_conf: float, items_col: str,
+          num_partitions: int | None) -> DataFrame:
+    """``mine_rules`` over baskets that are already a written table."""
+    itemsets = materialise(frequent_itemsets(baskets, min_support, items_col, num_partitions), "itemsets")
+    n = baskets.agg(F.count(F.lit(1)).alias("_n"))
+    return rules_from_itemsets(itemsets, n, min_conf)
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float,
@@ -89,7 +134,7 @@ def mine_grid(baskets: DataFrame, supports: Sequence[float], confs: Sequence[flo
     # both are written once to the checkpoint folder instead of being
     # recomputed from the ledger for each use.
     baskets = materialise(baskets.select(items_col), "baskets")
-    rules = materialise(mine_rules(baskets, min(supports), min(confs), items_col, num_partitions), "rules")
+    rules = _mine(baskets, min(supports), min(confs), items_col, num_partitions)
     n = baskets.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     grid = grid_dim(spark, supports, confs)
     cells = grid.crossJoin(n).withColumn("_min_count", F.ceil(F.col("min_support") * F.col("_n")))

@@ -293,3 +293,22 @@ def test_window_cut_on_orders_equals_window_on_ledger(spark):
     late = G.trailing_window(TB.sales_lines(spark, SF001), 1)
     cols = ["kode_nota", "id_barang", "jml", "tanggal"]
     assert rows(early, *cols) == rows(late, *cols)
+
+
+@pytest.mark.parametrize("s,c", [(0.01, 0.1), (0.003, 0.5)])
+def test_rules_from_itemsets_equal_mllib_rules(spark, s, c):
+    """The rules derived from the written itemsets are MLlib's own rules,
+    metric for metric (same operations, same order)."""
+    from conftest import SF001
+    from ledgerlens.sources import tables as TB
+    bk = B.baskets(B.multi_item_baskets(TB.sales_lines(spark, SF001))).select("items")
+    ours = R.mine_rules(bk, s, c)
+    model = R._fit(bk, s, c)
+    ref = model.associationRules.select(F.array_sort("antecedent").alias("antecedent"),
+                                        F.array_sort("consequent").alias("consequent"),
+                                        "confidence", "lift", "support")
+    key = lambda r: (tuple(r.antecedent), tuple(r.consequent))
+    a = {key(r): (r.confidence, r.lift, r.support) for r in ours.collect()}
+    b = {key(r): (r.confidence, r.lift, r.support) for r in ref.collect()}
+    assert len(a) > 0
+    assert a == b
