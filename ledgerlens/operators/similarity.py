@@ -18,7 +18,7 @@ document frequency.  Partial sums per (a, b) pair are combined map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -55,9 +55,13 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     dfreq = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = (tc.join(dfreq, "token").crossJoin(F.broadcast(n_docs))
          .withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0)))
-    norm = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    out = w.join(norm, ["side", "id"]).select("side", "id", "token", (F.col("w") / F.col("_norm")).alias("w"),
-                                                "df")
+    # The L2 norm is a window over the document: one exchange by document.
+    # (An aggregate joined back would shuffle twice, and its map-side partial
+    # sums barely shrink: the rows arrive partitioned by token, so every map
+    # task holds a little of every document.)
+    doc = Window.partitionBy("side", "id")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
+    out = w.select("side", "id", "token", (F.col("w") / norm).alias("w"), "df")
     return materialise_table(out, "tfidf") if materialise else out
 
 
@@ -93,7 +97,6 @@ def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataF
     whose prefix ends first, whose bound is < threshold — so no pair reaching
     the threshold is lost.  Tokens absent from the other side bound to 0 and
     are never indexed; frequent low-weight tokens fall into the tail."""
-    from pyspark.sql import Window
     maxw = wt.groupBy("side", "token").agg(F.max("w").alias("_mw"))
     other = maxw.select(F.when(F.col("side") == "A", "B").otherwise("A").alias("side"), "token", "_mw")
     x = wt.join(other, ["side", "token"], "left").withColumn("_mw", F.coalesce("_mw", F.lit(0.0)))
