@@ -190,28 +190,42 @@ def classify_products(lines: DataFrame, dead_names: DataFrame, purchased: DataFr
 
     Sold Alone = in exactly one receipt and never sold together; Not Sold =
     dead-stock names; Unclassified = (sold or purchased) minus the three;
-    All Products = (sold or purchased) minus Unclassified."""
-    from . import baskets as B
-    # distinct (receipt, product) pairs carry everything the classes need;
-    # they are far smaller than the ledger and are written once
-    pairs = materialise(lines.where(F.col(item).isNotNull()).select(S.NOTA, item).distinct(), "pairs")
-    together = B.sold_together(pairs, item=item).select(F.col(item).alias("product"))
-    once = (pairs.groupBy(item).agg(F.count(F.lit(1)).alias("n_receipts")).where(F.col("n_receipts") == 1)
-            .select(F.col(item).alias("product")))
-    alone = once.join(together, "product", "left_anti")
-    dead = dead_names.select(F.col(S.NAME).alias("product")).distinct()
-    sold = pairs.select(F.col(item).alias("product"))
-    universe = sold.unionByName(purchased.select(F.col(S.NAME).alias("product"))).distinct()
-    classified = together.unionByName(alone).unionByName(dead).distinct()
-    unclassified = universe.join(classified, "product", "left_anti")
-    all_products = universe.join(unclassified, "product", "left_anti")
-    parts = [("All Products", all_products), ("Sold Together", together), ("Sold Alone", alone),
-             ("Not Sold", dead), ("Unclassified", unclassified)]
-    out = None
-    for label, df in parts:
-        d = df.select(F.lit(label).alias("class"), "product")
-        out = d if out is None else out.unionByName(d)
-    return out
+    All Products = (sold or purchased) minus Unclassified.
+
+    The ledger is reduced once to distinct (receipt, product) pairs; each
+    pair learns its receipt's width (an aggregate on the receipt joined
+    back, so a hot receipt is split by AQE's skew handling rather than held
+    by one window task).  One aggregation per product then gives every flag
+    (sold, together, receipts), the purchase and dead-stock lists join in
+    as flag rows of the same aggregation, and the classes are one explode of
+    the per-product flags — the set algebra runs on one row per product,
+    never again on the ledger."""
+    pairs = lines.where(F.col(item).isNotNull()).select(S.NOTA, F.col(item).alias("product")).distinct()
+    width = pairs.groupBy(S.NOTA).agg(F.count(F.lit(1)).alias("_w"))
+    sold = (pairs.join(width, S.NOTA)
+            .groupBy("product")
+            .agg(F.count(F.lit(1)).alias("_n"), F.max((F.col("_w") > 1).cast("int")).alias("_tog"))
+            .select("product", F.lit(1).alias("_sold"), "_tog",
+                    (F.col("_n") == 1).cast("int").alias("_once"),
+                    F.lit(0).alias("_bought"), F.lit(0).alias("_dead")))
+    bought = purchased.select(F.col(S.NAME).alias("product"), F.lit(0).alias("_sold"), F.lit(0).alias("_tog"),
+                              F.lit(0).alias("_once"), F.lit(1).alias("_bought"), F.lit(0).alias("_dead"))
+    dead = dead_names.select(F.col(S.NAME).alias("product"), F.lit(0).alias("_sold"), F.lit(0).alias("_tog"),
+                             F.lit(0).alias("_once"), F.lit(0).alias("_bought"), F.lit(1).alias("_dead"))
+    flags = (sold.unionByName(bought).unionByName(dead).where(F.col("product").isNotNull())
+             .groupBy("product")
+             .agg(*[F.max(c).alias(c) for c in ["_sold", "_tog", "_once", "_bought", "_dead"]]))
+    flags = materialise(flags, "product_flags")
+    together = F.col("_tog") == 1
+    alone = (F.col("_once") == 1) & (F.col("_tog") == 0)
+    not_sold = F.col("_dead") == 1
+    universe = (F.col("_sold") == 1) | (F.col("_bought") == 1)
+    classified = together | alone | not_sold
+    classes = [("All Products", universe & classified), ("Sold Together", together),
+               ("Sold Alone", alone), ("Not Sold", not_sold), ("Unclassified", universe & ~classified)]
+    labels = F.array(*[F.when(cond, F.lit(label)) for label, cond in classes])
+    return (flags.select(F.explode(labels).alias("class"), "product")
+            .where(F.col("class").isNotNull()))
 
 
 def class_counts(classes: DataFrame) -> DataFrame:
