@@ -105,15 +105,23 @@ def product_pairing_stats(lines: DataFrame, basket: str = S.NOTA, item: str = S.
     receipt item-sets that contain it, its row occurrences, and occurrences
     / distinct receipts * 100.
 
-    Item-sets are de-duplicated by a hash-free canonical text key before the
-    explode, so identical receipts collapse before any per-product work.
-    """
-    multi = multi_row_receipts(lines, basket).where(F.col(item).isNotNull())
+    The ledger is reduced once to (receipt, product, rows) — partial
+    aggregation, so a hot product or receipt ships one row per map task —
+    and that table, restricted to multi-row receipts, is written once: the
+    item-sets, the occurrences and the receipt total all read it.  Item-sets
+    are de-duplicated before the explode, so identical receipts collapse
+    before any per-product work."""
+    from ..session import materialise
+    per = lines.groupBy(basket, item).agg(F.count(F.lit(1)).alias("_c"))
+    multi_ids = (per.groupBy(basket).agg(F.sum("_c").alias("_rows"))
+                 .where(F.col("_rows") > 1).select(basket))
+    multi = materialise(per.join(multi_ids, basket, "left_semi").where(F.col(item).isNotNull()),
+                        "multi_row_pairs")
     sets = (multi.groupBy(basket).agg(F.array_sort(F.collect_set(F.col(item))).alias("_set"))
             .select("_set").distinct())
     per_set = sets.select(F.explode("_set").alias(item)).groupBy(item).agg(
         F.count(F.lit(1)).alias("n_unique_sets"))
-    occ = multi.groupBy(item).agg(F.count(F.lit(1)).alias("occurrences"))
+    occ = multi.groupBy(item).agg(F.sum("_c").alias("occurrences"))
     total = multi.agg(F.countDistinct(basket).alias("_total"))
     out = per_set.join(occ, item).crossJoin(F.broadcast(total))
     return out.select(item, "n_unique_sets", "occurrences",
