@@ -96,8 +96,12 @@ def rfm_metrics(lines: DataFrame, key: str = S.NAME, with_group: bool = False) -
             F.coalesce(F.sum(S.QTY), F.lit(0)).alias("monetary")]
     if with_group:
         aggs.append(_first_group())
-    per = lines.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-    ref = reference_date(lines)
+    # One pass over the ledger: lines without a key form a group of their
+    # own, so the latest date overall is the latest of the group maxima (the
+    # same aggregate feeds both branches; its exchange is reused).
+    per_all = lines.groupBy(key).agg(*aggs)
+    ref = per_all.agg(F.max("_last").alias("ref_date"))
+    per = per_all.where(F.col(key).isNotNull())
     return (per.crossJoin(F.broadcast(ref)).withColumn("recency", _days_between("ref_date", "_last"))
             .drop("_last", "ref_date"))
 
@@ -159,12 +163,13 @@ def segment_platforms(lines: DataFrame, variant: str = "V1", key: str = S.NAME,
                       **kw) -> DataFrame:
     """V1 per platform (the per-platform copies): the platform is part of the
     product key and the reference date is the platform's own latest sale."""
-    m = (lines.where(F.col(key).isNotNull()).groupBy(S.PLATFORM, key)
-         .agg(F.max(S.DATE).alias("_last"), F.countDistinct(S.NOTA).alias("frequency"),
-              F.coalesce(F.sum(S.QTY), F.lit(0)).alias("monetary")))
-    ref = lines.groupBy(S.PLATFORM).agg(F.max(S.DATE).alias("ref_date"))
-    m = m.join(ref, S.PLATFORM).withColumn("recency", _days_between("ref_date", "_last")) \
-         .drop("_last", "ref_date")
+    m_all = (lines.groupBy(S.PLATFORM, key)
+             .agg(F.max(S.DATE).alias("_last"), F.countDistinct(S.NOTA).alias("frequency"),
+                  F.coalesce(F.sum(S.QTY), F.lit(0)).alias("monetary")))
+    # a platform's latest sale = the latest of its groups (null key included)
+    ref = m_all.groupBy(S.PLATFORM).agg(F.max("_last").alias("ref_date"))
+    m = m_all.where(F.col(key).isNotNull()).join(ref, S.PLATFORM) \
+        .withColumn("recency", _days_between("ref_date", "_last")).drop("_last", "ref_date")
     m = m.withColumn("r_score", C.score_recency("recency")) \
          .withColumn("f_score", C.score_cuts("frequency", kw.get("f_cuts", S.FLAT_F_THRESHOLDS))) \
          .withColumn("m_score", C.score_cuts("monetary", kw.get("m_cuts", S.FLAT_M_THRESHOLDS)))

@@ -312,3 +312,14 @@ def test_rules_from_itemsets_equal_mllib_rules(spark, s, c):
     b = {key(r): (r.confidence, r.lift, r.support) for r in ref.collect()}
     assert len(a) > 0
     assert a == b
+
+
+def test_rfm_reference_date_counts_lines_without_a_key(spark):
+    """The reference date is the latest line overall, even when that line
+    has no product (it is taken from the group maxima, null group included)."""
+    import datetime as dt
+    rows_ = [("n1", dt.datetime(2024, 1, 1), "a", 2), ("n2", dt.datetime(2024, 1, 11), None, 1),
+             ("n3", dt.datetime(2024, 1, 5), "b", 3)]
+    lines = spark.createDataFrame(rows_, f"{S.NOTA} string, {S.DATE} timestamp, {S.NAME} string, {S.QTY} int")
+    got = {r[S.NAME]: r.recency for r in G.rfm_metrics(lines).collect()}
+    assert got == {"a": 10, "b": 6}
