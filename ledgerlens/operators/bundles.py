@@ -81,7 +81,8 @@ def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Seque
     item_category = materialise(item_category, "item_category")
     bk = deadstock_baskets(lines, item_category, item, line_key=line_key, line_category=line_category)
     rules = R.mine_grid(bk, supports, confs, num_partitions=num_partitions)
-    rules = R.rules_touching(rules, item_category)
+    # the kept rules feed both category arrays and the status window
+    rules = materialise(R.rules_touching(rules, item_category), "touching_rules")
     rules = R.rule_categories(rules, item_category)
     return R.rule_status(rules).withColumn("validity", F.lit(None).cast("int"))
 
