@@ -30,11 +30,12 @@ def rule_params(platform: str, kind: str = "all") -> tuple[float, float]:
 
 def _fit(baskets: DataFrame, min_support: float, min_conf: float,
          items_col: str = "items", num_partitions: int | None = None):
-    """MLlib FP-Growth.  The number of FP-tree groups defaults to the
-    session's shuffle parallelism (the cluster's configured width), and an
-    input with fewer partitions than cores is spread first, so building the
-    conditional trees uses every core.  On large inputs neither changes
-    anything."""
+    """MLlib FP-Growth over a written basket table.  The number of FP-tree
+    groups defaults to the session's shuffle parallelism (the cluster's
+    configured width), and a table with fewer file splits than cores is
+    spread first, so building the conditional trees uses every core.  On
+    large inputs neither changes anything.  (The split count of a written
+    table is known without running anything.)"""
     spark = baskets.sparkSession
     data = baskets.select(items_col)
     cores = spark.sparkContext.defaultParallelism
@@ -95,14 +96,22 @@ def mine_rules(baskets: DataFrame, min_support: float, min_conf: float,
 def _mine(baskets: DataFrame, min_support: float, min_conf: float, items_col: str,
           num_partitions: int | None) -> DataFrame:
     """``mine_rules`` over baskets that are already a written table."""
-    itemsets = materialise(frequent_itemsets(baskets, min_support, items_col, num_partitions), "itemsets")
+    itemsets = materialise(_itemsets(baskets, min_support, items_col, num_partitions), "itemsets")
     n = baskets.agg(F.count(F.lit(1)).alias("_n"))
     return rules_from_itemsets(itemsets, n, min_conf)
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float,
                       items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
-    """M2: frequent itemsets (items sorted) and their counts."""
+    """M2: frequent itemsets (items sorted) and their counts (the baskets are
+    written once first: the fit reads them twice)."""
+    return _itemsets(materialise(baskets.select(items_col), "baskets"), min_support, items_col,
+                     num_partitions)
+
+
+def _itemsets(baskets: DataFrame, min_support: float, items_col: str,
+              num_partitions: int | None) -> DataFrame:
+    """``frequent_itemsets`` over baskets that are already a written table."""
     model = _fit(baskets, min_support, 1.0, items_col, num_partitions)
     return model.freqItemsets.select(F.array_sort("items").alias("items"),
                                      F.col("freq").cast("long").alias("freq"))
