@@ -71,7 +71,25 @@ def materialise(df, name: str = "t"):
     sizes that Spark's broadcast size check can use."""
     import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{materialised_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialised_dir(spark: SparkSession) -> str:
+    """The folder of this application's written intermediates:
+    ``<spark.checkpoint.dir>/tables/<application id>``."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tables/{spark.sparkContext.applicationId}"
+
+
+def release_materialised(spark: SparkSession) -> bool:
+    """Delete this application's written intermediates (the folder of
+    ``materialised_dir``) through the Hadoop file system of that path, so it
+    works for any shared store the cluster names.  Call it once the results
+    that read them have been consumed; DataFrames built on them cannot be
+    evaluated afterwards.  Returns whether anything was deleted."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(materialised_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

@@ -323,3 +323,15 @@ def test_rfm_reference_date_counts_lines_without_a_key(spark):
     lines = spark.createDataFrame(rows_, f"{S.NOTA} string, {S.DATE} timestamp, {S.NAME} string, {S.QTY} int")
     got = {r[S.NAME]: r.recency for r in G.rfm_metrics(lines).collect()}
     assert got == {"a": 10, "b": 6}
+
+
+def test_release_materialised_removes_only_this_apps_tables(spark):
+    from ledgerlens.session import materialise, materialised_dir, release_materialised
+    import os
+    t = materialise(spark.range(5), "probe")
+    assert t.count() == 5
+    folder = materialised_dir(spark)
+    assert spark.sparkContext.applicationId in folder
+    assert release_materialised(spark) is True
+    assert not os.path.exists(folder.replace("file:", ""))
+    assert release_materialised(spark) is False
