@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
-from ..session import materialise
 
 
 # ---------------------------------------------------------------- cleaning
@@ -220,7 +219,6 @@ def classify_products(lines: DataFrame, dead_names: DataFrame, purchased: DataFr
     flags = (sold.unionByName(bought).unionByName(dead).where(F.col("product").isNotNull())
              .groupBy("product")
              .agg(*[F.max(c).alias(c) for c in ["_sold", "_tog", "_once", "_bought", "_dead"]]))
-    flags = materialise(flags, "product_flags")
     together = F.col("_tog") == 1
     alone = (F.col("_once") == 1) & (F.col("_tog") == 0)
     not_sold = F.col("_dead") == 1
