@@ -43,11 +43,16 @@ def clean_stream(raw: DataFrame, platform: str) -> DataFrame:
     return clean_app(raw).withColumn(S.PLATFORM, F.lit(platform))
 
 
-def start_ledger_stream(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
+def start_ledger_stream(spark: SparkSession, folder: str, table_path: str, checkpoint: str | None,
                         platform: str, fmt: str = "csv", available_now: bool = True):
     """Append cleaned rows of new export files to ``table_path`` (Parquet,
-    partitioned by platform).  ``checkpoint`` must be a shared folder.
-    Returns the ``StreamingQuery``."""
+    partitioned by platform).  ``checkpoint`` must be a shared folder; when
+    None it is ``<spark.checkpoint.dir>/streams/ledger-<platform>``, so a
+    restarted stream finds its progress again.  Returns the
+    ``StreamingQuery``."""
+    if checkpoint is None:
+        from ..session import ensure_checkpoint_dir
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/ledger-{platform}"
     cleaned = clean_stream(read_exports(spark, folder, fmt), platform)
     w = (cleaned.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).partitionBy(S.PLATFORM).outputMode("append"))
