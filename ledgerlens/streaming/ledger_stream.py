@@ -47,12 +47,15 @@ def start_ledger_stream(spark: SparkSession, folder: str, table_path: str, check
                         platform: str, fmt: str = "csv", available_now: bool = True):
     """Append cleaned rows of new export files to ``table_path`` (Parquet,
     partitioned by platform).  ``checkpoint`` must be a shared folder; when
-    None it is ``<spark.checkpoint.dir>/streams/ledger-<platform>``, so a
-    restarted stream finds its progress again.  Returns the
+    None it is ``<spark.checkpoint.dir>/streams/ledger-<platform>-<key>``
+    (key = a digest of the source and target paths), so a restarted stream
+    finds its progress again and two streams never share one.  Returns the
     ``StreamingQuery``."""
     if checkpoint is None:
+        import hashlib
         from ..session import ensure_checkpoint_dir
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/ledger-{platform}"
+        key = hashlib.sha1(f"{folder}|{table_path}".encode()).hexdigest()[:12]
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/ledger-{platform}-{key}"
     cleaned = clean_stream(read_exports(spark, folder, fmt), platform)
     w = (cleaned.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).partitionBy(S.PLATFORM).outputMode("append"))

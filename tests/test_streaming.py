@@ -16,3 +16,16 @@ def test_ledger_stream_appends_clean_rows_once(spark, tmp_path):
     # a restart with no new file adds nothing
     start_ledger_stream(spark, str(src), table, ckpt, "Shopee").awaitTermination()
     assert spark.read.parquet(table).count() == 1
+
+
+def test_ledger_stream_default_checkpoint_survives_restart(spark, tmp_path):
+    """Without an explicit checkpoint the stream keeps its progress under the
+    session's checkpoint folder, so a second run adds no row twice."""
+    src = tmp_path / "exports"
+    src.mkdir()
+    (src / "Penjualan_Tokopedia_1.csv").write_text(
+        "Kode Nota,Tanggal,Deskripsi Brg,Jenis Barang,Jml\nT1,2024-02-02,Selang,PT,3\n")
+    table = str(tmp_path / "sales")
+    start_ledger_stream(spark, str(src), table, None, "Tokopedia").awaitTermination()
+    start_ledger_stream(spark, str(src), table, None, "Tokopedia").awaitTermination()
+    assert spark.read.parquet(table).count() == 1
