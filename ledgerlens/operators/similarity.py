@@ -97,9 +97,14 @@ def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataF
     whose prefix ends first, whose bound is < threshold — so no pair reaching
     the threshold is lost.  Tokens absent from the other side bound to 0 and
     are never indexed; frequent low-weight tokens fall into the tail."""
-    maxw = wt.groupBy("side", "token").agg(F.max("w").alias("_mw"))
-    other = maxw.select(F.when(F.col("side") == "A", "B").otherwise("A").alias("side"), "token", "_mw")
-    x = wt.join(other, ["side", "token"], "left").withColumn("_mw", F.coalesce("_mw", F.lit(0.0)))
+    # both sides' largest weight per token in one aggregate; joined on the
+    # token alone, so the join reuses the aggregate's partitioning
+    mx = wt.groupBy("token").agg(F.max(F.when(F.col("side") == "A", F.col("w"))).alias("_ma"),
+                                 F.max(F.when(F.col("side") == "B", F.col("w"))).alias("_mb"))
+    x = (wt.join(mx, "token")
+         .withColumn("_mw", F.coalesce(F.when(F.col("side") == "A", F.col("_mb")).otherwise(F.col("_ma")),
+                                       F.lit(0.0)))
+         .drop("_ma", "_mb"))
     w = (Window.partitionBy("side", "id").orderBy(F.col("df").desc(), F.col("token").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     bound = F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_mw"))).over(w)
