@@ -56,7 +56,10 @@ def sales_lines(spark: SparkSession, sf_dir: str, *, platform: bool = False,
         ocols.append(F.col("o_orderpriority").alias(S.SOURCE))
     orders = table(spark, sf_dir, "orders").select(*ocols)
     if years is not None:
-        with_lines = orders.select(S.NOTA, S.DATE).join(li.select(S.NOTA), S.NOTA, "left_semi")
+        # distinct line keys: map-side partial aggregation collapses a
+        # receipt's lines before the shuffle (a hot receipt ships one row per
+        # task), and its partitioning is the one the semi join needs
+        with_lines = orders.select(S.NOTA, S.DATE).join(li.select(S.NOTA).distinct(), S.NOTA, "left_semi")
         ref = with_lines.agg(F.max(S.DATE).alias("_ref"))
         orders = (orders.crossJoin(F.broadcast(ref))
                   .where(F.col(S.DATE) >= F.col("_ref") - F.expr(f"make_ym_interval({int(years)}, 0)"))
