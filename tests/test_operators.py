@@ -335,3 +335,15 @@ def test_release_materialised_removes_only_this_apps_tables(spark):
     assert release_materialised(spark) is True
     assert not os.path.exists(folder.replace("file:", ""))
     assert release_materialised(spark) is False
+
+
+def test_replace_table_keeps_other_platforms_and_session_setting(spark, tmp_path):
+    """Dynamic partition overwrite is a writer option — other platforms'
+    partitions stay, and the session's own setting is not touched."""
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    path = str(tmp_path / "t")
+    IO.replace_table(spark.createDataFrame([("Shopee", 1), ("Lazada", 2)], "platform string, v int"), path)
+    IO.replace_table(spark.createDataFrame([("Shopee", 5), ("Shopee", 6)], "platform string, v int"), path)
+    got = sorted((r.platform, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("Lazada", 2), ("Shopee", 5), ("Shopee", 6)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
