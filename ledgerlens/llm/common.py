@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialise, materialised_dir
 
-__all__ = ["ensure_checkpoint_dir", "fresh", "fresh_dir", "materialise", "narrow",
+__all__ = ["commit_file", "ensure_checkpoint_dir", "fresh", "fresh_dir", "make_folder", "materialise", "narrow", "open_fs",
            "shuffle_partitions", "table"]
 
 
@@ -40,3 +40,26 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def open_fs(uri: str):
+    """(pyarrow file system, path) of a folder or file that Spark names, for
+    tasks that write or read whole files of another format than Spark's."""
+    from pyarrow import fs
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def make_folder(uri: str) -> str:
+    files, path = open_fs(uri)
+    files.create_dir(path, recursive=True)
+    return uri
+
+
+def commit_file(files, tmp: str, final: str) -> None:
+    """Give a task's finished file its name.  A repeated or speculative task
+    writes the same bytes under the same name, so whoever ends last is right."""
+    files.move(tmp, final)

@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, sharding
-from .common import table
+from . import bpe, chat, exact_dedup, sharding, token_files
+from .common import fresh_dir, table
+
+#: The tokenizers file of the queries; any path of the same format will do.
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +35,11 @@ def op2(spark, sf_dir):
     return sharding.feistel_shards(table(spark, sf_dir, "documents"), shards=16, seed=2)
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _esc(expr: str) -> str:
     for raw, code in chat.CODES:
         expr = f"replace({expr}, '{raw}', '{code}')"
@@ -64,6 +72,13 @@ def op4(spark, sf_dir):
     return chat.digest_chats(chat.read_chats(formatted))
 
 
+@query("op5_transducer_bpe")
+def op5(spark, sf_dir):
+    """All documents encoded and decoded; the lexicon is fitted on them."""
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.Tokenizer(spark, tokenizer_path()).fit(docs), docs)
+
+
 @query("op9_exact_dedup", r"""
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -74,3 +89,13 @@ FROM hashed WINDOW g AS (PARTITION BY text_sha256)""")
 def op9(spark, sf_dir):
     """Exact groups of all documents."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_arrow_token_files")
+def op10(spark, sf_dir):
+    """All documents' ids written as Arrow stream files and read back."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        source = f.read()
+    index = token_files.write_token_files(table(spark, sf_dir, "documents"),
+                                          fresh_dir(spark, "token-files"), source, end_id=2)
+    return token_files.read_token_files(index, with_ids=False)
