@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, sharding, token_files
+from . import bpe, chat, exact_dedup, langid, sharding, token_files
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -79,6 +80,16 @@ def op5(spark, sf_dir):
     return bpe.digests(bpe.Tokenizer(spark, tokenizer_path()).fit(docs), docs)
 
 
+@query("op7_gru_language")
+def op7(spark, sf_dir):
+    """The language of every whole text, by a network trained on the rows
+    that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return langid.detect(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_exact_dedup", r"""
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
