@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, sharding, token_files
+from . import bpe, chat, exact_dedup, langid, sharding, token_files, warc
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -41,6 +41,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_warc_dictionary", f"""
+WITH p AS (SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id != first THEN first END AS refers_to
+FROM g""")
+def op3(spark, sf_dir):
+    """All pages written as dictionary-compressed WARC files and read back."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+    return warc.read_archives(manifest, with_payload=False).drop("url")
+
+
 def _esc(expr: str) -> str:
     for raw, code in chat.CODES:
         expr = f"replace({expr}, '{raw}', '{code}')"
