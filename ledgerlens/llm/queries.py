@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, sharding, token_files, warc
+from . import bpe, chat, exact_dedup, langid, ngram_join, sharding, token_files, warc
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -104,6 +104,12 @@ def op7(spark, sf_dir):
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_prefix_tree_join")
+def op8(spark, sf_dir):
+    """Components of all documents under 4-gram Jaccard of 0.85."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", r"""
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
