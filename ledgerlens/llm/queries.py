@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, ngram_join, sharding, token_files, warc
+from . import bpe, chat, decontaminate, exact_dedup, langid, ngram_join, sharding, token_files, warc
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -94,6 +94,12 @@ def op5(spark, sf_dir):
     return bpe.digests(bpe.Tokenizer(spark, tokenizer_path()).fit(docs), docs)
 
 
+@query("op6_latent_decontamination")
+def op6(spark, sf_dir):
+    """Documents that hold a benchmark item, over all documents."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_gru_language")
 def op7(spark, sf_dir):
     """The language of every whole text, by a network trained on the rows
