@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, ngram_join, sharding, token_files, warc
+from . import bpe, chat, decontaminate, exact_dedup, langid, ngram_join, sharding, token_files, url_lists, warc
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -30,6 +30,69 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# The tables have no fetch times and no block lists.  Both are derived from
+# the pages: a time of the year 2024 from the page_id, and dated entries from
+# the hosts, folders and addresses that occur, by their md5.
+_T0, _DAY = 1_704_067_200, 86_400
+#: kind, its key's SQL, one key in so many is listed
+_LISTED = [("host", "host", 3), ("domain", "regexp_replace(host, '^[^.]+[.]', '')", 2),
+           ("prefix", "concat(host, regexp_extract(path, '^/[^/]*/', 0))", 5), ("url", "norm", 40)]
+
+
+def _entries_sql(number: str, pages: str) -> str:
+    """A log of entries: each listed key is blocked one day, and two of three
+    of them are allowed or removed some days later, one again blocked."""
+    keys = " UNION ".join(f"SELECT DISTINCT '{k}' AS kind, {key} AS key, {every} AS every FROM {pages}"
+                          for k, key, every in _LISTED)
+    n = number.format("concat(kind, key)")
+    return f"""
+SELECT concat('list', CAST(n % 2 AS STRING)) AS list, kind, key, s.action,
+       CAST({_T0} + {_DAY} * (n % 200 + s.days * (1 + n % 50)) AS BIGINT) AS effective
+FROM (SELECT kind, key, {n} AS n FROM ({keys}) k WHERE {n} % every = 0) l
+CROSS JOIN (VALUES ('block', 0, 0), ('allow', 1, 1), ('remove', 1, 2), ('block', 2, 1)) s(action, days, which)
+WHERE s.which = 0 OR n % 3 = s.which"""
+
+
+def op1_tables(spark, sf_dir):
+    """(captures, list entries) derived from ``pages``."""
+    captures = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.expr(f"CAST({_T0} + (page_id * 7919) % 527040 * 60 AS BIGINT)").alias("fetched_at"))
+    url = F.col("url")
+    parsed = captures.where("url is not null").select(
+        url_lists.host_of(url).alias("host"), url_lists.path_of(url).alias("path"),
+        url_lists.normal_url(url).alias("norm"))
+    entries = spark.sql(_entries_sql("CAST(conv(substr(md5({}), 1, 6), 16, 10) AS BIGINT)", "{parsed}"), parsed=parsed)
+    return captures, entries
+
+
+@query("op1_temporal_url_lists", f"""
+WITH captures AS (
+  SELECT DISTINCT page_id, url, (({_T0} + (page_id * 7919) % 527040 * 60))::BIGINT AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+parsed AS (SELECT *, regexp_replace(url, '#.*$', '') AS norm FROM captures WHERE url IS NOT NULL),
+entries AS ({_entries_sql("('0x' || substr(md5({}), 1, 6))::BIGINT", "parsed")}),
+valid AS (
+  SELECT * FROM (SELECT *, effective AS valid_from,
+                        lead(effective) OVER (PARTITION BY list, kind, key ORDER BY effective) AS valid_to FROM entries)
+  WHERE action != 'remove'),
+hits AS (
+  SELECT c.page_id, c.url, c.fetched_at, v.action, v.list, v.kind, v.key, v.valid_from, v.valid_to,
+    row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched_at ORDER BY
+      list_position(['url', 'prefix', 'host', 'domain'], v.kind), length(v.key) DESC, v.list) AS k
+  FROM parsed c JOIN valid v ON v.valid_from <= c.fetched_at AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to)
+    AND CASE v.kind WHEN 'url' THEN c.norm = v.key WHEN 'host' THEN c.host = v.key
+        WHEN 'domain' THEN c.host = v.key OR ends_with(c.host, '.' || v.key)
+        ELSE starts_with(c.host || c.path, v.key) END)
+SELECT c.page_id, c.url, c.fetched_at, coalesce(h.action = 'block', false) AS blocked,
+       h.list, h.kind, h.key, h.valid_from, h.valid_to
+FROM captures c LEFT JOIN hits h ON h.k = 1 AND h.page_id = c.page_id AND h.url = c.url
+  AND h.fetched_at = c.fetched_at""")
+def op1(spark, sf_dir):
+    """All pages judged by the lists that held when they were fetched."""
+    return url_lists.judge(*op1_tables(spark, sf_dir))
+
+
 @query("op2_feistel_shards")
 def op2(spark, sf_dir):
     """All documents into 16 shards by a Feistel permutation."""
