@@ -15,9 +15,11 @@ A table ``index`` beside the files maps doc_id to shard, start and length.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import MEMO_WORDS, split_words
+from .bpe import byte_chars, split_words
 from .common import commit_file, make_folder, materialise, narrow, open_fs, shuffle_partitions
 
 #: Ids of a sequence, and sequences of a batch.
 SEQUENCE, BATCH_SEQUENCES = 2048, 64
 INDEX_ROWS = 2048
+#: Words that a worker remembers before it starts anew (about 150 MB).
+MEMO_WORDS = 600_000
 
 
 def _dtype(vocabulary_size: int):
@@ -140,36 +144,51 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
 
 
-_in_worker: dict[str, tuple] = {}
+class _Words(dict):
+    """Ids of the pre-tokenizer's words, asked of the library's model once.
 
+    Byte-level BPE never merges across words, so a text's ids are those of
+    its words in order."""
 
-def _tokenizer(key: str, source):
-    """The worker's tokenizer and word memo, made once per worker process."""
+    def __init__(self, tok: Tokenizer, kind: str):
+        self._model, self._kind = tok.model, kind  # the model must be kept with its tokenizer
+        self._tok = tok
+        self._printable = {b: c for c, b in byte_chars().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode().decode("latin-1").translate(self._printable)
+        ids = self[word] = array(self._kind, [t.id for t in self._model.tokenize(raw)]).tobytes()
+        return ids
+
+
+_in_worker: dict[str, _Words] = {}
+
+
+def _words(key: str, source, dtype: np.dtype) -> _Words:
+    """The worker's words, made once per worker process."""
     if key not in _in_worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _in_worker.clear()
-        tok = Tokenizer.from_str(source.value)
-        tok.no_padding()
-        tok.no_truncation()
-        _in_worker[key] = (tok, {})
+        _in_worker[key] = _Words(Tokenizer.from_str(source.value), "H" if dtype.itemsize == 2 else "I")
     return _in_worker[key]
 
 
-def _encode_word_wise(tok, memo: dict[str, bytes], texts: list[str], dtype, special: list[str]) -> list[bytes]:
-    """Ids of whole texts.  Byte-level BPE never merges across the words of
-    its pre-tokenizer, so words that were not met before go to the library
-    and all others are taken from the memo."""
-    cut = lambda t: any(s in t for s in special)
-    words = [None if cut(t) else split_words(t) for t in texts]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    new = set().union(*(w for w in words if w)).difference(memo)
-    if new:
-        new = list(new)
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            memo[w] = np.asarray(e.ids, dtype).tobytes()
-    return [np.asarray(tok.encode(t, add_special_tokens=False).ids, dtype).tobytes() if w is None
-            else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, words)]
+def _word_wise(tokenizer_json: str) -> bool:
+    """Whether a tokenizers file is plain byte-level BPE."""
+    spec = json.loads(tokenizer_json)
+    split = spec.get("pre_tokenizer") or {}
+    return (spec["model"]["type"] == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel"
+            and not split.get("add_prefix_space") and split.get("use_regex", True))
+
+
+def _encode(words: _Words, text: str, dtype: np.dtype, special: list[str] | None) -> bytes:
+    """Ids of a whole text.  One with a special token, and all where
+    ``special`` is None, go to the library whole."""
+    if special is None or any(s in text for s in special):
+        return np.asarray(words._tok.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+    if len(words) > MEMO_WORDS:
+        words.clear()
+    return b"".join(map(words.__getitem__, split_words(text)))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, end_id: int,
@@ -185,7 +204,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, end_
     spark = docs.sparkSession
     tok = Tokenizer.from_str(tokenizer_json)
     dtype = _dtype(max(tok.get_vocab_size(with_added_tokens=True), end_id + 1))
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    special = [t.content for t in tok.get_added_tokens_decoder().values()] if _word_wise(tokenizer_json) else None
     key, source = uuid.uuid4().hex, spark.sparkContext.broadcast(tokenizer_json)
     make_folder(folder)
     order = [F.asc_nulls_last("doc_id"), F.asc("_tie")]
@@ -200,7 +219,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, end_
         files, root = open_fs(folder)
         name = f"tokens-{shard:06d}.arrow"
         tmp = f"{root}/_tmp-{name}-{task.taskAttemptId()}"
-        tok, memo = _tokenizer(key, source)
+        words = _words(key, source, dtype)
         sink = writer = None
         index: list[tuple] = []
 
@@ -221,8 +240,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, end_
                 if writer is None:
                     sink = files.open_output_stream(tmp)
                     writer = SequenceWriter(sink, length, batch, dtype)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(),
-                                       _encode_word_wise(tok, memo, texts, dtype, special)):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
+                    ids = _encode(words, text, dtype, special)
                     ids = np.append(np.frombuffer(ids, dtype), dtype.type(end_id))
                     index.append((doc_id, writer.written, len(ids)))
                     writer.add(ids)
