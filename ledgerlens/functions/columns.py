@@ -6,7 +6,7 @@ so it runs inside whole-stage codegen; none of them starts a job.
 Scalar function families of SURVEY §2.8 and where they live:
 
 * F1 string — ``normalise_name``, ``clean_product_name``, ``product_type``
-  (upper + contains), ``sheet_name`` / ``io.write_sheets`` (cut to 31).
+  (upper + contains).
 * F2 regex — ``clean_qty_text`` (``[^0-9.]``), ``tokens``;
   ``joins.order_sheets`` / ``evaluate.rules_before_first_invalid`` read
   ``Sup…`` / ``Conf…`` back out of a sheet label.
@@ -183,8 +183,3 @@ def rule_key(ante, cons) -> Column:
 def sheet_label(support: float, confidence: float) -> str:
     """Grid cell label as the notebook prints it (Python float text)."""
     return f"Sup{support}_Conf{confidence}_Rules"
-
-
-def sheet_name(label: str) -> str:
-    """Sheet names are cut to 31 characters."""
-    return label[: S.SHEET_NAME_MAX]

@@ -1,11 +1,11 @@
-"""TF-IDF cosine similarity between two sides.
+"""TF-IDF cosine similarity between two sides.
 
 Weights follow the common smooth-idf definition: raw term count x
 (ln((1 + n) / (1 + df)) + 1), L2-normalised per document, where n and df
 count every document of both sides (duplicates included).
 
 Pairs come from an inverted-index equi-join on the token — only documents
-that share a token ever meet, no cross join.  With a threshold, pairs are
+that share a token ever meet, no cross join.  Pairs are
 found through an exact bound-based index (tokens ordered rare-first; a token
 is indexed while the rest of the vector could still reach the threshold,
 bounded with each token's largest weight on the other side), so frequent
@@ -112,27 +112,24 @@ def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataF
                              "candidate_index")
 
 
-def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
+def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float,
                  id_col: str = "id", text_col: str = "text",
                  postings_per_task: int = 200_000) -> DataFrame:
-    """(id_1 from A, id_2 from B, score) with score = dot product of
-    the normalised vectors; ``score > threshold`` when given.  Pairs with
-    score 0 never appear (see ``all_similarities``).
-
-    With a threshold, candidates are the pairs sharing an indexed token
-    (``candidate_index``; no pair reaching the threshold is missed).  Their
-    score is the indexed-token join's partial sum plus the shared tokens that
-    sit in a tail: A-tail tokens looked up in B, and B-tail tokens looked up in
-    the A prefix — each a join restricted to the candidates, so a frequent
-    tail token never meets documents outside them.  Without a threshold,
-    every pair sharing any token is produced (the result is quadratic)."""
+    """(id_1 from A, id_2 from B, score) with score = dot product
+    of the normalised vectors and ``score > threshold`` (above 0: every pair
+    that merely shares a token would be a quadratic result).
+
+    Candidates are the pairs sharing an indexed token (``candidate_index``; no
+    pair reaching the threshold is missed).  Their score is the indexed-token
+    join's partial sum plus the shared tokens that sit in a tail: A-tail
+    tokens looked up in B, and B-tail tokens looked up in the A prefix — each
+    a join restricted to the candidates, so a frequent tail token never meets
+    documents outside them."""
+    if not threshold > 0:
+        raise ValueError("threshold must be above 0")
     wt = tfidf(a, b, id_col, text_col)
     a_all = wt.where(F.col("side") == "A").select("id", "token", "w")
     b_all = wt.where(F.col("side") == "B").select("id", "token", "w")
-    if threshold is None or threshold <= 0:
-        pairs = (_token_join(a_all, b_all, postings_per_task)
-                 .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("score")))
-        return pairs if threshold is None else pairs.where(F.col("score") > F.lit(float(threshold)))
     ix = candidate_index(wt, float(threshold))
     a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w")
     b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w")
@@ -154,27 +151,6 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float | None = None,
     return scored.where(F.col("score") > F.lit(float(threshold)))
 
 
-def all_similarities(a: DataFrame, b: DataFrame, max_cells: int = 50_000_000,
-                     id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """T4: the full A x B matrix in long form, zeros included.
-
-    This is quadratic by definition, so it is size-guarded: the product of
-    the side sizes (one aggregate each) must stay below ``max_cells``."""
-    na = a.count()
-    nb = b.count()
-    if na * nb > max_cells:
-        raise ValueError(f"all_similarities: {na} x {nb} cells exceeds max_cells={max_cells}")
-    grid = a.select(F.col(id_col).alias("id_1")).crossJoin(b.select(F.col(id_col).alias("id_2")))
-    pairs = cosine_pairs(a, b, None, id_col, text_col)
-    return grid.join(pairs, ["id_1", "id_2"], "left").select(
-        "id_1", "id_2", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def threshold_pairs(pairs: DataFrame, t: float) -> DataFrame:
-    """Strict ``score > t``."""
-    return pairs.where(F.col("score") > F.lit(float(t)))
-
-
 def threshold_sets(pairs: DataFrame, thresholds=S.NOTEBOOK_SIMILARITY_THRESHOLDS) -> DataFrame:
     """T5: the labelled result sets '> t' for every threshold (pairs x a
     threshold table of a handful of rows, broadcast)."""
@@ -193,11 +169,6 @@ def band(score_col: str = "score", bands=S.SIMILARITY_BANDS) -> F.Column:
     return expr
 
 
-def range_pairs(pairs: DataFrame, lo: float, hi: float) -> DataFrame:
-    """C14: ``lo <= score < hi``."""
-    return pairs.where((F.col("score") >= lo) & (F.col("score") < hi))
-
-
 def sample_bands(pairs: DataFrame, n: int = S.BAND_SAMPLE_SIZE, seed: int = S.BAND_SAMPLE_SEED,
                  bands=S.SIMILARITY_BANDS) -> DataFrame:
     """At most ``n`` pairs per band, chosen by a seeded hash of the

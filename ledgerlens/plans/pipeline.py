@@ -8,8 +8,9 @@ product bundles -> similarity (+ purge) -> bundles with similar dead stock
 Every stage is written as a table (Parquet, partitioned by platform) under
 ``out_dir`` and the next stage reads it back: the written table is the
 lineage cut, a lost executor only re-runs the current stage, and running one
-platform replaces only that platform's partitions (dynamic overwrite) — the
-original cleared shared tables for every platform.
+platform replaces only that platform's partition (its folder is overwritten,
+also by a stage without rows) — the original cleared shared tables for every
+platform.
 """
 
 from __future__ import annotations
@@ -30,11 +31,9 @@ REQUIRED = [S.RAW_NOTA, S.RAW_DATE, S.RAW_NAME, S.RAW_GROUP, S.RAW_QTY]
 
 def _stage(spark: SparkSession, df: DataFrame, out_dir: str, name: str, platform: str) -> DataFrame:
     path = f"{out_dir.rstrip('/')}/{name}"
-    out = df.withColumn(S.PLATFORM, F.lit(platform))
-    IO.replace_table(out, path)
-    # the schema is known; an empty stage writes no data file to infer it from
-    return (spark.read.schema(out.schema).parquet(path)
-            .where(F.col(S.PLATFORM) == platform).drop(S.PLATFORM))
+    IO.replace_partition(df, path, platform)
+    # the schema is known, and only this platform's folder is listed and read
+    return spark.read.schema(df.schema).parquet(IO.partition_path(path, S.PLATFORM, platform))
 
 
 def run_pipeline(spark: SparkSession, raw_sales: DataFrame, dead_report: DataFrame, out_dir: str,

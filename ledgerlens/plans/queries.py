@@ -431,12 +431,10 @@ raw AS (SELECT CAST(kode_nota AS VARCHAR) AS "Kode Nota", tanggal AS "Tanggal",
 @register("S1_load_sales", _RAW_SQL + """
 SELECT "Kode Nota", CAST("Tanggal" AS DATE) AS "Tanggal", "Deskripsi Brg", "Jenis Barang", "Jml" FROM raw""")
 def s1_load_sales(spark, sf_dir):
-    """One input per source file, wanted columns kept, unioned by
-    name, any-null rows dropped."""
-    raw = TB.raw_sales(spark, sf_dir)
-    sources = [r[0] for r in raw.select("source").distinct().collect()]  # a handful of file names
-    frames = [raw.where(F.col("source") == s) for s in sorted(sources)]
-    out = IO.load_sales(frames)
+    """Wanted columns kept, any-null rows dropped.  The driver
+    ledger is one table whose inputs all have the wanted columns, so it is
+    one frame and one read; inputs of different layouts are one frame each."""
+    out = IO.load_sales([TB.raw_sales(spark, sf_dir)])
     return out.withColumn(S.RAW_DATE, F.to_date(F.col(S.RAW_DATE)))
 
 
@@ -527,11 +525,11 @@ def s11_profile(spark, sf_dir):
 # ------------------------------------------------------------ sinks
 
 def _scratch(spark, name):
-    """A fresh folder for a query's output under the session's checkpoint
-    folder (the shared folder on a cluster)."""
+    """A fresh folder for a query's output among the application's written
+    intermediates (``release_materialised`` deletes it)."""
     import uuid
-    from ..session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    from ..session import materialised_dir
+    return f"{materialised_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _written_grid(spark, sf_dir):
@@ -544,8 +542,7 @@ def _written_grid(spark, sf_dir):
 
 @register("S6_write_sheets", _GRID_SQL + "\n" + rules_sql_out("status", "sheet, status, "))
 def s6_write_sheets(spark, sf_dir):
-    """Every grid cell written as its own sheet partition (names cut
-    to 31 characters), the whole workbook read back."""
+    """Every grid cell written as its own sheet partition, the whole workbook read back."""
     return spark.read.parquet(_written_grid(spark, sf_dir))
 
 
@@ -572,18 +569,35 @@ SELECT platform, count(*) AS n_rows, count(DISTINCT kode_nota) AS n_receipts,
   CAST(sum(jml) AS DOUBLE) AS total_qty FROM kept GROUP BY platform""")
 def s7_replace_table(spark, sf_dir):
     """The platform-keyed ledger written as a table, then one
-    platform's rows replaced by its last-year rows (dynamic partition
-    overwrite: the other platforms' partitions stay as they were); per
-    platform totals of the table read back."""
+    platform's rows replaced by its last-year rows (its partition folder is
+    overwritten, the others stay as they were); per platform totals of the
+    table read back."""
     path = _scratch(spark, "ledger-by-platform")
     cols = [S.NOTA, S.ITEM_ID, S.QTY, S.PLATFORM]
     IO.replace_table(TB.sales_lines(spark, sf_dir, platform=True, names=False).select(*cols), path)
     recent = _window_lines(spark, sf_dir, platform=True, names=False).select(*cols)
-    IO.replace_table(IO.platform_table(recent, REPLACED_PLATFORM), path)
-    back = spark.read.parquet(path)
-    return back.groupBy(S.PLATFORM).agg(F.count(F.lit(1)).alias("n_rows"),
-                                        F.countDistinct(S.NOTA).alias("n_receipts"),
-                                        F.sum(S.QTY).cast("double").alias("total_qty"))
+    IO.replace_partition(IO.platform_table(recent, REPLACED_PLATFORM), path, REPLACED_PLATFORM)
+    return _platform_totals(spark.read.parquet(path))
+
+
+def _platform_totals(df):
+    return df.groupBy(S.PLATFORM).agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.countDistinct(S.NOTA).alias("n_receipts"),
+                                      F.sum(S.QTY).cast("double").alias("total_qty"))
+
+
+@register("S7_replace_empty", f"""
+WITH {Q.sales_cte(platform=True)}
+SELECT platform, count(*) AS n_rows, count(DISTINCT kode_nota) AS n_receipts,
+  CAST(sum(jml) AS DOUBLE) AS total_qty FROM lines WHERE platform <> '{REPLACED_PLATFORM}' GROUP BY platform""")
+def s7_replace_empty(spark, sf_dir):
+    """One platform replaced by a load without rows: its old rows go, the
+    other platforms stay."""
+    path = _scratch(spark, "ledger-emptied")
+    lines = TB.sales_lines(spark, sf_dir, platform=True, names=False).select(S.NOTA, S.ITEM_ID, S.QTY, S.PLATFORM)
+    IO.replace_table(lines, path)
+    IO.replace_partition(lines.where(F.lit(False)), path, REPLACED_PLATFORM)
+    return _platform_totals(spark.read.parquet(path))
 
 
 # ------------------------------------------------------------------ baskets
@@ -749,18 +763,6 @@ def t3_cosine_products(spark, sf_dir):
     return _pairs_out(SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD), "id_barang_1", "id_barang_2")
 
 
-@register("T4_all_similarities", f"""
-WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
-ga AS ({_A_SQL}), gb AS ({_B_SQL})
-SELECT ga.id AS id_1, gb.id AS id_2, round(coalesce(p.score, 0.0), 6) AS score
-FROM ga CROSS JOIN gb LEFT JOIN pairs p ON p.id_1 = ga.id AND p.id_2 = gb.id""")
-def t4_all_similarities(spark, sf_dir):
-    """T4: the full sold x dead matrix in long form, zeros included
-    (size-guarded)."""
-    a, b = _product_sides(spark, sf_dir)
-    return _pairs_out(SIM.all_similarities(a, b))
-
-
 @register("T5_threshold_sets", f"""
 WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
 th AS (SELECT * FROM (VALUES {", ".join(f"('Filtered (>{t})', {Q.lit_d(t)})" for t in S.NOTEBOOK_SIMILARITY_THRESHOLDS)}) v(label, t))
@@ -1254,9 +1256,7 @@ def m17_pipeline(spark, sf_dir):
     """The app's analysis run over the driver tables, every stage a
     written table under the session's checkpoint folder; returns row counts
     per table and the consistency verdict (rows-only check)."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    out_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex[:8]}"
+    out_dir = _scratch(spark, "analysis")
     tables = PL.run_pipeline(spark, TB.raw_sales(spark, sf_dir), TB.deadstock_report(spark, sf_dir),
                              out_dir, platform="General", keywords=TEST_KEYWORDS)
     return PL.pipeline_status(tables)

@@ -131,5 +131,4 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 # Basket statistics.
 HISTOGRAM_CAP = 20
-SHEET_NAME_MAX = 31
 PAGE_ROWS = 10

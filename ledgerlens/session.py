@@ -1,8 +1,9 @@
 """Session helpers.
 
 The library never creates a session inside an operator; these helpers exist
-for tests, the bench and the command line.  On a cluster the caller's session
-is used as-is: settings that are already present are never overwritten.
+for tests, the bench and the command line.  ``local_session`` sets them on the
+session that it makes; on a cluster the caller's session is used as it is.
+Dates are compared in the session's time zone, so a caller sets it to UTC.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the operators are written against.  Applied only where unset.
+# Settings the operators are written against.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -45,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    unchanged.  Only when it is unset (local tests) a scratch folder is made.
+    unchanged.  Only where it is unset and the master is a plain ``local`` one
+    (driver and executor in one process, as in tests) a scratch folder is
+    made; elsewhere executors would write to disks of their own, so a missing
+    setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -54,6 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} it must name a folder "
+                           "that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

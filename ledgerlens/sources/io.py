@@ -1,6 +1,6 @@
 """Sources and sinks.
 
-Workbooks become Parquet (or CSV) folders; a sheet becomes the value of a
+Workbooks become Parquet folders; a sheet becomes the value of a
 ``sheet`` partition column, a per-platform table becomes a ``platform``
 partition.  Reads therefore prune partitions and columns for free.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,10 @@ def load_sales(frames: Iterable[DataFrame], columns: Sequence[str] = S.RAW_COLUM
     return combined.select(*[F.col(f"`{c}`") for c in columns]).na.drop("any")
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
-               columns: Sequence[str] = S.RAW_COLUMNS) -> DataFrame:
-    """S1 over files: each file is read on its own (schemas may differ), then
-    combined by ``load_sales``."""
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    return load_sales([reader.load(p) for p in paths], columns)
-
-
-def load_sheet(spark: SparkSession, path: str, sheet: str, fmt: str = "parquet") -> DataFrame:
-    """One named sheet of a sheet-partitioned folder (partition pruning)."""
-    return spark.read.format(fmt).load(path).where(F.col("sheet") == sheet)
+def load_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """One named sheet of a sheet-partitioned Parquet folder (partition
+    pruning)."""
+    return spark.read.parquet(path).where(F.col("sheet") == sheet)
 
 
 def load_deadstock(df: DataFrame, name_col: str = S.RAW_NAME, flag: str = S.DEADSTOCK_FLAG) -> DataFrame:
@@ -79,24 +71,37 @@ def platform_table(df: DataFrame, platform: str) -> DataFrame:
     return df.where(F.col(S.PLATFORM) == platform)
 
 
-def write_sheets(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One partition per sheet; empty sheets produce no folder; names cut
-    to 31 characters like a workbook sheet."""
-    out = df.withColumn("sheet", F.substring(F.col("sheet"), 1, S.SHEET_NAME_MAX))
-    out.write.mode("overwrite").partitionBy("sheet").format(fmt).save(path)
+def write_sheets(df: DataFrame, path: str) -> None:
+    """One partition per sheet, under its whole name; empty sheets produce
+    no folder."""
+    df.write.mode("overwrite").partitionBy("sheet").parquet(path)
+
+
+def partition_path(path: str, partition_col: str, value: str) -> str:
+    """The folder of one partition value (characters that a path cannot hold
+    are escaped the way the partition reader unescapes them)."""
+    return f"{path.rstrip('/')}/{partition_col}={quote(value, safe=' .,-_()+&@$;')}"
 
 
 def replace_table(df: DataFrame, path: str, partition_col: str | None = S.PLATFORM,
                   fmt: str = "parquet") -> None:
-    """Replace a table (or, when partitioned, only the partitions present
-    in ``df``: dynamic partition overwrite leaves other platforms alone)."""
+    """Replace a whole table (partitioned by ``partition_col`` if given)."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_col:
         # a writer option: the session's setting is left untouched
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
+        w = w.option("partitionOverwriteMode", "static").partitionBy(partition_col)
     w.save(path)
 
 
+def replace_partition(df: DataFrame, path: str, value: str, partition_col: str = S.PLATFORM,
+                      fmt: str = "parquet") -> None:
+    """Delete one platform's rows and load ``df`` in their place.
+
+    The partition's own folder is overwritten, so a load without rows empties
+    the platform, and the other platforms' folders are not touched."""
+    df.drop(partition_col).write.mode("overwrite").format(fmt).save(partition_path(path, partition_col, value))
+
+
 def source_platform_violations(df: DataFrame, platform: str) -> DataFrame:
     """For a non-General platform every input file name must contain the
     platform keyword (case-insensitive).  Returns the offending file names."""

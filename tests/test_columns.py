@@ -123,7 +123,6 @@ def test_leap_day_window(spark):
 
 def test_sheet_label():
     assert C.sheet_label(0.001, 0.1) == "Sup0.001_Conf0.1_Rules"
-    assert C.sheet_name("x" * 40) == "x" * 31
 
 
 def test_clean_product_name(spark):

@@ -79,7 +79,7 @@ def test_cosine_matches_brute_force(spark):
     b = [(10, "kayu BOR"), (11, "besi beton"), (12, "x y z"), (13, "bor bor bor")]
     da = spark.createDataFrame(a, "id long, text string")
     db = spark.createDataFrame(b, "id long, text string")
-    got = {(r.id_1, r.id_2): r.score for r in SIM.cosine_pairs(da, db, postings_per_task=1).collect()}
+    got = {(r.id_1, r.id_2): r.score for r in SIM.cosine_pairs(da, db, 1e-6, postings_per_task=1).collect()}
     want = _brute_tfidf_cosine(a, b)
     assert set(got) == set(want)
     for k in want:
@@ -240,14 +240,15 @@ def test_require_columns_names_missing(spark):
         IO.require_columns(df, ["a", "Kode Nota", "DS"])
 
 
-def test_sheets_roundtrip_and_dynamic_overwrite(spark, tmp_path):
-    df = spark.createDataFrame([("Sup0.001_Conf0.1_Rules_and_more_text", 1), ("B", 2)], "sheet string, v int")
+def test_sheets_roundtrip_and_partition_overwrite(spark, tmp_path):
+    label = "Sup0.001_Conf0.1_Rules_and_more_text"
+    df = spark.createDataFrame([(label, 1), (label + "2", 3), ("B", 2)], "sheet string, v int")
     IO.write_sheets(df, str(tmp_path / "wb"))
-    back = IO.load_sheet(spark, str(tmp_path / "wb"), "Sup0.001_Conf0.1_Rules_and_more_text"[:31])
+    back = IO.load_sheet(spark, str(tmp_path / "wb"), label)
     assert [r.v for r in back.collect()] == [1]
     t = spark.createDataFrame([("General", 1), ("Shopee", 2)], "platform string, v int")
     IO.replace_table(t, str(tmp_path / "tbl"))
-    IO.replace_table(spark.createDataFrame([("Shopee", 3)], "platform string, v int"), str(tmp_path / "tbl"))
+    IO.replace_partition(spark.createDataFrame([(3,)], "v int"), str(tmp_path / "tbl"), "Shopee")
     assert rows(spark.read.parquet(str(tmp_path / "tbl")), "platform", "v") == [("General", 1), ("Shopee", 3)]
 
 
@@ -337,13 +338,19 @@ def test_release_materialised_removes_only_this_apps_tables(spark):
     assert release_materialised(spark) is False
 
 
-def test_replace_table_keeps_other_platforms_and_session_setting(spark, tmp_path):
-    """Dynamic partition overwrite is a writer option — other platforms'
-    partitions stay, and the session's own setting is not touched."""
+def test_replace_partition_keeps_other_platforms_and_session_setting(spark, tmp_path):
+    """Only the platform's own folder is overwritten, also by no rows, and
+    the session's setting is not touched."""
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     path = str(tmp_path / "t")
-    IO.replace_table(spark.createDataFrame([("Shopee", 1), ("Lazada", 2)], "platform string, v int"), path)
-    IO.replace_table(spark.createDataFrame([("Shopee", 5), ("Shopee", 6)], "platform string, v int"), path)
-    got = sorted((r.platform, r.v) for r in spark.read.parquet(path).collect())
-    assert got == [("Lazada", 2), ("Shopee", 5), ("Shopee", 6)]
+    schema = "platform string, v int"
+    IO.replace_table(spark.createDataFrame([("Shopee", 1), ("Lazada", 2), ("a/b:c d", 9)], schema), path)
+    IO.replace_partition(spark.createDataFrame([("Shopee", 5), ("Shopee", 6)], schema), path, "Shopee")
+    IO.replace_partition(spark.createDataFrame([("a/b:c d", 8)], schema), path, "a/b:c d")
+    got = lambda: sorted((r.platform, r.v) for r in spark.read.parquet(path).collect())
+    assert got() == [("Lazada", 2), ("Shopee", 5), ("Shopee", 6), ("a/b:c d", 8)]
+    IO.replace_partition(spark.createDataFrame([], schema), path, "Shopee")
+    assert got() == [("Lazada", 2), ("a/b:c d", 8)]
+    IO.replace_table(spark.createDataFrame([("Lazada", 1)], schema), path)
+    assert got() == [("Lazada", 1)]
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
