@@ -16,6 +16,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,7 @@ from .common import fresh_dir, make_folder, narrow, open_fs
 #: Words of the lexicon at most, and the count from which a word is frequent.
 LEXICON_WORDS, MIN_COUNT = 65_536, 3
 #: Words that a task remembers or counts before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 #: Rows of an output batch.
 BATCH_ROWS = 256
 
@@ -66,6 +67,11 @@ def byte_chars() -> dict[str, int]:
     return out
 
 
+# an id takes this many bits
+_BITS = 21
+_MASK, _NONE = (1 << _BITS) - 1, 1 << 62
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a tokenizers file."""
 
@@ -82,10 +88,12 @@ class Vocabulary:
         for s, i in self.special.items():
             self.token[i] = s.encode()
         self.byte_id = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        # pair of ids -> rank and merged id in one number, so that the least
+        # number among the pairs of a word is its next merge
+        self._merge: dict[int, int] = {}
         for rank, m in enumerate(merges):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self._merge[vocab[a] << _BITS | vocab[b]] = rank << _BITS | vocab[a + b]
         self._special_re = re.compile("|".join(
             re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -106,34 +114,40 @@ class Vocabulary:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        merge = self.merge.get
-        while len(ids) > 1:
-            found = [(merge(p), i) for i, p in enumerate(zip(ids, ids[1:]))]
-            found = [(m[0], i, m[1]) for m, i in found if m is not None]
-            if not found:
+        get = self._merge.get
+        pairs = [get(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == _NONE:
                 break
-            _, i, new = min(found)
-            ids[i:i + 2] = [new]
+            i = pairs.index(best)
+            ids[i] = new = best & _MASK
+            del ids[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(new << _BITS | ids[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << _BITS | new, _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and a linked list, for words of any length."""
         n = len(ids)
         after, before, live = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        merge = self.merge.get
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge((ids[i], ids[i + 1])))]
+        get = self._merge.get
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1)
+                if (m := get(ids[i] << _BITS | ids[i + 1], _NONE)) != _NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
             if not live[i] or j < 0 or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], live[j], after[i] = new, False, after[j]
+            ids[i], live[j], after[i] = best & _MASK, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (m := merge((ids[a], ids[b]))):
-                    heapq.heappush(heap, (m[0], a, m[1], ids[a], ids[b]))
+                if a >= 0 and b >= 0 and (m := get(ids[a] << _BITS | ids[b], _NONE)) != _NONE:
+                    heapq.heappush(heap, (m, a, ids[a], ids[b]))
         return [x for x, alive in zip(ids, live) if alive]
 
 
@@ -141,6 +155,7 @@ class Vocabulary:
 
 _HEAD = struct.Struct("<8sIIII")
 _MAGIC = b"MAT-LEX1"
+_ONE = [bytes([b]) for b in range(256)]
 
 
 def compile_lexicon(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -228,47 +243,47 @@ class Lexicon:
     def find(self, word: bytes) -> bytes | None:
         """Little-endian 32-bit ids of a word of the lexicon, else None."""
         state, rank, labels, find = self._root, 0, self._labels, self._map.find
-        for i in range(len(word)):
-            arc = find(word[i:i + 1], labels + self._first[state], labels + self._first[state + 1])
+        first, target, sums = self._first, self._target, self._sum
+        for b in word:
+            arc = find(_ONE[b], labels + first[state], labels + first[state + 1]) - labels
             if arc < 0:
                 return None
-            arc -= labels
-            rank += self._sum[arc]
-            state = self._target[arc]
+            rank += sums[arc]
+            state = target[arc]
         if not self._map[self._finals + state]:
             return None
         return self._ids[self._start[rank]:self._start[rank + 1]].tobytes()
 
 
-class Encoder:
-    """Text to little-endian 32-bit ids: lexicon first, exact merges else."""
+class _Memo(dict):
+    """Ids of words that were met; others are looked up or merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self._memo: dict[str, bytes] = {}
+        self._merge, self._find = vocabulary.merge_word, lexicon.find if lexicon is not None else None
 
-    def word(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         raw = word.encode()
-        ids = self.lexicon.find(raw) if self.lexicon is not None else None
+        ids = self._find(raw) if self._find is not None else None
         if ids is None:
-            ids = np.asarray(self.vocabulary.merge_word(raw), "<u4").tobytes()
+            ids = array("I", self._merge(raw)).tobytes()
+        self[word] = ids
         return ids
 
+
+class Encoder:
+    """Text to little-endian 32-bit ids: lexicon first, exact merges else."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+        self.vocabulary = vocabulary
+        self._memo = _Memo(vocabulary, lexicon)
+
     def encode(self, text: str) -> bytes:
         out, memo = [], self._memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
         for piece, special in self.vocabulary.pieces(text):
-            if special is not None:
-                out.append(struct.pack("<I", special))
-                continue
-            words = split_words(piece)
-            try:
-                out.append(b"".join(map(memo.__getitem__, words)))
-            except KeyError:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                for w in set(words).difference(memo):
-                    memo[w] = self.word(w)
-                out.append(b"".join(map(memo.__getitem__, words)))
+            out.append(struct.pack("<I", special) if special is not None
+                       else b"".join(map(memo.__getitem__, split_words(piece))))
         return out[0] if len(out) == 1 else b"".join(out)
 
     def decode(self, ids: bytes) -> str:
