@@ -168,22 +168,20 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def with_origins(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                  html_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, refers_to: the page that a revisit refers to, null
-    for responses.  Only ids and digests are grouped; the payloads move once,
-    by page_id, to where they are written."""
+    """All pages (mark 1: page_id, url, html, digest) and, for each page with a
+    repeated payload, a row (mark 0: page_id, digest, first) that names the page
+    its payload's response belongs to.  Only ids and digests are grouped; no
+    payload is moved for it."""
     rows = narrow(pages, page_id=id_col, url=url_col, html=html_col)
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digests = materialise(
-        rows.where(F.octet_length("html") >= min_bytes)
-        .select("page_id", F.sha2(payload, 256).alias("digest")), "warc-digests")
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    digests = materialise(rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest"), "warc-digests")
     firsts = materialise(
         digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("digest", "first"), "warc-firsts")
     # one row per page and digest: repeated rows add nothing here
-    revisits = (digests.join(firsts, "digest").distinct()
-                .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"))
-    cond = F.col("page_id").eqNullSafe(F.col("_page")) & (F.sha2(payload, 256) == F.col("_digest"))
-    return rows.join(revisits, cond, "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    repeated = digests.join(firsts, "digest").distinct()
+    return rows.withColumn("first", F.lit(None).cast("long")).withColumn("mark", F.lit(1)).unionByName(
+        repeated.withColumn("mark", F.lit(0)), allowMissingColumns=True)
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url",
@@ -202,13 +200,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     make_folder(folder)
     n = files or shuffle_partitions(spark)
     dealt = (with_origins(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)
-             .repartition(n, F.xxhash64("page_id")).sortWithinPartitions("page_id", "refers_to", "html"))
+             .repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "mark", "url"))
 
     def write(batches):
         task = TaskContext.get()
         fs, root = open_fs(folder)
         done, sink, writer, name, tmp, records = [], None, None, "", "", 0
-        last = None
+        marked = last = refers_to = None
 
         def end():
             writer.close()
@@ -217,23 +215,23 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             done.append((f"{folder}/{name}", records, writer.bytes))
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "first", "mark")]
             for i in range(batch.num_rows):
-                page_id, url, html, refers_to = (c[i].as_py() for c in columns)
+                page_id, url, html, digest, first, mark = (c[i].as_py() for c in columns)
+                if mark == 0:  # stands before the rows it speaks of
+                    marked, refers_to = (page_id, digest), first
+                    continue
                 payload = (html or "").encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                # refers_to is set for every page of a repeated payload; the
-                # first row of the page it names is the response
-                again = len(payload) >= min_bytes and last == (page_id, digest)
-                revisit = again or (refers_to is not None and refers_to != page_id)
+                # the first row of the page that is referred to is the response
+                repeated = marked == (page_id, digest)
+                revisit = repeated and (refers_to != page_id or last == (page_id, digest))
                 last = (page_id, digest)
                 if writer is None:
                     name = f"pages-{task.partitionId():06d}-{len(done):04d}.warc.zst"
                     tmp = f"{root}/_tmp-{name}-{task.taskAttemptId()}"
                     sink, records = fs.open_output_stream(tmp, compression=None), 0
                     writer = ArchiveWriter(sink)
-                writer.add(page_record(page_id, url, payload, digest,
-                                       refers_to if refers_to is not None else page_id, revisit))
+                writer.add(page_record(page_id, url, payload, digest, refers_to if revisit else None, revisit))
                 records += 1
                 if writer.bytes >= FILE_BYTES:
                     end()
