@@ -28,6 +28,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -38,17 +39,26 @@ def _c(col) -> Column:
 
 # ---------------------------------------------------------------- cleaning
 
-def coerce_timestamp(col) -> Column:
-    """Parse to timestamp; unparsable values become null."""
+def coerce_timestamp(col, dtype: T.DataType | None = None) -> Column:
+    """Parse to timestamp; unparsable values become null.
+
+    Besides ISO text, ``a/b/yyyy`` is read month first, and day first where
+    ``a`` cannot be a month.  A column that is a timestamp or date already
+    (``dtype``) is not parsed again."""
     c = _c(col)
-    return F.coalesce(F.try_to_timestamp(c.cast("string")),
-                      F.try_to_timestamp(c.cast("string"), F.lit("dd/MM/yyyy")))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return c.cast("timestamp")
+    text = F.trim(c.cast("string"))
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("M/d/yyyy")),
+                      F.try_to_timestamp(text, F.lit("d/M/yyyy")))
 
 
 def coerce_qty_int(col) -> Column:
-    """C4: numeric coercion then truncation toward zero; unparsable -> null."""
-    d = F.trim(_c(col).cast("string")).try_cast("double")
-    return d.try_cast("int")
+    """C4: numeric coercion then truncation toward zero; unparsable -> null.
+    Only plain numbers count: no type suffix ('3d'), no 'inf' or 'nan'."""
+    text = F.trim(_c(col).cast("string"))
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text)
+    return number.try_cast("double").try_cast("int")
 
 
 def clean_qty_text(col) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -60,31 +60,39 @@ def precision_at(pairs: DataFrame, ks: Sequence[int] = S.PAIR_PRECISION_KS,
                          (F.coalesce(F.col("_cum"), F.lit(0.0)) / F.col("k")).alias("precision"))
 
 
+def _sheet_totals(rules: DataFrame, validity: str) -> DataFrame:
+    """One row per sheet: totals, and the first invalid rule by support desc
+    (null if there is none), in one aggregate."""
+    at = F.struct(-F.col("support"), F.col("rule_key"))
+    return rules.groupBy("sheet").agg(
+        F.count(F.lit(1)).alias("total_rules"),
+        F.coalesce(F.sum(validity), F.lit(0)).cast("long").alias("valid_rules"),
+        F.min(F.when(F.col(validity) == 0, at)).alias("_first"))
+
+
+def _before_first_invalid(rules: DataFrame, totals: DataFrame, validity: str) -> DataFrame:
+    """``totals`` (a handful of sheets, broadcast) with the number of valid
+    rules before the first invalid one."""
+    at = F.struct(-F.col("support"), F.col("rule_key"))
+    before = F.col("_first").isNull() | (at < F.col("_first"))
+    keep = [c for c in totals.columns if c not in ("sheet", "_first")]
+    return (rules.join(F.broadcast(totals), "sheet").groupBy("sheet").agg(
+        *[F.first(c).alias(c) for c in keep],
+        F.sum(F.when(before & (F.col(validity) == 1), 1).otherwise(0)).cast("long").alias("rules_before_first_zero")))
+
+
 def rules_before_first_invalid(rules: DataFrame, validity: str = "validity") -> DataFrame:
-    """Per sheet, by support desc, the number of valid rules before the
-    first invalid one (all valid rules when none is invalid).
-
-    = count of rules with validity 1 ordered strictly before the sheet's
-    first invalid rule; the boundary is one row per sheet."""
-    inv = rules.where(F.col(validity) == 0)
-    bound = (inv.groupBy("sheet").agg(F.max("support").alias("_bs"))
-             .join(inv, "sheet").where(F.col("support") == F.col("_bs"))
-             .groupBy("sheet", "_bs").agg(F.min("rule_key").alias("_bk")))
-    before = (F.col("_bs").isNull() | (F.col("support") > F.col("_bs"))
-              | ((F.col("support") == F.col("_bs")) & (F.col("rule_key") < F.col("_bk"))))
-    return (rules.join(F.broadcast(bound), "sheet", "left")
-            .groupBy("sheet")
-            .agg(F.sum(F.when(before & (F.col(validity) == 1), 1).otherwise(0)).cast("long")
-                 .alias("rules_before_first_zero")))
+    """Per sheet, by support desc (ties: rule key), the number of valid
+    rules before the first invalid one (all valid rules when none is)."""
+    totals = _sheet_totals(rules, validity)
+    return _before_first_invalid(rules, totals, validity).select("sheet", "rules_before_first_zero")
 
 
 def rule_quality(rules: DataFrame, validity: str = "validity") -> DataFrame:
     """Per sheet: total rules, valid rules, validity %, rules before
     the first invalid one and its %, with the support and confidence parsed
     from the label (the grid order: both descending)."""
-    agg = rules.groupBy("sheet").agg(F.count(F.lit(1)).alias("total_rules"),
-                                     F.coalesce(F.sum(validity), F.lit(0)).cast("long").alias("valid_rules"))
-    out = agg.join(rules_before_first_invalid(rules, validity), "sheet")
+    out = _before_first_invalid(rules, _sheet_totals(rules, validity), validity)
     return out.select(
         "sheet", "total_rules", "valid_rules",
         (F.col("valid_rules") / F.col("total_rules") * 100.0).alias("validity_percentage"),
@@ -107,12 +115,15 @@ def top_k(df: DataFrame, k: int, order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def page(df: DataFrame, n: int, order, rows: int = S.PAGE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Page ``n`` (1-based) of ``rows`` rows, and (total_rows,
-    total_pages).  The page is a rank range of a distributed global rank."""
-    ranked = global_rank(df, order, rank_col="_row")
-    lo = (n - 1) * rows
-    pg = ranked.where((F.col("_row") > lo) & (F.col("_row") <= lo + rows))
-    totals = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
+def page(df: DataFrame, n: int, order, rows: int = S.PAGE_ROWS) -> DataFrame:
+    """Page ``n`` (1-based) of ``rows`` rows with their row numbers: a
+    distributed take-ordered up to the page's end, then the page's rows."""
+    skip = (n - 1) * rows
+    pg = df.orderBy(*order).offset(skip).limit(rows)
+    return pg.withColumn("_row", F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(skip))
+
+
+def page_totals(df: DataFrame, rows: int = S.PAGE_ROWS) -> DataFrame:
+    """Total rows and pages."""
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
         "total_pages", F.ceil(F.col("total_rows") / F.lit(rows)).cast("long"))
-    return pg, totals

@@ -20,11 +20,15 @@ from ..functions import columns as C
 
 # ---------------------------------------------------------------- cleaning
 
+def _date(raw: DataFrame) -> F.Column:
+    return C.coerce_timestamp(S.RAW_DATE, raw.schema[S.RAW_DATE].dataType)
+
+
 def clean_app(raw: DataFrame) -> DataFrame:
     """App cleaning (C3, C2, C4, C10): date coerced (unparsable dropped), rows
     with a null in the other required columns dropped, quantity coerced to
     int (unparsable dropped, truncation toward zero), names trimmed."""
-    df = raw.withColumn(S.RAW_DATE, C.coerce_timestamp(S.RAW_DATE)).where(F.col(S.RAW_DATE).isNotNull())
+    df = raw.withColumn(S.RAW_DATE, _date(raw)).where(F.col(S.RAW_DATE).isNotNull())
     df = df.na.drop("any", subset=[S.RAW_NOTA, S.RAW_NAME, S.RAW_GROUP, S.RAW_QTY])
     df = df.withColumn(S.RAW_QTY, C.coerce_qty_int(S.RAW_QTY)).where(F.col(S.RAW_QTY).isNotNull())
     return df.select(
@@ -36,10 +40,10 @@ def clean_app(raw: DataFrame) -> DataFrame:
 
 
 def clean_notebook(raw: DataFrame) -> DataFrame:
-    """Notebook cleaning (C5): quantity cleaned as text and kept as a double;
-    names as they are."""
+    """Notebook cleaning (C5): dates parsed (an unparsable one is null, the row
+    stays), quantity cleaned as text and kept as a double; names as they are."""
     return raw.select(
-        F.col(S.RAW_NOTA).cast("string").alias(S.NOTA), F.col(S.RAW_DATE).alias(S.DATE),
+        F.col(S.RAW_NOTA).cast("string").alias(S.NOTA), _date(raw).alias(S.DATE),
         F.col(S.RAW_NAME).alias(S.NAME), F.col(S.RAW_GROUP).alias(S.GROUP),
         C.clean_qty_text(S.RAW_QTY).alias(S.QTY),
         *[c for c in raw.columns if c not in S.RAW_COLUMNS])
@@ -52,7 +56,7 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     numeric quantity.  A row is charged to the first step that drops it.
     (The original's second counter had its sign inverted; this reports the
     true, positive number.)"""
-    bad_date = C.coerce_timestamp(S.RAW_DATE).isNull()
+    bad_date = _date(raw).isNull()
     nulls = F.col(S.RAW_NOTA).isNull() | F.col(S.RAW_NAME).isNull() | F.col(S.RAW_GROUP).isNull() \
         | F.col(S.RAW_QTY).isNull()
     bad_qty = C.coerce_qty_int(S.RAW_QTY).isNull()

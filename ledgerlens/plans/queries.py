@@ -422,26 +422,36 @@ def j14_key_sales(spark, sf_dir):
 
 # ---------------------------------------------------------- sources/cleaning
 
+# The driver ledger in the shop's export layout, dirty on fixed rows (see
+# ``tables.raw_sales``), so that every cleaning step has rows to drop.
 _RAW_SQL = f"""
 WITH {Q.sales_cte(source=True)},
-raw AS (SELECT CAST(kode_nota AS VARCHAR) AS "Kode Nota", tanggal AS "Tanggal", deskripsi_brg AS "Deskripsi Brg",
-  jenis_barang AS "Jenis Barang", CAST(jml AS VARCHAR) AS "Jml", source FROM lines)"""
+raw AS (SELECT CAST(kode_nota AS VARCHAR) AS "Kode Nota",
+  CASE WHEN kode_nota % 97 = 0 THEN '31/31/2020' WHEN kode_nota % 89 = 0 THEN NULL
+    WHEN kode_nota % 83 = 0 THEN strftime(tanggal, '%m/%d/%Y') ELSE strftime(tanggal, '%Y-%m-%d') END AS "Tanggal",
+  CASE WHEN (kode_nota + id_barang) % 79 = 0 THEN NULL WHEN id_barang % 7 = 0 THEN '  ' || deskripsi_brg || ' '
+    ELSE deskripsi_brg END AS "Deskripsi Brg",
+  jenis_barang AS "Jenis Barang",
+  CASE WHEN (kode_nota + id_barang) % 73 = 0 THEN '3d' WHEN (kode_nota + id_barang) % 71 = 0 THEN NULL
+    WHEN (kode_nota + id_barang) % 67 = 0 THEN '-4,5 pcs' ELSE CAST(jml AS VARCHAR) END AS "Jml", source FROM lines),
+parsed AS (SELECT *, coalesce(try_strptime("Tanggal", '%Y-%m-%d'), try_strptime("Tanggal", '%m/%d/%Y')) AS d,
+  CASE WHEN regexp_full_match(trim("Jml"), '[+-]?[0-9]+[.]?[0-9]*') THEN TRY_CAST(trim("Jml") AS DOUBLE) END AS q FROM raw)"""
 
 
 @register("S1_load_sales", _RAW_SQL + """
-SELECT "Kode Nota", CAST("Tanggal" AS DATE) AS "Tanggal", "Deskripsi Brg", "Jenis Barang", "Jml" FROM raw""")
+SELECT "Kode Nota", "Tanggal", "Deskripsi Brg", "Jenis Barang", "Jml" FROM raw
+WHERE "Tanggal" IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND "Jml" IS NOT NULL""")
 def s1_load_sales(spark, sf_dir):
     """Wanted columns kept, any-null rows dropped.  The driver
     ledger is one table whose inputs all have the wanted columns, so it is
     one frame and one read; inputs of different layouts are one frame each."""
-    out = IO.load_sales([TB.raw_sales(spark, sf_dir)])
-    return out.withColumn(S.RAW_DATE, F.to_date(F.col(S.RAW_DATE)))
+    return IO.load_sales([TB.raw_sales(spark, sf_dir)])
 
 
 @register("C4_clean_app", _RAW_SQL + """
-SELECT "Kode Nota" AS kode_nota, CAST("Tanggal" AS DATE) AS tanggal, trim("Deskripsi Brg") AS deskripsi_brg,
-  trim("Jenis Barang") AS jenis_barang, CAST(trunc(TRY_CAST(trim("Jml") AS DOUBLE)) AS INTEGER) AS jml, source
-FROM raw WHERE "Tanggal" IS NOT NULL AND TRY_CAST(trim("Jml") AS DOUBLE) IS NOT NULL""")
+SELECT "Kode Nota" AS kode_nota, CAST(d AS DATE) AS tanggal, trim("Deskripsi Brg") AS deskripsi_brg,
+  trim("Jenis Barang") AS jenis_barang, CAST(trunc(q) AS INTEGER) AS jml, source
+FROM parsed WHERE d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND q IS NOT NULL""")
 def c4_clean_app(spark, sf_dir):
     """The app's cleaning of the raw ledger."""
     out = G.clean_app(TB.raw_sales(spark, sf_dir))
@@ -449,31 +459,40 @@ def c4_clean_app(spark, sf_dir):
 
 
 @register("C5_clean_notebook", _RAW_SQL + """
-SELECT "Kode Nota" AS kode_nota, trim("Deskripsi Brg") AS deskripsi_brg,
-  TRY_CAST(NULLIF(regexp_replace(replace(trim("Jml"), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS jml FROM raw""")
+SELECT "Kode Nota" AS kode_nota, CAST(d AS DATE) AS tanggal, trim("Deskripsi Brg") AS deskripsi_brg,
+  TRY_CAST(NULLIF(regexp_replace(replace(trim("Jml"), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS jml FROM parsed""")
 def c5_clean_notebook(spark, sf_dir):
-    """The notebook's textual quantity cleaning (kept as a double)."""
+    """The notebook's date parsing and textual quantity cleaning (kept as
+    a double)."""
     out = G.clean_notebook(TB.raw_sales(spark, sf_dir))
-    return out.select(S.NOTA, F.trim(S.NAME).alias(S.NAME), S.QTY)
+    return out.select(S.NOTA, F.to_date(S.DATE).alias(S.DATE), F.trim(S.NAME).alias(S.NAME), S.QTY)
 
 
 @register("C6_cleaning_report", _RAW_SQL + """
-SELECT count(*) AS initial_rows,
-  CAST(sum(CASE WHEN "Tanggal" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS dropped_dates,
-  CAST(sum(CASE WHEN "Tanggal" IS NOT NULL AND ("Kode Nota" IS NULL OR "Deskripsi Brg" IS NULL
-    OR "Jenis Barang" IS NULL OR "Jml" IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS dropped_other,
-  CAST(sum(CASE WHEN "Tanggal" IS NOT NULL AND NOT ("Kode Nota" IS NULL OR "Deskripsi Brg" IS NULL
-    OR "Jenis Barang" IS NULL OR "Jml" IS NULL) AND TRY_CAST(trim("Jml") AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-    AS dropped_numeric,
-  CAST(sum(CASE WHEN "Tanggal" IS NOT NULL AND NOT ("Kode Nota" IS NULL OR "Deskripsi Brg" IS NULL
-    OR "Jenis Barang" IS NULL OR "Jml" IS NULL) AND TRY_CAST(trim("Jml") AS DOUBLE) IS NOT NULL THEN 1 ELSE 0 END)
-    AS BIGINT) AS kept_rows
-FROM raw""")
+SELECT count(*) AS initial_rows, count(*) FILTER (d IS NULL) AS dropped_dates,
+  count(*) FILTER (d IS NOT NULL AND ("Deskripsi Brg" IS NULL OR "Jml" IS NULL)) AS dropped_other,
+  count(*) FILTER (d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND "Jml" IS NOT NULL AND q IS NULL) AS dropped_numeric,
+  count(*) FILTER (d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND q IS NOT NULL) AS kept_rows
+FROM parsed""")
 def c6_cleaning_report(spark, sf_dir):
     """Rows dropped per cleaning step, one pass."""
     return G.cleaning_report(TB.raw_sales(spark, sf_dir))
 
 
+@register("F8_parse_list_text", """
+SELECT p_partkey, CAST(pos AS INTEGER) AS pos, item FROM part,
+  unnest([p_name || ' 5' || chr(39), p_name || ' 1/2"', p_brand || ' ' || chr(39) || '"', p_type || ', [x]'])
+    WITH ORDINALITY AS u(item, pos)""")
+def f8_parse_list_text(spark, sf_dir):
+    """F8: lists of names with quotes of both kinds, commas and brackets, as a
+    spreadsheet flattens them, read back element by element."""
+    part = TB.table(spark, sf_dir, "part")
+    text = F.concat(F.lit('["'), F.col("p_name"), F.lit(" 5'\", '"), F.col("p_name"), F.lit(" 1/2\"', '"),
+                    F.col("p_brand"), F.lit(" \\'\"', '"), F.col("p_type"), F.lit(", [x]']"))
+    return part.select("p_partkey", F.posexplode(J.parse_list_text(text)).alias("_p", "item")).select(
+        "p_partkey", (F.col("_p") + 1).alias("pos"), "item")
+
+
 @register("C7_trailing_window", f"""
 WITH {Q.sales_cte(years=1)}
 SELECT kode_nota, id_barang, CAST(tanggal AS DATE) AS tanggal, jml FROM lines""")
@@ -1023,7 +1042,7 @@ SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY support DESC, antecedents
 def o4_page(spark, sf_dir):
     """Page 2 (rows 11-20) of the report by support desc."""
     rep = _report(spark, sf_dir)
-    pg, _ = EV.page(rep, 2, [F.col("support").desc(), F.col("antecedents"), F.col("consequents")])
+    pg = EV.page(rep, 2, [F.col("support").desc(), F.col("antecedents"), F.col("consequents")])
     return pg.select(F.col("_row").alias("row_no"), "support", "antecedents", "consequents")
 
 
@@ -1031,8 +1050,7 @@ def o4_page(spark, sf_dir):
 SELECT count(*) AS total_rows, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM report""")
 def o4_page_totals(spark, sf_dir):
     """Total rows and pages of the report."""
-    _, totals = EV.page(_report(spark, sf_dir), 1, [F.col("support").desc()])
-    return totals
+    return EV.page_totals(_report(spark, sf_dir))
 
 
 @register("O3_top_k", _REPORT_SQL + """
@@ -1079,12 +1097,13 @@ def m16_consistency(spark, sf_dir):
 
 def _labelled_grid(spark, sf_dir):
     """The all-product grid with the stand-in owner label validity =
-    int(lift >= 1) (no owner labels exist for the driver tables)."""
-    return all_product_grid(spark, sf_dir).withColumn("validity", (F.col("lift") >= 1).cast("int"))
+    int(lift >= 1.125) (no owner labels exist for the driver tables; at this
+    bound every cell of more than one rule has both labels)."""
+    return all_product_grid(spark, sf_dir).withColumn("validity", (F.col("lift") >= 1.125).cast("int"))
 
 
 _LABELLED_SQL = _GRID_SQL + """,
-lab AS (SELECT *, CAST(lift >= 1 AS INTEGER) AS validity FROM status),
+lab AS (SELECT *, CAST(lift >= 1.125 AS INTEGER) AS validity FROM status),
 ranked AS (SELECT CAST(row_number() OVER (ORDER BY support DESC, rule_key, grid_ord) AS BIGINT) AS k, validity FROM lab),
 curve AS (SELECT k, CAST(sum(validity) OVER (ORDER BY k) AS BIGINT) AS valid_at_k FROM ranked)"""
 
@@ -1109,15 +1128,11 @@ def w5_curve_points(spark, sf_dir):
 
 
 @register("A14_rule_quality", _GRID_SQL + """,
-lab AS (SELECT *, CAST(lift >= 1 AS INTEGER) AS validity FROM status),
-inv AS (SELECT sheet, support, rule_key FROM lab WHERE validity = 0),
-bnd AS (SELECT sheet, max(support) AS bs FROM inv GROUP BY sheet),
-bnd2 AS (SELECT b.sheet, b.bs, min(i.rule_key) AS bk FROM bnd b JOIN inv i ON i.sheet = b.sheet AND i.support = b.bs
-  GROUP BY b.sheet, b.bs),
-agg AS (SELECT l.sheet, count(*) AS total_rules, CAST(coalesce(sum(l.validity), 0) AS BIGINT) AS valid_rules,
-  CAST(sum(CASE WHEN l.validity = 1 AND (b.bs IS NULL OR l.support > b.bs OR (l.support = b.bs AND l.rule_key < b.bk))
-    THEN 1 ELSE 0 END) AS BIGINT) AS rules_before_first_zero
-  FROM lab l LEFT JOIN bnd2 b USING (sheet) GROUP BY l.sheet)
+lab AS (SELECT *, CAST(lift >= 1.125 AS INTEGER) AS validity FROM status),
+seen AS (SELECT sheet, validity, sum(1 - validity) OVER (PARTITION BY sheet ORDER BY support DESC, rule_key
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS invalid_so_far FROM lab),
+agg AS (SELECT sheet, count(*) AS total_rules, CAST(sum(validity) AS BIGINT) AS valid_rules,
+  count(*) FILTER (invalid_so_far = 0) AS rules_before_first_zero FROM seen GROUP BY sheet)
 SELECT sheet, total_rules, valid_rules, round(valid_rules / total_rules * 100.0, 6) AS validity_percentage,
   rules_before_first_zero, round(rules_before_first_zero / total_rules * 100.0, 6) AS percentage_rules_before_zero,
   CAST(regexp_extract(sheet, 'Sup(\\d+\\.?\\d*)', 1) AS DOUBLE) AS grid_support,
@@ -1130,6 +1145,16 @@ def a14_rule_quality(spark, sf_dir):
                         for c in out.columns])
 
 
+@register("W3_rules_before_first_invalid", _GRID_SQL + """,
+lab AS (SELECT *, CAST(lift >= 1.125 AS INTEGER) AS validity FROM status),
+seen AS (SELECT sheet, sum(1 - validity) OVER (PARTITION BY sheet ORDER BY support DESC, rule_key
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS invalid_so_far FROM lab)
+SELECT sheet, count(*) FILTER (invalid_so_far = 0) AS rules_before_first_zero FROM seen GROUP BY sheet""")
+def w3_rules_before_first_invalid(spark, sf_dir):
+    """Valid rules before each grid cell's first invalid one."""
+    return EV.rules_before_first_invalid(_labelled_grid(spark, sf_dir))
+
+
 # M14 (notebook): the Sup0.001/Conf0.1 cell, pairs > 0.5 between sold-together
 # names and not-sold names
 _M14_S, _M14_C = 0.001, 0.1

@@ -78,15 +78,26 @@ def sales_lines(spark: SparkSession, sf_dir: str, *, platform: bool = False,
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger in the shop's export layout (raw column names, quantity as
-    text) — input of the cleaning operators."""
+    """The ledger in the shop's export layout (raw column names, date and
+    quantity as text) — input of the cleaning operators.
+
+    Export files are not clean, so fixed rows of the whole ledger are not,
+    chosen by remainders of receipt and part: impossible and missing dates,
+    dates written month first, missing and padded names, and quantities that
+    are missing, carry a suffix or are text."""
     df = sales_lines(spark, sf_dir, source=True)
+    nota, line = F.col(S.NOTA), F.col(S.NOTA) + F.col(S.ITEM_ID)
     return df.select(
-        F.col(S.NOTA).cast("string").alias(S.RAW_NOTA),
-        F.col(S.DATE).alias(S.RAW_DATE),
-        F.col(S.NAME).alias(S.RAW_NAME),
+        nota.cast("string").alias(S.RAW_NOTA),
+        F.when(nota % 97 == 0, "31/31/2020").when(nota % 89 == 0, F.lit(None))
+        .when(nota % 83 == 0, F.date_format(S.DATE, "MM/dd/yyyy"))
+        .otherwise(F.date_format(S.DATE, "yyyy-MM-dd")).alias(S.RAW_DATE),
+        F.when(line % 79 == 0, F.lit(None))
+        .when(F.col(S.ITEM_ID) % 7 == 0, F.concat(F.lit("  "), F.col(S.NAME), F.lit(" ")))
+        .otherwise(F.col(S.NAME)).alias(S.RAW_NAME),
         F.col(S.GROUP).alias(S.RAW_GROUP),
-        F.col(S.QTY).cast("string").alias(S.RAW_QTY),
+        F.when(line % 73 == 0, "3d").when(line % 71 == 0, F.lit(None)).when(line % 67 == 0, "-4,5 pcs")
+        .otherwise(F.col(S.QTY).cast("string")).alias(S.RAW_QTY),
         F.col(S.SOURCE),
     )
 

@@ -140,3 +140,22 @@ def test_rule_key_is_order_free(spark):
     keys = {r[0] for r in df.select(C.rule_key("a", "c")).collect()}
     assert len(keys) == 1
     assert F is not None
+
+
+def test_dates_are_read_month_first(spark):
+    from datetime import datetime
+    texts = ["05/03/2024", "25/03/2024", "31/31/2020", "2024-03-05", "2024-03-05 07:08:09", " 5/3/2024 ", "", "x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(C.coerce_timestamp("t")).collect()]
+    assert got == [datetime(2024, 5, 3), datetime(2024, 3, 25), None, datetime(2024, 3, 5),
+                   datetime(2024, 3, 5, 7, 8, 9), datetime(2024, 5, 3), None, None, None]
+    stamped = spark.createDataFrame([(datetime(2024, 1, 2, 3),)], "t timestamp")
+    column = C.coerce_timestamp("t", stamped.schema["t"].dataType)
+    assert stamped.select(column).first()[0] == datetime(2024, 1, 2, 3)
+
+
+def test_quantities_are_plain_numbers(spark):
+    texts = ["3d", "4F", "2.9", "-2.9", "+7", ".5", "5.", "1e2", "inf", "nan", "1,5", " 8 ", "", None, "99999999999"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(C.coerce_qty_int("t")).collect()]
+    assert got == [None, None, 2, -2, 7, 0, 5, 100, None, None, None, 8, None, None, None]
