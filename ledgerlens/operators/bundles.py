@@ -129,10 +129,11 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
                   best_score: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M13 (app): in every bundle replace only the **first** antecedent (by
     id_barang) that has a similar dead item; if none, the first such
-    consequent.  Bundles with no replacement are dropped; metrics copied.
+    consequent.  Bundles with no replacement are dropped; metrics copied; the
+    new bundles are numbered 1..N in the order of the old ids.
 
     Returns (new header, new items, changes) where changes has
-    (id_bundling, role, old_id, new_id)."""
+    (id_bundling, role, old_id, new_id, new_id_bundling)."""
     partner = first_partner(similarity, best_score)
     matched = items.join(partner, items[S.ITEM_ID] == partner["id_barang_1"]).drop("id_barang_1")
     # choose the side first (antecedent beats consequent), then the smallest id
@@ -142,10 +143,12 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
                                      F.col("replacement").alias("new_id")),
                             F.struct(side_rank, F.col(S.ITEM_ID))).alias("_c"))
               .select("id_bundling", "_c.*"))
-    choice = materialise(choice, "replacement")  # one row per bundle, used by header, items and log
-    new_header = header.join(choice.select("id_bundling"), "id_bundling", "left_semi")
+    # one row per bundle, used by header, items and log
+    choice = materialise(global_rank(choice, [F.col("id_bundling")], rank_col="new_id_bundling"), "replacement")
+    new_header = (header.join(choice.select("id_bundling", "new_id_bundling"), "id_bundling")
+                  .withColumn("id_bundling", F.col("new_id_bundling")).drop("new_id_bundling"))
     new_items = (items.join(choice.withColumnRenamed("role", "_r"), "id_bundling")
-                 .select("id_bundling",
+                 .select(F.col("new_id_bundling").alias("id_bundling"),
                          F.when((F.col("role") == F.col("_r")) & (F.col(S.ITEM_ID) == F.col("old_id")),
                                 F.col("new_id")).otherwise(F.col(S.ITEM_ID)).alias(S.ITEM_ID),
                          "role")
@@ -155,20 +158,24 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
 
 def change_log(header_items_old: DataFrame, header_items_new: DataFrame, changed: DataFrame,
                product: DataFrame) -> DataFrame:
-    """Per replaced bundle the old and new antecedent/consequent names,
-    ', '-joined (sorted; a missing name shows as 'ID n')."""
+    """Per replaced bundle (its old id) the old and new antecedent/
+    consequent names, ', '-joined (sorted; a missing name shows as 'ID n')."""
     names = product.select(S.ITEM_ID, S.NAME)
+    ids = changed.select("id_bundling", "new_id_bundling")
 
     def lists(items: DataFrame, tag: str) -> DataFrame:
-        named = (items.join(changed.select("id_bundling"), "id_bundling", "left_semi")
-                 .join(names, S.ITEM_ID, "left")
+        named = (items.join(names, S.ITEM_ID, "left")
                  .withColumn("_nm", F.coalesce(F.col(S.NAME), F.concat(F.lit("ID "), F.col(S.ITEM_ID).cast("string")))))
         return named.groupBy("id_bundling").agg(
             F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == ROLE_A, F.col("_nm")))), ", ")
             .alias(f"antecedent_{tag}"),
             F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == ROLE_C, F.col("_nm")))), ", ")
             .alias(f"consequent_{tag}"))
-    return lists(header_items_old, "old").join(lists(header_items_new, "new"), "id_bundling")
+
+    old = header_items_old.join(ids.select("id_bundling"), "id_bundling", "left_semi")
+    new = (header_items_new.withColumnRenamed("id_bundling", "new_id_bundling").join(ids, "new_id_bundling")
+           .drop("new_id_bundling"))
+    return lists(old, "old").join(lists(new, "new"), "id_bundling")
 
 
 def replace_all_in_side(rules: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,7 +240,7 @@ def consistency(tables: dict[str, DataFrame], bundle_sets: dict[str, tuple[DataF
     status = tables_status(tables)
     support_ok = status.where(F.col("table_name").isin("barang", "rfm", "category")).agg(
         F.min(F.col("has_rows").cast("int")).alias("_s"))
-    bundles_ok = status.where(F.col("table_name").startswith("bundling")).agg(
+    bundles_ok = status.where(F.col("table_name").isin(*bundle_sets)).agg(
         F.max(F.col("has_rows").cast("int")).alias("_b"))
     orphan = None
     for name, (h, i) in bundle_sets.items():
@@ -260,7 +267,7 @@ def bundle_detail(header: DataFrame, items: DataFrame, product: DataFrame,
 def bundle_report(detail: DataFrame, with_category: bool = True,
                   missing_category: str | None = None, keep_id: bool = False) -> DataFrame:
     """Per bundle the distinct antecedent names, consequent
-    names (and their categories) as sorted ', ' lists, plus metrics.
+    names (and the categories of both) as sorted ', ' lists, plus metrics.
     ``missing_category`` replaces a null category (A13)."""
     cat = F.col("category")
     if missing_category is not None:
@@ -270,7 +277,7 @@ def bundle_report(detail: DataFrame, with_category: bool = True,
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == ROLE_C, F.col(S.NAME)))), ", ")
             .alias("consequents")]
     if with_category:
-        aggs.append(F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == ROLE_C, cat))), ", ")
-                    .alias("consequent_categories"))
+        aggs += [F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, cat))), ", ").alias(name)
+                 for role, name in ((ROLE_A, "antecedent_categories"), (ROLE_C, "consequent_categories"))]
     out = detail.groupBy("id_bundling", "support", "lift", "confidence").agg(*aggs)
     return out if keep_id else out.drop("id_bundling")

@@ -149,7 +149,8 @@ def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False):
                                line_key=S.ITEM_ID, line_category=line_cat)
 
 
-def _deadstock_sql(supports, confs, normalise=False):
+def _deadstock_ctes(supports, confs, normalise=False):
+    """CTEs up to ``touch``: the grid's rules that name dead stock."""
     nm = "lower(trim(deskripsi_brg))" if normalise else "deskripsi_brg"
     pn = "lower(trim(p.p_name))" if normalise else "p.p_name"
     lines_src = (f"nlines AS (SELECT kode_nota, id_barang, {nm} AS deskripsi_brg FROM lines "
@@ -159,8 +160,7 @@ def _deadstock_sql(supports, confs, normalise=False):
             + (f"cat AS (SELECT lower(trim(nm)) AS item, max(category) AS category FROM ncat0 "
                f"WHERE lower(trim(nm)) IS NOT NULL AND category IS NOT NULL GROUP BY lower(trim(nm)))"
                if normalise else "cat AS (SELECT nm AS item, category FROM ncat0)"))
-    return f"""
-WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {ncat}, {lines_src},
+    return f"""{Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {ncat}, {lines_src},
 {Q.multi_item_cte('nlines', 'deskripsi_brg')},
 jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang),
 dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
@@ -172,7 +172,12 @@ cells AS (SELECT g.sheet, g.grid_ord, r.*, {Q.rule_key_sql('r.ante', 'r.cons')}
   WHERE r.cnt >= ceil(g.min_support * (SELECT n FROM n)) AND r.confidence >= g.min_confidence),
 tkeys AS (SELECT DISTINCT s.rule_key FROM cells s, unnest(list_concat(s.ante, s.cons)) u(x)
   JOIN cat c ON c.item = u.x WHERE c.category = '{S.CAT_DEADSTOCK}'),
-touch AS (SELECT * FROM cells WHERE rule_key IN (SELECT rule_key FROM tkeys)),
+touch AS (SELECT * FROM cells WHERE rule_key IN (SELECT rule_key FROM tkeys))"""
+
+
+def _deadstock_sql(supports, confs, normalise=False):
+    return f"""
+WITH {_deadstock_ctes(supports, confs, normalise)},
 status AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rule_key ORDER BY grid_ord) = 1
   THEN 'new' ELSE 'existing' END AS status FROM touch),
 acat AS (SELECT rule_key, string_agg(coalesce(c.category, '{S.UNKNOWN_CATEGORY}'), ', ' ORDER BY u.pos) AS ac
@@ -793,20 +798,48 @@ def t5_threshold_sets(spark, sf_dir):
     return sets.select("label", "id_1", "id_2", r6("score").alias("score"))
 
 
+# The second similarity corpus: names with brand and type, distinct enough that
+# some dead items equal a sold one (and are purged) and others are only similar.
+def _detail_sides(spark, sf_dir):
+    a, b = _product_sides(spark, sf_dir)
+    text = TB.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return a.select("id").join(text, "id"), b.select("id").join(text, "id")
+
+
+_DETAIL = "SELECT x.id, p.p_name || ' ' || p.p_brand || ' ' || p.p_type AS text FROM {} x JOIN part p ON p.p_partkey = x.id"
+_DETAIL_SQL = f"""dead_ids AS (SELECT id_barang AS id FROM dead),
+{Q.tfidf_ctes(_DETAIL.format('sold'), _DETAIL.format('dead_ids'))}, {Q.cosine_cte()},
+found AS (SELECT id_1, id_2, score FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
+gone AS (SELECT DISTINCT id_2 FROM found WHERE score >= 1 - 1e-9),
+sim AS (SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, score FROM found WHERE id_2 NOT IN (SELECT id_2 FROM gone))"""
+
+
+def _purged(spark, sf_dir):
+    """T3 -> T6 on the detailed texts: (pairs, dead, product) after the purge."""
+    a, b = _detail_sides(spark, sf_dir)
+    pairs = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD)
+    return SIM.purge_identical(pairs, b.select(F.col("id").alias(S.ITEM_ID)), TB.products(spark, sf_dir))
+
+
 @register("T6_purge_identical", f"""
-WITH {_PRODUCT_SIDES_SQL}, {Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
-kept AS (SELECT * FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
-gone AS (SELECT DISTINCT id_2 FROM kept WHERE score >= 1 - 1e-9)
-SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, round(score, 6) AS score FROM kept
-WHERE id_2 NOT IN (SELECT id_2 FROM gone)""")
+WITH {_PRODUCT_SIDES_SQL}, {_DETAIL_SQL}
+SELECT id_barang_1, id_barang_2, round(score, 6) AS score FROM sim""")
 def t6_purge_identical(spark, sf_dir):
-    """Pairs left after dead items with an identical sold name are
+    """Pairs left after dead items with an identical sold item are
     purged (set-wise)."""
-    a, b = _product_sides(spark, sf_dir)
-    pairs = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD)
-    dead = b.select(F.col("id").alias(S.ITEM_ID))
-    pairs, _, _ = SIM.purge_identical(pairs, dead, TB.products(spark, sf_dir))
-    return _pairs_out(pairs, "id_barang_1", "id_barang_2")
+    return _pairs_out(_purged(spark, sf_dir)[0], "id_barang_1", "id_barang_2")
+
+
+@register("T6_purged_tables", f"""
+WITH {_PRODUCT_SIDES_SQL}, {_DETAIL_SQL}
+SELECT 'deadstock' AS table_name, id AS id_barang FROM dead_ids WHERE id NOT IN (SELECT id_2 FROM gone)
+UNION ALL SELECT 'barang', p_partkey FROM part WHERE p_partkey NOT IN (SELECT id_2 FROM gone)""")
+def t6_purged_tables(spark, sf_dir):
+    """The dead-stock and product tables without the purged items."""
+    _, dead, product = _purged(spark, sf_dir)
+    return (dead.select(F.lit("deadstock").alias("table_name"), S.ITEM_ID)
+            .unionByName(product.select(F.lit("barang").alias("table_name"), S.ITEM_ID)))
 
 
 # documents corpus: benchmark (A) x documents (B); labels give validity
@@ -938,28 +971,29 @@ def m4_bundle_all(spark, sf_dir):
     return _bundle_ids_out(header, items)
 
 
-# Replace by the first similar dead item (pairs of T3, before any purge)
+# Replace by the first similar dead item; as in the app, items that equal
+# a sold one have been purged before
 _M13_SQL = f"""{_APP_RULES_SQL}, {Q.deadstock_report_cte()},
 pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
 wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
 sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide)),
-{Q.tfidf_ctes(_A_SQL, _B_SQL)}, {Q.cosine_cte()},
-sim AS (SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, score FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
+{_DETAIL_SQL},
 partner AS (SELECT id_barang_1, min(id_barang_2) AS rep FROM sim GROUP BY id_barang_1),
 choice AS (SELECT i.id_bundling,
   arg_min(struct_pack(role := i.role, old_id := i.id_barang, new_id := p.rep),
           struct_pack(r := CASE WHEN i.role = 'antecedent' THEN 0 ELSE 1 END, x := i.id_barang)) AS c
   FROM items i JOIN partner p ON p.id_barang_1 = i.id_barang GROUP BY i.id_bundling),
-new_header AS (SELECT * FROM header WHERE id_bundling IN (SELECT id_bundling FROM choice)),
-new_items AS (SELECT DISTINCT i.id_bundling,
-  CASE WHEN i.role = c.c.role AND i.id_barang = c.c.old_id THEN c.c.new_id ELSE i.id_barang END AS id_barang, i.role
-  FROM items i JOIN choice c USING (id_bundling))"""
+numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY id_bundling) AS BIGINT) AS new_no FROM choice),
+new_header AS (SELECT n.new_no AS id_bundling, h.support, h.lift, h.confidence
+  FROM header h JOIN numbered n USING (id_bundling)),
+new_items AS (SELECT DISTINCT n.new_no AS id_bundling,
+  CASE WHEN i.role = n.c.role AND i.id_barang = n.c.old_id THEN n.c.new_id ELSE i.id_barang END AS id_barang, i.role
+  FROM items i JOIN numbered n USING (id_bundling))"""
 
 
 def _m13(spark, sf_dir):
     header, items = _app_bundles(spark, sf_dir)
-    a, b = _product_sides(spark, sf_dir)
-    sim = SIM.cosine_pairs(a, b, S.APP_SIMILARITY_THRESHOLD).select(
+    sim = _purged(spark, sf_dir)[0].select(
         F.col("id_1").alias("id_barang_1"), F.col("id_2").alias("id_barang_2"), "score")
     new_header, new_items, choice = BU.replace_first(header, items, sim)
     return header, items, new_header, new_items, choice
@@ -968,21 +1002,23 @@ def _m13(spark, sf_dir):
 @register("M13_replace_first", f"WITH {_M13_SQL}\n{_bundle_ids_sql('new_header', 'new_items')}")
 def m13_replace_first(spark, sf_dir):
     """App replacement — the first antecedent (else consequent)
-    with a similar dead item is swapped for the first such dead item."""
+    with a similar dead item is swapped for the first such dead item; the
+    replaced bundles get new ids 1..N."""
     _, _, nh, ni, _ = _m13(spark, sf_dir)
     return _bundle_ids_out(nh, ni)
 
 
+_NAME_LISTS = """array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'antecedent')), ', ')
+  AS antecedent_{0}, array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang))
+  FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_{0}"""
+
+
 @register("M15_change_log", f"""WITH {_M13_SQL},
 nm AS (SELECT p_partkey AS id_barang, p_name FROM part),
-old_l AS (SELECT i.id_bundling,
-  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'antecedent')), ', ') AS antecedent_old,
-  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_old
-  FROM items i LEFT JOIN nm USING (id_barang) WHERE i.id_bundling IN (SELECT id_bundling FROM choice) GROUP BY i.id_bundling),
-new_l AS (SELECT i.id_bundling,
-  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'antecedent')), ', ') AS antecedent_new,
-  array_to_string(list_sort(list(coalesce(nm.p_name, 'ID ' || i.id_barang)) FILTER (WHERE i.role = 'consequent')), ', ') AS consequent_new
-  FROM new_items i LEFT JOIN nm USING (id_barang) GROUP BY i.id_bundling)
+old_l AS (SELECT i.id_bundling, {_NAME_LISTS.format('old')} FROM items i LEFT JOIN nm USING (id_barang)
+  WHERE i.id_bundling IN (SELECT id_bundling FROM choice) GROUP BY i.id_bundling),
+new_l AS (SELECT n.id_bundling, {_NAME_LISTS.format('new')} FROM new_items i
+  JOIN numbered n ON n.new_no = i.id_bundling LEFT JOIN nm USING (id_barang) GROUP BY n.id_bundling)
 SELECT * FROM old_l JOIN new_l USING (id_bundling)""")
 def m15_change_log(spark, sf_dir):
     """Old and new item names of every replaced bundle."""
@@ -994,46 +1030,85 @@ def _item_category_by_part(spark, sf_dir):
     return _v1_item_category(spark, sf_dir).select(F.col("item").cast("long").alias("item"), "category")
 
 
+# dead-stock bundles as header and items, at a preset that has rows
+_DSB_S, _DSB_C = [0.003], [0.1]
+
+
+def _deadstock_bundles(spark, sf_dir):
+    rules = deadstock_grid(spark, sf_dir, _DSB_S, _DSB_C).select(
+        "rule_key", "antecedent", "consequent", "support", "lift", "confidence")
+    header, items = BU.normalise_bundles(R.dedup_rules(rules), TB.products(spark, sf_dir))
+    return header.drop("rule_key"), items
+
+
+_DS_BUNDLES_SQL = f"""{_deadstock_ctes(_DSB_S, _DSB_C)},
+n2id AS (SELECT p_name AS nm, min(p_partkey) AS id_barang FROM part GROUP BY p_name),
+ds_header AS (SELECT DISTINCT rule_key, support, lift, confidence FROM touch),
+ds_items AS (SELECT DISTINCT x.rule_key, n.id_barang, n.nm, x.role FROM (
+  SELECT rule_key, 'antecedent' AS role, unnest(ante) AS nm FROM touch
+  UNION ALL SELECT rule_key, 'consequent', unnest(cons) FROM touch) x JOIN n2id n USING (nm))"""
+
+
+def _names_sql(role, column="deskripsi_brg"):
+    return f"coalesce(array_to_string(list_sort(list(DISTINCT {column}) FILTER (WHERE role = '{role}' AND {column} IS NOT NULL)), ', '), '')"
+
+
 _REPORT_SQL = f"""WITH {_APP_RULES_SQL}, {Q.v1_cte('lines', 'id_barang')},
 detail AS (SELECT h.id_bundling, h.support, h.lift, h.confidence, i.role, p.p_name AS deskripsi_brg, s.category
   FROM header h JOIN items i USING (id_bundling) JOIN part p ON p.p_partkey = i.id_barang
   LEFT JOIN seg s ON s.item = i.id_barang),
 report AS (SELECT id_bundling, round(support, 6) AS support, round(lift, 6) AS lift, round(confidence, 6) AS confidence,
-  array_to_string(list_sort(list(DISTINCT deskripsi_brg) FILTER (WHERE role = 'antecedent')), ', ') AS antecedents,
-  array_to_string(list_sort(list(DISTINCT deskripsi_brg) FILTER (WHERE role = 'consequent')), ', ') AS consequents,
-  coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (WHERE role = 'consequent' AND category IS NOT NULL)), ', '), '')
-    AS consequent_categories,
-  array_to_string(list_sort(list(DISTINCT coalesce(category, '{S.CAT_DEADSTOCK}')) FILTER (WHERE role = 'consequent')), ', ')
-    AS consequent_categories_ds
+  {_names_sql('antecedent')} AS antecedents, {_names_sql('consequent')} AS consequents,
+  {_names_sql('antecedent', 'category')} AS antecedent_categories,
+  {_names_sql('consequent', 'category')} AS consequent_categories
   FROM detail GROUP BY id_bundling, support, lift, confidence)"""
 
 
+def _report_out(out):
+    return out.select(*[r6(c).alias(c) if c in ("support", "lift", "confidence") else c for c in out.columns])
+
+
 def _report(spark, sf_dir, **kw):
     header, items = _app_bundles(spark, sf_dir)
     detail = BU.bundle_detail(header, items, TB.products(spark, sf_dir), _item_category_by_part(spark, sf_dir))
-    out = BU.bundle_report(detail, **kw)
-    return out.select(*[r6(c).alias(c) if c in ("support", "lift", "confidence") else c for c in out.columns])
+    return _report_out(BU.bundle_report(detail, **kw))
 
 
 @register("A11_bundle_report", _REPORT_SQL + """
-SELECT support, lift, confidence, antecedents, consequents, consequent_categories FROM report""")
+SELECT support, lift, confidence, antecedents, consequents, antecedent_categories, consequent_categories FROM report""")
 def a11_bundle_report(spark, sf_dir):
-    """J8 + A11: bundle report with names and consequent categories."""
+    """J8 + A11: report of the all-product bundles with names and categories
+    of both sides."""
     return _report(spark, sf_dir)
 
 
-@register("A12_bundle_report_ids", _REPORT_SQL + """
-SELECT id_bundling, support, lift, confidence, antecedents, consequents FROM report""")
+@register("A12_bundle_report_ids", f"""WITH {_M13_SQL},
+detail AS (SELECT h.*, i.role, p.p_name AS deskripsi_brg FROM new_header h JOIN new_items i USING (id_bundling)
+  JOIN part p ON p.p_partkey = i.id_barang)
+SELECT id_bundling, round(support, 6) AS support, round(lift, 6) AS lift, round(confidence, 6) AS confidence,
+  {_names_sql('antecedent')} AS antecedents, {_names_sql('consequent')} AS consequents
+FROM detail GROUP BY id_bundling, support, lift, confidence""")
 def a12_bundle_report_ids(spark, sf_dir):
-    """The report without categories, keeping the bundle id."""
-    return _report(spark, sf_dir, with_category=False, keep_id=True)
-
-
-@register("A13_bundle_report_deadstock", _REPORT_SQL + """
-SELECT support, lift, confidence, antecedents, consequents, consequent_categories_ds AS consequent_categories FROM report""")
+    """Report of the replaced bundles, without categories, with their ids."""
+    _, _, header, items, _ = _m13(spark, sf_dir)
+    detail = BU.bundle_detail(header, items, TB.products(spark, sf_dir))
+    return _report_out(BU.bundle_report(detail, with_category=False, keep_id=True))
+
+
+@register("A13_bundle_report_deadstock", f"""WITH {_DS_BUNDLES_SQL},
+detail AS (SELECT h.*, i.role, i.nm AS deskripsi_brg, coalesce(s.category, '{S.CAT_DEADSTOCK}') AS category
+  FROM ds_header h JOIN ds_items i USING (rule_key) LEFT JOIN seg s ON s.item = i.id_barang)
+SELECT round(support, 6) AS support, round(lift, 6) AS lift, round(confidence, 6) AS confidence,
+  {_names_sql('antecedent')} AS antecedents, {_names_sql('consequent')} AS consequents,
+  {_names_sql('antecedent', 'category')} AS antecedent_categories,
+  {_names_sql('consequent', 'category')} AS consequent_categories
+FROM detail GROUP BY rule_key, support, lift, confidence""")
 def a13_bundle_report_deadstock(spark, sf_dir):
-    """The report with a missing category shown as dead stock."""
-    return _report(spark, sf_dir, missing_category=S.CAT_DEADSTOCK)
+    """Report of the dead-stock bundles, a missing category shown as
+    dead stock on both sides."""
+    header, items = _deadstock_bundles(spark, sf_dir)
+    detail = BU.bundle_detail(header, items, TB.products(spark, sf_dir), _item_category_by_part(spark, sf_dir))
+    return _report_out(BU.bundle_report(detail, missing_category=S.CAT_DEADSTOCK))
 
 
 @register("O4_page", _REPORT_SQL + """
@@ -1062,35 +1137,64 @@ def o3_top_k(spark, sf_dir):
         "support", "antecedents", "consequents")
 
 
-@register("J7_orphan_bundles", f"""WITH {_M13_SQL},
-per AS (SELECT i.id_bundling,
-  sum(CASE WHEN role = 'antecedent' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN role = 'consequent' THEN 1 ELSE 0 END) AS c,
-  sum(CASE WHEN role = 'antecedent' AND p.p_partkey IS NOT NULL THEN 1 ELSE 0 END) AS a_ok,
-  sum(CASE WHEN role = 'consequent' AND p.p_partkey IS NOT NULL THEN 1 ELSE 0 END) AS c_ok
-  FROM new_items i LEFT JOIN part p ON p.p_partkey = i.id_barang GROUP BY i.id_bundling)
-SELECT CAST(coalesce(sum(a * c - a_ok * c_ok), 0) AS BIGINT) AS orphans FROM per""")
+# the product table of the orphan checks: parts of every tenth size are no
+# longer listed, so that some bundles do name a missing product
+_LISTED = "p_size % 10 <> 0"
+
+
+def _orphans_sql(items, key="id_bundling", listed=_LISTED):
+    return f"""(SELECT count(*) FROM {items} a JOIN {items} c ON a.{key} = c.{key}
+  WHERE a.role = 'antecedent' AND c.role = 'consequent' AND NOT (
+    a.id_barang IN (SELECT p_partkey FROM part WHERE {listed}) AND c.id_barang IN (SELECT p_partkey FROM part WHERE {listed})))"""
+
+
+def _listed_products(spark, sf_dir, listed=_LISTED):
+    keys = TB.table(spark, sf_dir, "part").where(listed).select(F.col("p_partkey").alias(S.ITEM_ID))
+    return TB.products(spark, sf_dir).join(keys, S.ITEM_ID, "left_semi")
+
+
+@register("J7_orphan_bundles", f"WITH {_M13_SQL}\nSELECT {_orphans_sql('new_items')} AS orphans")
 def j7_orphan_bundles(spark, sf_dir):
     """Antecedent x consequent pairs of replaced bundles whose item is
     missing from the product table (counted, not materialised)."""
     _, _, nh, ni, _ = _m13(spark, sf_dir)
-    return BU.orphan_bundles(nh, ni, TB.products(spark, sf_dir))
+    return BU.orphan_bundles(nh, ni, _listed_products(spark, sf_dir))
 
 
-@register("M16_consistency", f"""WITH {_M13_SQL}
-SELECT (SELECT count(*) FROM part) > 0 AS has_supporting_data,
-  ((SELECT count(*) FROM header) > 0 OR (SELECT count(*) FROM new_header) > 0) AS any_bundles,
-  CAST(0 AS BIGINT) AS orphans,
-  (SELECT count(*) FROM part) > 0 AND ((SELECT count(*) FROM header) > 0 OR (SELECT count(*) FROM new_header) > 0)
-    AS consistent""")
-def m16_consistency(spark, sf_dir):
-    """Supporting tables non-empty, some bundle table non-empty, no
-    orphan in the bundle tables."""
+def _consistency_sql(listed):
+    orphans = " + ".join([_orphans_sql("items", listed=listed), _orphans_sql("new_items", listed=listed),
+                          f"(SELECT n FROM ds_orphans)"])
+    # the dead-stock rules repeat names of the app's rules CTEs: a sub-query
+    ds = f"ds_orphans AS (SELECT * FROM (WITH {_DS_BUNDLES_SQL} SELECT {_orphans_sql('ds_items', 'rule_key', listed)} AS n, " \
+         f"(SELECT count(*) FROM ds_header) AS headers))"
+    return f"""WITH {ds}, {_M13_SQL},
+v AS (SELECT (SELECT count(*) FROM part WHERE {listed}) > 0 AS s,
+  ((SELECT count(*) FROM header) + (SELECT count(*) FROM new_header) + (SELECT headers FROM ds_orphans)) > 0 AS b,
+  CAST({orphans} AS BIGINT) AS o)
+SELECT s AS has_supporting_data, b AS any_bundles, o AS orphans, s AND b AND o = 0 AS consistent FROM v"""
+
+
+def _consistency(spark, sf_dir, listed):
     header, items, nh, ni, _ = _m13(spark, sf_dir)
-    product = TB.products(spark, sf_dir)
-    cats = _v1_item_category(spark, sf_dir)
+    dh, di = _deadstock_bundles(spark, sf_dir)
+    product, cats = _listed_products(spark, sf_dir, listed), _v1_item_category(spark, sf_dir)
+    sets = {"bundling_all": (header, items), "bundling_similarity": (nh, ni), "bundling_ds": (dh, di)}
     tables = {"barang": product, "rfm": cats, "category": cats.select("category").distinct(),
-              "bundling_all": header, "bundling_similarity": nh}
-    return BU.consistency(tables, {"bundling_all": (header, items), "bundling_similarity": (nh, ni)}, product)
+              **{name: h for name, (h, _) in sets.items()}}
+    return BU.consistency(tables, sets, product)
+
+
+@register("M16_consistency", _consistency_sql("true"))
+def m16_consistency(spark, sf_dir):
+    """Supporting tables non-empty, some bundle table non-empty, no
+    orphan in the three bundle sets — with every part listed."""
+    return _consistency(spark, sf_dir, "true")
+
+
+@register("M16_inconsistency", _consistency_sql(_LISTED))
+def m16_inconsistency(spark, sf_dir):
+    """The same with products missing, so that orphans are found."""
+    return _consistency(spark, sf_dir, _LISTED)
 
 
 # --------------------------------------------------------------- evaluation
