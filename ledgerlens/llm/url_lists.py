@@ -109,7 +109,9 @@ def judge(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", u
                 .select("page_id", "url", "fetched_at", F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key"),
                         at(F.col("fetched_at")).alias("_bucket"),
                         F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(salts)).cast("int").alias("_salt")))
-        joined = keys.join(dealt, ["kind", "key", "_bucket", "_salt"]).where(
+        # always a shuffle: the list grows with the web, and its copies per
+        # bucket and share are far larger than a size estimate of it says
+        joined = keys.join(dealt.hint("merge"), ["kind", "key", "_bucket", "_salt"]).where(
             (F.col("valid_from") <= F.col("fetched_at"))
             & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
         rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
