@@ -4,7 +4,6 @@
   range partitions + per-partition offsets (a distributed prefix sum).
 * ``top_n_per_group`` – exact top-n per group in two stages, so a group that
   holds a third of all rows is first cut down inside many salted sub-groups.
-* ``one_row`` – attach a one-row aggregate to every row (bounded broadcast).
 """
 
 from __future__ import annotations
@@ -19,11 +18,6 @@ from ..session import materialise
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def one_row(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Cross join a one-row frame (always broadcast: its size is one row)."""
-    return df.crossJoin(F.broadcast(scalars))
-
-
 def _num_partitions(df: DataFrame, rows_hint: int | None = None) -> int:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -19,19 +19,27 @@ def multi_item_baskets(lines: DataFrame, basket: str = S.NOTA, item: str = S.NAM
     items is > 1.  Not distinct: a receipt with one product on two lines
     stays (and later becomes a one-item set).
 
-    One aggregation on the receipt key, joined back on the same key: both
-    sides are hash-partitioned on ``basket``, so the join adds no shuffle.
-    """
-    valid = (lines.where(F.col(item).isNotNull()).groupBy(basket)
-             .agg(F.count(item).alias("_n")).where(F.col("_n") > 1).select(basket))
-    return lines.join(valid, basket, "left_semi")
+    A count over the receipt: one read of the ledger and one shuffle."""
+    w = Window.partitionBy(basket)
+    return (lines.where(F.col(basket).isNotNull()).withColumn("_n", F.count(item).over(w))
+            .where(F.col("_n") > 1).drop("_n"))
 
 
 def multi_row_receipts(lines: DataFrame, basket: str = S.NOTA) -> DataFrame:
     """All lines of receipts that occur on more than one row."""
-    valid = (lines.groupBy(basket).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > 1).select(basket))
-    return lines.join(valid, basket, "left_semi")
+    w = Window.partitionBy(basket)
+    return (lines.where(F.col(basket).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w))
+            .where(F.col("_n") > 1).drop("_n"))
+
+
+def multi_item_sets(lines: DataFrame, basket: str = S.NOTA, item: str = S.NAME,
+                    items_col: str = "items") -> DataFrame:
+    """C11 and A3 in one aggregate, for the miner: the item sets of receipts
+    with more than one non-null item row."""
+    return (lines.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).groupBy(basket)
+            .agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias(items_col),
+                 F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > 1).drop("_n"))
 
 
 def baskets_containing(lines: DataFrame, predicate: Column, basket: str = S.NOTA) -> DataFrame:

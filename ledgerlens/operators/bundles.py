@@ -28,7 +28,7 @@ ROLE_A, ROLE_C = "antecedent", "consequent"
 def bundle_all(lines: DataFrame, min_support: float, min_conf: float,
                item: str = S.NAME, num_partitions: int | None = None) -> DataFrame:
     """M4 (rules part): C11 -> A3 -> M1 -> W7."""
-    bk = B.baskets(B.multi_item_baskets(lines, item=item), item=item)
+    bk = B.multi_item_sets(lines, item=item)
     return R.dedup_rules(R.mine_rules(bk, min_support, min_conf, num_partitions=num_partitions))
 
 

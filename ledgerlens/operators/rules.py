@@ -48,10 +48,6 @@ def _fit(baskets: DataFrame, min_support: float, min_conf: float,
     return fp.fit(data)
 
 
-def empty_rules(spark) -> DataFrame:
-    return spark.createDataFrame([], S.RULE_SCHEMA)
-
-
 def rules_from_itemsets(itemsets: DataFrame, n_baskets: DataFrame, min_conf: float) -> DataFrame:
     """M1: single-consequent association rules of frequent itemsets
     (items sorted, freq) — for every itemset X of size > 1 and item c in X,

@@ -10,10 +10,14 @@ found through an exact bound-based index (tokens ordered rare-first; a token
 is indexed while the rest of the vector could still reach the threshold,
 bounded with each token's largest weight on the other side), so frequent
 tokens do not pair up every document that contains them; every found pair
-is then scored over its complete vectors (all tokens of the whole texts).  Postings
-of a token with many documents are still split over salts (B salted by
-document, A replicated per salt), the split factor following the token's
-document frequency.  Partial sums per (a, b) pair are combined map-side.
+is then scored over its complete vectors (all tokens of the whole texts).
+
+Hot tokens: values per token (document frequency, largest weight) reach the
+postings of a token above ``hot_bound`` by broadcast, whose size that bound
+limits, so those postings are never shuffled by the token; where A meets B on
+the token, both sides are split over salts, by a factor that follows the
+document frequency each posting carries.  Partial sums per (a, b) pair are
+combined map-side.
 """
 
 from __future__ import annotations
@@ -53,7 +57,13 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     n_docs = (a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(1).alias("x")))
               .agg(F.count(F.lit(1)).cast("double").alias("_n")))
     dfreq = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = (tc.join(dfreq, "token").crossJoin(F.broadcast(n_docs))
+    if materialise:
+        dfreq = materialise_table(dfreq, "token_df")
+    bound = hot_bound(tc.count())
+    hot = F.broadcast(dfreq.where(F.col("df") > bound))
+    with_df = (tc.join(hot, "token")
+               .unionByName(tc.join(hot.select("token"), "token", "left_anti").join(dfreq, "token")))
+    w = (with_df.crossJoin(F.broadcast(n_docs))
          .withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0)))
     # The L2 norm is a window over the document: one exchange by document.
     # (An aggregate joined back would shuffle twice, and its map-side partial
@@ -65,20 +75,29 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     return materialise_table(out, "tfidf") if materialise else out
 
 
+#: A token is hot above so many postings, and above a share of all postings
+#: that leaves at most HOT_TOKENS hot ones: the size bound of their broadcast.
+HOT_POSTINGS, HOT_TOKENS = 200_000, 10_000
+
+
+def hot_bound(postings: int) -> int:
+    """Postings from which on a token is hot, given the number of all."""
+    return max(HOT_POSTINGS, postings // HOT_TOKENS)
+
+
 def _token_join(a_post: DataFrame, b_post: DataFrame, postings_per_task: int) -> DataFrame:
-    """Equi-join A and B postings (id, token, w) on the token; the postings of
-    a token with many B documents are split over ``ceil(n_b / per_task)``
-    salts (B salted by document, A replicated per salt)."""
-    split = (b_post.groupBy("token").agg(F.count(F.lit(1)).alias("_nb"))
-             .select("token", F.greatest(F.lit(1), F.ceil(F.col("_nb") / F.lit(postings_per_task)))
-                     .cast("int").alias("_k")))
-    a_s = (a_post.join(split, "token")
-           .select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1"),
-                   F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt")))
-    b_s = (b_post.join(split, "token")
-           .select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2"),
-                   F.pmod(F.xxhash64(F.col("id")), F.col("_k")).alias("_salt")))
-    return a_s.join(b_s, ["token", "_salt"]).drop("_salt")
+    """Equi-join A and B postings (id, token, w, df) on the token.  With
+    ``k = ceil(df / per_task)`` from the posting's own df, each side is cut
+    into k shares by document and sent to the k shares of the other side, so a
+    hot token's pairs spread over k x k tasks."""
+    k = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(postings_per_task))).cast("int")
+    share = F.pmod(F.xxhash64(F.col("id")), k).cast("int")
+    others = F.explode(F.sequence(F.lit(0), k - 1))
+    a_s = (a_post.withColumn("_sa", share).withColumn("_sb", others)
+           .select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1"), "_sa", "_sb"))
+    b_s = (b_post.withColumn("_sb", share).withColumn("_sa", others)
+           .select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2"), "_sa", "_sb"))
+    return a_s.join(b_s, ["token", "_sa", "_sb"]).drop("_sa", "_sb")
 
 
 def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFrame:
@@ -97,11 +116,14 @@ def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataF
     whose prefix ends first, whose bound is < threshold — so no pair reaching
     the threshold is lost.  Tokens absent from the other side bound to 0 and
     are never indexed; frequent low-weight tokens fall into the tail."""
-    # both sides' largest weight per token in one aggregate; joined on the
-    # token alone, so the join reuses the aggregate's partitioning
-    mx = wt.groupBy("token").agg(F.max(F.when(F.col("side") == "A", F.col("w"))).alias("_ma"),
-                                 F.max(F.when(F.col("side") == "B", F.col("w"))).alias("_mb"))
-    x = (wt.join(mx, "token")
+    # both sides' largest weight per token in one aggregate
+    mx = materialise_table(wt.groupBy("token", "df").agg(
+        F.max(F.when(F.col("side") == "A", F.col("w"))).alias("_ma"),
+        F.max(F.when(F.col("side") == "B", F.col("w"))).alias("_mb")), "token_max")
+    bound = hot_bound(wt.count())
+    is_hot = F.col("df") > bound
+    x = (wt.where(is_hot).join(F.broadcast(mx.where(is_hot).drop("df")), "token")
+         .unionByName(wt.where(~is_hot).join(mx.where(~is_hot).drop("df"), "token"))
          .withColumn("_mw", F.coalesce(F.when(F.col("side") == "A", F.col("_mb")).otherwise(F.col("_ma")),
                                        F.lit(0.0)))
          .drop("_ma", "_mb"))
@@ -128,11 +150,11 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float,
     if not threshold > 0:
         raise ValueError("threshold must be above 0")
     wt = tfidf(a, b, id_col, text_col)
-    a_all = wt.where(F.col("side") == "A").select("id", "token", "w")
-    b_all = wt.where(F.col("side") == "B").select("id", "token", "w")
+    a_all = wt.where(F.col("side") == "A").select("id", "token", "w", "df")
+    b_all = wt.where(F.col("side") == "B").select("id", "token", "w", "df")
     ix = candidate_index(wt, float(threshold))
-    a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w")
-    b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w")
+    a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w", "df")
+    b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w", "df")
     a_tail = ix.where((F.col("side") == "A") & ~F.col("_pref") & (F.col("_mw") > 0))
     b_tail = ix.where((F.col("side") == "B") & ~F.col("_pref") & (F.col("_mw") > 0))
     head = (_token_join(a_pref, b_pref, postings_per_task)
@@ -177,7 +199,7 @@ def sample_bands(pairs: DataFrame, n: int = S.BAND_SAMPLE_SIZE, seed: int = S.BA
     Exact top-n per band by hash, two-stage so a band holding most pairs is
     cut down in parallel first."""
     banded = pairs.withColumn("band", band("score", bands)).where(F.col("band").isNotNull())
-    banded = banded.withColumn("_h", F.xxhash64(F.col("id_1"), F.col("id_2"), F.lit(seed)))
+    banded = banded.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "id_1", "id_2")))
     out = top_n_per_group(banded, ["band"], [F.col("_h"), F.col("id_1"), F.col("id_2")], n,
                           salt_key=F.col("_h"))
     return out.drop("_h")

@@ -24,6 +24,7 @@ from ..operators import bundles as BU
 from ..operators import rules as R
 from ..operators import segment as G
 from ..operators import similarity as SIM
+from ..session import materialise
 from ..sources import io as IO
 
 REQUIRED = [S.RAW_NOTA, S.RAW_DATE, S.RAW_NAME, S.RAW_GROUP, S.RAW_QTY]
@@ -38,21 +39,34 @@ def _stage(spark: SparkSession, df: DataFrame, out_dir: str, name: str, platform
 
 def run_pipeline(spark: SparkSession, raw_sales: DataFrame, dead_report: DataFrame, out_dir: str,
                  platform: str = "General", years: int = 1, segment_variant: str = "V4",
-                 keywords=S.TYPE_KEYWORDS, ds_category_variant: str = "V1") -> dict[str, DataFrame]:
+                 keywords=S.TYPE_KEYWORDS, ds_category_variant: str = "V1",
+                 sales_files: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run every stage for one platform; returns the written tables.
 
+    ``sales_files`` is the ledger as read from files: a file whose name lacks
+    the platform stops the run before anything is written (S9).
+
     ``segment_variant`` is the stored RFM (the app's V4 by default);
     ``ds_category_variant`` is the category source of dead-stock bundling
     (V1 by default: V4 fixes recency at 5 and so never labels dead stock)."""
     IO.require_columns(raw_sales, REQUIRED)
     IO.require_columns(dead_report, [S.RAW_NAME, "DS"])
+    if sales_files is not None:
+        wrong = [r.file_name for r in IO.source_platform_violations(sales_files, platform).limit(10).collect()]
+        if wrong:
+            raise ValueError(f"not files of {platform}: " + ", ".join(sorted(wrong)))
     t: dict[str, DataFrame] = {}
+    t["cleaning_report"] = _stage(spark, G.cleaning_report(raw_sales), out_dir, "cleaning_report", platform)
 
     clean = G.trailing_window(G.clean_app(raw_sales), years)
     product = G.product_dimension(clean, dead_report)
     t["barang"] = _stage(spark, product, out_dir, "barang", platform)
     t["penjualan"] = _stage(spark, G.key_sales(clean, t["barang"]), out_dir, "penjualan", platform)
-    sales = t["penjualan"].join(t["barang"].select(S.ITEM_ID, S.NAME, S.GROUP), S.ITEM_ID)
+
+    def keyed_sales() -> DataFrame:
+        return t["penjualan"].join(t["barang"].select(S.ITEM_ID, S.NAME, S.GROUP), S.ITEM_ID)
+
+    sales = keyed_sales()
 
     t["sold_together"] = _stage(spark, B.sold_together(sales, item=S.ITEM_ID), out_dir, "sold_together", platform)
     t["deadstock"] = _stage(spark, t["barang"].where(F.col("is_deadstock")).select(S.ITEM_ID),
@@ -76,8 +90,15 @@ def run_pipeline(spark: SparkSession, raw_sales: DataFrame, dead_report: DataFra
         pairs, t["deadstock"], t["barang"])
     sim = pairs.select(F.col("id_1").alias("id_barang_1"), F.col("id_2").alias("id_barang_2"), "score")
     t["similarity"] = _stage(spark, sim, out_dir, "similarity", platform)
-
-    nh, ni, _ = BU.replace_first(t["bundling_all"], t["bundling_all_item"], t["similarity"])
+    # the purged items leave both tables; read from them, so written aside first
+    dead_left, product_left = materialise(dead_left, "dead-left"), materialise(product_left, "product-left")
+    t["deadstock"] = _stage(spark, dead_left, out_dir, "deadstock", platform)
+    t["barang"] = _stage(spark, product_left, out_dir, "barang", platform)
+    sales = keyed_sales()
+
+    nh, ni, changed = BU.replace_first(t["bundling_all"], t["bundling_all_item"], t["similarity"])
+    log = BU.change_log(t["bundling_all_item"], ni, changed, t["barang"])
+    t["change_log"] = _stage(spark, log, out_dir, "change_log", platform)
     t["bundling_similarity"] = _stage(spark, nh, out_dir, "bundling_similarity", platform)
     t["bundling_similarity_item"] = _stage(spark, ni, out_dir, "bundling_similarity_item", platform)
 

@@ -55,8 +55,7 @@ GEN_S, GEN_C = R.rule_params("General")
 
 
 def _all_product_baskets(spark, sf_dir, item=S.NAME):
-    lines = TB.sales_lines(spark, sf_dir)
-    return B.baskets(B.multi_item_baskets(lines, item=item), item=item)
+    return B.multi_item_sets(TB.sales_lines(spark, sf_dir), item=item)
 
 
 @register("M1_rules_general", f"""
@@ -129,7 +128,7 @@ def _window_lines(spark, sf_dir, years=1, **kw):
 
 def _v1_item_category(spark, sf_dir):
     """V1 on the last-year window keyed by part: (item, category)."""
-    seg = G.segment(_window_lines(spark, sf_dir), "V1", key=S.ITEM_ID)
+    seg = G.segment(_window_lines(spark, sf_dir, names=False), "V1", key=S.ITEM_ID)
     return seg.select(F.col(S.ITEM_ID).cast("string").alias("item"), "category")
 
 
@@ -254,7 +253,7 @@ WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
 {_seg_sql_out('id_barang')}""")
 def g8_segment_v1(spark, sf_dir):
     """G8 V1 (G2, G3, G4 flat, ladder A = G6) per part on the last year."""
-    return _seg_out(G.segment(_window_lines(spark, sf_dir), "V1", key=S.ITEM_ID), S.ITEM_ID)
+    return _seg_out(G.segment(_window_lines(spark, sf_dir, names=False), "V1", key=S.ITEM_ID), S.ITEM_ID)
 
 
 @register("G8_segment_v2", f"""
@@ -503,7 +502,7 @@ WITH {Q.sales_cte(years=1)}
 SELECT kode_nota, id_barang, CAST(tanggal AS DATE) AS tanggal, jml FROM lines""")
 def c7_trailing_window(spark, sf_dir):
     """The lines of the last year before the latest sale."""
-    return _window_lines(spark, sf_dir).select(S.NOTA, S.ITEM_ID, F.to_date(S.DATE).alias(S.DATE), S.QTY)
+    return _window_lines(spark, sf_dir, names=False).select(S.NOTA, S.ITEM_ID, F.to_date(S.DATE).alias(S.DATE), S.QTY)
 
 
 @register("S3_deadstock_names", f"""
@@ -639,7 +638,7 @@ SELECT kode_nota, id_barang, jml FROM lines WHERE kode_nota IN
   (SELECT kode_nota FROM lines GROUP BY kode_nota HAVING count(*) > 1)""")
 def c12_multi_row_receipts(spark, sf_dir):
     """All lines of receipts with more than one row."""
-    return B.multi_row_receipts(TB.sales_lines(spark, sf_dir)).select(S.NOTA, S.ITEM_ID, S.QTY)
+    return B.multi_row_receipts(TB.sales_lines(spark, sf_dir, names=False)).select(S.NOTA, S.ITEM_ID, S.QTY)
 
 
 @register("A3_baskets", f"""
@@ -666,7 +665,7 @@ WITH {Q.sales_cte()}
 SELECT id_barang, count(DISTINCT kode_nota) AS n_receipts FROM lines GROUP BY id_barang""")
 def a5_receipts_per_product(spark, sf_dir):
     """A5: distinct receipts per part."""
-    return B.receipts_per_product(TB.sales_lines(spark, sf_dir), item=S.ITEM_ID)
+    return B.receipts_per_product(TB.sales_lines(spark, sf_dir, names=False), item=S.ITEM_ID)
 
 
 def _bucket_sql(by):
@@ -689,13 +688,13 @@ def _bucket_out(df):
 @register("A6_basket_size_by_source", _bucket_sql("source"))
 def a6_basket_size_by_source(spark, sf_dir):
     """Receipts with 1, 2, > 2 rows per source file."""
-    return _bucket_out(B.basket_size_buckets(TB.sales_lines(spark, sf_dir, source=True), by=S.SOURCE))
+    return _bucket_out(B.basket_size_buckets(TB.sales_lines(spark, sf_dir, source=True, names=False), by=S.SOURCE))
 
 
 @register("A7_basket_size_overall", _bucket_sql(None))
 def a7_basket_size_overall(spark, sf_dir):
     """The same over all files."""
-    return _bucket_out(B.basket_size_buckets(TB.sales_lines(spark, sf_dir), by=None))
+    return _bucket_out(B.basket_size_buckets(TB.sales_lines(spark, sf_dir, names=False), by=None))
 
 
 @register("A8_basket_width_histogram", f"""
@@ -747,7 +746,7 @@ from ..operators import evaluate as EV  # noqa: E402
 def _product_sides(spark, sf_dir):
     """A = parts sold together in the last year, B = parts with no sale in
     the last year (the dead-stock report); both (id, text = name)."""
-    win = _window_lines(spark, sf_dir)
+    win = _window_lines(spark, sf_dir, names=False)
     sold = B.sold_together(win, item=S.ITEM_ID).withColumnRenamed(S.ITEM_ID, "id")
     names = TB.products(spark, sf_dir).select(F.col(S.ITEM_ID).alias("id"), F.col(S.NAME).alias("text"))
     a = sold.join(names, "id")
@@ -883,16 +882,20 @@ def _band_sql(col="score"):
 SELECT band, CAST(least(count(*), {S.BAND_SAMPLE_SIZE}) AS BIGINT) AS n_sampled FROM
   (SELECT {_band_sql()} AS band FROM dp) WHERE band IS NOT NULL GROUP BY band""")
 def t7_band_counts(spark, sf_dir):
-    """Pairs per band after sampling at most 50 per band (the
-    sampled rows are Spark-hash specific; their number per band is exact)."""
+    """Pairs per band after sampling at most 50 per band."""
     s = SIM.sample_bands(_doc_pairs(spark, sf_dir))
     return s.groupBy("band").agg(F.count(F.lit(1)).alias("n_sampled"))
 
 
-@register("T7_band_samples")
+@register("T7_band_samples", _DOC_SQL + f""",
+banded AS (SELECT id_1, id_2, score, {_band_sql()} AS band FROM dp)
+SELECT id_1, id_2, round(score, 6) AS score, band FROM (SELECT *, row_number() OVER (PARTITION BY band
+  ORDER BY md5('{S.BAND_SAMPLE_SEED}-' || id_1 || '-' || id_2), id_1, id_2) AS k FROM banded WHERE band IS NOT NULL)
+WHERE k <= {S.BAND_SAMPLE_SIZE}""")
 def t7_band_samples(spark, sf_dir):
-    """The sampled pairs themselves (rows-only check)."""
-    return _pairs_out(SIM.sample_bands(_doc_pairs(spark, sf_dir))).withColumn("band", SIM.band("score"))
+    """The sampled pairs themselves, chosen by a seeded md5 of the ids."""
+    found = SIM.sample_bands(_doc_pairs(spark, sf_dir))
+    return found.select("id_1", "id_2", r6("score").alias("score"), "band")
 
 
 @register("A15_range_validity", _DOC_SQL + f"""
@@ -1333,7 +1336,7 @@ WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
 SELECT s.item AS id_barang, p.p_name AS deskripsi_brg, s.category FROM seg s JOIN part p ON p.p_partkey = s.item""")
 def j3_product_category(spark, sf_dir):
     """Rfm rows -> category label -> product (3-way join)."""
-    seg = G.segment(_window_lines(spark, sf_dir), "V1", key=S.ITEM_ID)
+    seg = G.segment(_window_lines(spark, sf_dir, names=False), "V1", key=S.ITEM_ID)
     dim, rfm = G.category_dimension(seg)
     out = J.product_category(rfm, dim, TB.products(spark, sf_dir))
     return out.select(S.ITEM_ID, S.NAME, "category")
@@ -1380,6 +1383,62 @@ def o5_rank_pairs(spark, sf_dir):
     return ranked.select("rank", "id_1", "id_2", r6("score").alias("score"))
 
 
+@register("O2_sheet_order", _GRID_SQL + """
+SELECT sheet, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(sheet, 'Sup([0-9.]+)', 1) AS DOUBLE) DESC,
+  CAST(regexp_extract(sheet, 'Conf([0-9.]+)', 1) AS DOUBLE) DESC) AS INTEGER) AS sheet_no
+FROM (SELECT DISTINCT sheet FROM status)""")
+def o2_sheet_order(spark, sf_dir):
+    """O2: the grid's sheets in grid order, parsed from their labels."""
+    return J.number_sheets(all_product_grid(spark, sf_dir))
+
+
+@register("J9_category_lookup", f"""
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
+SELECT p.p_partkey AS id_barang, coalesce(s.category, '{S.UNKNOWN_CATEGORY}') AS category
+FROM part p LEFT JOIN seg s ON s.item = p.p_partkey""")
+def j9_category_lookup(spark, sf_dir):
+    """Every part's category of the last year, Unknown where it has none."""
+    seg = _v1_item_category(spark, sf_dir).select(F.col("item").cast("long").alias("item"), "category")
+    return J.lookup(TB.products(spark, sf_dir).select(S.ITEM_ID), seg, S.ITEM_ID, "category",
+                    S.UNKNOWN_CATEGORY, dim_key="item")
+
+
+@register("J13_insert_if_absent", f"""
+WITH {Q.sales_cte(years=1)}, old AS (SELECT DISTINCT id_barang FROM lines WHERE id_barang % 3 <> 0)
+SELECT p_partkey AS id_barang FROM part WHERE p_partkey NOT IN (SELECT id_barang FROM old)""")
+def j13_insert_if_absent(spark, sf_dir):
+    """The parts that a table of two thirds of the last year's sold parts
+    does not hold yet."""
+    old = _window_lines(spark, sf_dir, names=False).select(S.ITEM_ID).where(F.col(S.ITEM_ID) % 3 != 0).distinct()
+    return J.insert_if_absent(TB.products(spark, sf_dir).select(S.ITEM_ID), old, S.ITEM_ID)
+
+
+@register("S11_columns", """
+SELECT CAST(pos AS INTEGER) AS pos, c AS column_name, 'string' AS data_type
+FROM unnest(['Kode Nota', 'Tanggal', 'Deskripsi Brg', 'Jenis Barang', 'Jml', 'source']) WITH ORDINALITY AS u(c, pos)
+WHERE (SELECT count(*) FROM lineitem) >= 0""")
+def s11_columns(spark, sf_dir):
+    """The raw ledger's columns."""
+    return IO.column_list(TB.raw_sales(spark, sf_dir))
+
+
+@register("S11_head", _RAW_SQL + """
+SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (ORDER BY "Kode Nota", "Deskripsi Brg" NULLS FIRST, "Jml" NULLS FIRST,
+  "Jenis Barang", source) AS k FROM raw) WHERE k <= 5""")
+def s11_head(spark, sf_dir):
+    """The first five rows of the raw ledger by receipt and product."""
+    return IO.head(TB.raw_sales(spark, sf_dir), [S.RAW_NOTA, S.RAW_NAME, S.RAW_QTY, S.RAW_GROUP, S.SOURCE])
+
+
+@register("S11_deadstock_profile", f"""
+WITH {Q.deadstock_report_cte()}
+SELECT (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM dead) AS n_deadstock""")
+def s11_deadstock_profile(spark, sf_dir):
+    """Rows of the dead-stock report and how many of them are flagged."""
+    return TB.deadstock_report(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("DS") == S.DEADSTOCK_FLAG, 1)).alias("n_deadstock"))
+
+
 @register("M17_pipeline")
 def m17_pipeline(spark, sf_dir):
     """The app's analysis run over the driver tables, every stage a

@@ -18,8 +18,6 @@ SOURCE = "source"         # source file of a line
 RAW_NOTA, RAW_DATE, RAW_NAME, RAW_GROUP, RAW_QTY = (
     "Kode Nota", "Tanggal", "Deskripsi Brg", "Jenis Barang", "Jml")
 RAW_COLUMNS = [RAW_NOTA, RAW_DATE, RAW_NAME, RAW_GROUP, RAW_QTY]
-RAW_TO_CANONICAL = {RAW_NOTA: NOTA, RAW_DATE: DATE, RAW_NAME: NAME,
-                    RAW_GROUP: GROUP, RAW_QTY: QTY}
 
 RULE_SCHEMA = T.StructType([
     T.StructField("antecedent", T.ArrayType(T.StringType()), False),

@@ -125,6 +125,17 @@ def tables_status(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("has_rows", F.col("n_rows") > 0)
 
 
+def column_list(df: DataFrame) -> DataFrame:
+    """The columns of a table in order, with their types."""
+    rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "pos int, column_name string, data_type string")
+
+
+def head(df: DataFrame, order: Sequence, n: int = 5) -> DataFrame:
+    """The first rows under ``order`` (distributed take-ordered)."""
+    return df.orderBy(*order).limit(n)
+
+
 def profile(df: DataFrame, basket: str = S.NOTA, item: str = S.NAME) -> DataFrame:
     """Row count, distinct baskets and distinct items in one pass."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

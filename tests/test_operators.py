@@ -354,3 +354,26 @@ def test_replace_partition_keeps_other_platforms_and_session_setting(spark, tmp_
     IO.replace_table(spark.createDataFrame([("Lazada", 1)], schema), path)
     assert got() == [("Lazada", 1)]
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_hot_tokens_give_the_same_scores(spark, monkeypatch):
+    """Every token hot, and every shared token split over salts."""
+    monkeypatch.setattr(SIM, "HOT_POSTINGS", 1)
+    monkeypatch.setattr(SIM, "HOT_TOKENS", 10**9)
+    words = ["bor", "kayu", "besi", "mata", "the", "and"]
+    a = [(i, " ".join(words[(i * k) % 6] for k in range(1, 3 + i % 4))) for i in range(15)]
+    b = [(100 + j, " ".join(words[(j + 2 * k) % 6] for k in range(2 + j % 5))) for j in range(25)]
+    da, db = (spark.createDataFrame(x, "id long, text string") for x in (a, b))
+    got = {(r.id_1, r.id_2): r.score for r in SIM.cosine_pairs(da, db, 0.2, postings_per_task=2).collect()}
+    want = {k: v for k, v in _brute_tfidf_cosine(a, b).items() if v > 0.2}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    with pytest.raises(ValueError):
+        SIM.cosine_pairs(da, db, 0)
+
+
+@pytest.mark.parametrize("name", ["A3_baskets", "C11_multi_item_lines", "C12_multi_row_receipts"])
+def test_the_ledger_is_read_once(spark, name):
+    import __spark_entry__ as entry
+    from conftest import SF001
+    plan = entry.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1

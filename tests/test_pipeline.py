@@ -1,0 +1,47 @@
+"""M17 run twice for one platform: the second run replaces the first."""
+
+import pytest
+from conftest import SF001
+
+from ledgerlens import schema as S
+from ledgerlens.plans import pipeline as PL
+from ledgerlens.plans.queries import TEST_KEYWORDS, _scratch
+from ledgerlens.sources import tables as TB
+
+
+def _counts(tables):
+    return {name: df.count() for name, df in tables.items()}
+
+
+def test_second_run_replaces_the_first_also_by_nothing(spark, monkeypatch):
+    out = _scratch(spark, "analysis-test")
+    raw, report = TB.raw_sales(spark, SF001), TB.deadstock_report(spark, SF001)
+    monkeypatch.setitem(S.DEADSTOCK_RULE_PARAMS, "General", (0.003, 0.1))
+    first = PL.run_pipeline(spark, raw, report, out, keywords=TEST_KEYWORDS)
+    one = _counts(first)
+    report_row = first["cleaning_report"].first()
+    assert report_row.dropped_dates > 0 and report_row.dropped_numeric > 0
+    assert one["change_log"] == one["bundling_similarity"]
+    dead = {r[0] for r in first["deadstock"].collect()}
+    assert dead <= {r[0] for r in first["barang"].select(S.ITEM_ID).collect()}
+    partner = {r[0] for r in first["similarity"].select("id_barang_2").collect()}
+    assert partner <= dead
+    assert one["bundling_ds"] > 0
+    # no dead-stock rule can reach this preset: last run's bundles must go
+    monkeypatch.setitem(S.DEADSTOCK_RULE_PARAMS, "General", (1.0, 1.0))
+    two = _counts(PL.run_pipeline(spark, raw, report, out, keywords=TEST_KEYWORDS))
+    assert two["bundling_ds"] == two["bundling_ds_item"] == 0
+    assert {k: v for k, v in two.items() if "_ds" not in k} == {k: v for k, v in one.items() if "_ds" not in k}
+    # another platform's run leaves this one's tables alone
+    PL.run_pipeline(spark, raw, report, out, platform="Shopee", keywords=TEST_KEYWORDS)
+    again = spark.read.parquet(f"{out}/barang").where("platform = 'General'").count()
+    assert again == one["barang"]
+
+
+def test_files_of_another_platform_stop_the_run(spark, tmp_path):
+    raw, report = TB.raw_sales(spark, SF001), TB.deadstock_report(spark, SF001)
+    raw.limit(5).write.parquet(str(tmp_path / "penjualan_lazada"))
+    files = spark.read.parquet(str(tmp_path / "penjualan_lazada"))
+    with pytest.raises(ValueError, match="Shopee"):
+        PL.run_pipeline(spark, raw, report, str(tmp_path / "out"), platform="Shopee", sales_files=files)
+    assert not (tmp_path / "out").exists()
