@@ -68,6 +68,16 @@ def m1_rules_general(spark, sf_dir):
     return rules_out(R.mine_rules(_all_product_baskets(spark, sf_dir), GEN_S, GEN_C))
 
 
+@register("M1_rules_low_confidence", f"""
+WITH {Q.sales_cte()}, {Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_brg')},
+{Q.rules_ctes('bk', GEN_S, 0.1)}
+{rules_sql_out()}""")
+def m1_rules_low_confidence(spark, sf_dir):
+    """C11 -> A3 -> M1 at the General support and the grid's lowest confidence
+    (the preset's confidence of .3 leaves no rule on the driver tables)."""
+    return rules_out(R.mine_rules(_all_product_baskets(spark, sf_dir), GEN_S, 0.1))
+
+
 @register("M2_frequent_itemsets", f"""
 WITH {Q.sales_cte()}, {Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_brg')},
 {Q.rules_ctes('bk', GEN_S, GEN_C)}
@@ -350,8 +360,28 @@ def g9_category_dimension(spark, sf_dir):
                        "r_score", "f_score", "m_score", "id_category")
 
 
+# Names with brand and type: distinct enough that products of the last year are
+# sold alone, only bought, or unsold (the bare names are all sold together).
+_LONG_NAME = "p.p_name || ' ' || p.p_brand || ' ' || p.p_type"
+
+
+def _long_names(spark, sf_dir):
+    return TB.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias(S.ITEM_ID), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias(S.NAME),
+        F.col("p_type").alias(S.GROUP))
+
+
+def _long_name_sides(spark, sf_dir):
+    """(last year's ledger, dead-stock report, purchases) under long names."""
+    names = _long_names(spark, sf_dir)
+    lines = _window_lines(spark, sf_dir, names=False).join(names, S.ITEM_ID)
+    report = TB.deadstock_report(spark, sf_dir).drop(S.RAW_NAME).join(
+        names.select(S.ITEM_ID, F.col(S.NAME).alias(S.RAW_NAME)), S.ITEM_ID)
+    return lines, report, names.select(F.col(S.NAME).alias(S.RAW_NAME))
+
+
 _CLASS_SQL = f"""
-WITH {Q.sales_cte()}, {Q.deadstock_report_cte()},
+WITH {Q.sales_cte(years=1, name=_LONG_NAME)}, {Q.deadstock_report_cte(name=_LONG_NAME)},
 pairs AS (SELECT DISTINCT kode_nota, deskripsi_brg FROM lines WHERE deskripsi_brg IS NOT NULL),
 wide AS (SELECT kode_nota FROM pairs GROUP BY kode_nota HAVING count(*) > 1),
 together AS (SELECT DISTINCT deskripsi_brg AS product FROM pairs WHERE kode_nota IN (SELECT kode_nota FROM wide)),
@@ -360,7 +390,7 @@ once AS (SELECT deskripsi_brg AS product FROM lines WHERE deskripsi_brg IS NOT N
 alone AS (SELECT product FROM once WHERE product NOT IN (SELECT product FROM together)),
 deadn AS (SELECT DISTINCT deskripsi_brg AS product FROM dead),
 universe AS (SELECT deskripsi_brg AS product FROM lines WHERE deskripsi_brg IS NOT NULL
-  UNION SELECT p_name FROM part),
+  UNION SELECT {_LONG_NAME} FROM part p),
 classified AS (SELECT product FROM together UNION SELECT product FROM alone UNION SELECT product FROM deadn),
 unclassified AS (SELECT product FROM universe EXCEPT SELECT product FROM classified),
 allp AS (SELECT product FROM universe EXCEPT SELECT product FROM unclassified),
@@ -372,10 +402,8 @@ classes AS (SELECT 'All Products' AS class, product FROM allp
 
 
 def _classes(spark, sf_dir):
-    lines = TB.sales_lines(spark, sf_dir)
-    dead = IO.load_deadstock(TB.deadstock_report(spark, sf_dir))
-    bought = IO.load_purchases(TB.purchases(spark, sf_dir))
-    return G.classify_products(lines, dead, bought)
+    lines, report, bought = _long_name_sides(spark, sf_dir)
+    return G.classify_products(lines, IO.load_deadstock(report), IO.load_purchases(bought))
 
 
 @register("G10_classify_products", _CLASS_SQL + "\nSELECT class, product FROM classes")
@@ -391,7 +419,7 @@ def g10_class_counts(spark, sf_dir):
 
 
 _PRODUCT_SQL = f"""
-WITH {Q.sales_cte()}, {Q.deadstock_report_cte()},
+WITH {Q.sales_cte(years=1, name=_LONG_NAME)}, {Q.deadstock_report_cte(name=_LONG_NAME)},
 sold AS (SELECT trim(deskripsi_brg) AS deskripsi_brg,
   arg_min(trim(jenis_barang), struct_pack(t := tanggal, g := jenis_barang)) AS jenis_barang,
   min(tanggal) AS o FROM lines WHERE deskripsi_brg IS NOT NULL GROUP BY trim(deskripsi_brg)),
@@ -405,8 +433,7 @@ product AS (SELECT CAST(row_number() OVER (ORDER BY part, o, deskripsi_brg) AS B
 
 
 def _product_dim(spark, sf_dir):
-    lines = TB.sales_lines(spark, sf_dir)
-    report = TB.deadstock_report(spark, sf_dir)
+    lines, report, _ = _long_name_sides(spark, sf_dir)
     return G.product_dimension(lines, report)
 
 
@@ -421,7 +448,7 @@ SELECT CAST(l.kode_nota AS VARCHAR) AS kode_nota, CAST(l.tanggal AS DATE) AS tan
   CAST(l.jml AS INTEGER) AS jml FROM lines l JOIN product p ON trim(l.deskripsi_brg) = p.deskripsi_brg""")
 def j14_key_sales(spark, sf_dir):
     """Ledger rows keyed to the product ids of G11."""
-    return G.key_sales(TB.sales_lines(spark, sf_dir), _product_dim(spark, sf_dir))
+    return G.key_sales(_long_name_sides(spark, sf_dir)[0], _product_dim(spark, sf_dir))
 
 
 # ---------------------------------------------------------- sources/cleaning
@@ -801,12 +828,11 @@ def t5_threshold_sets(spark, sf_dir):
 # some dead items equal a sold one (and are purged) and others are only similar.
 def _detail_sides(spark, sf_dir):
     a, b = _product_sides(spark, sf_dir)
-    text = TB.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    text = _long_names(spark, sf_dir).select(F.col(S.ITEM_ID).alias("id"), F.col(S.NAME).alias("text"))
     return a.select("id").join(text, "id"), b.select("id").join(text, "id")
 
 
-_DETAIL = "SELECT x.id, p.p_name || ' ' || p.p_brand || ' ' || p.p_type AS text FROM {} x JOIN part p ON p.p_partkey = x.id"
+_DETAIL = f"SELECT x.id, {_LONG_NAME} AS text FROM {{}} x JOIN part p ON p.p_partkey = x.id"
 _DETAIL_SQL = f"""dead_ids AS (SELECT id_barang AS id FROM dead),
 {Q.tfidf_ctes(_DETAIL.format('sold'), _DETAIL.format('dead_ids'))}, {Q.cosine_cte()},
 found AS (SELECT id_1, id_2, score FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),

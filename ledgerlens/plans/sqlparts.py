@@ -16,7 +16,8 @@ def lit_d(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
-def sales_cte(platform: bool = False, source: bool = False, years: int | None = None) -> str:
+def sales_cte(platform: bool = False, source: bool = False, years: int | None = None,
+              name: str = "p.p_name") -> str:
     """``lines``: kode_nota, tanggal, id_barang, deskripsi_brg, jenis_barang, jml."""
     extra = []
     joins = ""
@@ -26,7 +27,7 @@ def sales_cte(platform: bool = False, source: bool = False, years: int | None =
     if source:
         extra.append("o.o_orderpriority AS source")
     cols = ", ".join(["l.l_orderkey AS kode_nota", "o.o_orderdate AS tanggal",
-                      "l.l_partkey AS id_barang", "p.p_name AS deskripsi_brg",
+                      "l.l_partkey AS id_barang", f"{name} AS deskripsi_brg",
                       "p.p_type AS jenis_barang", "l.l_quantity AS jml"] + extra)
     base = (f"all_lines AS (SELECT {cols} FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"
             f" JOIN part p ON l.l_partkey = p.p_partkey{joins})")
@@ -162,12 +163,12 @@ def v1_cte(src: str, key: str, name: str = "seg") -> str:
             f"{name} AS (SELECT *, {ladder_a('r_score', 'f_score', 'm_score')} AS category FROM {name}_s)")
 
 
-def deadstock_report_cte(years: int = 1) -> str:
+def deadstock_report_cte(years: int = 1, name: str = "p.p_name") -> str:
     """Parts with no sale in the last ``years``: dead(id_barang, deskripsi_brg, jenis_barang)."""
     return (f"ref AS (SELECT max(o_orderdate) AS r FROM orders), "
             f"recent_parts AS (SELECT DISTINCT l.l_partkey FROM lineitem l JOIN orders o "
             f"ON l.l_orderkey = o.o_orderkey WHERE o.o_orderdate >= (SELECT r FROM ref) - INTERVAL {int(years)} YEAR), "
-            f"dead AS (SELECT p_partkey AS id_barang, p_name AS deskripsi_brg, p_type AS jenis_barang FROM part "
+            f"dead AS (SELECT p_partkey AS id_barang, {name} AS deskripsi_brg, p_type AS jenis_barang FROM part p "
             f"WHERE p_partkey NOT IN (SELECT l_partkey FROM recent_parts))")
 
 

@@ -93,3 +93,7 @@ def test_edges(spark):
     assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows if r.doc_id != 3] == [(0, none, none)] * 3
     assert [r.decoded_sha256 for r in rows if r.doc_id == 3] == [hashlib.sha256(b"y " * 200_000).hexdigest()]
     assert set(tok.encode(df).columns) == set(df.columns)
+    twice = tok.decode(tok.encode(df)).select("doc_id", "ids", "decoded").collect()
+    once = tok.round_trip(df)
+    assert set(once.columns) == set(df.columns)
+    assert sorted(once.select("doc_id", "ids", "decoded").collect(), key=repr) == sorted(twice, key=repr)

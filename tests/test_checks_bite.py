@@ -43,3 +43,11 @@ def test_orphans_are_found_where_products_are_missing(spark):
     assert bad.orphans > _rows(spark, "J7_orphan_bundles")[0].orphans > 0 and not bad.consistent
     assert good.orphans == 0 and good.consistent
     assert _rows(spark, "A13_bundle_report_deadstock")
+
+
+def test_every_class_and_unsold_names_occur(spark):
+    classes = {r["class"]: r.n_products for r in _rows(spark, "G10_class_counts")}
+    assert {"All Products", "Sold Together", "Sold Alone", "Not Sold"} <= {k for k, v in classes.items() if v}
+    kinds = [r.is_deadstock for r in _rows(spark, "G11_product_dimension")]
+    assert 0 < sum(kinds) < len(kinds)
+    assert _rows(spark, "M1_rules_low_confidence")
