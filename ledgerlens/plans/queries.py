@@ -144,21 +144,31 @@ def _v1_item_category(spark, sf_dir):
 
 DS_S, DS_C = S.DEADSTOCK_GRIDS["Shopee"]
 
+# The notebook segments its whole ledger.  Its cut points belong to a shop with
+# few products; these are scaled to about thirty sales a part, at any scale
+# factor, so that every label down to dead stock occurs.
+WHOLE_CUTS = {"f_cuts": [40, 35, 30, 25], "m_cuts": [1000, 850, 700, 600]}
+_WHOLE_V1 = Q.v1_cte("lines", "id_barang", **WHOLE_CUTS)
 
-def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False):
-    """Dead-stock bundling as the app runs it: a line is flagged by its
-    product id's V1 category, the baskets hold product names, and a rule is
-    kept when one of its names is dead stock (category per name, last id
-    wins)."""
-    lines = _window_lines(spark, sf_dir)
-    by_id = G.segment(lines, "V1", key=S.ITEM_ID)
+
+def _whole_segment(lines):
+    return G.segment(lines, "V1", key=S.ITEM_ID, **WHOLE_CUTS)
+
+
+def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False, years=None):
+    """Dead-stock bundling: a line is flagged by its product id's V1 category,
+    the baskets hold product names, and a rule is kept when one of its names
+    is dead stock (category per name, last id wins).  On the whole ledger as
+    in the notebook, or with ``years`` on the app's window."""
+    lines = TB.sales_lines(spark, sf_dir, years=years)
+    by_id = _whole_segment(lines) if years is None else G.segment(lines, "V1", key=S.ITEM_ID)
     line_cat = by_id.select(F.col(S.ITEM_ID).alias("item"), "category")
     name_cat = BU.name_category(by_id, TB.products(spark, sf_dir))
     return BU.bundle_deadstock(lines, name_cat, supports, confs, item=S.NAME, normalise=normalise,
                                line_key=S.ITEM_ID, line_category=line_cat)
 
 
-def _deadstock_ctes(supports, confs, normalise=False):
+def _deadstock_ctes(supports, confs, normalise=False, years=None):
     """CTEs up to ``touch``: the grid's rules that name dead stock."""
     nm = "lower(trim(deskripsi_brg))" if normalise else "deskripsi_brg"
     pn = "lower(trim(p.p_name))" if normalise else "p.p_name"
@@ -169,7 +179,8 @@ def _deadstock_ctes(supports, confs, normalise=False):
             + (f"cat AS (SELECT lower(trim(nm)) AS item, max(category) AS category FROM ncat0 "
                f"WHERE lower(trim(nm)) IS NOT NULL AND category IS NOT NULL GROUP BY lower(trim(nm)))"
                if normalise else "cat AS (SELECT nm AS item, category FROM ncat0)"))
-    return f"""{Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {ncat}, {lines_src},
+    v1 = _WHOLE_V1 if years is None else Q.v1_cte("lines", "id_barang")
+    return f"""{Q.sales_cte(years=years)}, {v1}, {ncat}, {lines_src},
 {Q.multi_item_cte('nlines', 'deskripsi_brg')},
 jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang),
 dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
@@ -213,7 +224,7 @@ def _deadstock_out(rules):
 @register("M9_deadstock_grid", _deadstock_sql(DS_S, DS_C))
 def m9_deadstock_grid(spark, sf_dir):
     """M5 (J2, J5) -> M6 -> M7 -> M8 -> W1 / J9: dead-stock bundling over the Shopee
-    dead-stock grid; lines flagged by V1 on the last year per part, items
+    dead-stock grid on the whole ledger; lines flagged by V1 per part, items
     and rule categories by product name."""
     return _deadstock_out(deadstock_grid(spark, sf_dir))
 
@@ -259,10 +270,18 @@ def a1_rfm_metrics(spark, sf_dir):
 
 
 @register("G8_segment_v1", f"""
-WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
+WITH {Q.sales_cte()}, {_WHOLE_V1}
 {_seg_sql_out('id_barang')}""")
 def g8_segment_v1(spark, sf_dir):
-    """G8 V1 (G2, G3, G4 flat, ladder A = G6) per part on the last year."""
+    """G8 V1 (G2, G3, G4 flat, ladder A = G6) per part on the whole ledger."""
+    return _seg_out(_whole_segment(TB.sales_lines(spark, sf_dir, names=False)), S.ITEM_ID)
+
+
+@register("G8_segment_v1_year", f"""
+WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}
+{_seg_sql_out('id_barang')}""")
+def g8_segment_v1_year(spark, sf_dir):
+    """G8 V1 per part on the app's window (C7), at the shop's cut points."""
     return _seg_out(G.segment(_window_lines(spark, sf_dir, names=False), "V1", key=S.ITEM_ID), S.ITEM_ID)
 
 
@@ -1064,13 +1083,13 @@ _DSB_S, _DSB_C = [0.003], [0.1]
 
 
 def _deadstock_bundles(spark, sf_dir):
-    rules = deadstock_grid(spark, sf_dir, _DSB_S, _DSB_C).select(
+    rules = deadstock_grid(spark, sf_dir, _DSB_S, _DSB_C, years=1).select(
         "rule_key", "antecedent", "consequent", "support", "lift", "confidence")
     header, items = BU.normalise_bundles(R.dedup_rules(rules), TB.products(spark, sf_dir))
     return header.drop("rule_key"), items
 
 
-_DS_BUNDLES_SQL = f"""{_deadstock_ctes(_DSB_S, _DSB_C)},
+_DS_BUNDLES_SQL = f"""{_deadstock_ctes(_DSB_S, _DSB_C, years=1)},
 n2id AS (SELECT p_name AS nm, min(p_partkey) AS id_barang FROM part GROUP BY p_name),
 ds_header AS (SELECT DISTINCT rule_key, support, lift, confidence FROM touch),
 ds_items AS (SELECT DISTINCT x.rule_key, n.id_barang, n.nm, x.role FROM (
@@ -1369,16 +1388,16 @@ def j3_product_category(spark, sf_dir):
 
 
 @register("A18_matched_products", f"""
-WITH {Q.sales_cte(years=1)}, {Q.v1_cte('lines', 'id_barang')}, {Q.multi_item_cte()},
+WITH {Q.sales_cte()}, {_WHOLE_V1}, {Q.multi_item_cte()},
 jl AS (SELECT m.id_barang, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang)
 SELECT count(DISTINCT id_barang) FILTER (WHERE category IS NOT NULL) AS matched_products,
   count(DISTINCT id_barang) FILTER (WHERE category = '{S.CAT_DEADSTOCK}') AS deadstock_products FROM jl""")
 def a18_matched_products(spark, sf_dir):
-    """Multi-item lines of the last year with their part's V1
-    category: products matched and dead-stock products among them."""
-    win = _window_lines(spark, sf_dir)
-    cats = G.segment(win, "V1", key=S.ITEM_ID).select(F.col(S.ITEM_ID).alias("item"), "category")
-    lines = J.with_category(B.multi_item_baskets(win), cats, key=S.ITEM_ID)
+    """Multi-item lines of the ledger with their part's V1 category:
+    products matched and dead-stock products among them."""
+    ledger = TB.sales_lines(spark, sf_dir)
+    cats = _whole_segment(ledger).select(F.col(S.ITEM_ID).alias("item"), "category")
+    lines = J.with_category(B.multi_item_baskets(ledger), cats, key=S.ITEM_ID)
     return J.matched_products(lines, item=S.ITEM_ID)
 
 

@@ -154,12 +154,13 @@ def rfm_cte(src: str, key: str, name: str = "rfm") -> str:
             f"FROM {src} WHERE {key} IS NOT NULL GROUP BY {key})")
 
 
-def v1_cte(src: str, key: str, name: str = "seg") -> str:
+def v1_cte(src: str, key: str, name: str = "seg", f_cuts=S.FLAT_F_THRESHOLDS,
+           m_cuts=S.FLAT_M_THRESHOLDS) -> str:
     """V1 segmentation: (item, recency, frequency, monetary, r/f/m scores, category)."""
     return (rfm_cte(src, key, name + "_m") + ", "
             f"{name}_s AS (SELECT *, {recency_case('recency')} AS r_score, "
-            f"{cuts_case('frequency', S.FLAT_F_THRESHOLDS)} AS f_score, "
-            f"{cuts_case('monetary', S.FLAT_M_THRESHOLDS)} AS m_score FROM {name}_m), "
+            f"{cuts_case('frequency', f_cuts)} AS f_score, "
+            f"{cuts_case('monetary', m_cuts)} AS m_score FROM {name}_m), "
             f"{name} AS (SELECT *, {ladder_a('r_score', 'f_score', 'm_score')} AS category FROM {name}_s)")
 
 
