@@ -32,11 +32,14 @@ def bundle_all(lines: DataFrame, min_support: float, min_conf: float,
     return R.dedup_rules(R.mine_rules(bk, min_support, min_conf, num_partitions=num_partitions))
 
 
-def name_category(seg: DataFrame, product: DataFrame, key: str = S.ITEM_ID) -> DataFrame:
+def name_category(seg: DataFrame, product: DataFrame, key: str = S.ITEM_ID,
+                  normalise: bool = False) -> DataFrame:
     """Category per product *name* from a per-id segmentation; when
-    several ids share a name the last one (largest id) wins, as a dictionary
-    built in id order would.  Columns (item, category)."""
-    return (seg.select(key, "category").join(product.select(key, S.NAME), key)
+    several ids share a name (with ``normalise`` after lower-casing and
+    trimming) the last one (largest id) wins, as a dictionary built in id
+    order would.  Columns (item, category)."""
+    named = product.select(key, (normalise_name(S.NAME) if normalise else F.col(S.NAME)).alias(S.NAME))
+    return (seg.select(key, "category").join(named, key)
             .groupBy(S.NAME).agg(F.max_by("category", key).alias("category"))
             .select(F.col(S.NAME).alias("item"), "category"))
 
@@ -67,15 +70,14 @@ def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Seque
     """Dead-stock baskets mined over a grid, rules that touch dead
     stock, their category arrays and new/existing status.
 
-    ``normalise`` (M10) lower-cases and trims names on both sides and drops
-    null names/receipts first.  No dead-stock basket -> an empty, typed
+    ``normalise`` (M10) lower-cases and trims the lines' names and drops null
+    names/receipts first; ``item_category`` then holds normalised names (see
+    ``name_category``).  No dead-stock basket -> an empty, typed
     result (never an exception)."""
     if normalise:
         lines = (lines.withColumn(item, normalise_name(item))
                  .na.drop(subset=[item, S.NOTA]))
-        item_category = (item_category.withColumn("item", normalise_name("item"))
-                         .na.drop(subset=["item", "category"])
-                         .groupBy("item").agg(F.max("category").alias("category")))
+        item_category = item_category.na.drop(subset=["item", "category"])
     # one row per product, read by the basket filter, the rule filter and both
     # category arrays: materialised once
     item_category = materialise(item_category, "item_category")

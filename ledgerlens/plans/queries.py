@@ -162,9 +162,11 @@ def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False, ye
     in the notebook, or with ``years`` on the app's window."""
     lines = TB.sales_lines(spark, sf_dir, years=years)
     by_id = _whole_segment(lines) if years is None else G.segment(lines, "V1", key=S.ITEM_ID)
+    name_cat = BU.name_category(by_id, TB.products(spark, sf_dir), normalise=normalise)
+    if normalise:  # the notebook joins its lines to categories on the name
+        return BU.bundle_deadstock(lines, name_cat, supports, confs, item=S.NAME, normalise=True)
     line_cat = by_id.select(F.col(S.ITEM_ID).alias("item"), "category")
-    name_cat = BU.name_category(by_id, TB.products(spark, sf_dir))
-    return BU.bundle_deadstock(lines, name_cat, supports, confs, item=S.NAME, normalise=normalise,
+    return BU.bundle_deadstock(lines, name_cat, supports, confs, item=S.NAME,
                                line_key=S.ITEM_ID, line_category=line_cat)
 
 
@@ -174,15 +176,13 @@ def _deadstock_ctes(supports, confs, normalise=False, years=None):
     pn = "lower(trim(p.p_name))" if normalise else "p.p_name"
     lines_src = (f"nlines AS (SELECT kode_nota, id_barang, {nm} AS deskripsi_brg FROM lines "
                  f"WHERE {nm} IS NOT NULL AND kode_nota IS NOT NULL)")
-    ncat = (f"ncat0 AS (SELECT p.p_name AS nm, arg_max(s.category, s.item) AS category FROM seg s "
-            f"JOIN part p ON p.p_partkey = s.item GROUP BY p.p_name), "
-            + (f"cat AS (SELECT lower(trim(nm)) AS item, max(category) AS category FROM ncat0 "
-               f"WHERE lower(trim(nm)) IS NOT NULL AND category IS NOT NULL GROUP BY lower(trim(nm)))"
-               if normalise else "cat AS (SELECT nm AS item, category FROM ncat0)"))
+    ncat = (f"cat AS (SELECT {pn} AS item, arg_max(s.category, s.item) AS category FROM seg s "
+            f"JOIN part p ON p.p_partkey = s.item WHERE {pn} IS NOT NULL GROUP BY {pn})")
+    flag = "cat s ON s.item = m.deskripsi_brg" if normalise else "seg s ON s.item = m.id_barang"
     v1 = _WHOLE_V1 if years is None else Q.v1_cte("lines", "id_barang")
     return f"""{Q.sales_cte(years=years)}, {v1}, {ncat}, {lines_src},
 {Q.multi_item_cte('nlines', 'deskripsi_brg')},
-jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN seg s ON s.item = m.id_barang),
+jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN {flag}),
 dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
 {Q.baskets_cte('dl', 'deskripsi_brg')},
 {Q.rules_ctes('bk', min(supports), min(confs))},
