@@ -17,6 +17,7 @@ from .. import schema as S
 from ..functions.columns import sorted_text
 from ..operators import baskets as B
 from ..operators import rules as R
+from ..sources import io as IO
 from ..sources import tables as TB
 from . import sqlparts as Q
 
@@ -115,6 +116,43 @@ def m6_grid_all_products(spark, sf_dir):
     return rules_out(all_product_grid(spark, sf_dir), "sheet", "status")
 
 
+# Each shop platform's grids run on its own ledger; the driver's platforms are
+# market segments.
+PLATFORM_SEGMENT = {"Shopee": "BUILDING", "Tokopedia": "MACHINERY", "Lazada": "AUTOMOBILE", "Lazada V2": "HOUSEHOLD"}
+
+
+def _platform_grid_sql(platform):
+    supports, confs = S.ALL_PRODUCT_GRIDS[platform]
+    return f"""
+WITH {Q.sales_cte(platform=True)}, plines AS (SELECT * FROM lines WHERE platform = '{PLATFORM_SEGMENT[platform]}'),
+{Q.multi_item_cte('plines')}, {Q.baskets_cte('mlines', 'deskripsi_brg')},
+{Q.rules_ctes('bk', min(supports), min(confs))},
+grid AS (SELECT * FROM {Q.grid_values(supports, confs)}),
+cells AS (SELECT g.sheet, g.grid_ord, r.*, {Q.rule_key_sql('r.ante', 'r.cons')} AS rule_key
+  FROM rules r, grid g
+  WHERE r.cnt >= ceil(g.min_support * (SELECT n FROM n)) AND r.confidence >= g.min_confidence),
+status AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rule_key ORDER BY grid_ord) = 1
+  THEN 'new' ELSE 'existing' END AS status FROM cells)
+""" + rules_sql_out("status", "sheet, status, ")
+
+
+def _platform_lines(spark, sf_dir, platform):
+    return IO.platform_table(TB.sales_lines(spark, sf_dir, platform=True), PLATFORM_SEGMENT[platform])
+
+
+def _platform_grid(platform):
+    def run(spark, sf_dir):
+        supports, confs = S.ALL_PRODUCT_GRIDS[platform]
+        rules = R.mine_grid(B.multi_item_sets(_platform_lines(spark, sf_dir, platform)), supports, confs)
+        return rules_out(R.rule_status(rules), "sheet", "status")
+    run.__doc__ = f"M6/W1: the {platform} all-product grid on that platform's ledger."
+    return run
+
+
+for _platform in ("Shopee", "Tokopedia"):  # Lazada's grid has no rule on the driver tables
+    register(f"M6_grid_{_platform.lower()}", _platform_grid_sql(_platform))(_platform_grid(_platform))
+
+
 @register("A16_rule_status_summary", _GRID_SQL + """
 SELECT count(DISTINCT rule_key) AS unique_rules,
   CAST(sum(CASE WHEN status = 'new' THEN 1 ELSE 0 END) AS BIGINT) AS n_new,
@@ -155,12 +193,15 @@ def _whole_segment(lines):
     return G.segment(lines, "V1", key=S.ITEM_ID, **WHOLE_CUTS)
 
 
-def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False, years=None):
+def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False, years=None, platform="General"):
     """Dead-stock bundling: a line is flagged by its product id's V1 category,
     the baskets hold product names, and a rule is kept when one of its names
     is dead stock (category per name, last id wins).  On the whole ledger as
     in the notebook, or with ``years`` on the app's window."""
-    lines = TB.sales_lines(spark, sf_dir, years=years)
+    if platform == "General":
+        lines = TB.sales_lines(spark, sf_dir, years=years)
+    else:
+        lines = _platform_lines(spark, sf_dir, platform)
     by_id = _whole_segment(lines) if years is None else G.segment(lines, "V1", key=S.ITEM_ID)
     name_cat = BU.name_category(by_id, TB.products(spark, sf_dir), normalise=normalise)
     if normalise:  # the notebook joins its lines to categories on the name
@@ -170,7 +211,7 @@ def deadstock_grid(spark, sf_dir, supports=DS_S, confs=DS_C, normalise=False, ye
                                line_key=S.ITEM_ID, line_category=line_cat)
 
 
-def _deadstock_ctes(supports, confs, normalise=False, years=None):
+def _deadstock_ctes(supports, confs, normalise=False, years=None, platform=None):
     """CTEs up to ``touch``: the grid's rules that name dead stock."""
     nm = "lower(trim(deskripsi_brg))" if normalise else "deskripsi_brg"
     pn = "lower(trim(p.p_name))" if normalise else "p.p_name"
@@ -180,7 +221,11 @@ def _deadstock_ctes(supports, confs, normalise=False, years=None):
             f"JOIN part p ON p.p_partkey = s.item WHERE {pn} IS NOT NULL GROUP BY {pn})")
     flag = "cat s ON s.item = m.deskripsi_brg" if normalise else "seg s ON s.item = m.id_barang"
     v1 = _WHOLE_V1 if years is None else Q.v1_cte("lines", "id_barang")
-    return f"""{Q.sales_cte(years=years)}, {v1}, {ncat}, {lines_src},
+    sales = Q.sales_cte(years=years)
+    if platform is not None:
+        sales = Q.sales_cte(platform=True).replace(
+            "lines AS (SELECT * FROM all_lines)", f"lines AS (SELECT * FROM all_lines WHERE platform = '{platform}')")
+    return f"""{sales}, {v1}, {ncat}, {lines_src},
 {Q.multi_item_cte('nlines', 'deskripsi_brg')},
 jl AS (SELECT m.*, s.category FROM mlines m LEFT JOIN {flag}),
 dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
@@ -195,9 +240,9 @@ tkeys AS (SELECT DISTINCT s.rule_key FROM cells s, unnest(list_concat(s.ante, s.
 touch AS (SELECT * FROM cells WHERE rule_key IN (SELECT rule_key FROM tkeys))"""
 
 
-def _deadstock_sql(supports, confs, normalise=False):
+def _deadstock_sql(supports, confs, normalise=False, platform=None):
     return f"""
-WITH {_deadstock_ctes(supports, confs, normalise)},
+WITH {_deadstock_ctes(supports, confs, normalise, platform=platform)},
 status AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rule_key ORDER BY grid_ord) = 1
   THEN 'new' ELSE 'existing' END AS status FROM touch),
 acat AS (SELECT rule_key, string_agg(coalesce(c.category, '{S.UNKNOWN_CATEGORY}'), ', ' ORDER BY u.pos) AS ac
@@ -229,6 +274,18 @@ def m9_deadstock_grid(spark, sf_dir):
     return _deadstock_out(deadstock_grid(spark, sf_dir))
 
 
+def _platform_deadstock(platform):
+    def run(spark, sf_dir):
+        return _deadstock_out(deadstock_grid(spark, sf_dir, *S.DEADSTOCK_GRIDS[platform], platform=platform))
+    run.__doc__ = f"M9: the {platform} dead-stock grid on that platform's ledger."
+    return run
+
+
+for _platform in ("Tokopedia", "Lazada V2"):
+    register(f"M9_deadstock_grid_{_platform.lower().replace(' ', '_')}",
+             _deadstock_sql(*S.DEADSTOCK_GRIDS[_platform], platform=PLATFORM_SEGMENT[_platform]))(_platform_deadstock(_platform))
+
+
 LZ_S, LZ_C = S.DEADSTOCK_GRIDS["Lazada"]
 
 
@@ -241,7 +298,6 @@ def m10_deadstock_grid_normalised(spark, sf_dir):
 
 # ------------------------------------------------------------- segmentation
 from ..functions import columns as C  # noqa: E402
-from ..sources import io as IO  # noqa: E402
 
 # A keyword map for the driver tables (their product groups contain none of
 # the default keywords, which would type every product 'other').
