@@ -26,13 +26,14 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh_dir, make_folder, narrow, open_fs
+from .common import fresh_dir, make_folder, narrow, only_cache, open_fs, worker_cache
 
 #: Words of the lexicon at most, and the count from which a word is frequent.
 LEXICON_WORDS, MIN_COUNT = 65_536, 3
 #: Words that a task remembers or counts before it starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 #: Rows of an output batch.
 BATCH_ROWS = 256
 
@@ -293,11 +294,12 @@ class Encoder:
 
 # --- Spark ----------------------------------------------------------------
 
-_in_worker: dict[str, Encoder] = {}
+_in_worker: dict[str, Encoder] = worker_cache()
 
 
 def _encoder(key: str, source, lexicon_name: str | None) -> Encoder:
     """The worker's encoder, made once per worker process."""
+    only_cache(_in_worker)
     if key not in _in_worker:
         _in_worker.clear()
         lexicon = Lexicon(SparkFiles.get(lexicon_name)) if lexicon_name else None
@@ -311,6 +313,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", special: Iterable[str]
     cut = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
     def count(batches):
+        only_cache()
         counts: Counter[str] = Counter()
 
         def rows():
@@ -381,7 +384,24 @@ class Tokenizer:
                     ids = [encode(t) if t else b"" for t in part.column(text_col).to_pylist()]
                     yield _with_column(part, out_col, pa.array(ids, pa.binary()))
 
-        return _map(docs, run, out_col, "binary")
+        return _map(docs, run, (out_col, "binary"))
+
+    def round_trip(self, docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
+                   decoded_col: str = "decoded") -> DataFrame:
+        """``encode`` and, from its ids, ``decode`` in one pass, with one
+        worker process per task instead of two."""
+        key, source, lexicon = self._key, self._source, self._lexicon
+
+        def run(batches):
+            encoder = _encoder(key, source, lexicon)
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH_ROWS):
+                    part = batch.slice(at, BATCH_ROWS)
+                    ids = [encoder.encode(t) if t else b"" for t in part.column(text_col).to_pylist()]
+                    part = _with_column(part, ids_col, pa.array(ids, pa.binary()))
+                    yield _with_column(part, decoded_col, pa.array(map(encoder.decode, ids), pa.string()))
+
+        return _map(docs, run, (ids_col, "binary"), (decoded_col, "string"))
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
         """``encoded`` with the text of its ids, special tokens included."""
@@ -395,7 +415,7 @@ class Tokenizer:
                     texts = [decode(i or b"") for i in part.column(ids_col).to_pylist()]
                     yield _with_column(part, out_col, pa.array(texts, pa.string()))
 
-        return _map(encoded, run, out_col, "string")
+        return _map(encoded, run, (out_col, "string"))
 
 
 def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -403,19 +423,19 @@ def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), column], [*keep, name])
 
 
-def _map(df: DataFrame, run, name: str, kind: str) -> DataFrame:
-    from pyspark.sql import types as T
-    fields = [f for f in df.schema.fields if f.name != name]
+def _map(df: DataFrame, run, *columns: tuple[str, str]) -> DataFrame:
+    """``df.mapInArrow(run)``, whose columns of these names and types come last."""
+    names = [name for name, _ in columns]
     kinds = {"binary": T.BinaryType(), "string": T.StringType()}
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kinds[kind])]))
+    return df.mapInArrow(run, T.StructType([f for f in df.schema.fields if f.name not in names]
+                                           + [T.StructField(name, kinds[kind]) for name, kind in columns]))
 
 
 def digests(tokenizer: Tokenizer, docs: DataFrame, *, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
     rows = narrow(docs, doc_id=id_col, text=text_col)
-    encoded = tokenizer.encode(rows).select("doc_id", "ids")
-    return tokenizer.decode(encoded).select(
+    return tokenizer.round_trip(rows).select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

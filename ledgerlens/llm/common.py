@@ -9,10 +9,29 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, materialise, materialised_dir
 
-__all__ = ["commit_file", "ensure_checkpoint_dir", "fresh", "fresh_dir", "make_folder", "materialise", "narrow", "open_fs",
+__all__ = ["commit_file", "ensure_checkpoint_dir", "fresh", "fresh_dir", "make_folder", "materialise", "narrow",
+           "only_cache", "open_fs", "worker_cache",
            "shuffle_partitions", "table"]
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary of a module that its tasks keep for the next task of the
+    same worker process, until a task of another operator runs there."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def only_cache(mine: dict | None = None) -> None:
+    """At the start of a task: drop what other operators have kept in this
+    worker, so that a chain of operators holds one's memory at a time."""
+    for cache in _caches:
+        if cache is not mine:
+            cache.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, narrow
+from .common import materialise, narrow, only_cache
 
 #: Words of half a passage; passages overlap by half.
 HALF = 32
@@ -93,6 +93,7 @@ def numbered(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataF
     kind = items.kind
 
     def run(batches):
+        only_cache()
         number = _Numbers(vocabulary.value).__getitem__
         for batch in batches:
             out = []
@@ -241,6 +242,7 @@ def _summed(seqs: DataFrame, shape: tuple[int, int], per_batch, rows_per_block:
     blocks = [(i, min(i + rows_per_block, shape[0])) for i in range(0, shape[0], rows_per_block)]
 
     def run(batches):
+        only_cache()
         total = None
         for pdf in batches:
             part = per_batch([np.frombuffer(s, _kind) for s in pdf.s])
@@ -396,6 +398,7 @@ def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = CO
     key = seqs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        only_cache()
         items, space, queries, owner = shared.value
         checker = Checker(items, near, paraphrase)
         for pdf in batches:

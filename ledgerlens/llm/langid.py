@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow
+from .common import narrow, only_cache
 
 WINDOW, HIDDEN = 64, 8
 #: The training sample: documents per label, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 256, 8
 EPOCHS, BATCH, RATE = 10, 512, 0.02
 #: Windows that run side by side, and rows per output batch.
-SLAB, ROWS = 4096, 256
+SLAB, ROWS = 2048, 256
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -292,6 +292,7 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text", label_col:
     names = [f.name for f in keep]
 
     def run(batches):
+        only_cache()
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import materialise, narrow, shuffle_partitions
+from .common import materialise, narrow, only_cache, shuffle_partitions
 
 #: Words of an n-gram and the threshold in per cent.
 WORDS, PERCENT = 4, 85
@@ -39,7 +39,7 @@ WORDS, PERCENT = 4, 85
 #: so the postings of a hot n-gram never meet in one task.
 RARE = 32
 #: Hashes of a packed batch, of a hash range, and of a block of sets.
-BATCH_HASHES, RANGE_HASHES, BLOCK_HASHES = 4_000_000, 4_000_000, 1_500_000
+BATCH_HASHES, RANGE_HASHES, BLOCK_HASHES = 2_000_000, 1_500_000, 1_500_000
 MEMO_WORDS = 400_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -86,6 +86,7 @@ def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                   n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, cls: the 64-bit key of the set (null if empty)."""
     def run(batches):
+        only_cache()
         memo = _WordHashes()
         for batch in batches:
             sizes, keys = [], []
@@ -146,6 +147,7 @@ def _postings(docs: DataFrame, ranges: int, n: int) -> DataFrame:
     batch count once.  N-grams of at least RARE classes of the batch go as a
     mere mark to their range, and their postings to further groups."""
     def run(batches):
+        only_cache()
         memo = _WordHashes()
         held: dict[int, np.ndarray] = {}
         total = flushes = 0
@@ -212,6 +214,7 @@ def _count(ranges: int):
     """Group function: postings of one hash range -> those of n-grams of at
     least two classes, with the saturated frequency, by class range."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        only_cache()
         hashes, _, keys, sizes = _unpacked(pdf)
         if pdf.g.iloc[0] >= ranges:
             dfs = np.full(len(hashes), RARE)

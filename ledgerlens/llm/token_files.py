@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_chars, split_words
-from .common import commit_file, make_folder, materialise, narrow, open_fs, shuffle_partitions
+from .common import (commit_file, make_folder, materialise, narrow, only_cache, open_fs, shuffle_partitions,
+                     worker_cache)
 
 #: Ids of a sequence, and sequences of a batch.
 SEQUENCE, BATCH_SEQUENCES = 2048, 64
@@ -161,11 +162,12 @@ class _Words(dict):
         return ids
 
 
-_in_worker: dict[str, _Words] = {}
+_in_worker: dict[str, _Words] = worker_cache()
 
 
 def _words(key: str, source, dtype: np.dtype) -> _Words:
     """The worker's words, made once per worker process."""
+    only_cache(_in_worker)
     if key not in _in_worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _in_worker.clear()

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import commit_file, make_folder, materialise, narrow, open_fs, shuffle_partitions
+from .common import (commit_file, make_folder, materialise, narrow, only_cache, open_fs,
+                     shuffle_partitions)
 
 # fixed values of the formats
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -203,6 +204,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
              .repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "mark", "url"))
 
     def write(batches):
+        only_cache()
         task = TaskContext.get()
         fs, root = open_fs(folder)
         done, sink, writer, name, tmp, records = [], None, None, "", "", 0
