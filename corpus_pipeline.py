@@ -43,7 +43,7 @@ def tokens_stage(spark, docs, sf_dir):
     decode to the text."""
     tokenizer = bpe.Tokenizer(spark, tokenizer_path()).fit(docs)
     back = fresh(docs, "decoded")
-    decoded = tokenizer.decode(tokenizer.encode(docs), out_col=back)
+    decoded = tokenizer.round_trip(docs, decoded_col=back)
     return (decoded.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))
             .withColumn("round_trip", F.col(back) == F.coalesce(F.col("text"), F.lit(""))).drop(back))
 
