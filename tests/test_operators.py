@@ -373,7 +373,9 @@ def test_hot_tokens_give_the_same_scores(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["A3_baskets", "C11_multi_item_lines", "C12_multi_row_receipts"])
 def test_the_ledger_is_read_once(spark, name):
-    """Apart from the runtime filters that Spark may add by itself."""
+    """Apart from the runtime filters that Spark may add by itself, and from
+    tables that a miner of an earlier test has left cached."""
+    spark.catalog.clearCache()
     import __spark_entry__ as entry
     from conftest import SF001
     key = "spark.sql.optimizer.runtime.bloomFilter.enabled"
@@ -383,4 +385,5 @@ def test_the_ledger_is_read_once(spark, name):
         plan = entry.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(key, before)
-    assert plan.count("FileScan parquet [l_") == 1
+    scans = [line[:120] for line in plan.splitlines() if "FileScan parquet [l_" in line or "Join" in line or "Subquery" in line]
+    assert sum("FileScan parquet [l_" in line for line in scans) == 1, "\n".join(scans)
