@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, make_folder, narrow, only_cache, open_fs, worker_cache
+from .common import fresh_dir, make_folder, narrow, only_cache, open_fs, short_batches, worker_cache
 
 #: Words of the lexicon at most, and the count from which a word is frequent.
 LEXICON_WORDS, MIN_COUNT = 65_536, 3
@@ -343,6 +343,7 @@ class Tokenizer:
     the choice of words changes speed only, never ids."""
 
     def __init__(self, spark: SparkSession, path: str):
+        short_batches(spark)
         with open(path, encoding="utf-8") as f:
             self._text = f.read()
         self.vocabulary = Vocabulary(self._text)

@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialise, materialised_dir
 
 __all__ = ["commit_file", "ensure_checkpoint_dir", "fresh", "fresh_dir", "make_folder", "materialise", "narrow",
-           "only_cache", "open_fs", "worker_cache",
+           "only_cache", "open_fs", "short_batches", "worker_cache",
            "shuffle_partitions", "table"]
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and each
+#: task holds a batch several times on both sides.
+ARROW_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch, where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 _caches: list[dict] = []
 
 

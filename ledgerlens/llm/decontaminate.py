@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, narrow, only_cache
+from .common import materialise, narrow, only_cache, short_batches
 
 #: Words of half a passage; passages overlap by half.
 HALF = 32
@@ -44,6 +44,8 @@ BLOCK_ITEMS = 10_000
 SEED = 17
 #: Matrix entries worked on at once, so that products stay in cache.
 CHUNK = 8192
+#: Documents worked on at once.
+ROWS = 256
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -96,11 +98,12 @@ def numbered(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataF
         only_cache()
         number = _Numbers(vocabulary.value).__getitem__
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                found = words(text.as_py())
-                out.append(np.fromiter(map(number, found), kind, len(found)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "s"])
+            for at in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(at, ROWS), []
+                for text in part.column("text"):
+                    found = words(text.as_py())
+                    out.append(np.fromiter(map(number, found), kind, len(found)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "s"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col)
     return materialise(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, s binary"),
@@ -245,8 +248,9 @@ def _summed(seqs: DataFrame, shape: tuple[int, int], per_batch, rows_per_block:
         only_cache()
         total = None
         for pdf in batches:
-            part = per_batch([np.frombuffer(s, _kind) for s in pdf.s])
-            total = part.astype(np.float64) if total is None else total + part
+            for at in range(0, len(pdf), ROWS):
+                part = per_batch([np.frombuffer(s, _kind) for s in pdf.s.iloc[at:at + ROWS]])
+                total = part.astype(np.float64) if total is None else total + part
         if total is not None:
             mine = TaskContext.get().partitionId() % 64  # the same if the task runs again
             yield pd.DataFrame({"block": range(len(blocks)), "part": mine,
@@ -402,8 +406,8 @@ def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = CO
         items, space, queries, owner = shared.value
         checker = Checker(items, near, paraphrase)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at:at + 256]
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at:at + ROWS]
                 sequences = [np.frombuffer(s, items.kind) for s in part.s]
                 matrix, best = passages(sequences, space.idf), {}
                 row = 0
@@ -445,6 +449,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     * a benchmark of any size: ``block_items`` items are searched at a time
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rows = narrow(benchmark, item_id=item_id_col, text=item_text_col).where("item_id is not null")
     n = rows.count()
     key = docs.schema[id_col].dataType.simpleString()

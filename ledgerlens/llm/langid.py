@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow, only_cache
+from .common import narrow, only_cache, short_batches
 
 WINDOW, HIDDEN = 64, 8
 #: The training sample: documents per label, and windows of each.
@@ -245,6 +245,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     Without a labelled text with letters the model knows no label and every
     prediction is ``und``."""
+    short_batches(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -287,6 +288,7 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text", label_col:
     * equal texts get equal answers; repeated rows stay; empty table: no rows
     * columns named like the two new ones are replaced
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in (label_col, score_col)]
     names = [f.name for f in keep]

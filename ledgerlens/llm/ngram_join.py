@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import materialise, narrow, only_cache, shuffle_partitions
+from .common import materialise, narrow, only_cache, short_batches, shuffle_partitions
 
 #: Words of an n-gram and the threshold in per cent.
 WORDS, PERCENT = 4, 85
@@ -39,7 +39,7 @@ WORDS, PERCENT = 4, 85
 #: so the postings of a hot n-gram never meet in one task.
 RARE = 32
 #: Hashes of a packed batch, of a hash range, and of a block of sets.
-BATCH_HASHES, RANGE_HASHES, BLOCK_HASHES = 2_000_000, 1_500_000, 1_500_000
+BATCH_HASHES, RANGE_HASHES, BLOCK_HASHES = 1_000_000, 1_000_000, 1_500_000
 MEMO_WORDS = 400_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -98,6 +98,7 @@ def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())],
                 ["doc_id", "n_shingles", "cls"])
 
+    short_batches(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_chars, split_words
-from .common import (commit_file, make_folder, materialise, narrow, only_cache, open_fs, shuffle_partitions,
-                     worker_cache)
+from .common import (commit_file, make_folder, materialise, narrow, only_cache, open_fs, short_batches,
+                     shuffle_partitions, worker_cache)
 
 #: Ids of a sequence, and sequences of a batch.
 SEQUENCE, BATCH_SEQUENCES = 2048, 64
@@ -209,6 +209,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, end_
     special = [t.content for t in tok.get_added_tokens_decoder().values()] if _word_wise(tokenizer_json) else None
     key, source = uuid.uuid4().hex, spark.sparkContext.broadcast(tokenizer_json)
     make_folder(folder)
+    short_batches(spark)
     order = [F.asc_nulls_last("doc_id"), F.asc("_tie")]
     rows = (narrow(docs, doc_id=id_col, text=text_col)
             .withColumn("_tie", F.xxhash64("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (commit_file, make_folder, materialise, narrow, only_cache, open_fs,
-                     shuffle_partitions)
+                     short_batches, shuffle_partitions)
 
 # fixed values of the formats
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -199,6 +199,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     """
     spark = pages.sparkSession
     make_folder(folder)
+    short_batches(spark)
     n = files or shuffle_partitions(spark)
     dealt = (with_origins(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)
              .repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "mark", "url"))
