@@ -9,7 +9,8 @@
 3. Passages and benchmark items are compared by cosine in the latent space.
 4. A candidate counts if the longest common subsequence of words covers the
    item nearly whole, or, for a paraphrase, most of it while the item's answer
-   (its last sentence) stands there word by word.
+   stands there word by word: its last sentence, or what ``answer_words`` takes
+   where that is a word or two or nearly the whole item.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MAX_SHARE, ITEM_TERMS = 0.003, 8
 COSINE = 0.4
 #: Share of an item's words in common order: nearly whole; paraphrase.
 NEAR, PARAPHRASE = 0.8, 0.6
+#: Words of an answer at least.
+ANSWER = 4
 #: Items shorter than this must occur word by word.
 SHORT = 6
 #: Benchmark items searched at once; a larger benchmark takes several rounds.
@@ -60,6 +63,22 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def answer_words(text: str) -> int:
+    """How many of the item's last words are its answer.  The last sentence,
+    if it has ``ANSWER`` words and an edited item can hold it whole (less than
+    ``NEAR`` of the item); else the last sentences that have ``ANSWER`` words
+    together, if they are at most half of the item; else its last quarter, and
+    ``ANSWER`` words at least."""
+    lengths = [n for n in (len(words(s)) for s in _SENTENCE.split(text)) if n]
+    n = sum(lengths)
+    if ANSWER <= lengths[-1] < NEAR * n:
+        return lengths[-1]
+    joined = 0
+    while joined < ANSWER and lengths:
+        joined += lengths.pop()
+    return joined if ANSWER <= joined <= n / 2 else min(n, max(ANSWER, -(-n // 4)))
+
+
 @dataclass
 class Items:
     """Benchmark items as number sequences; the query set of a round."""
@@ -78,10 +97,9 @@ class Items:
             sequence = [number(w) for w in words(text)]
             if not sequence:
                 continue
-            last = [s for s in _SENTENCE.split(text) if _WORD.search(s)][-1]
             ids.append(item_id)
             sequences.append(sequence)
-            answers.append([numbers[w] for w in words(last)])
+            answers.append(sequence[-answer_words(text):])
         return cls(ids, sequences, answers, numbers)
 
     @property
@@ -385,7 +403,7 @@ class Checker:
         if share >= self._near:
             return share, "near"
         answer = self._items.answers[item]
-        if share >= self._paraphrase and len(answer) >= 4 and _contains(stretch[where:where + width], answer):
+        if share >= self._paraphrase and _contains(stretch[where:where + width], answer):
             return share, "paraphrase"
         return None
 

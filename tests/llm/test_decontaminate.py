@@ -110,6 +110,31 @@ def test_paraphrases_need_the_answer(spark):
         (1, 7, "near"), (1, 8, "near"), (2, 7, "paraphrase"), (2, 8, "paraphrase")]
 
 
+def _around(rng, vocabulary, words):
+    noise = lambda: [rng.choice(vocabulary) for _ in range(150)]
+    return " ".join([*noise(), *words, *noise()])
+
+
+def test_every_item_has_an_answer_that_a_paraphrase_can_hold(spark):
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    a, b, c = ([rng.choice(vocabulary) for _ in range(30)] for _ in range(3))
+    end = lambda w: " ".join(w) + ". "
+    bench = [(1, end(a[:20]) + end(a[20:28]) + end(a[28:])),  # a last sentence of two words
+             (2, end(b)),  # one sentence
+             (3, end(c[:29]) + end(c[29:]))]  # one word behind nearly all
+    edit = lambda w: [x if i % 3 else "other" for i, x in enumerate(w)]
+    rows = [(1, [*edit(a[:20]), *a[20:]]), (2, [*edit(b[:22]), *b[22:]]), (3, [*edit(c[:22]), *c[22:]]),
+            (4, [*edit(a[:20]), *a[20:26], "no", *a[27:]]), (5, [*edit(b[:22]), *b[22:28], "no", b[29]]), (6, [])]
+    rows = [(i, _around(rng, vocabulary, w)) for i, w in rows] + [(i, _around(rng, vocabulary, [])) for i in range(7, 60)]
+    got = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == [(i, i, "paraphrase") for i in (1, 2, 3)]
+    for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect():
+        n = len(d.words(r.text))
+        assert d.ANSWER <= d.answer_words(r.text) < d.NEAR * n
+
+
 def test_blocks_of_items_find_the_same(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()}
