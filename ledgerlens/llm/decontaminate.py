@@ -7,6 +7,8 @@
    randomised SVD finds the leading right singular vectors: tasks add up
    A^T (A X) and (A Q)^T (A Q), which are as large as the vocabulary only.
 3. Passages and benchmark items are compared by cosine in the latent space.
+   What it ranks too low is found by the items' rarest words: a stretch that
+   holds enough of an item holds some of them, so no candidate is lost.
 4. A candidate counts if the longest common subsequence of words covers the
    item nearly whole, or, for a paraphrase, most of it while the item's answer
    stands there word by word: its last sentence, or what ``answer_words`` takes
@@ -15,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,10 +48,14 @@ SHORT = 6
 #: Benchmark items searched at once; a larger benchmark takes several rounds.
 BLOCK_ITEMS = 10_000
 SEED = 17
+#: An item of n words is looked at where n // RARE_HITS of its rare words stand.
+RARE_HITS = 5
 #: Matrix entries worked on at once, so that products stay in cache.
 CHUNK = 8192
 #: Documents worked on at once.
 ROWS = 256
+#: Words looked up at once in the index of rare words.
+LOOKUP = 1 << 16
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -308,6 +315,7 @@ class LatentSpace:
     idf: np.ndarray
     vectors: np.ndarray
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def term_weights(counts: np.ndarray, halves: int, items: Items) -> np.ndarray:
@@ -344,7 +352,7 @@ def fit(seqs: DataFrame, items: Items, rank: int = RANK, seed: int = SEED) -> La
     gram = _summed(seqs, (q.shape[1], q.shape[1]), _Job(kind, lambda s: _gram(passages(s, basis.value[0]), basis.value[1])))
     values, u = np.linalg.eigh(gram + _gram(item_rows, q))
     top = np.argsort(values)[::-1][:rank]
-    return LatentSpace(idf, (q @ u[:, top]).astype(np.float32), np.sqrt(np.maximum(values[top], 0)))
+    return LatentSpace(idf, (q @ u[:, top]).astype(np.float32), np.sqrt(np.maximum(values[top], 0)), counts)
 
 
 # --- search and check -----------------------------------------------------
@@ -375,6 +383,71 @@ def _contains(sequence: list[int], part: list[int]) -> bool:
     return any(w == first and sequence[i:i + n] == part for i, w in enumerate(sequence[:len(sequence) - n + 1]))
 
 
+def window_words(n: int) -> int:
+    """Words of a window that is checked for an item of n: a quarter more."""
+    return n if n < SHORT else n + -(-n // 4)
+
+
+class RareWords:
+    """Where a document can hold an item, whatever its cosine.  A window that
+    has ``need`` of an item's n words in order misses n - need of them, so of
+    any n - need + k it has k: the index holds that many of each item's rarest,
+    and a stretch is a candidate for k hits within a window's length."""
+
+    def __init__(self, items: Items, counts: np.ndarray, share: float = PARAPHRASE):
+        self._k, self._width = np.zeros(len(items.ids), np.int64), np.zeros(len(items.ids), np.int64)
+        term, owner = [], []
+        for i, sequence in enumerate(items.sequences):
+            n, s = len(sequence), np.asarray(sequence)
+            need = n if n < SHORT else min(n, math.ceil(share * n - 1e-9))
+            k = max(1, min(need, n // RARE_HITS))
+            rare = np.unique(s[np.argsort(counts[s], kind="stable")[:n - need + k]])
+            term.append(rare)
+            owner.append(np.full(len(rare), i))
+            self._k[i], self._width[i] = k, window_words(n)
+        none = np.zeros(0, np.int64)
+        term, owner = np.concatenate([none, *term]), np.concatenate([none, *owner])
+        self._items = owner[np.argsort(term, kind="stable")]
+        per_term = np.bincount(term, minlength=len(items.vocabulary) + 1)
+        self._starts = np.concatenate([[0], np.cumsum(per_term)])
+
+    def stretches(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(sequence, item, begin, end), stretches of an item that touch as one."""
+        if not len(self._k):
+            return
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        gap = 2 * int(self._width.max())  # so that no stretch reaches the next sequence
+        first = np.cumsum(lengths + gap) - lengths - gap
+        flat = np.concatenate([*sequences, np.zeros(0, np.int64)]).astype(np.int64)
+        used = np.flatnonzero(self._starts[flat + 1] > self._starts[flat])
+        place = np.repeat(first - np.cumsum(lengths) + lengths, lengths)[used] + used
+        flat = flat[used]
+        found = []
+        for at in range(0, len(flat), LOOKUP):
+            stop = int(np.searchsorted(place, place[min(at + LOOKUP, len(flat)) - 1] + gap))
+            begin = self._starts[flat[at:stop]]
+            many = self._starts[flat[at:stop] + 1] - begin
+            entry = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            item, where = self._items[entry], np.repeat(place[at:stop], many)
+            order = np.argsort(item, kind="stable")
+            item, where = item[order], where[order]
+            last = np.arange(len(item)) + self._k[item] - 1
+            ok = np.flatnonzero(last < len(item))
+            ok = ok[(item[last[ok]] == item[ok]) & (where[last[ok]] - where[ok] < self._width[item[ok]])]
+            found.append(np.stack([item[ok], where[ok]]))
+        if not found:
+            return
+        item, where = np.unique(np.concatenate(found, axis=1), axis=1)
+        width = self._width[item]
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (where[1:] - where[:-1] >= 2 * width[1:])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(item)) - 1
+        for i, begin, end, w in zip(item[a].tolist(), where[a].tolist(), where[b].tolist() if len(a) else [], width[a].tolist()):
+            n = int(np.searchsorted(first, begin, side="right")) - 1
+            yield n, i, max(0, begin - w + 1 - int(first[n])), min(end + w - int(first[n]), int(lengths[n]))
+
+
 class Checker:
     """Decides whether a stretch of a document holds an item."""
 
@@ -389,8 +462,8 @@ class Checker:
         if n < SHORT:
             return (1.0, "exact") if _contains(stretch, s) else None
         need = min(self._near, self._paraphrase) * n
-        # windows a quarter longer than the item, an eighth of it apart
-        width, step = n + -(-n // 4), max(1, n // 8)
+        # windows an eighth of the item apart
+        width, step = window_words(n), max(1, n // 8)
         hits = np.cumsum([0, *(w in masks for w in stretch)])
         best, where = 0, 0
         for at in range(0, max(1, len(stretch) - width + step), step):
@@ -408,6 +481,18 @@ class Checker:
         return None
 
 
+def _cosine(sequence: np.ndarray, begin: int, end: int, queries: np.ndarray, space: LatentSpace) -> float:
+    """Largest latent cosine of the passages that touch a stretch."""
+    matrix, best, row = passages([sequence], space.idf), 0.0, 0
+    for _, _, y in matrix.times(space.vectors):
+        at = matrix.half[row:row + len(y)] * HALF
+        y = y[(at < end) & (at + 2 * HALF > begin)]
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        best = max(best, float((y @ queries.T).max(initial=0.0)))
+        row += len(at)
+    return best
+
+
 def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = COSINE,
            near: float = NEAR, paraphrase: float = PARAPHRASE) -> DataFrame:
     """doc_id, item_id, cosine, share, kind of all passages that hold an item;
@@ -416,12 +501,13 @@ def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = CO
     latent = [y for _, _, y in rows.times(space.vectors)]
     queries = np.concatenate(latent) if latent else np.zeros((0, space.vectors.shape[1]), np.float32)
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    shared = seqs.sparkSession.sparkContext.broadcast((items, space, queries, owner))
+    rare = RareWords(items, space.counts, min(near, paraphrase))
+    shared = seqs.sparkSession.sparkContext.broadcast((items, space, queries, owner, rare))
     key = seqs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         only_cache()
-        items, space, queries, owner = shared.value
+        items, space, queries, owner, rare = shared.value
         checker = Checker(items, near, paraphrase)
         for pdf in batches:
             for at in range(0, len(pdf), ROWS):
@@ -445,6 +531,14 @@ def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = CO
                         if found and (known is None or found[0] > known[1]):
                             best[i, item] = (float(cosines[r, c]), *found)
                     row += len(y)
+                for i, item, begin, end in rare.stretches(sequences):
+                    known = best.get((i, item))
+                    if known is not None and known[2] == "near" and known[1] == 1.0:
+                        continue
+                    found = checker.check(item, sequences[i][begin:end].tolist())
+                    if found and (known is None or found[0] > known[1]):
+                        value = known[0] if known else _cosine(sequences[i], begin, end, queries[owner == item], space)
+                        best[i, item] = (value, *found)
                 ids = part.doc_id.tolist()
                 out = [(ids[i], items.ids[item], *v) for (i, item), v in best.items()]
                 if out:
@@ -459,8 +553,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """doc_id, item_id, cosine, share, kind: which documents hold which items.
 
     * null, empty or wordless texts and items hold and match nothing
-    * an item of a few words is outweighed in a passage that it shares with most
-      of another item; elsewhere it is found word by word
+    * an item of a few words is found word by word
+    * ``cosine`` is that of the passage, also where it is below ``COSINE`` and
+      the item's rare words led to it
     * equal items are found each; repeated rows of a document give one row per
       document and item (the best share)
     * an empty table on either side: no rows; further columns are not carried

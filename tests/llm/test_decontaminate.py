@@ -135,6 +135,48 @@ def test_every_item_has_an_answer_that_a_paraphrase_can_hold(spark):
         assert d.ANSWER <= d.answer_words(r.text) < d.NEAR * n
 
 
+def test_two_thousand_items_are_found_as_by_brute_force(spark):
+    """Edited and verbatim copies, and an item in a third of the documents."""
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").orderBy("doc_id").collect() if d.words(r.text)]
+    long = [t for t in map(d.words, texts[600:]) if len(t) > 100]
+    bench = [r.text for r in spark.read.parquet(f"{SF01}/benchmark.parquet").orderBy("item_id").collect()]
+    while len(bench) < 2000:
+        source, n = rng.choice(long), rng.randrange(15, 60)
+        at = rng.randrange(len(source) - n)
+        bench.append(" ".join(source[at:at + n]))
+    items = d.Items.of(list(enumerate(bench)))
+    docs, planted = [], set()
+    for i, text in enumerate(texts[:600]):
+        found = d.words(text)
+        end = len(found)  # the next copy stands before the last one
+        put = [(d.words(bench[j]), j) for j in ([7] if i % 3 == 0 else []) + [100 + 3 * i]]
+        for copy, j in put:
+            if i % 2 and j != 7:  # words before the answer are replaced, as many as a paraphrase may lose
+                n, kept = len(copy), len(items.answers[j])
+                for at in rng.sample(range(n - kept), int(0.38 * n)):
+                    copy[at] = "replaced"
+            end = rng.randrange(end + 1)
+            found[end:end] = copy
+            planted.add((i, j))
+        docs.append((i, found))
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(8),
+        spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    assert planted <= got, (len(planted - got), len(planted))
+    # every pair that shares enough words at all, checked over the whole document
+    checker, padded = d.Checker(items), np.zeros((len(bench), 60), np.int64)
+    for j, s in enumerate(items.sequences):
+        padded[j, :len(s)] = s
+    need = 0.6 * np.array([len(s) for s in items.sequences])
+    for i, found in docs[::4]:
+        numbers, here = [items.vocabulary.get(w, 0) for w in found], np.zeros(len(items.vocabulary) + 1, bool)
+        here[numbers] = True
+        here[0] = False
+        for j in np.flatnonzero(here[padded].sum(1) >= need).tolist():
+            assert (i, j) in got or not checker.check(j, numbers), (i, j)
+
+
 def test_blocks_of_items_find_the_same(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()}
