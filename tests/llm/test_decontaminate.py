@@ -135,6 +135,28 @@ def test_every_item_has_an_answer_that_a_paraphrase_can_hold(spark):
         assert d.ANSWER <= d.answer_words(r.text) < d.NEAR * n
 
 
+def test_items_with_words_put_in_between(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    item = rng.sample(vocabulary, 40)
+
+    def spread(every):  # a further word behind every so many tenths of a word
+        out, left = [], 0
+        for w in item:
+            out.append(w)
+            left += every
+            while left >= 10:
+                out.append("further")
+                left -= 10
+        return out
+
+    rows = [(i, _around(rng, vocabulary, spread(e))) for i, e in enumerate([0, 5, 6, 10, 13, 20])]
+    rows += [(i, _around(rng, vocabulary, [])) for i in range(6, 60)]
+    got = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kind) for r in got) == [(i, "near") for i in range(5)]
+
+
 def test_two_thousand_items_are_found_as_by_brute_force(spark):
     """Edited and verbatim copies, and an item in a third of the documents."""
     rng = random.Random(8)
