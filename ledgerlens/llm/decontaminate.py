@@ -90,13 +90,13 @@ def answer_words(text: str) -> int:
 class Items:
     """Benchmark items as number sequences; the query set of a round."""
 
-    ids: list[int]
+    ids: list[int | None]
     sequences: list[list[int]]
     answers: list[list[int]]
     vocabulary: dict[str, int]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
         numbers: dict[str, int] = {}
         number = lambda w: numbers.setdefault(w, len(numbers) + 1)
         ids, sequences, answers = [], [], []
@@ -544,7 +544,8 @@ def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = CO
                 ids = part.doc_id.tolist()
                 out = [(ids[i], items.ids[item], *v) for (i, item), v in best.items()]
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "kind"])
+                    rows_out = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "kind"])
+                    yield rows_out.assign(item_id=pd.array([r[1] for r in out], "Int64"))  # null stays null, no float
 
     return seqs.mapInPandas(run, f"doc_id {key}, item_id long, cosine double, share double, kind string")
 
@@ -555,6 +556,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """doc_id, item_id, cosine, share, kind: which documents hold which items.
 
     * null, empty or wordless texts and items hold and match nothing
+    * items with a null id are searched like any other; their matches have a
+      null item_id, one row per document for all of them (the best share)
     * an item of a few words is found word by word
     * ``cosine`` is that of the passage, also where it is below ``COSINE`` and
       the item's rare words led to it
@@ -565,7 +568,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     short_batches(spark)
-    rows = narrow(benchmark, item_id=item_id_col, text=item_text_col).where("item_id is not null")
+    rows = narrow(benchmark, item_id=item_id_col, text=item_text_col)
     n = rows.count()
     key = docs.schema[id_col].dataType.simpleString()
     found = [spark.createDataFrame([], f"doc_id {key}, item_id long, cosine double, share double, kind string")]

@@ -157,6 +157,19 @@ def test_items_with_words_put_in_between(spark):
     assert sorted((r.doc_id, r.kind) for r in got) == [(i, "near") for i in range(5)]
 
 
+def test_items_without_an_id_are_searched(spark):
+    docs = spark.createDataFrame([(1, "so alpha beta gamma it is"), (2, "delta epsilon too, alpha beta gamma"),
+                                  (3, "one two three"), (4, "no item")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "Alpha beta gamma."), (None, "delta epsilon"), (5, "One two."), (None, None)],
+                                  "item_id long, text string")
+    got = d.contaminated(docs, bench)
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got.collect()) == [(1, None, "exact"), (2, None, "exact"), (3, 5, "exact")]
+    assert got.schema["item_id"].dataType.simpleString() == "bigint"
+    assert [r.doc_id for r in d.drop_contaminated(docs, bench).collect()] == [4]
+    big = d.contaminated(docs.coalesce(1), spark.createDataFrame([(None, "no item"), (2**60 + 1, "one two")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in big.collect()) == [(3, 2**60 + 1), (4, None)]
+
+
 def test_two_thousand_items_are_found_as_by_brute_force(spark):
     """Edited and verbatim copies, and an item in a third of the documents."""
     rng = random.Random(8)
