@@ -16,9 +16,15 @@ from ledgerlens.llm.queries import tokenizer_path
 
 
 def language_stage(spark, docs, sf_dir):
-    """Rejects documents that are in no language: without a letter or text."""
+    """Rejects documents that are in no language: without a letter or text.
+    It rejects on letters alone; the network names a language for every other
+    document and its probabilities reject none.  Without a labelled row to train
+    on the documents with letters stay as well."""
+    model = langid.train(docs)
+    if not model.labels:
+        return langid.lettered(docs)
     label, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    found = langid.detect(docs, langid.train(docs), label_col=label, score_col=score)
+    found = langid.detect(docs, model, label_col=label, score_col=score)
     return found.where(F.col(label) != langid.UNKNOWN).drop(label, score)
 
 

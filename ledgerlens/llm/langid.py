@@ -317,6 +317,19 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text", label_col:
                                               T.StructField(score_col, T.DoubleType())]))
 
 
+def lettered(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter; no model is asked."""
+    short_batches(docs.sparkSession)
+
+    def run(batches):
+        only_cache()
+        for batch in batches:
+            keep = [bool(t) and has_letter(t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_runs(model: Model, text: str) -> list[tuple[int, int, str]]:
     """Runs (first byte, end byte, label) of equally labelled positions."""
     raw = text.encode()

@@ -88,3 +88,15 @@ def test_stages_take_empty_and_odd_tables(spark):
             stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
             docs = spark.read.schema(docs.schema).parquet(path) if name != "bpe" else spark.read.parquet(path)
         assert sorted((r.doc_id or 0) for r in docs.collect()) == ([0, 3] if rows else [])
+
+
+def test_lettered_documents_stay_without_a_label_to_train_on(spark):
+    schema = "doc_id long, text string, lang string, _lang_pred int"
+    rows = [(1, "a word", None, 1), (2, "é", None, 2), (3, "12 ?!", None, 3), (4, None, None, 4), (5, "", None, 5),
+            (6, "a word", None, 6)]
+    odd = [(1, "a word", None, 1), (2, "12", "en", 2), (3, "", "de", 3)]  # the labelled rows have no letter
+    for table, kept in ((rows, [1, 2, 6]), (odd, [1])):
+        docs = spark.createDataFrame(table, schema)
+        got = corpus_pipeline.language_stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.schema == docs.schema
+        assert sorted(got.collect()) == [tuple(r) for r in table if r[0] in kept]
