@@ -34,6 +34,9 @@ MIN_REVISIT = 100
 #: Bytes of records a file's dictionary is built from, the dictionary's size,
 #: and the compressed size at which a task begins its next file.
 SAMPLE_BYTES, DICTIONARY_BYTES, FILE_BYTES = 1 << 20, 32 << 10, 64 << 20
+#: A record counts up to so many bytes towards the sample; a dictionary needs so
+#: many records, which are waited for; with them, so many whole bytes are held.
+RECORD_SAMPLE, MIN_RECORDS, HELD_BYTES = 4096, 8, 16 << 20
 LEVEL = 3
 #: Records without a capture date of their own carry this one.
 DATE = "2024-01-01T00:00:00Z"
@@ -86,12 +89,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A dictionary from records, or None where they are too few or too small
     to gain from one; such a file has no dictionary frame."""
-    total = sum(map(len, records))
-    size = min(DICTIONARY_BYTES, total // 8)
-    if len(records) < 8 or size < 512:
-        return None
     # samples of bounded size, so that one long page does not fill the sample
-    samples = [r[:4096] for r in records]
+    samples = [r[:RECORD_SAMPLE] for r in records]
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    if len(records) < MIN_RECORDS or size < 512:
+        return None
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8)
     except zstandard.ZstdError:
@@ -102,15 +104,16 @@ class ArchiveWriter:
     """Buffers the first records, builds the dictionary, then streams."""
 
     def __init__(self, sink):
-        self._sink, self._head, self._size = sink, [], 0
+        self._sink, self._head, self._size, self._held = sink, [], 0, 0
         self._compressor: zstandard.ZstdCompressor | None = None
         self.bytes = 0
 
     def add(self, record: bytes) -> None:
         if self._compressor is None:
             self._head.append(record)
-            self._size += len(record)
-            if self._size >= SAMPLE_BYTES:
+            self._size += min(len(record), RECORD_SAMPLE)
+            self._held += len(record)
+            if len(self._head) >= MIN_RECORDS and (self._size >= SAMPLE_BYTES or self._held >= HELD_BYTES):
                 self._begin()
         else:
             self._write(self._compressor.compress(record))

@@ -5,6 +5,7 @@ import io
 import struct
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 
@@ -90,3 +91,20 @@ def test_files_roll_over(spark, monkeypatch):
     with pytest.raises((EOFError, zstandard.ZstdError)):
         list(warc.read_archive(io.BytesIO(out.getvalue()[:-3])))
     assert list(warc.read_archive(io.BytesIO(b""))) == []
+
+
+@pytest.mark.parametrize("long", [0, 1, 6, 7])
+def test_a_long_page_among_the_first_leaves_the_dictionary(long):
+    random = np.random.default_rng(1)
+    records = [warc.page_record(i, f"http://h/{i}", random.bytes(20 << 20) if i == long else
+                                f"<html><body><p>common words of page {i % 17}</p></body></html>".encode() * 5, "", None, False)
+               for i in range(1500)]
+    sink = io.BytesIO()
+    writer = warc.ArchiveWriter(sink)
+    for r in records:
+        writer.add(r)
+    writer.close()
+    data = sink.getvalue()
+    assert struct.unpack("<I", data[:4])[0] == warc.SKIPPABLE_MAGIC
+    back = [h["x-page-id"] for h, _ in warc.read_archive(io.BytesIO(data)) if h["warc-type"] != "warcinfo"]
+    assert back == [str(i) for i in range(1500)]
