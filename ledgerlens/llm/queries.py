@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, ngram_join, sharding, token_files, url_lists, warc
+from . import (bpe, chat, collocations, decontaminate, exact_dedup, langid, multiset_hash, ngram_join, sharding, spelling,
+               token_files, url_lists, warc)
 from .common import fresh_dir, table
 
 #: The tokenizers file of the queries; any path of the same format will do.
@@ -199,3 +200,82 @@ def op10(spark, sf_dir):
     index = token_files.write_token_files(table(spark, sf_dir, "documents"),
                                           fresh_dir(spark, "token-files"), source, end_id=2)
     return token_files.read_token_files(index, with_ids=False)
+
+
+@query("op11_multiset_hash")
+def op11(spark, sf_dir):
+    """All documents' fingerprints, beside those of their edited texts."""
+    return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pivotal_grams", f"""
+WITH RECURSIVE bits AS (
+  SELECT i AS n, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x
+            FROM runs WHERE length(run) >= {spelling.MIN_CHARS} GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) AS h FROM counted, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % {spelling.THINNED} = 0 THEN substr(run, 1, (h % length(run))::BIGINT)
+                || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b
+    ON a.less = b.less AND a.i = b.i AND a.word != b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM cut a JOIN words w ON a.less = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM cut a JOIN words w ON a.less = w.word),
+best AS (SELECT word, n, count(*) AS n_near, max(other_n) AS other_n, arg_min(other, (-other_n, other)) AS other
+         FROM near GROUP BY word, n),
+forms AS (SELECT word, n_near, CASE WHEN other_n >= {spelling.FORM_RATIO} * n THEN other END AS form,
+                 CASE WHEN other_n >= {spelling.FORM_RATIO} * n THEN other_n END AS form_n FROM best),
+way AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+        UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NOT NULL),
+ends AS (SELECT way.word, way.at AS root FROM way LEFT JOIN forms f ON f.word = way.at WHERE f.form IS NULL)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN forms f ON f.word = w.word LEFT JOIN ends e ON e.word = w.word""")
+def op12(spark, sf_dir):
+    """All words of the documents with their variants."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_misra_gries", f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, {collocations.WORDS + 1}) t(k))),
+f AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS phrase, k, any_value(g) AS g, count(*) AS f
+                   FROM grams GROUP BY lang, k, array_to_string(g, ' ')),
+cand AS (SELECT * FROM f WHERE k >= 2 AND f >= {collocations.LEAST}),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(g[1:2], ' '), array_to_string(g[2:3], ' ')]) AS phrase FROM cand WHERE k = 3)
+  GROUP BY lang, phrase),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, c.g, cut FROM cand c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase,
+         range(1, 3) t(cut) WHERE cut < c.k AND (o.f IS NULL OR 100 * o.f < {collocations.INSIDE} * c.f)),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f))::BIGINT AS score,
+         row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY (1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f), cut) AS nth
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.g[1:cut], ' ')
+              JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.g[cut + 1:], ' ')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM scored WHERE nth = 1),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, r.score FROM ranked r JOIN sizes s ON s.lang = r.lang
+WHERE r.rank <= {collocations.TOP}""")
+def op13(spark, sf_dir):
+    """Every language's collocations over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
