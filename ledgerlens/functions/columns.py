@@ -193,3 +193,12 @@ def rule_key(ante, cons) -> Column:
 def sheet_label(support: float, confidence: float) -> str:
     """Grid cell label as the notebook prints it (Python float text)."""
     return f"Sup{support}_Conf{confidence}_Rules"
+
+
+def row_hash(df) -> Column:
+    """A row's 64-bit hash over all columns by name, as an exact decimal, so
+    that sums over any number of rows neither overflow nor depend on the order
+    of rows or columns.  Names stand between the values: a null counts where
+    it is."""
+    parts = [x for c in sorted(df.columns) for x in (F.lit(c), F.col(f"`{c}`"))]
+    return F.xxhash64(*parts).cast("decimal(38,0)")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.ordered import global_rank
+from ..functions.ordered import PagedTable, global_rank, grouped_rank
 
 
 def support_order() -> list:
@@ -32,6 +32,18 @@ def precision_at_k(rules: DataFrame, order=None, validity: str = "validity") ->
                          (F.col("valid_at_k") / F.col("k")).alias("precision"))
 
 
+def precision_curves(rules: DataFrame, by: Sequence[str], order=None, validity: str = "validity") -> DataFrame:
+    """W2, one curve per group (a file, a sheet, a platform): for every
+    k = 1..n of the group under ``order`` (a total order within the group)
+    the valid ones among its top k, and their share.  A segmented prefix sum,
+    so a group with most of the rules is still spread over tasks."""
+    order = order or support_order()
+    labelled = rules.where(F.col(validity).isNotNull())
+    ranked = grouped_rank(labelled, by, order, rank_col="k", running={"valid_at_k": F.col(validity)})
+    return ranked.select(*by, "k", F.col("valid_at_k").cast("long").alias("valid_at_k"),
+                         (F.col("valid_at_k") / F.col("k")).alias("precision"))
+
+
 def curve_points(curve: DataFrame, parts: int = 10) -> DataFrame:
     """Every max(1, N // parts)-th point starting at k = 1 (10 for the
     printed points, 7 for the labelled ones)."""
@@ -117,12 +129,19 @@ def top_k(df: DataFrame, k: int, order) -> DataFrame:
 
 def page(df: DataFrame, n: int, order, rows: int = S.PAGE_ROWS) -> DataFrame:
     """Page ``n`` (1-based) of ``rows`` rows with their row numbers: a
-    distributed take-ordered up to the page's end, then the page's rows."""
+    distributed take-ordered up to the page's end, then the page's rows.  For
+    the first pages of a table that is read once; ``paged`` serves any page."""
     skip = (n - 1) * rows
     pg = df.orderBy(*order).offset(skip).limit(rows)
     return pg.withColumn("_row", F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(skip))
 
 
+def paged(df: DataFrame, order, rows: int = S.PAGE_ROWS) -> PagedTable:
+    """``df`` written once in page order; ``.pages(n, ...)`` reads only the
+    range partitions that hold the pages, late ones as cheaply as the first."""
+    return PagedTable(df, order, rows)
+
+
 def page_totals(df: DataFrame, rows: int = S.PAGE_ROWS) -> DataFrame:
     """Total rows and pages."""
     return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(

@@ -10,12 +10,17 @@ broadcast cross join — never through the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
+from ..functions.columns import row_hash
+from ..functions.ordered import global_rank
+from ..session import materialise
+from .joins import merge_ids
 
 
 # ---------------------------------------------------------------- cleaning
@@ -56,17 +61,69 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     numeric quantity.  A row is charged to the first step that drops it.
     (The original's second counter had its sign inverted; this reports the
     true, positive number.)"""
+    return raw.select(_dropping_step(raw).alias("_s")).agg(*_report_columns("_s"))
+
+
+def _dropping_step(raw: DataFrame) -> F.Column:
+    """Number of the app cleaning step that drops a row, 0 for a kept one."""
     bad_date = _date(raw).isNull()
     nulls = F.col(S.RAW_NOTA).isNull() | F.col(S.RAW_NAME).isNull() | F.col(S.RAW_GROUP).isNull() \
         | F.col(S.RAW_QTY).isNull()
     bad_qty = C.coerce_qty_int(S.RAW_QTY).isNull()
-    step = F.when(bad_date, 1).when(nulls, 2).when(bad_qty, 3).otherwise(0)
-    return raw.select(step.alias("_s")).agg(
-        F.count(F.lit(1)).alias("initial_rows"),
-        F.sum(F.when(F.col("_s") == 1, 1).otherwise(0)).cast("long").alias("dropped_dates"),
-        F.sum(F.when(F.col("_s") == 2, 1).otherwise(0)).cast("long").alias("dropped_other"),
-        F.sum(F.when(F.col("_s") == 3, 1).otherwise(0)).cast("long").alias("dropped_numeric"),
-        F.sum(F.when(F.col("_s") == 0, 1).otherwise(0)).cast("long").alias("kept_rows"))
+    return F.when(bad_date, 1).when(nulls, 2).when(bad_qty, 3).otherwise(0)
+
+
+def _report_columns(step: str) -> list:
+    def rows(n: int) -> F.Column:
+        return F.count(F.when(F.col(step) == n, 1))
+    return [F.count(F.lit(1)).alias("initial_rows"), rows(1).alias("dropped_dates"), rows(2).alias("dropped_other"),
+            rows(3).alias("dropped_numeric"), rows(0).alias("kept_rows")]
+
+
+#: Folders of ``clean_app_to``: the kept rows, and those that a step dropped.
+CLEANED, QUARANTINE = 0, "quarantine"
+DROPPING_STEPS = {1: "date", 2: "missing value", 3: "quantity"}
+
+
+class CleanedLedger:
+    """What ``clean_app_to`` wrote: ``rows`` (as ``clean_app`` gives them),
+    ``quarantine`` (the raw columns of dropped rows with the step that dropped
+    them) and ``report`` (as ``cleaning_report`` gives it, one row)."""
+
+    def __init__(self, written: DataFrame, raw_columns: Sequence[str], counts: dict, fingerprint: int):
+        extra = [c for c in raw_columns if c not in S.RAW_COLUMNS]
+        kept = [S.NOTA, S.DATE, S.NAME, S.GROUP, S.QTY]
+        step = F.col("_step")
+        self.rows = written.where(step == CLEANED).select(*kept, *extra)
+        label = F.element_at(F.create_map(*[F.lit(x) for kv in DROPPING_STEPS.items() for x in kv]), step)
+        self.quarantine = written.where(step != CLEANED).select(
+            label.alias("step"), *[F.col(f"_raw{i}").alias(c) for i, c in enumerate(S.RAW_COLUMNS)], *extra)
+        names = ["initial_rows", "dropped_dates", "dropped_other", "dropped_numeric", "kept_rows"]
+        self.counts = {c: int(counts[c]) for c in names}
+        self.report = written.sparkSession.createDataFrame(
+            [tuple(self.counts.values())], ", ".join(f"{c} long" for c in names))
+        self.fingerprint, self.schema = fingerprint, written.schema
+
+
+def clean_app_to(raw: DataFrame, path: str) -> CleanedLedger:
+    """C3, C2, C4, C10 and C6 in one read of the raw ledger: the cleaned rows
+    and the quarantine are written under ``path`` (one folder per step), and
+    the report is observed while they are written; so is a fingerprint of the
+    raw rows (``fingerprint``), whatever their order."""
+    step = _dropping_step(raw)
+    cleaned = raw.select(
+        F.col(S.RAW_NOTA).cast("string").alias(S.NOTA), _date(raw).alias(S.DATE),
+        F.trim(F.col(S.RAW_NAME).cast("string")).alias(S.NAME),
+        F.trim(F.col(S.RAW_GROUP).cast("string")).alias(S.GROUP), C.coerce_qty_int(S.RAW_QTY).alias(S.QTY),
+        *[F.when(step != CLEANED, F.col(f"`{c}`").cast("string")).alias(f"_raw{i}") for i, c in enumerate(S.RAW_COLUMNS)],
+        *[c for c in raw.columns if c not in S.RAW_COLUMNS],
+        step.alias("_step"), row_hash(raw).alias("_hash"))
+    seen = Observation("cleaning")
+    cleaned = cleaned.observe(seen, *_report_columns("_step"), F.sum("_hash").alias("fingerprint")).drop("_hash")
+    cleaned.write.mode("overwrite").partitionBy("_step").parquet(path)
+    counts = seen.get
+    written = raw.sparkSession.read.schema(cleaned.schema).parquet(path)
+    return CleanedLedger(written, raw.columns, counts, int(counts["fingerprint"] or 0))
 
 
 def reference_date(lines: DataFrame, date: str = S.DATE) -> DataFrame:
@@ -109,6 +166,56 @@ def rfm_metrics(lines: DataFrame, key: str = S.NAME, with_group: bool = False) -
             .drop("_last", "ref_date"))
 
 
+class SplitReceiptError(ValueError):
+    """Raised with the number of receipts that have lines of several dates."""
+
+
+def check_receipt_dates(lines: DataFrame) -> DataFrame:
+    """A receipt has one date; fail if one has several (roll-ups add up
+    receipts over dates).  One aggregate with partial aggregation."""
+    split = (lines.where(F.col(S.NOTA).isNotNull()).groupBy(S.NOTA)
+             .agg((F.min(S.DATE) < F.max(S.DATE)).alias("_two")).where("_two").count())
+    if split:
+        raise SplitReceiptError(f"{split} receipts have lines of several dates")
+    return lines
+
+
+def daily_rollup(lines: DataFrame, key: str = S.NAME) -> DataFrame:
+    """A mergeable roll-up of the ledger: per product (null for lines without
+    one) and date the distinct receipts and the quantity.
+
+    As a receipt has one date (``check_receipt_dates``), its receipts add up
+    over dates, so metrics of any window, and of any new days that are merged
+    in (``merge_rollups``), come from the roll-up and not from the ledger."""
+    return lines.groupBy(key, S.DATE).agg(F.countDistinct(S.NOTA).alias("receipts"),
+                                          F.coalesce(F.sum(S.QTY), F.lit(0)).alias("quantity"))
+
+
+def merge_rollups(*parts: DataFrame, key: str = S.NAME) -> DataFrame:
+    """One roll-up of the ledgers (of distinct receipts) behind ``parts``."""
+    return (reduce(DataFrame.unionByName, parts).groupBy(key, S.DATE)
+            .agg(F.sum("receipts").alias("receipts"), F.sum("quantity").alias("quantity")))
+
+
+def window_metrics(rollup: DataFrame, years: Sequence[int] = S.TREND_YEARS, key: str = S.NAME) -> DataFrame:
+    """A1/A2/C7 for several trailing windows from one roll-up: years, product,
+    recency, frequency, monetary.
+
+    A window of ``y`` years has the dates from the latest one minus ``y`` years
+    on, as in ``trailing_window``; a row of the roll-up counts in each window
+    that holds its date (at most ``len(years)`` rows), so the ledger is read
+    once for all."""
+    ref = rollup.agg(F.max(S.DATE).alias("ref_date"))
+    within = [F.when(F.col(S.DATE) >= F.col("ref_date") - F.expr(f"make_ym_interval({int(y)}, 0)"), F.lit(int(y)))
+              for y in years]
+    held = (rollup.where(F.col(key).isNotNull()).crossJoin(F.broadcast(ref))
+            .withColumn("years", F.explode(F.array_compact(F.array(*within)))))
+    return (held.groupBy("years", key)
+            .agg(F.max(S.DATE).alias("_last"), F.max("ref_date").alias("_ref"),
+                 F.sum("receipts").alias("frequency"), F.sum("quantity").alias("monetary"))
+            .withColumn("recency", _days_between("_ref", "_last")).drop("_last", "_ref"))
+
+
 def _first_group(order: str = S.DATE) -> F.Column:
     """'first non-null group seen': the group of the earliest line (ties:
     the smallest group text) — explicit, since Spark rows have no order."""
@@ -243,13 +350,26 @@ def class_counts(classes: DataFrame) -> DataFrame:
 # ------------------------------------------------- product dimension (app)
 
 def product_dimension(lines: DataFrame, dead_report: DataFrame | None = None,
-                      order: str = S.DATE) -> DataFrame:
+                      order: str = S.DATE, known: DataFrame | None = None) -> DataFrame:
     """One row per trimmed name with the group of its first line,
     then dead-stock names absent from the sales appended; ids follow that
     order (sold names by first sale, then dead names), numbered with a
     distributed global rank.  Columns: id_barang, deskripsi_brg,
-    jenis_barang, is_deadstock."""
-    from ..functions.ordered import global_rank
+    jenis_barang, is_deadstock.
+
+    With ``known`` (deskripsi_brg, id_barang of earlier loads, see
+    ``joins.merge_ids``) known names keep their id and new ones continue after
+    the greatest, so what was stored under an id stays right."""
+    dims, place = _product_names(lines, dead_report, order)
+    if known is not None:
+        dims = materialise(dims, "product-names")
+        ids = merge_ids(known, dims, S.NAME, place)
+        return dims.join(ids, S.NAME).select(S.ITEM_ID, S.NAME, S.GROUP, "is_deadstock")
+    return global_rank(dims, place, rank_col=S.ITEM_ID).select(S.ITEM_ID, S.NAME, S.GROUP, "is_deadstock")
+
+
+def _product_names(lines: DataFrame, dead_report: DataFrame | None, order: str = S.DATE):
+    """(one row per product name, the order of their ids)."""
     sold = (lines.select(F.trim(F.col(S.NAME)).alias(S.NAME), S.GROUP, order)
             .where(F.col(S.NAME).isNotNull())
             .groupBy(S.NAME)
@@ -262,8 +382,15 @@ def product_dimension(lines: DataFrame, dead_report: DataFrame | None = None,
         dead = unsold_deadstock(dead_report, sold)
         dims = sold.unionByName(dead.select(F.lit(1).alias("_part"), F.lit("").alias("_o"), S.NAME,
                                             S.GROUP, F.lit(True).alias("is_deadstock")))
-    ranked = global_rank(dims, [F.col("_part"), F.col("_o"), F.col(S.NAME)], rank_col=S.ITEM_ID)
-    return ranked.select(S.ITEM_ID, S.NAME, S.GROUP, "is_deadstock")
+    return dims, [F.col("_part"), F.col("_o"), F.col(S.NAME)]
+
+
+def product_ids(lines: DataFrame, dead_report: DataFrame | None = None, order: str = S.DATE,
+                known: DataFrame | None = None) -> DataFrame:
+    """The registry of product names (deskripsi_brg, id_barang) after this
+    load, see ``joins.merge_ids``."""
+    dims, place = _product_names(lines, dead_report, order)
+    return merge_ids(known, dims, S.NAME, place)
 
 
 def unsold_deadstock(dead_report: DataFrame, sold_names: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ Pairs come from an inverted-index equi-join on the token — only documents
 that share a token ever meet, no cross join.  Pairs are
 found through an exact bound-based index (tokens ordered rare-first; a token
 is indexed while the rest of the vector could still reach the threshold,
-bounded with each token's largest weight on the other side), so frequent
-tokens do not pair up every document that contains them; every found pair
-is then scored over its complete vectors (all tokens of the whole texts).
+bounded with each token's largest weight on the other side and with the rest's
+L2 norm), so frequent tokens do not pair up every document that contains them.
+A pair whose indexed tokens and what can follow them stay below the threshold
+leaves; every other found pair is scored over its complete vectors (all tokens
+of the whole texts).
 
 Hot tokens: values per token (document frequency, largest weight) reach the
 postings of a token above ``hot_bound`` by broadcast, whose size that bound
@@ -29,6 +31,7 @@ from .. import schema as S
 from ..functions.columns import tokens
 from ..functions.ordered import top_n_per_group
 from ..session import materialise as materialise_table
+from ..session import materialise_counted
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -41,6 +44,12 @@ def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text",
 
 def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text",
           materialise: bool = True) -> DataFrame:
+    """See ``_weights``; written once with ``materialise``."""
+    out = _weights(a, b, id_col, text_col, materialise)
+    return materialise_table(out, "tfidf") if materialise else out
+
+
+def _weights(a: DataFrame, b: DataFrame, id_col: str, text_col: str, materialise: bool = True) -> DataFrame:
     """Normalised weights (side, id, token, w, df) over the corpus A ∪ B.
 
     A document with no token has no row (its vector is zero).
@@ -53,13 +62,15 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     upstream of them."""
     tc = term_counts(a, id_col, text_col, "A").unionByName(term_counts(b, id_col, text_col, "B"))
     if materialise:
-        tc = materialise_table(tc, "term_counts")
+        tc, postings = materialise_counted(tc, "term_counts")
+    else:
+        postings = tc.count()
     n_docs = (a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(1).alias("x")))
               .agg(F.count(F.lit(1)).cast("double").alias("_n")))
     dfreq = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if materialise:
         dfreq = materialise_table(dfreq, "token_df")
-    bound = hot_bound(tc.count())
+    bound = hot_bound(postings)
     hot = F.broadcast(dfreq.where(F.col("df") > bound))
     with_df = (tc.join(hot, "token")
                .unionByName(tc.join(hot.select("token"), "token", "left_anti").join(dfreq, "token")))
@@ -71,8 +82,7 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "text"
     # task holds a little of every document.)
     doc = Window.partitionBy("side", "id")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
-    out = w.select("side", "id", "token", (F.col("w") / norm).alias("w"), "df")
-    return materialise_table(out, "tfidf") if materialise else out
+    return w.select("side", "id", "token", (F.col("w") / norm).alias("w"), "df")
 
 
 #: A token is hot above so many postings, and above a share of all postings
@@ -86,52 +96,83 @@ def hot_bound(postings: int) -> int:
 
 
 def _token_join(a_post: DataFrame, b_post: DataFrame, postings_per_task: int) -> DataFrame:
-    """Equi-join A and B postings (id, token, w, df) on the token.  With
+    """Equi-join A and B postings (id, token, w, df, further columns) on the
+    token; both sides' columns get 1 and 2 at their end.  With
     ``k = ceil(df / per_task)`` from the posting's own df, each side is cut
     into k shares by document and sent to the k shares of the other side, so a
     hot token's pairs spread over k x k tasks."""
     k = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(postings_per_task))).cast("int")
     share = F.pmod(F.xxhash64(F.col("id")), k).cast("int")
     others = F.explode(F.sequence(F.lit(0), k - 1))
-    a_s = (a_post.withColumn("_sa", share).withColumn("_sb", others)
-           .select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1"), "_sa", "_sb"))
-    b_s = (b_post.withColumn("_sb", share).withColumn("_sa", others)
-           .select(F.col("id").alias("id_2"), "token", F.col("w").alias("w2"), "_sa", "_sb"))
-    return a_s.join(b_s, ["token", "_sa", "_sb"]).drop("_sa", "_sb")
+
+    def side(post: DataFrame, mine: str, theirs: str, tag: str) -> DataFrame:
+        rest = [F.col(c).alias(f"{c}{tag}") for c in post.columns if c not in ("id", "token", "df")]
+        return (post.withColumn(mine, share).withColumn(theirs, others)
+                .select(F.col("id").alias(f"id_{tag}"), "token", *rest, "_sa", "_sb"))
+
+    return (side(a_post, "_sa", "_sb", "1").join(side(b_post, "_sb", "_sa", "2"), ["token", "_sa", "_sb"])
+            .drop("_sa", "_sb"))
 
 
-def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9) -> DataFrame:
+def candidate_index(wt: DataFrame, threshold: float, eps: float = 1e-9, postings: int | None = None) -> DataFrame:
     """Bound-based candidate index for ``score >= threshold`` (exact): adds
-    ``_pref`` (the token is indexed) and ``_mw`` (its largest weight on the
-    other side).  Every token of every whole text keeps its weight; the index
-    only decides which shared tokens are enough to *find* a pair — each
-    found pair is then scored over its complete vectors.
+    ``_pref`` (the token is indexed), ``_mw`` (its largest weight on the other
+    side), and what can follow the token: ``_rs`` and ``_rn``, the two bounds
+    below over the tokens after it.  Every token of every whole text keeps its
+    weight; the index only decides which shared tokens are enough to *find* a
+    pair.
 
     Tokens of every vector are ordered rare-first (document frequency
-    ascending, then token).  A token's largest weight on the other side
-    bounds what it can add to any dot product, so the tail of a vector from
-    token i on can add at most ``sum_j>=i w_j * maxw_j(other side)``.  A
-    token is indexed while that bound is still >= threshold.  If two vectors
-    share no indexed token, all shared tokens lie in the tail of the one
-    whose prefix ends first, whose bound is < threshold — so no pair reaching
-    the threshold is lost.  Tokens absent from the other side bound to 0 and
-    are never indexed; frequent low-weight tokens fall into the tail."""
+    ascending, then token); tokens that the other side lacks count as 0.  What
+    the part of a vector from token i on can add to any dot product has two
+    bounds: ``sum_j>=i w_j * maxw_j(other side)``, and, the other vector's norm
+    being 1, the norm ``sqrt(sum_j>=i w_j ** 2)`` (Cauchy-Schwarz), which is
+    the smaller one for long texts of even weights.  A token is indexed while
+    both are >= threshold.  If two vectors share no indexed token, all shared
+    tokens lie in the tail of the one whose prefix ends first, whose bound is
+    < threshold — so no pair reaching the threshold is lost.  Tokens absent
+    from the other side are never indexed; frequent low-weight tokens fall
+    into the tail."""
     # both sides' largest weight per token in one aggregate
     mx = materialise_table(wt.groupBy("token", "df").agg(
         F.max(F.when(F.col("side") == "A", F.col("w"))).alias("_ma"),
         F.max(F.when(F.col("side") == "B", F.col("w"))).alias("_mb")), "token_max")
-    bound = hot_bound(wt.count())
+    bound = hot_bound(wt.count() if postings is None else postings)
     is_hot = F.col("df") > bound
     x = (wt.where(is_hot).join(F.broadcast(mx.where(is_hot).drop("df")), "token")
          .unionByName(wt.where(~is_hot).join(mx.where(~is_hot).drop("df"), "token"))
          .withColumn("_mw", F.coalesce(F.when(F.col("side") == "A", F.col("_mb")).otherwise(F.col("_ma")),
                                        F.lit(0.0)))
          .drop("_ma", "_mb"))
-    w = (Window.partitionBy("side", "id").orderBy(F.col("df").desc(), F.col("token").desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    bound = F.sum(F.col("w") * F.least(F.lit(1.0), F.col("_mw"))).over(w)
-    return materialise_table(x.withColumn("_pref", (bound >= F.lit(threshold - eps)) & (F.col("_mw") > 0)),
-                             "candidate_index")
+    order = Window.partitionBy("side", "id").orderBy(F.col("df").desc(), F.col("token").desc())
+    here = order.rowsBetween(Window.unboundedPreceding, 0)
+    after = order.rowsBetween(Window.unboundedPreceding, -1)  # the order is reversed: less rare tokens come first
+    sums = F.col("w") * F.least(F.lit(1.0), F.col("_mw"))
+    squares = F.when(F.col("_mw") > 0, F.col("w") * F.col("w")).otherwise(F.lit(0.0))
+    x = x.withColumns({"_s": F.sum(sums).over(here), "_q": F.sum(squares).over(here),
+                       "_rs": F.coalesce(F.sum(sums).over(after), F.lit(0.0)),
+                       "_rn": F.sqrt(F.coalesce(F.sum(squares).over(after), F.lit(0.0)))})
+    limit = F.lit(threshold - eps)
+    out = x.withColumn("_pref", (F.col("_s") >= limit) & (F.sqrt("_q") >= limit) & (F.col("_mw") > 0))
+    return materialise_table(out.drop("_s", "_q"), "candidate_index")
+
+
+def candidate_pairs(ix: DataFrame, threshold: float, postings_per_task: int = 200_000,
+                    eps: float = 1e-9) -> DataFrame:
+    """(id_1, id_2, s): the pairs of the index that may reach the threshold,
+    with the dot product over their indexed tokens.
+
+    The tokens after a shared indexed token add at most the smaller of both
+    sides' remaining sums, and at most the product of both sides' remaining
+    norms.  The last shared indexed token has the smallest of these bounds, so
+    their minimum over the join's rows, added to ``s``, decides; pairs that
+    merely share a rare token leave here, before any tail is read."""
+    post = ix.where("_pref").select("side", "id", "token", "w", "df", F.col("_rs").alias("rs"), F.col("_rn").alias("rn"))
+    a, b = (post.where(F.col("side") == side).drop("side") for side in "AB")
+    rest = F.least(F.col("rs1"), F.col("rs2"), F.col("rn1") * F.col("rn2"))
+    return (_token_join(a, b, postings_per_task)
+            .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("s"), F.min(rest).alias("_rest"))
+            .where(F.col("s") + F.col("_rest") >= F.lit(threshold - eps)).drop("_rest"))
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float,
@@ -141,25 +182,22 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float,
     of the normalised vectors and ``score > threshold`` (above 0: every pair
     that merely shares a token would be a quadratic result).
 
-    Candidates are the pairs sharing an indexed token (``candidate_index``; no
-    pair reaching the threshold is missed).  Their score is the indexed-token
+    Candidates are the pairs sharing an indexed token whose bounds allow the
+    threshold (``candidate_index``, ``candidate_pairs``; no pair reaching it is
+    missed).  Their score is the indexed-token
     join's partial sum plus the shared tokens that sit in a tail: A-tail
     tokens looked up in B, and B-tail tokens looked up in the A prefix — each
     a join restricted to the candidates, so a frequent tail token never meets
     documents outside them."""
     if not threshold > 0:
         raise ValueError("threshold must be above 0")
-    wt = tfidf(a, b, id_col, text_col)
-    a_all = wt.where(F.col("side") == "A").select("id", "token", "w", "df")
+    wt, postings = materialise_counted(_weights(a, b, id_col, text_col), "tfidf")
     b_all = wt.where(F.col("side") == "B").select("id", "token", "w", "df")
-    ix = candidate_index(wt, float(threshold))
-    a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w", "df")
-    b_pref = ix.where((F.col("side") == "B") & F.col("_pref")).select("id", "token", "w", "df")
+    ix = candidate_index(wt, float(threshold), postings=postings)
+    a_pref = ix.where((F.col("side") == "A") & F.col("_pref")).select("id", "token", "w")
     a_tail = ix.where((F.col("side") == "A") & ~F.col("_pref") & (F.col("_mw") > 0))
     b_tail = ix.where((F.col("side") == "B") & ~F.col("_pref") & (F.col("_mw") > 0))
-    head = (_token_join(a_pref, b_pref, postings_per_task)
-            .groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("s")))
-    head = materialise_table(head, "candidates")
+    head = materialise_table(candidate_pairs(ix, float(threshold), postings_per_task), "candidates")
     cand = head.select("id_1", "id_2")
     # shared tokens in the A tail (any place in B)
     t1 = (cand.join(a_tail.select(F.col("id").alias("id_1"), "token", F.col("w").alias("w1")), "id_1")

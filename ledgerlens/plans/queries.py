@@ -9,6 +9,7 @@ sorted ', '-joined text, counts BIGINT.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .. import schema as S
 from ..functions.columns import sorted_text
 from ..operators import baskets as B
 from ..operators import rules as R
+from ..session import materialise
 from ..sources import io as IO
 from ..sources import tables as TB
 from . import sqlparts as Q
@@ -121,7 +123,7 @@ def m6_grid_all_products(spark, sf_dir):
 PLATFORM_SEGMENT = {"Shopee": "BUILDING", "Tokopedia": "MACHINERY", "Lazada": "AUTOMOBILE", "Lazada V2": "HOUSEHOLD"}
 
 
-def _platform_grid_sql(platform):
+def _platform_grid_ctes(platform):
     supports, confs = S.ALL_PRODUCT_GRIDS[platform]
     return f"""
 WITH {Q.sales_cte(platform=True)}, plines AS (SELECT * FROM lines WHERE platform = '{PLATFORM_SEGMENT[platform]}'),
@@ -133,7 +135,11 @@ cells AS (SELECT g.sheet, g.grid_ord, r.*, {Q.rule_key_sql('r.ante', 'r.cons')}
   WHERE r.cnt >= ceil(g.min_support * (SELECT n FROM n)) AND r.confidence >= g.min_confidence),
 status AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY rule_key ORDER BY grid_ord) = 1
   THEN 'new' ELSE 'existing' END AS status FROM cells)
-""" + rules_sql_out("status", "sheet, status, ")
+"""
+
+
+def _platform_grid_sql(platform):
+    return _platform_grid_ctes(platform) + rules_sql_out("status", "sheet, status, ")
 
 
 def _platform_lines(spark, sf_dir, platform):
@@ -446,6 +452,11 @@ def _long_names(spark, sf_dir):
         F.col("p_type").alias(S.GROUP))
 
 
+def _long_name_lines(spark, sf_dir):
+    """The whole ledger under long names."""
+    return TB.sales_lines(spark, sf_dir, names=False).join(_long_names(spark, sf_dir), S.ITEM_ID)
+
+
 def _long_name_sides(spark, sf_dir):
     """(last year's ledger, dead-stock report, purchases) under long names."""
     names = _long_names(spark, sf_dir)
@@ -526,6 +537,43 @@ def j14_key_sales(spark, sf_dir):
     return G.key_sales(_long_name_sides(spark, sf_dir)[0], _product_dim(spark, sf_dir))
 
 
+@register("A1_window_metrics", f"""
+WITH {Q.sales_cte(name=_LONG_NAME)}, ref AS (SELECT max(tanggal) AS r FROM lines),
+held AS (SELECT y AS years, l.* FROM lines l, ref, (VALUES {", ".join(f"({y})" for y in S.TREND_YEARS)}) t(y)
+  WHERE l.tanggal >= ref.r - to_years(y))
+SELECT years, deskripsi_brg, CAST(floor(epoch((SELECT r FROM ref) - max(tanggal)) / 86400) AS INTEGER) AS recency,
+  count(DISTINCT kode_nota) AS frequency, round(sum(jml), 6) AS monetary FROM held GROUP BY years, deskripsi_brg""")
+def a1_window_metrics(spark, sf_dir):
+    """Recency, frequency and quantity of every product in the
+    windows of 1, 2 and 3 years, from one roll-up and one read of the ledger."""
+    lines = _long_name_lines(spark, sf_dir)
+    return G.window_metrics(G.daily_rollup(lines)).withColumn("monetary", r6("monetary"))
+
+
+_LOADS = "CAST(min(tanggal) AS TIMESTAMP) + INTERVAL 60 DAY"
+
+
+@register("G11_two_loads", f"""
+WITH {Q.sales_cte(name=_LONG_NAME)}, cut AS (SELECT {_LOADS} AS c FROM lines),
+firsts AS (SELECT deskripsi_brg, min(tanggal) AS o FROM lines GROUP BY deskripsi_brg),
+one AS (SELECT deskripsi_brg, CAST(row_number() OVER (ORDER BY CAST(o AS VARCHAR), deskripsi_brg) AS BIGINT) AS id_barang
+  FROM firsts WHERE o < (SELECT c FROM cut)),
+two AS (SELECT deskripsi_brg, (SELECT count(*) FROM one) + CAST(row_number() OVER (ORDER BY CAST(o AS VARCHAR), deskripsi_brg)
+    AS BIGINT) AS id_barang FROM firsts WHERE o >= (SELECT c FROM cut))
+SELECT id_barang, deskripsi_brg, 1 AS load FROM one UNION ALL SELECT id_barang, deskripsi_brg, 2 FROM two""")
+def g11_two_loads(spark, sf_dir):
+    """The ledger loaded in two parts, its first 60 days and then
+    all of it: products of the first load keep their ids, the others continue
+    after them."""
+    lines = _long_name_lines(spark, sf_dir)
+    cut = lines.agg((F.min(S.DATE) + F.expr("INTERVAL 60 DAY")).alias("_cut"))
+    early = lines.crossJoin(F.broadcast(cut)).where(F.col(S.DATE) < F.col("_cut")).drop("_cut")
+    first = materialise(G.product_ids(early), "first-load")
+    both = G.product_dimension(lines, known=first)
+    return (both.join(first.select(S.NAME, F.lit(1).alias("_one")), S.NAME, "left")
+            .select(S.ITEM_ID, S.NAME, F.coalesce("_one", F.lit(2)).alias("load")))
+
+
 # ---------------------------------------------------------- sources/cleaning
 
 # The driver ledger in the shop's export layout, dirty on fixed rows (see
@@ -585,6 +633,81 @@ def c6_cleaning_report(spark, sf_dir):
     return G.cleaning_report(TB.raw_sales(spark, sf_dir))
 
 
+@register("C6_quarantine", _RAW_SQL + """
+SELECT CASE WHEN d IS NULL THEN 'date' WHEN "Deskripsi Brg" IS NULL OR "Jml" IS NULL THEN 'missing value' ELSE 'quantity' END
+  AS step, "Kode Nota", "Tanggal", "Deskripsi Brg", "Jenis Barang", "Jml", source FROM parsed
+WHERE d IS NULL OR "Deskripsi Brg" IS NULL OR "Jml" IS NULL OR q IS NULL""")
+def c6_quarantine(spark, sf_dir):
+    """The raw rows that cleaning dropped, each with the step that did,
+    written beside the cleaned rows in the same read."""
+    return G.clean_app_to(TB.raw_sales(spark, sf_dir), _scratch(spark, "cleaned")).quarantine
+
+
+@register("C6_report_observed", _RAW_SQL + """,
+kept AS (SELECT * FROM parsed WHERE d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND q IS NOT NULL)
+SELECT (SELECT count(*) FROM parsed) AS initial_rows, (SELECT count(*) FROM parsed WHERE d IS NULL) AS dropped_dates,
+  (SELECT count(*) FROM parsed WHERE d IS NOT NULL AND ("Deskripsi Brg" IS NULL OR "Jml" IS NULL)) AS dropped_other,
+  (SELECT count(*) FROM parsed WHERE d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND "Jml" IS NOT NULL AND q IS NULL)
+    AS dropped_numeric,
+  (SELECT count(*) FROM kept) AS kept_rows, (SELECT CAST(sum(trunc(q)) AS BIGINT) FROM kept) AS kept_quantity""")
+def c6_report_observed(spark, sf_dir):
+    """The report observed while the cleaned rows are written, beside the
+    quantity of the rows read back."""
+    ledger = G.clean_app_to(TB.raw_sales(spark, sf_dir), _scratch(spark, "cleaned"))
+    return ledger.report.crossJoin(ledger.rows.agg(F.sum(S.QTY).cast("long").alias("kept_quantity")))
+
+
+# One export per sales channel: two are named after another platform or none,
+# one has no quantity and one other columns.  In one, quotes of a kind that a
+# reader does not know leave a cell too many where a cell holds a comma: the
+# groups of every tenth receipt, and quantities with a decimal comma.
+_EXPORTS = {"1-URGENT": "penjualan_shopee_a", "2-HIGH": "penjualan_Shopee_b", "3-MEDIUM": "penjualan_lazada",
+            "4-NOT SPECIFIED": "penjualan_shopee_tanpa_jml", "5-LOW": "penjualan_toko"}
+_NO_QTY, _OTHER_COLUMNS, _MALFORMED = "4-NOT SPECIFIED", "2-HIGH", "5-LOW"
+
+
+def _write_exports(spark, sf_dir):
+    """The raw ledger as CSV exports, one folder per channel."""
+    path = _scratch(spark, "exports")
+    raw = TB.raw_sales(spark, sf_dir)
+    for source, name in _EXPORTS.items():
+        rows = raw.where(F.col(S.SOURCE) == source).drop(S.SOURCE)
+        if source == _NO_QTY:
+            rows = rows.drop(S.RAW_QTY)
+        if source == _OTHER_COLUMNS:
+            rows = rows.select(F.lit('Toko 1, "Utama"').alias("Cabang"), *reversed(S.RAW_COLUMNS))
+        if source == _MALFORMED:
+            tenth = F.col(S.RAW_NOTA).cast("long") % 10 == 0
+            rows = rows.withColumn(S.RAW_GROUP, F.when(tenth, F.concat(S.RAW_GROUP, F.lit(", lama"))).otherwise(F.col(S.RAW_GROUP)))
+        rows.write.csv(f"{path}/{name}", header=True, escape='"', quote="|" if source == _MALFORMED else '"',
+                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@register("S1_read_exports", _RAW_SQL + f""",
+names AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _EXPORTS.items())}) t(source, file_name)),
+seen AS (SELECT file_name, r.*, source = '{_MALFORMED}' AND (CAST("Kode Nota" AS BIGINT) % 10 = 0 OR coalesce(contains("Jml", ','), false)) AS broken,
+  source <> '{_NO_QTY}' AND "Tanggal" IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND "Jml" IS NOT NULL AS whole
+  FROM raw r JOIN names USING (source))
+SELECT file_name, count(*) FILTER (whole AND NOT broken) AS n_rows,
+  count(DISTINCT "Kode Nota") FILTER (whole AND NOT broken) AS n_receipts,
+  count(*) FILTER (broken) AS n_malformed, NOT contains(lower(file_name), 'shopee') AS other_platform
+FROM seen GROUP BY file_name""")
+def s1_read_exports(spark, sf_dir):
+    """S1/U1/C1/S9 on files: the exports read back by their layouts; per file
+    its sales, its malformed records and whether its name lacks the platform."""
+    path = _write_exports(spark, sf_dir)
+    sales, malformed = IO.load_exports(spark, path)
+    wrong = IO.source_platform_violations(IO.export_names(spark, path), "Shopee").withColumn("_wrong", F.lit(True))
+    return (IO.export_names(spark, path)
+            .join(sales.groupBy(IO.FILE).agg(F.count(F.lit(1)).alias("n_rows"),
+                                             F.countDistinct(S.RAW_NOTA).alias("n_receipts")), IO.FILE, "left")
+            .join(malformed.groupBy(IO.FILE).agg(F.count(F.lit(1)).alias("n_malformed")), IO.FILE, "left")
+            .join(wrong, IO.FILE, "left")
+            .select(IO.FILE, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_receipts", "n_malformed")],
+                    F.coalesce("_wrong", F.lit(False)).alias("other_platform")))
+
+
 @register("F8_parse_list_text", """
 SELECT p_partkey, CAST(pos AS INTEGER) AS pos, item FROM part,
   unnest([p_name || ' 5' || chr(39), p_name || ' 1/2"', p_brand || ' ' || chr(39) || '"', p_type || ', [x]'])
@@ -694,15 +817,16 @@ SELECT platform, count(*) AS n_rows, count(DISTINCT kode_nota) AS n_receipts,
   CAST(sum(jml) AS DOUBLE) AS total_qty FROM kept GROUP BY platform""")
 def s7_replace_table(spark, sf_dir):
     """The platform-keyed ledger written as a table, then one
-    platform's rows replaced by its last-year rows (its partition folder is
-    overwritten, the others stay as they were); per platform totals of the
-    table read back."""
+    platform's rows replaced by its last-year rows (a new version of its
+    folder becomes current once it is written, the others stay as they were);
+    per platform totals of the table read back."""
     path = _scratch(spark, "ledger-by-platform")
     cols = [S.NOTA, S.ITEM_ID, S.QTY, S.PLATFORM]
-    IO.replace_table(TB.sales_lines(spark, sf_dir, platform=True, names=False).select(*cols), path)
+    lines = TB.sales_lines(spark, sf_dir, platform=True, names=False).select(*cols)
+    IO.replace_table(lines, path)
     recent = _window_lines(spark, sf_dir, platform=True, names=False).select(*cols)
-    IO.replace_partition(IO.platform_table(recent, REPLACED_PLATFORM), path, REPLACED_PLATFORM)
-    return _platform_totals(spark.read.parquet(path))
+    out = IO.replace_partition(IO.platform_table(recent, REPLACED_PLATFORM), path, REPLACED_PLATFORM)
+    return _platform_totals(out.read(lines.schema))
 
 
 def _platform_totals(df):
@@ -721,8 +845,7 @@ def s7_replace_empty(spark, sf_dir):
     path = _scratch(spark, "ledger-emptied")
     lines = TB.sales_lines(spark, sf_dir, platform=True, names=False).select(S.NOTA, S.ITEM_ID, S.QTY, S.PLATFORM)
     IO.replace_table(lines, path)
-    IO.replace_partition(lines.where(F.lit(False)), path, REPLACED_PLATFORM)
-    return _platform_totals(spark.read.parquet(path))
+    return _platform_totals(IO.replace_partition(lines.where(F.lit(False)), path, REPLACED_PLATFORM).read(lines.schema))
 
 
 # ------------------------------------------------------------------ baskets
@@ -1225,6 +1348,24 @@ def o4_page(spark, sf_dir):
     return pg.select(F.col("_row").alias("row_no"), "support", "antecedents", "consequents")
 
 
+_PAGE_ORDER = "tanggal DESC, kode_nota, id_barang, jml"
+
+
+@register("O4_ledger_pages", f"""
+WITH {Q.sales_cte(years=1)},
+numbered AS (SELECT CAST(row_number() OVER (ORDER BY {_PAGE_ORDER}) AS BIGINT) AS row_no, kode_nota, id_barang, jml FROM lines),
+size AS (SELECT CAST(ceil(count(*) / {S.PAGE_ROWS}.0) AS BIGINT) AS pages FROM lines)
+SELECT row_no, (row_no - 1) // {S.PAGE_ROWS} + 1 AS page_no, kode_nota, id_barang, jml FROM numbered, size
+WHERE (row_no - 1) // {S.PAGE_ROWS} + 1 IN (1, pages // 2, pages)""")
+def o4_ledger_pages(spark, sf_dir):
+    """The first, the middle and the last page of the last year's ledger,
+    newest sales first; the ledger is written once in page order and each page
+    is read from the range partitions that hold it."""
+    lines = _window_lines(spark, sf_dir, names=False).select(S.NOTA, S.ITEM_ID, S.QTY, S.DATE)
+    table = EV.paged(lines, [F.col(S.DATE).desc(), F.col(S.NOTA), F.col(S.ITEM_ID), F.col(S.QTY)])
+    return table.pages(1, table.total_pages // 2, table.total_pages).drop(S.DATE)
+
+
 @register("O4_page_totals", _REPORT_SQL + """
 SELECT count(*) AS total_rows, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM report""")
 def o4_page_totals(spark, sf_dir):
@@ -1325,6 +1466,44 @@ def w2_precision_at_k(spark, sf_dir):
     return EV.precision_at_k(_labelled_grid(spark, sf_dir), order=order).withColumn("precision", r6("precision"))
 
 
+#: Grids of the curves: the all-product and dead-stock grids of the platforms.
+_CURVES = [("Shopee", "all"), ("Tokopedia", "all"), ("Tokopedia", "deadstock"), ("Lazada V2", "deadstock")]
+
+
+def _curve_grid(spark, sf_dir, platform, kind):
+    if kind == "all":
+        rules = R.mine_grid(B.multi_item_sets(_platform_lines(spark, sf_dir, platform)), *S.ALL_PRODUCT_GRIDS[platform])
+    else:
+        rules = deadstock_grid(spark, sf_dir, *S.DEADSTOCK_GRIDS[platform], platform=platform)
+    return rules.select(F.lit(platform).alias(S.PLATFORM), F.lit(kind).alias("grid"), "rule_key", "grid_ord", "support",
+                        (F.col("lift") >= 1.125).cast("int").alias("validity"))
+
+
+def _curve_grid_sql(platform, kind):
+    if kind == "all":
+        ctes, source = _platform_grid_ctes(platform), "cells"
+    else:
+        ctes = f"WITH {_deadstock_ctes(*S.DEADSTOCK_GRIDS[platform], platform=PLATFORM_SEGMENT[platform])}"
+        source = "touch"
+    return f"""SELECT * FROM ({ctes}
+SELECT '{platform}' AS platform, '{kind}' AS grid, rule_key, grid_ord, support, CAST(lift >= 1.125 AS INTEGER) AS validity FROM {source})"""
+
+
+@register("W2_precision_by_grid", f"""
+WITH labelled AS ({" UNION ALL ".join(_curve_grid_sql(*c) for c in _CURVES)}),
+curve AS (SELECT platform, grid,
+    CAST(row_number() OVER (PARTITION BY platform, grid ORDER BY support DESC, rule_key, grid_ord) AS BIGINT) AS k,
+    CAST(sum(validity) OVER (PARTITION BY platform, grid ORDER BY support DESC, rule_key, grid_ord
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS valid_at_k FROM labelled)
+SELECT platform, grid, k, valid_at_k, round(valid_at_k / k, 6) AS precision FROM curve""")
+def w2_precision_by_grid(spark, sf_dir):
+    """One precision curve per platform and grid, each on the platform's
+    own ledger, from one segmented prefix sum."""
+    rules = reduce(DataFrame.unionByName, [_curve_grid(spark, sf_dir, *c) for c in _CURVES])
+    order = [F.col("support").desc(), F.col("rule_key"), F.col("grid_ord")]
+    return EV.precision_curves(rules, [S.PLATFORM, "grid"], order).withColumn("precision", r6("precision"))
+
+
 @register("W5_curve_points", _LABELLED_SQL + """
 SELECT k, valid_at_k, round(valid_at_k / k, 6) AS precision FROM curve
 WHERE (k - 1) % greatest(1, (SELECT max(k) FROM curve) // 7) = 0""")
@@ -1514,13 +1693,29 @@ def j13_insert_if_absent(spark, sf_dir):
     return J.insert_if_absent(TB.products(spark, sf_dir).select(S.ITEM_ID), old, S.ITEM_ID)
 
 
-@register("S11_columns", """
-SELECT CAST(pos AS INTEGER) AS pos, c AS column_name, 'string' AS data_type
-FROM unnest(['Kode Nota', 'Tanggal', 'Deskripsi Brg', 'Jenis Barang', 'Jml', 'source']) WITH ORDINALITY AS u(c, pos)
-WHERE (SELECT count(*) FROM lineitem) >= 0""")
-def s11_columns(spark, sf_dir):
-    """The raw ledger's columns."""
-    return IO.column_list(TB.raw_sales(spark, sf_dir))
+_RAW_NAMES = [*S.RAW_COLUMNS, S.SOURCE]
+
+
+@register("S11_column_profile", _RAW_SQL + " UNION ALL ".join(
+    f"""
+SELECT {i + 1} AS pos, '{c}' AS column_name, 'string' AS data_type, count(*) AS n_rows, count("{c}") AS n_values,
+  count(DISTINCT "{c}") AS n_distinct, min("{c}") AS least, max("{c}") AS greatest FROM raw"""
+    for i, c in enumerate(_RAW_NAMES)))
+def s11_column_profile(spark, sf_dir):
+    """The raw ledger's columns, each with its type, non-null and
+    distinct values, the least and the greatest one, from one read."""
+    return IO.column_profile(TB.raw_sales(spark, sf_dir))
+
+
+@register("S11_part_profile", " UNION ALL ".join(
+    f"""
+SELECT {i + 1} AS pos, '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count({c}) AS n_values,
+  count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM part"""
+    for i, (c, t) in enumerate([("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+                                ("p_size", "int"), ("p_retailprice", "double")])))
+def s11_part_profile(spark, sf_dir):
+    """The same of the product table, whose numbers are ordered by value."""
+    return IO.column_profile(TB.table(spark, sf_dir, "part"))
 
 
 @register("S11_head", _RAW_SQL + """

@@ -127,6 +127,9 @@ PAIR_PRECISION_KS = [50, 100, 150, 200, 250]
 # Token pattern: runs of two or more letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+# Trailing windows that may be chosen, in years.
+TREND_YEARS = [1, 2, 3]
+
 # Basket statistics.
 HISTOGRAM_CAP = 20
 PAGE_ROWS = 10

@@ -84,6 +84,16 @@ def materialise(df, name: str = "t"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df, name: str = "t"):
+    """``materialise``, and the number of rows written (observed while they
+    are written, so nothing is read for it)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    seen = Observation(name)
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, int(seen.get["rows"])
+
+
 def materialised_dir(spark: SparkSession) -> str:
     """The folder of this application's written intermediates:
     ``<spark.checkpoint.dir>/tables/<application id>``."""

@@ -248,8 +248,8 @@ def test_sheets_roundtrip_and_partition_overwrite(spark, tmp_path):
     assert [r.v for r in back.collect()] == [1]
     t = spark.createDataFrame([("General", 1), ("Shopee", 2)], "platform string, v int")
     IO.replace_table(t, str(tmp_path / "tbl"))
-    IO.replace_partition(spark.createDataFrame([(3,)], "v int"), str(tmp_path / "tbl"), "Shopee")
-    assert rows(spark.read.parquet(str(tmp_path / "tbl")), "platform", "v") == [("General", 1), ("Shopee", 3)]
+    back = IO.replace_partition(spark.createDataFrame([(3,)], "v int"), str(tmp_path / "tbl"), "Shopee")
+    assert rows(back.read(t.schema), "platform", "v") == [("General", 1), ("Shopee", 3)]
 
 
 def test_source_platform_check(spark, tmp_path):
@@ -339,7 +339,7 @@ def test_release_materialised_removes_only_this_apps_tables(spark):
 
 
 def test_replace_partition_keeps_other_platforms_and_session_setting(spark, tmp_path):
-    """Only the platform's own folder is overwritten, also by no rows, and
+    """Only the platform's own rows are replaced, also by no rows, and
     the session's setting is not touched."""
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     path = str(tmp_path / "t")
@@ -347,7 +347,8 @@ def test_replace_partition_keeps_other_platforms_and_session_setting(spark, tmp_
     IO.replace_table(spark.createDataFrame([("Shopee", 1), ("Lazada", 2), ("a/b:c d", 9)], schema), path)
     IO.replace_partition(spark.createDataFrame([("Shopee", 5), ("Shopee", 6)], schema), path, "Shopee")
     IO.replace_partition(spark.createDataFrame([("a/b:c d", 8)], schema), path, "a/b:c d")
-    got = lambda: sorted((r.platform, r.v) for r in spark.read.parquet(path).collect())
+    table = IO.VersionedTable(spark, path)
+    got = lambda: sorted((r.platform, r.v) for r in table.read(spark.createDataFrame([], schema).schema).collect())
     assert got() == [("Lazada", 2), ("Shopee", 5), ("Shopee", 6), ("a/b:c d", 8)]
     IO.replace_partition(spark.createDataFrame([], schema), path, "Shopee")
     assert got() == [("Lazada", 2), ("a/b:c d", 8)]
