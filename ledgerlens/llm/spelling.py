@@ -14,8 +14,9 @@ found by pivotal grams.
    earlier.  The position limit is exact: if the edit is behind the left
    pivot, that stands at the same place from the left, and everything before
    it is the same; otherwise the right pivot stands at the same place from the
-   right, and everything behind it is the same.  The join's key is the bigram
-   with its place, the hash of that equal part and the other word's length.
+   right, and everything behind it is the same.  Of the part on the edit's
+   side one half is the same, too.  The join's key is a hash of the bigram with
+   its place, the other word's length, and these equal parts.
 4. Every candidate is verified by the Levenshtein distance.
 """
 
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,15 +60,16 @@ def slices(data: bytes, stop: re.Pattern, size: int = SLICE_BYTES):
     yield data[at:] if at else data
 
 
-def thinned(doc_id, run: bytes, one_in: int = THINNED) -> str:
+def thinned(run: bytes, start: int, one_in: int = THINNED) -> bytes:
     """The run; if ``one_in`` divides the CRC-32 of ``<doc_id>:<run>``, without
-    the code point whose index is the CRC-32 modulo the length."""
-    h = zlib.crc32(b"%s:%s" % (str(doc_id).encode(), run))
-    word = run.decode()
+    the code point whose index is the CRC-32 modulo the length.  ``start`` is
+    the CRC-32 of ``<doc_id>:``."""
+    h = zlib.crc32(run, start)
     if h % one_in:
-        return word
+        return run
+    word = run.decode()
     at = h % len(word)
-    return word[:at] + word[at + 1:]
+    return (word[:at] + word[at + 1:]).encode()
 
 
 def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -82,18 +85,19 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         counts: Counter = Counter()
 
         def out():
-            words = [w for w in counts if len(w) >= min_chars]
+            words = [(w, n) for r, n in counts.items() if len(w := r.decode()) >= min_chars]
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
+                [pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 runs: Counter = Counter()
                 for part in slices((text.as_py() or "").encode().lower(), _BLANK):
                     runs.update(_RUN.findall(part))
+                start = zlib.crc32(f"{'null' if i is None else i}:".encode())
                 for r, n in runs.items():
                     if len(r) >= min_chars:  # bytes, at least as many as code points
-                        counts[thinned("null" if i is None else i, r)] += n
+                        counts[thinned(r, start)] += n
                 if len(counts) > HELD_WORDS:
                     yield out()
                     counts.clear()
@@ -137,23 +141,39 @@ def pivots(grams: list[tuple[int, int]], weights: list[int], k: int = EDITS + 1)
     return list(best[k][n][1])
 
 
-def index_entries(word: str, ranks: dict) -> tuple[list, list, int]:
-    """(pivots, prefix, rank of the prefix' last gram).  Entries are (side,
-    place from that side, gram, hash of the part up to that side's end)."""
-    places = sorted((ranks[word[i:i + GRAM]][0], i) for i in range(len(word) - GRAM + 1))
-    size = GRAM * EDITS + 1
-    last = places[min(size, len(places)) - 1][0]
-    prefix = sorted((i, r) for r, i in places if r <= last)
+def _key(side: int, half: int, place: int, size: int, equal: str) -> int:
+    return xxhash.xxh64_intdigest(f"{side}{half} {place} {size} {equal}") - (1 << 63)
+
 
-    def entry(side: int, i: int) -> tuple:
-        gram = word[i:i + GRAM]
-        if side == 0:
-            return 0, i, gram, xxhash.xxh64_intdigest(word[:i]) >> 1
-        return 1, len(word) - i, gram, xxhash.xxh64_intdigest(word[i + GRAM:]) >> 1
+def _keys(word: str, side: int, place: int, size: int) -> tuple[int, int]:
+    """The keys under which ``word`` (for ``side`` 1 spelled backwards) meets a
+    word of ``size`` code points by its bigram at ``place``, with the edit
+    behind that bigram: all up to it is the same, and of what the other word
+    has behind it the first half, or else the last (but for one, which the
+    edit may have added)."""
+    end = place + GRAM
+    half = (size - end) // 2
+    last = size - end - 1 - half
+    tail = word[len(word) - last:] if last > 0 else ""
+    return (_key(side, 0, place, size, word[:end + half]), _key(side, 1, place, size, f"{word[:end]} {tail}"))
 
-    chosen = pivots(prefix, [ranks[word[i:i + GRAM]][1] for i, _ in prefix])
-    mine = [entry(side, prefix[c][0]) for side, c in enumerate(chosen)]
-    return mine, [entry(side, i) for i, _ in prefix for side in (0, 1)], last
+
+def index_entries(word: str, ranks: dict) -> tuple[list[int], list[int], int]:
+    """(keys of the pivots for all sizes of the other word, keys of the
+    prefix, rank of the prefix' last gram)."""
+    size, back = len(word), word[::-1]
+    places = sorted((ranks[word[i:i + GRAM]][0], i) for i in range(size - GRAM + 1))
+    last = places[min(GRAM * EDITS + 1, len(places)) - 1][0]
+    prefix = sorted((i, r) for r, i in places if r <= last)
+    left, right = (prefix[c][0] for c in pivots(prefix, [ranks[word[i:i + GRAM]][1] for i, _ in prefix]))
+    mine, others = [], []
+    for other in range(size - EDITS, size + EDITS + 1):
+        mine += _keys(word, 0, left, other)
+        mine += _keys(back, 1, size - GRAM - right, other)
+    for i, _ in prefix:
+        others += _keys(word, 0, i, size)
+        others += _keys(back, 1, size - GRAM - i, size)
+    return mine, others, last
 
 
 def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -170,28 +190,31 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         only_cache()
         known = ranks.value
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in ("word", "n", "last", "size", "pivot", "side", "place", "gram", "part")}
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                mine, prefix, last = index_entries(word, known)
-                for pivot, found in ((True, mine), (False, prefix)):
-                    for entry in found:
-                        for c, v in zip(cols, (word, n, last, len(word), pivot, *entry)):
-                            cols[c].append(v)
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(),
-                     pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds)], list(cols))
+            keys: list[int] = []
+            sizes, lasts = [], []
+            words_, counts = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            for word in words_:
+                mine, others, last = index_entries(word, known)
+                keys += mine
+                keys += others
+                sizes += (len(mine), len(others))
+                lasts.append(last)
+            sizes = np.array(sizes, np.int64)
+            row = np.repeat(np.arange(len(words_)), sizes.reshape(-1, 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), batch.column("word").take(pa.array(row)), pa.array(counts[row]),
+                 pa.array(np.array(lasts, np.int32)[row]),
+                 pa.array(np.repeat(np.arange(len(sizes)) % 2 == 0, sizes))], ["key", "word", "n", "last", "pivot"])
 
     short_batches(spark)
-    entries = materialise(words.mapInArrow(
-        run, "word string, n long, last int, size int, pivot boolean, side int, place int, gram string, part long"),
-        "spelling-index")
-    key = ["side", "place", "gram", "part", "size"]
-    probe = (entries.where("pivot").withColumnsRenamed({"word": "w1", "n": "n1", "last": "last1"})
-             .withColumn("size", F.explode(F.array(*[F.col("size") + d for d in range(-EDITS, EDITS + 1)])))
-             .select("w1", "n1", "last1", *key))
-    index = entries.where(~F.col("pivot")).select(
-        F.col("word").alias("w2"), F.col("n").alias("n2"), F.col("last").alias("last2"), *key)
-    found = (probe.join(index, key)
+    entries = materialise(words.mapInArrow(run, "key long, word string, n long, last int, pivot boolean"),
+                          "spelling-index")
+
+    def side(pivot: bool, tag: str) -> DataFrame:
+        return entries.where(F.col("pivot") == pivot).select(
+            "key", F.col("word").alias(f"w{tag}"), F.col("n").alias(f"n{tag}"), F.col("last").alias(f"last{tag}"))
+
+    found = (side(True, "1").join(side(False, "2"), "key")
              .where((F.col("last1") <= F.col("last2")) & (F.col("w1") != F.col("w2"))
                     & (F.levenshtein("w1", "w2", EDITS) == EDITS)))
     swap = F.col("w1") > F.col("w2")
