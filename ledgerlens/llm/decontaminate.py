@@ -6,9 +6,11 @@
    the vocabulary's rarer terms form a matrix of which a distributed
    randomised SVD finds the leading right singular vectors: tasks add up
    A^T (A X) and (A Q)^T (A Q), which are as large as the vocabulary only.
-3. Passages and benchmark items are compared by cosine in the latent space.
-   What it ranks too low is found by the items' rarest words: a stretch that
-   holds enough of an item holds some of them, so no candidate is lost.
+3. Passages and benchmark items are compared by cosine in the latent space;
+   the benchmark is searched in blocks of items that the space has room for.
+   Of items that it holds badly (``KEPT``, or fewer than ``ITEM_TERMS`` terms),
+   candidates are also the stretches with their rarest words: a stretch that
+   holds enough of an item holds some.
 4. A candidate counts if the longest common subsequence of words covers the
    item nearly whole, or, for a paraphrase, most of it while the item's answer
    stands there word by word: its last sentence, or what ``answer_words`` takes
@@ -21,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, narrow, only_cache, short_batches
+from .common import fresh, materialise, narrow, only_cache, short_batches
 
 #: Words of half a passage; passages overlap by half.
 HALF = 32
@@ -38,15 +42,19 @@ RANK, OVERSAMPLE = 128, 16
 #: Terms in a larger share of half passages are left out of the matrix, except
 #: the rarest terms of each item.
 MAX_SHARE, ITEM_TERMS = 0.003, 8
-COSINE = 0.4
+COSINE = 0.3
 #: Share of an item's words in common order: nearly whole; paraphrase.
 NEAR, PARAPHRASE = 0.8, 0.6
 #: Words of an answer at least.
 ANSWER = 4
 #: Items shorter than this must occur word by word.
 SHORT = 6
-#: Benchmark items searched at once; a larger benchmark takes several rounds.
-BLOCK_ITEMS = 10_000
+#: An item's latent vector has this share of the norm of its own at least, or
+#: the item is looked up by its rarest words.
+KEPT = 0.3
+#: Benchmark items searched at once, about two for each dimension; a larger
+#: benchmark takes several rounds.
+BLOCK_ITEMS = 256
 SEED = 17
 #: An item of n words is looked at where n // RARE_HITS of its rare words stand.
 RARE_HITS = 5
@@ -378,9 +386,14 @@ def _masks(sequence: list[int]) -> dict[int, int]:
     return out
 
 
-def _contains(sequence: list[int], part: list[int]) -> bool:
+def _places(sequence: list[int], part: list[int]) -> list[int]:
+    """Where ``part`` stands word by word."""
     n, first = len(part), part[0]
-    return any(w == first and sequence[i:i + n] == part for i, w in enumerate(sequence[:len(sequence) - n + 1]))
+    return [i for i, w in enumerate(sequence[:max(0, len(sequence) - n + 1)]) if w == first and sequence[i:i + n] == part]
+
+
+def _contains(sequence: list[int], part: list[int]) -> bool:
+    return bool(_places(sequence, part))
 
 
 def window_words(n: int) -> list[int]:
@@ -394,28 +407,44 @@ class RareWords:
     """Where a document can hold an item, whatever its cosine.  A window that
     has ``need`` of an item's n words in order misses n - need of them, so of
     any n - need + k it has k: the index holds that many of each item's rarest,
-    and a stretch is a candidate for k hits within a window's length."""
+    and a stretch is a candidate for k hits within a window's length.  Only
+    items of ``indexed`` are in the index; ``possible`` knows all."""
 
-    def __init__(self, items: Items, counts: np.ndarray, share: float = PARAPHRASE):
+    def __init__(self, items: Items, counts: np.ndarray, share: float = PARAPHRASE, indexed=None):
         self._k, self._width = np.zeros(len(items.ids), np.int64), np.zeros(len(items.ids), np.int64)
+        self._rare: list[frozenset[int]] = []
         term, owner = [], []
         for i, sequence in enumerate(items.sequences):
             n, s = len(sequence), np.asarray(sequence)
             need = n if n < SHORT else min(n, math.ceil(share * n - 1e-9))
             k = max(1, min(need, n // RARE_HITS))
             rare = np.unique(s[np.argsort(counts[s], kind="stable")[:n - need + k]])
-            term.append(rare)
-            owner.append(np.full(len(rare), i))
+            self._rare.append(frozenset(rare.tolist()))
             self._k[i], self._width[i] = k, window_words(n)[-1]
+            if indexed is None or i in indexed:
+                term.append(rare)
+                owner.append(np.full(len(rare), i))
+        self._any = np.zeros(len(items.vocabulary) + 1, bool)
+        self._any[list(frozenset().union(*self._rare))] = True
         none = np.zeros(0, np.int64)
         term, owner = np.concatenate([none, *term]), np.concatenate([none, *owner])
         self._items = owner[np.argsort(term, kind="stable")]
         per_term = np.bincount(term, minlength=len(items.vocabulary) + 1)
         self._starts = np.concatenate([[0], np.cumsum(per_term)])
 
+    def possible(self, item: int, rare_words: list[int]) -> bool:
+        """Whether a stretch has the rare words that it needs, in any order;
+        only those that ``rare_places`` keeps need be given."""
+        return sum(map(self._rare[item].__contains__, rare_words)) >= self._k[item]
+
+    def rare_places(self, sequence: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Where words stand that are rare in some item, and the words."""
+        at = np.flatnonzero(self._any[sequence])
+        return at, sequence[at].tolist()
+
     def stretches(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
         """(sequence, item, begin, end), stretches of an item that touch as one."""
-        if not len(self._k):
+        if not len(self._items):
             return
         lengths = np.array([len(s) for s in sequences], np.int64)
         gap = 2 * int(self._width.max())  # so that no stretch reaches the next sequence
@@ -460,27 +489,29 @@ class Checker:
         self._mask = [_masks(s) for s in items.sequences]
 
     def check(self, item: int, stretch: list[int]) -> tuple[float, str] | None:
-        """(share of the item in common order, kind), or None."""
+        """(share of the item in common order, kind), or None.  A paraphrase is
+        the best of the windows that hold the item's answer word by word."""
         s, masks = self._items.sequences[item], self._mask[item]
         n = len(s)
         if n < SHORT:
             return (1.0, "exact") if _contains(stretch, s) else None
-        need = min(self._near, self._paraphrase) * n
-        hits = np.cumsum([0, *(w in masks for w in stretch)])
-        best, where, step = 0, slice(0, 0), max(1, n // 8)  # windows an eighth of the item apart
+        answer = self._items.answers[item]
+        stands = _places(stretch, answer)
+        hits = [0, *accumulate(map(masks.__contains__, stretch))]
+        best, step = 0, max(1, n // 8)  # windows an eighth of the item apart
+        answered, least = 0, self._paraphrase * n
         for width in window_words(n):
             for at in range(0, max(1, len(stretch) - width + step), step):
                 end = min(at + width, len(stretch))
-                if hits[end] - hits[at] >= max(need, best + 1):
+                holds = stands and any(at <= a <= end - len(answer) for a in stands)
+                if hits[end] - hits[at] >= (max(least, answered + 1) if holds else max(self._near * n, best + 1)):
                     length = common_subsequence(masks, n, stretch[at:end])
-                    if length > best:
-                        best, where = length, slice(at, end)
+                    best = max(best, length)
+                    if holds:
+                        answered = max(answered, length)
             if best / n >= self._near:
                 return best / n, "near"
-        share = best / n
-        if share >= self._paraphrase and _contains(stretch[where], self._items.answers[item]):
-            return share, "paraphrase"
-        return None
+        return (answered / n, "paraphrase") if answered >= max(1, least) else None
 
 
 def _cosine(sequence: np.ndarray, begin: int, end: int, queries: np.ndarray, space: LatentSpace) -> float:
@@ -495,64 +526,105 @@ def _cosine(sequence: np.ndarray, begin: int, end: int, queries: np.ndarray, spa
     return best
 
 
+def _joined_candidates(pairs: np.ndarray, cosines: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """(sequence, item, begin, end, cosine) of candidate stretches, those of
+    one sequence and item that overlap as one with their largest cosine.
+    ``pairs`` has columns sequence, item, begin, end."""
+    if not len(pairs):
+        return
+    order = np.lexsort((pairs[:, 3], pairs[:, 2], pairs[:, 1], pairs[:, 0]))
+    pairs, cosines = pairs[order], cosines[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
+    group = np.cumsum(new)  # ends so far, kept apart by group
+    reach = np.maximum.accumulate(pairs[:, 3] + group * (1 << 40)) - group * (1 << 40)
+    new[1:] |= pairs[1:, 2] > reach[:-1]
+    first = np.flatnonzero(new)
+    yield from zip(pairs[first, 0].tolist(), pairs[first, 1].tolist(), pairs[first, 2].tolist(),
+                   np.maximum.reduceat(pairs[:, 3], first).tolist(), np.maximum.reduceat(cosines, first).tolist())
+
+
 def search(seqs: DataFrame, items: Items, space: LatentSpace, cosine: float = COSINE,
-           near: float = NEAR, paraphrase: float = PARAPHRASE) -> DataFrame:
+           near: float = NEAR, paraphrase: float = PARAPHRASE, kept: float = KEPT, item_type: str = "long") -> DataFrame:
     """doc_id, item_id, cosine, share, kind of all passages that hold an item;
-    one row per document and item of a row of ``seqs``."""
+    one row per document and item of a row of ``seqs``.
+
+    Candidates are the passages of cosine ``cosine`` or more, and of items
+    that the space keeps less than ``kept`` of, or that have hardly a term,
+    also the stretches that their rarest words lead to.  Candidates of one item that overlap are one, so
+    every stretch is checked once."""
     rows, owner = _item_passages(items, space.idf)
     latent = [y for _, _, y in rows.times(space.vectors)]
     queries = np.concatenate(latent) if latent else np.zeros((0, space.vectors.shape[1]), np.float32)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    rare = RareWords(items, space.counts, min(near, paraphrase))
+    norms = np.linalg.norm(queries, axis=1)
+    own = np.sqrt(np.add.reduceat(rows.weights.astype(np.float64) ** 2, rows.starts)) if len(owner) else norms
+    share = np.zeros(len(items.ids))  # an item without a weighted term has no vector: nothing is kept
+    np.maximum.at(share, owner, 1.0)
+    np.minimum.at(share, owner, norms / np.maximum(own, 1e-12))
+    queries /= np.maximum(norms[:, None], 1e-12)
+    for i, s in enumerate(items.sequences):  # a vector of few terms says little beside a passage's others
+        if np.count_nonzero(space.idf[np.unique(s)]) < ITEM_TERMS:
+            share[i] = 0.0
+    rare = RareWords(items, space.counts, min(near, paraphrase), set(np.flatnonzero(share < kept).tolist()))
     shared = seqs.sparkSession.sparkContext.broadcast((items, space, queries, owner, rare))
     key = seqs.schema["doc_id"].dataType.simpleString()
+    kind = to_arrow_type(seqs.sparkSession.createDataFrame([], f"item_id {item_type}").schema["item_id"].dataType)
 
     def run(batches):
         only_cache()
         items, space, queries, owner, rare = shared.value
         checker = Checker(items, near, paraphrase)
-        for pdf in batches:
-            for at in range(0, len(pdf), ROWS):
-                part = pdf.iloc[at:at + ROWS]
-                sequences = [np.frombuffer(s, items.kind) for s in part.s]
-                matrix, best = passages(sequences, space.idf), {}
-                row = 0
+        widths = np.array([window_words(len(s))[-1] for s in items.sequences], np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sequences = [np.frombuffer(s.as_py(), items.kind) for s in part.column("s")]
+                lengths = np.array([len(s) for s in sequences], np.int64)
+                matrix, row = passages(sequences, space.idf), 0
+                pairs, cosines = [], []
                 for _, _, y in matrix.times(space.vectors):
                     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                    cosines = y @ queries.T
-                    for r, c in zip(*np.nonzero(cosines >= cosine)):
-                        i, item = int(matrix.sequence[row + r]), int(owner[c])
-                        known = best.get((i, item))
-                        if known is not None and known[2] == "near" and known[1] == 1.0:
-                            continue
-                        # the passage and what of the item may stick out of it
-                        begin = int(matrix.half[row + r]) * HALF
-                        reach = max(0, len(items.sequences[item]) - HALF)
-                        stretch = sequences[i][max(0, begin - reach):begin + 2 * HALF + reach].tolist()
-                        found = checker.check(item, stretch)
-                        if found and (known is None or found[0] > known[1]):
-                            best[i, item] = (float(cosines[r, c]), *found)
+                    c = y @ queries.T
+                    r, q = np.nonzero(c >= cosine)
+                    item, i = owner[q], matrix.sequence[row + r]
+                    # the passage, and all windows that reach into it
+                    begin, reach = matrix.half[row + r] * HALF, widths[item] - 1
+                    pairs.append(np.stack([i, item, np.maximum(0, begin - reach),
+                                           np.minimum(lengths[i], begin + 2 * HALF + reach)], 1))
+                    cosines.append(c[r, q])
                     row += len(y)
-                for i, item, begin, end in rare.stretches(sequences):
+                more = list(rare.stretches(sequences))
+                pairs.append(np.array(more, np.int64).reshape(-1, 4))
+                cosines.append(np.full(len(more), -1.0))
+                best: dict[tuple[int, int], tuple] = {}
+                of = -1
+                for i, item, begin, end, value in _joined_candidates(np.concatenate(pairs), np.concatenate(cosines)):
                     known = best.get((i, item))
                     if known is not None and known[2] == "near" and known[1] == 1.0:
                         continue
+                    if i != of:
+                        of, (places, rare_words) = i, rare.rare_places(sequences[i])
+                    a, b = places.searchsorted((begin, end)).tolist()
+                    if not rare.possible(item, rare_words[a:b]):
+                        continue
                     found = checker.check(item, sequences[i][begin:end].tolist())
                     if found and (known is None or found[0] > known[1]):
-                        value = known[0] if known else _cosine(sequences[i], begin, end, queries[owner == item], space)
+                        if value < 0:
+                            value = _cosine(sequences[i], begin, end, queries[owner == item], space)
                         best[i, item] = (value, *found)
-                ids = part.doc_id.tolist()
-                out = [(ids[i], items.ids[item], *v) for (i, item), v in best.items()]
-                if out:
-                    rows_out = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "kind"])
-                    yield rows_out.assign(item_id=pd.array([r[1] for r in out], "Int64"))  # null stays null, no float
+                if best:
+                    ids = part.column("doc_id").take(pa.array([i for i, _ in best], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array([items.ids[item] for _, item in best], kind),
+                         *(pa.array(c, t) for c, t in zip(zip(*best.values()), (pa.float64(), pa.float64(), pa.string())))],
+                        ["doc_id", "item_id", "cosine", "share", "kind"])
 
-    return seqs.mapInPandas(run, f"doc_id {key}, item_id long, cosine double, share double, kind string")
+    return seqs.mapInArrow(run, f"doc_id {key}, item_id {item_type}, cosine double, share double, kind string")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", rank: int = RANK,
-                 block_items: int = BLOCK_ITEMS) -> DataFrame:
+                 block_items: int = BLOCK_ITEMS, cosine: float = COSINE, kept: float = KEPT) -> DataFrame:
     """doc_id, item_id, cosine, share, kind: which documents hold which items.
 
     * null, empty or wordless texts and items hold and match nothing
@@ -561,24 +633,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     * an item of a few words is found word by word
     * ``cosine`` is that of the passage, also where it is below ``COSINE`` and
       the item's rare words led to it
-    * equal items are found each; repeated rows of a document give one row per
-      document and item (the best share)
-    * an empty table on either side: no rows; further columns are not carried
-    * a benchmark of any size: ``block_items`` items are searched at a time
+    * equal items are found each, rows of equal id and text once; repeated rows
+      of a document give one row per document and item (the best share)
+    * an empty table on either side: no rows; further columns are not carried;
+      ids of both sides are of any type
+    * a benchmark of any size: about ``block_items`` items are searched at a
+      time, whatever their ids, and only they are on the driver
     """
     spark = docs.sparkSession
     short_batches(spark)
-    rows = narrow(benchmark, item_id=item_id_col, text=item_text_col)
+    rows = narrow(benchmark, item_id=item_id_col, text=item_text_col).where("text IS NOT NULL AND text != ''").distinct()
     n = rows.count()
-    key = docs.schema[id_col].dataType.simpleString()
-    found = [spark.createDataFrame([], f"doc_id {key}, item_id long, cosine double, share double, kind string")]
+    key, item_type = docs.schema[id_col].dataType.simpleString(), rows.schema["item_id"].dataType.simpleString()
+    found = [spark.createDataFrame([], f"doc_id {key}, item_id {item_type}, cosine double, share double, kind string")]
     blocks = -(-n // block_items)
     for b in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = Items.of([(r.item_id, r.text) for r in block if r.text])
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        items = Items.of([(r.item_id, r.text) for r in block])
         if items.ids:
             seqs = numbered(docs, items, id_col, text_col)
-            found.append(materialise(search(seqs, items, fit(seqs, items, rank)), "decontaminate-found"))
+            found.append(materialise(search(seqs, items, fit(seqs, items, rank), cosine, kept=kept, item_type=item_type),
+                                     "decontaminate-found"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -589,7 +664,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    out = materialise(contaminated(docs, benchmark, id_col=id_col, text_col=text_col)
-                      .select(F.col("doc_id").alias("_out")).distinct(), "decontaminate-dropped")
-    return docs.join(out, F.col(f"`{id_col}`") == F.col("_out"), "left_anti")
+    """``docs`` without the documents that hold a benchmark item, row by row:
+    a row goes for its own text, whatever its id (null, or that of other rows).
+    All columns are kept."""
+    md5 = fresh(docs, "md5")
+    hashed = docs.withColumn(md5, F.md5(F.col(f"`{text_col}`")))
+    out = materialise(contaminated(hashed, benchmark, id_col=md5, text_col=text_col)
+                      .select(F.col("doc_id").alias(md5)).distinct(), "decontaminate-dropped")
+    return hashed.join(out, md5, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -170,8 +170,10 @@ def test_items_without_an_id_are_searched(spark):
     assert sorted((r.doc_id, r.item_id) for r in big.collect()) == [(3, 2**60 + 1), (4, None)]
 
 
-def test_two_thousand_items_are_found_as_by_brute_force(spark):
-    """Edited and verbatim copies, and an item in a third of the documents."""
+def test_two_thousand_items_are_found_nearly_as_by_brute_force(spark):
+    """Edited and verbatim copies, and an item in a third of the documents.
+    Retrieval is latent, so its recall is measured: against what was planted,
+    and against the exact reference, all pairs that share enough words."""
     rng = random.Random(8)
     texts = [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").orderBy("doc_id").collect() if d.words(r.text)]
     long = [t for t in map(d.words, texts[600:]) if len(t) > 100]
@@ -198,18 +200,21 @@ def test_two_thousand_items_are_found_as_by_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in d.contaminated(
         spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(8),
         spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
-    assert planted <= got, (len(planted - got), len(planted))
+    assert len(planted & got) >= 0.995 * len(planted), (len(planted - got), len(planted))
     # every pair that shares enough words at all, checked over the whole document
     checker, padded = d.Checker(items), np.zeros((len(bench), 60), np.int64)
     for j, s in enumerate(items.sequences):
         padded[j, :len(s)] = s
     need = 0.6 * np.array([len(s) for s in items.sequences])
+    exact = set()
     for i, found in docs[::4]:
         numbers, here = [items.vocabulary.get(w, 0) for w in found], np.zeros(len(items.vocabulary) + 1, bool)
         here[numbers] = True
         here[0] = False
         for j in np.flatnonzero(here[padded].sum(1) >= need).tolist():
-            assert (i, j) in got or not checker.check(j, numbers), (i, j)
+            if checker.check(j, numbers):
+                exact.add((i, j))
+    assert len(exact & got) >= 0.97 * len(exact), (len(exact - got), len(exact))
 
 
 def test_blocks_of_items_find_the_same(spark):
@@ -238,3 +243,87 @@ def test_edges(spark):
     assert d.contaminated(df, bench.where("false")).count() == 0
     with pytest.raises(Exception):
         d.contaminated(df.drop("text"), bench)
+
+
+def _corpus(spark, n_items, n_docs=400, seed=11):
+    """Documents with planted copies of spans that serve as items."""
+    rng = random.Random(seed)
+    texts = [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").orderBy("doc_id").collect() if d.words(r.text)]
+    long = [t for t in map(d.words, texts[n_docs:]) if len(t) > 100]
+    bench = []
+    for _ in range(n_items):
+        source, n = rng.choice(long), rng.randrange(15, 60)
+        at = rng.randrange(len(source) - n)
+        bench.append(" ".join(source[at:at + n]))
+    docs, planted = [], set()
+    for i, text in enumerate(texts[:n_docs]):
+        found, j = d.words(text), rng.randrange(n_items)
+        at = rng.randrange(len(found) + 1)
+        found[at:at] = d.words(bench[j])
+        docs.append((i, " ".join(found)))
+        planted.add((i, j))
+    return (spark.createDataFrame(docs, "doc_id long, text string").repartition(6),
+            spark.createDataFrame(list(enumerate(bench)), "item_id long, text string"), planted)
+
+
+def test_the_latent_search_does_the_retrieving(spark):
+    docs, bench, planted = _corpus(spark, 200)
+    pairs = lambda **kw: {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench, **kw).collect()}
+    both, latent, none = pairs(), pairs(kept=0.0), pairs(cosine=9.0)
+    assert len(planted & both) >= 0.995 * len(planted) and len(planted & latent) >= 0.95 * len(planted)
+    assert len(planted & none) < 0.5 * len(planted)
+    # the exact reference: every item by its rarest words
+    assert both <= (exact := pairs(kept=9.0)) and len(both) >= 0.99 * len(exact) and planted <= exact
+
+
+def test_the_window_with_the_answer_counts():
+    words = [f"w{i}" for i in range(40)]
+    item = d.Items.of([(1, " ".join(words[:30]) + ". " + " ".join(words[30:]))])
+    number = lambda ws: [item.vocabulary.get(w, 0) for w in ws]
+    assert len(item.answers[0]) == 10
+    better = words[:30]  # 30 of 40 words, without the answer
+    answered = words[:15] + ["no"] * 15 + words[30:]
+    check = d.Checker(item).check
+    assert check(0, number(better)) is None
+    assert check(0, number(answered)) == check(0, number(better + ["x"] * 100 + answered)) == (0.625, "paraphrase")
+    assert check(0, number(answered + ["x"] * 100 + words)) == (1.0, "near")
+    assert check(0, []) is None
+
+
+def test_candidates_that_overlap_are_one():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(0, 40))
+        begin = rng.integers(0, 60, n)
+        pairs = np.stack([rng.integers(0, 3, n), rng.integers(0, 3, n), begin, begin + rng.integers(1, 20, n)], 1)
+        cosines = rng.random(n)
+        got = list(d._joined_candidates(pairs, cosines))
+        for i, item in {tuple(p[:2]) for p in pairs.tolist()}:
+            mine = (pairs[:, 0] == i) & (pairs[:, 1] == item)
+            covered = {x for a, b in pairs[mine][:, 2:].tolist() for x in range(2 * a, 2 * b + 1)}
+            spans = [g for g in got if g[:2] == (i, item)]
+            assert {x for g in spans for x in range(2 * g[2], 2 * g[3] + 1)} == covered
+            assert sum(2 * (g[3] - g[2]) + 1 for g in spans) == len(covered)
+            assert max(g[4] for g in spans) == cosines[mine].max()
+
+
+def test_rows_go_for_their_own_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, "so " + item + " it is", 0, "a"), (1, "another text of the same id", 0, "b"), (None, item, 0, "c"),
+            (None, "clean", 0, "d"), (2, "clean", 0, "e"), (2, None, 0, "f"), (2, "clean", 0, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _out int, _md5 string")
+    bench = spark.createDataFrame([("x", item), (None, "nothing like it here at all, no")], "item_id string, text string")
+    kept = d.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r._md5 for r in kept.collect()) == ["b", "d", "e", "e", "f"]
+    got = d.contaminated(docs, bench)
+    assert got.schema["item_id"].dataType.simpleString() == "string"
+    assert sorted((r.doc_id or 0, r.item_id, r.kind) for r in got.collect()) == [(0, "x", "near"), (1, "x", "near")]
+
+
+def test_items_of_one_id_are_dealt_to_blocks(spark):
+    texts = [" ".join(f"u{i}x{k}" for k in range(12)) for i in range(40)]
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0])] * 50, "item_id long, text string")
+    got = d.contaminated(docs, bench, block_items=10)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
