@@ -44,9 +44,21 @@ def multi_item_sets(lines: DataFrame, basket: str = S.NOTA, item: str = S.NAME,
 
 def baskets_containing(lines: DataFrame, predicate: Column, basket: str = S.NOTA) -> DataFrame:
     """All lines of receipts where at least one line satisfies
-    ``predicate`` (a group filter, as a semi join on the flagged receipts)."""
-    flagged = lines.where(predicate).select(basket).distinct()
-    return lines.join(flagged, basket, "left_semi")
+    ``predicate`` (a group filter: one read of the lines and one shuffle by
+    receipt; lines without a receipt are in none)."""
+    has = F.bool_or(F.coalesce(predicate, F.lit(False))).over(Window.partitionBy(basket))
+    return lines.where(F.col(basket).isNotNull()).withColumn("_has", has).where("_has").drop("_has")
+
+
+def flagged_item_sets(lines: DataFrame, predicate: Column, basket: str = S.NOTA, item: str = S.NAME,
+                      items_col: str = "items") -> DataFrame:
+    """C11, J5 and A3 in one aggregate, for the miner: the item sets of receipts
+    with more than one non-null item row and a line that satisfies
+    ``predicate``."""
+    return (lines.where(F.col(basket).isNotNull()).groupBy(basket)
+            .agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias(items_col),
+                 F.count(item).alias("_n"), F.bool_or(F.coalesce(predicate, F.lit(False))).alias("_has"))
+            .where((F.col("_n") > 1) & F.col("_has")).drop("_n", "_has"))
 
 
 def baskets(lines: DataFrame, basket: str = S.NOTA, item: str = S.NAME,

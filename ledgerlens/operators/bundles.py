@@ -47,20 +47,19 @@ def name_category(seg: DataFrame, product: DataFrame, key: str = S.ITEM_ID,
 def deadstock_baskets(lines: DataFrame, item_category: DataFrame, item: str = S.NAME,
                       label: str = S.CAT_DEADSTOCK, line_key: str | None = None,
                       line_category: DataFrame | None = None) -> DataFrame:
-    """M5: C11 -> J2 (left join the category of each line) -> J5 (receipts
-    with any dead-stock line) -> A3 over ``item``.
+    """M5: J2 (left join the category of each line), then in one aggregate per
+    receipt C11 (more than one item row), J5 (any dead-stock line) and A3 over
+    ``item``: the lines are read and shuffled by receipt once.
 
     ``item_category`` holds (item, category), one row per item.  When the
     line's category comes from another key (the app flags a line by its
     product id but mines names), pass ``line_key`` and ``line_category``
     (keyed by ``item`` column holding that key)."""
-    multi = B.multi_item_baskets(lines, item=item)
     key = line_key or item
     src = line_category if line_category is not None else item_category
     cats = src.select(F.col("item").alias("_k"), F.col("category"))
-    joined = multi.join(cats, multi[key] == cats["_k"], "left").drop("_k")
-    flagged = B.baskets_containing(joined, F.col("category") == label)
-    return B.baskets(flagged, item=item)
+    joined = lines.join(cats, lines[key] == cats["_k"], "left").drop("_k")
+    return B.flagged_item_sets(joined, F.col("category") == label, item=item)
 
 
 def bundle_deadstock(lines: DataFrame, item_category: DataFrame, supports: Sequence[float],
@@ -145,8 +144,8 @@ def replace_first(header: DataFrame, items: DataFrame, similarity: DataFrame,
                                      F.col("replacement").alias("new_id")),
                             F.struct(side_rank, F.col(S.ITEM_ID))).alias("_c"))
               .select("id_bundling", "_c.*"))
-    # one row per bundle, used by header, items and log
-    choice = materialise(global_rank(choice, [F.col("id_bundling")], rank_col="new_id_bundling"), "replacement")
+    # one row per bundle, used by header, items and log; the rank has written it
+    choice = global_rank(choice, [F.col("id_bundling")], rank_col="new_id_bundling")
     new_header = (header.join(choice.select("id_bundling", "new_id_bundling"), "id_bundling")
                   .withColumn("id_bundling", F.col("new_id_bundling")).drop("new_id_bundling"))
     new_items = (items.join(choice.withColumnRenamed("role", "_r"), "id_bundling")

@@ -155,7 +155,7 @@ def _platform_grid(platform):
     return run
 
 
-for _platform in ("Shopee", "Tokopedia"):  # Lazada's grid has no rule on the driver tables
+for _platform in ("Shopee", "Tokopedia", "Lazada"):
     register(f"M6_grid_{_platform.lower()}", _platform_grid_sql(_platform))(_platform_grid(_platform))
 
 
@@ -280,6 +280,12 @@ def m9_deadstock_grid(spark, sf_dir):
     return _deadstock_out(deadstock_grid(spark, sf_dir))
 
 
+@register("M9_deadstock_grid_general", _deadstock_sql(*S.DEADSTOCK_GRIDS["General"]))
+def m9_deadstock_grid_general(spark, sf_dir):
+    """M9: the General dead-stock grid on the whole ledger."""
+    return _deadstock_out(deadstock_grid(spark, sf_dir, *S.DEADSTOCK_GRIDS["General"]))
+
+
 def _platform_deadstock(platform):
     def run(spark, sf_dir):
         return _deadstock_out(deadstock_grid(spark, sf_dir, *S.DEADSTOCK_GRIDS[platform], platform=platform))
@@ -287,7 +293,7 @@ def _platform_deadstock(platform):
     return run
 
 
-for _platform in ("Tokopedia", "Lazada V2"):
+for _platform in ("Shopee", "Tokopedia", "Lazada", "Lazada V2"):
     register(f"M9_deadstock_grid_{_platform.lower().replace(' ', '_')}",
              _deadstock_sql(*S.DEADSTOCK_GRIDS[_platform], platform=PLATFORM_SEGMENT[_platform]))(_platform_deadstock(_platform))
 
@@ -1200,12 +1206,7 @@ def m4_bundle_all(spark, sf_dir):
 
 # Replace by the first similar dead item; as in the app, items that equal
 # a sold one have been purged before
-_M13_SQL = f"""{_APP_RULES_SQL}, {Q.deadstock_report_cte()},
-pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
-wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
-sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide)),
-{_DETAIL_SQL},
-partner AS (SELECT id_barang_1, min(id_barang_2) AS rep FROM sim GROUP BY id_barang_1),
+_REPLACE_FIRST_SQL = """partner AS (SELECT id_barang_1, min(id_barang_2) AS rep FROM sim GROUP BY id_barang_1),
 choice AS (SELECT i.id_bundling,
   arg_min(struct_pack(role := i.role, old_id := i.id_barang, new_id := p.rep),
           struct_pack(r := CASE WHEN i.role = 'antecedent' THEN 0 ELSE 1 END, x := i.id_barang)) AS c
@@ -1217,6 +1218,13 @@ new_items AS (SELECT DISTINCT n.new_no AS id_bundling,
   CASE WHEN i.role = n.c.role AND i.id_barang = n.c.old_id THEN n.c.new_id ELSE i.id_barang END AS id_barang, i.role
   FROM items i JOIN numbered n USING (id_bundling))"""
 
+_M13_SQL = f"""{_APP_RULES_SQL}, {Q.deadstock_report_cte()},
+pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
+wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
+sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide)),
+{_DETAIL_SQL},
+{_REPLACE_FIRST_SQL}"""
+
 
 def _m13(spark, sf_dir):
     header, items = _app_bundles(spark, sf_dir)
@@ -1735,11 +1743,76 @@ def s11_deadstock_profile(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("DS") == S.DEADSTOCK_FLAG, 1)).alias("n_deadstock"))
 
 
-@register("M17_pipeline")
+# The run's own ledger and products; every later stage is the SQL of its query
+# over them.
+_RUN_S, _RUN_C = R.rule_params("General")
+_RUN_DS_S, _RUN_DS_C = R.rule_params("General", "deadstock")
+_RUN_SQL = f"""
+WITH run AS (SELECT * FROM ({_RAW_SQL}
+  SELECT "Kode Nota" AS kode_nota, d AS tanggal, trim("Deskripsi Brg") AS deskripsi_brg, trim("Jenis Barang") AS jenis_barang,
+    CAST(trunc(q) AS INTEGER) AS jml FROM parsed WHERE d IS NOT NULL AND "Deskripsi Brg" IS NOT NULL AND q IS NOT NULL)),
+dropped AS (SELECT * FROM ({_RAW_SQL}
+  SELECT 1 AS x FROM parsed WHERE d IS NULL OR "Deskripsi Brg" IS NULL OR q IS NULL)),
+win AS (SELECT * FROM run WHERE tanggal >= (SELECT max(tanggal) FROM run) - INTERVAL 1 YEAR),
+dead_report AS (SELECT * FROM (WITH {Q.deadstock_report_cte()} SELECT * FROM dead)),
+firsts AS (SELECT deskripsi_brg, arg_min(jenis_barang, struct_pack(t := tanggal, g := jenis_barang)) AS jenis_barang,
+  min(tanggal) AS o FROM win GROUP BY deskripsi_brg),
+unsold AS (SELECT trim(deskripsi_brg) AS deskripsi_brg, min(trim(jenis_barang)) AS jenis_barang FROM dead_report
+  WHERE trim(deskripsi_brg) NOT IN (SELECT deskripsi_brg FROM firsts) GROUP BY trim(deskripsi_brg)),
+dims AS (SELECT 0 AS part, CAST(o AS VARCHAR) AS o, deskripsi_brg, jenis_barang, false AS is_deadstock FROM firsts
+  UNION ALL SELECT 1, '', deskripsi_brg, jenis_barang, true FROM unsold),
+product AS (SELECT CAST(row_number() OVER (ORDER BY part, o, deskripsi_brg) AS BIGINT) AS id_barang,
+  deskripsi_brg, jenis_barang, is_deadstock FROM dims),
+lines AS (SELECT w.kode_nota, w.tanggal, p.id_barang, p.deskripsi_brg, p.jenis_barang, w.jml
+  FROM win w JOIN product p ON p.deskripsi_brg = w.deskripsi_brg),
+pp AS (SELECT DISTINCT kode_nota, id_barang FROM lines),
+wide AS (SELECT kode_nota FROM pp GROUP BY kode_nota HAVING count(*) > 1),
+sold AS (SELECT DISTINCT id_barang AS id FROM pp WHERE kode_nota IN (SELECT kode_nota FROM wide)),
+{Q.rfm_cte('lines', 'id_barang', 'm')}, {_fm_sql('lines', 'id_barang', TEST_KEYWORDS)},
+scored AS (SELECT m.item, 5 AS r_score, {Q.typed_cuts_case('m.frequency', 'f.product_type', S.F_THRESHOLDS)} AS f_score,
+  {Q.typed_cuts_case('m.monetary', 'f.product_type', S.M_THRESHOLDS)} AS m_score FROM m JOIN fmt f USING (item)),
+rfm AS (SELECT item, {Q.ladder_a('r_score', 'f_score', 'm_score')} AS category FROM scored),
+{Q.multi_item_cte()}, {Q.baskets_cte('mlines', 'deskripsi_brg')}, {Q.rules_ctes('bk', _RUN_S, _RUN_C)},
+keyed AS (SELECT *, {Q.rule_key_sql('ante', 'cons')} AS rule_key FROM rules),
+header AS (SELECT CAST(row_number() OVER (ORDER BY support DESC, rule_key) AS BIGINT) AS id_bundling, * FROM keyed),
+items AS (SELECT DISTINCT x.id_bundling, p.id_barang, x.role FROM
+  (SELECT id_bundling, 'antecedent' AS role, unnest(ante) AS nm FROM header
+   UNION ALL SELECT id_bundling, 'consequent', unnest(cons) FROM header) x JOIN product p ON p.deskripsi_brg = x.nm),
+{Q.tfidf_ctes("SELECT id_barang AS id, deskripsi_brg AS text FROM product WHERE id_barang IN (SELECT id FROM sold)",
+              "SELECT id_barang AS id, deskripsi_brg AS text FROM product WHERE is_deadstock")}, {Q.cosine_cte()},
+near AS (SELECT * FROM pairs WHERE score > {Q.lit_d(S.APP_SIMILARITY_THRESHOLD)}),
+gone AS (SELECT DISTINCT id_2 AS id_barang FROM near WHERE score >= 1 - 1e-9),
+sim AS (SELECT id_1 AS id_barang_1, id_2 AS id_barang_2, score FROM near WHERE id_2 NOT IN (SELECT id_barang FROM gone)),
+barang AS (SELECT * FROM product WHERE id_barang NOT IN (SELECT id_barang FROM gone)),
+{_REPLACE_FIRST_SQL},
+{Q.v1_cte('lines', 'id_barang', 'v1')},
+jl AS (SELECT l.*, s.category FROM mlines l LEFT JOIN v1 s ON s.item = l.id_barang),
+dl AS (SELECT * FROM jl WHERE kode_nota IN (SELECT kode_nota FROM jl WHERE category = '{S.CAT_DEADSTOCK}')),
+{Q.baskets_cte('dl', 'deskripsi_brg', 'ds_bk')}, {Q.rules_ctes('ds_bk', _RUN_DS_S, _RUN_DS_C, 'ds_')},
+ds_keyed AS (SELECT *, {Q.rule_key_sql('ante', 'cons')} AS rule_key FROM ds_rules),
+ds_header AS (SELECT DISTINCT k.* FROM ds_keyed k, unnest(list_concat(k.ante, k.cons)) u(x)
+  JOIN barang p ON p.deskripsi_brg = u.x JOIN v1 s ON s.item = p.id_barang WHERE s.category = '{S.CAT_DEADSTOCK}'),
+ds_items AS (SELECT DISTINCT x.rule_key, p.id_barang, x.role FROM
+  (SELECT rule_key, 'antecedent' AS role, unnest(ante) AS nm FROM ds_header
+   UNION ALL SELECT rule_key, 'consequent', unnest(cons) FROM ds_header) x JOIN barang p ON p.deskripsi_brg = x.nm),
+counts AS ({" UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {source}" for name, source in [
+    ("cleaning_report", "(SELECT 1)"), ("quarantine", "dropped"), ("item_ids", "product"), ("barang_loaded", "product"),
+    ("penjualan", "lines"), ("sold_together", "sold"), ("deadstock_loaded", "unsold"),
+    ("category", "(SELECT DISTINCT category FROM rfm)"), ("rfm", "rfm"), ("bundling_all", "header"),
+    ("bundling_all_item", "items"), ("similarity", "sim"), ("deadstock", "(SELECT 1 FROM barang WHERE is_deadstock)"),
+    ("barang", "barang"), ("change_log", "new_header"), ("bundling_similarity", "new_header"),
+    ("bundling_similarity_item", "new_items"), ("bundling_ds", "ds_header"), ("bundling_ds_item", "ds_items")])}),
+held AS (SELECT id_barang FROM items UNION ALL SELECT id_barang FROM new_items UNION ALL SELECT id_barang FROM ds_items),
+verdict AS (SELECT (SELECT count(*) FROM barang) > 0 AND (SELECT count(*) FROM rfm) > 0 AND (SELECT count(*) FROM held) > 0
+  AND (SELECT count(*) FROM held WHERE id_barang NOT IN (SELECT id_barang FROM barang)) = 0 AS consistent)
+SELECT table_name, n_rows, n_rows > 0 AS has_rows, consistent FROM counts, verdict"""
+
+
+@register("M17_pipeline", _RUN_SQL)
 def m17_pipeline(spark, sf_dir):
     """The app's analysis run over the driver tables, every stage a
     written table under the session's checkpoint folder; returns row counts
-    per table and the consistency verdict (rows-only check)."""
+    per table and the consistency verdict."""
     out_dir = _scratch(spark, "analysis")
     tables = PL.run_pipeline(spark, TB.raw_sales(spark, sf_dir), TB.deadstock_report(spark, sf_dir),
                              out_dir, platform="General", keywords=TEST_KEYWORDS)
