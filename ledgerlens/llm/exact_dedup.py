@@ -1,7 +1,7 @@
 """Exact deduplication with a two-pass Bloom filter.
 
 Pass one hashes every whole text once into a narrow table and marks the filter
-positions that two or more rows hit.  Pass two tests every row against the
+positions that two or more rows hit; tasks build it from their own rows.  Pass two tests every row against the
 marked positions: a row whose positions are not all marked is certainly
 unique and passes straight through; only the others shuffle, and they shuffle
 their hashes, not their texts.
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, narrow
+from .common import fresh, materialise, narrow, only_cache, shuffle_partitions
 
 #: Filter positions tested per row.
 PROBES = 2
@@ -22,7 +23,8 @@ PROBES = 2
 #: upper one bounds the broadcast (256 MB); with more rows than fit, more rows
 #: take the exact way over the shuffle and the result is the same.
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 31
-_SEGMENT = 32768  # bits of one bitmap of bitmap_construct_agg
+#: Rows whose positions a task packs at once, and rows per range of the filter.
+HELD_ROWS, RANGE_ROWS = 1 << 20, 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -38,20 +40,52 @@ def _positions(digest: Column, bits: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(bits)) for i in range(PROBES)])
 
 
-def repeated_positions(hashed: DataFrame, digest_col: str, bits: int) -> np.ndarray:
+def repeated_positions(hashed: DataFrame, digest_col: str, bits: int, n_rows: int) -> np.ndarray:
     """First pass: the bitmap of positions hit by at least two rows.
 
-    A row's own equal positions count once.  Positions are counted with
-    map-side aggregation, so a text with any number of copies sends a few rows
-    per task; the collected bitmap is ``bits / 8`` bytes at most."""
-    twice = (hashed.select(F.explode(F.array_distinct(_positions(F.col(digest_col), bits))).alias("p"))
-             .groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    segments = (twice.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("segment"))
-                .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("bitmap")))
-    out = np.zeros(max(bits, _SEGMENT) // 8, np.uint8)
-    for segment, bitmap in segments.toLocalIterator():
-        at = (segment - 1) * (_SEGMENT // 8)
-        out[at:at + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
+    The filter is built in the tasks: each keeps, of its own rows, the sorted
+    positions that were hit and whether they were hit twice (a row's own equal
+    positions count once), and sends them packed by range of the filter.  What
+    is hit in two tasks is hit twice.  A text with any number of copies sends
+    two positions per task, no row is shuffled, and the collected bitmap is
+    ``bits / 8`` bytes at most."""
+    ranges = max(shuffle_partitions(hashed.sparkSession), -(-n_rows // RANGE_ROWS))
+    size = -(-bits // ranges // 8) * 8 + 8  # whole bytes
+
+    def run(batches):
+        only_cache()
+        held, rows = [], 0
+
+        def out():
+            positions, hits = np.unique(np.concatenate(held), return_counts=True)
+            edges = np.searchsorted(positions, np.arange(0, bits + size, size))
+            used = np.flatnonzero(np.diff(edges))
+            parts = [slice(edges[g], edges[g + 1]) for g in used]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int64()), pa.array([(positions[p] % size).astype(np.uint32).tobytes() for p in parts], pa.binary()),
+                 pa.array([np.packbits(hits[p] > 1).tobytes() for p in parts], pa.binary())], ["g", "at", "twice"])
+
+        for batch in batches:
+            first, second = (batch.column(c).to_numpy() for c in ("p0", "p1"))
+            held += [first, second[second != first]]
+            rows += len(first)
+            if rows >= HELD_ROWS:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [np.frombuffer(a, np.uint32) for a in pdf["at"]]
+        hits = [1 + np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)) for a, t in zip(at, pdf["twice"])]
+        seen = np.bincount(np.concatenate(at), np.concatenate(hits), size) > 1
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "bitmap": [np.packbits(seen, bitorder="little").tobytes()]})
+
+    at = _positions(F.col(digest_col), bits)
+    packed = hashed.select(at[0].alias("p0"), at[1].alias("p1")).mapInArrow(run, "g long, at binary, twice binary")
+    out = np.zeros((bits // size + 1) * size // 8, np.uint8)
+    for g, bitmap in packed.groupBy("g").applyInPandas(merge, "g long, bitmap binary").toLocalIterator():
+        out[g * size // 8:(g + 1) * size // 8] = np.frombuffer(bitmap, np.uint8)
     return out
 
 
@@ -77,8 +111,9 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str):
               .select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
               .withColumn("_row", F.monotonically_increasing_id()))
     hashed = materialise(hashed, "dedup-hashes")
-    bits = filter_bits(hashed.count())
-    return hashed, repeated_positions(hashed, "text_sha256", bits), bits
+    n_rows = hashed.count()
+    bits = filter_bits(n_rows)
+    return hashed, repeated_positions(hashed, "text_sha256", bits, n_rows), bits
 
 
 def _groups(hashed: DataFrame, bitmap: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -120,11 +155,11 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id, one of them stays (``dropDuplicates`` over the kept rows only)."""
     hashed, bitmap, bits = _hashed(docs, id_col, text_col)
     _, groups = _groups(hashed, bitmap, bits)
-    sha, maybe = fresh(docs, "sha"), fresh(docs, "maybe")
+    sha, maybe, k_sha, k_id = (fresh(docs, c) for c in ("sha", "maybe", "k_sha", "k_id"))
     with_sha = docs.withColumn(sha, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
     with_sha = with_sha.withColumn(maybe, maybe_repeated(F.col(sha), bitmap, bits, docs.sparkSession))
-    keep = groups.select(F.col("text_sha256").alias("_k_sha"), F.col("_first.doc_id").alias("_k_id"))
+    keep = groups.select(F.col("text_sha256").alias(k_sha), F.col("_first.doc_id").alias(k_id))
     repeated = with_sha.where(F.col(maybe)).join(
-        keep, (F.col(sha) == F.col("_k_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_k_id")),
+        keep, (F.col(sha) == F.col(k_sha)) & F.col(f"`{id_col}`").eqNullSafe(F.col(k_id)),
         "left_semi").dropDuplicates([id_col, sha])
     return with_sha.where(~F.col(maybe)).unionByName(repeated).drop(sha, maybe)

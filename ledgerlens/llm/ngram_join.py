@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import materialise, narrow, only_cache, short_batches, shuffle_partitions
+from .common import fresh, materialise, narrow, only_cache, short_batches, shuffle_partitions
 
 #: Words of an n-gram and the threshold in per cent.
 WORDS, PERCENT = 4, 85
@@ -512,9 +512,16 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
                  percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names
-    it.  Ids must be unique; rows without an id or n-grams stay."""
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    out = materialise(groups.where("component_id != doc_id").select(F.col("doc_id").alias("_out")).distinct(),
+    """``docs`` with one document of each component, all columns kept: the one
+    with the smallest id (of one id that with the smallest hash of its text).
+
+    Documents are told apart by id and text, so rows that share an id are
+    judged each by its own text; rows that repeat with id and text are one
+    document and stay or go together.  Rows without an id or n-grams stay."""
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"),
+                                          F.xxhash64(F.col(f"`{text_col}`")).alias("text")))
+    groups = similar_groups(keyed, id_col=key, text_col=text_col, n=n, percent=percent)
+    out = materialise(groups.where("component_id != doc_id AND NOT doc_id.none").select(F.col("doc_id").alias(key)).distinct(),
                       "ngram-dropped")
-    return docs.join(out, F.col(f"`{id_col}`") == F.col("_out"), "left_anti")
+    return keyed.join(out, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

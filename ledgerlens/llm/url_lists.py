@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, narrow
+from .common import fresh, materialise, narrow
 
 KINDS = ["url", "prefix", "host", "domain"]
 #: Width of the time buckets of the join: 30 days.
@@ -128,8 +128,8 @@ def keep_allowed(captures: DataFrame, entries: DataFrame, *, id_col: str = "page
                  time_col: str = "fetched_at") -> DataFrame:
     """``captures`` without those that the list blocked when they were
     fetched, all columns kept."""
+    url, at = fresh(captures, "url"), fresh(captures, "at")
     out = materialise(judge(captures, entries, id_col=id_col, url_col=url_col, time_col=time_col)
-                      .where("blocked").select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at"))
+                      .where("blocked").select(F.col("url").alias(url), F.col("fetched_at").alias(at))
                       .distinct(), "list-blocked")
-    return captures.join(out, (F.col(f"`{url_col}`") == F.col("_url")) & (F.col(f"`{time_col}`") == F.col("_at")),
-                         "left_anti")
+    return captures.join(out, (F.col(f"`{url_col}`") == F.col(url)) & (F.col(f"`{time_col}`") == F.col(at)), "left_anti")
