@@ -241,18 +241,22 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
           hidden: int = HIDDEN, epochs: int = EPOCHS) -> Model:
     """Train on a bounded sample of labelled rows that are not held out: the
     ``docs_per_label`` rows of each label with the smallest id hash, and
-    ``windows_per_doc`` windows spread over each whole text.
+    ``windows_per_doc`` windows spread over each whole text.  Rows are told
+    apart by id and text, so null and repeated ids serve like any other; rows
+    that repeat with id and text serve once.
 
     Without a labelled text with letters the model knows no label and every
     prediction is ``und``."""
     short_batches(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first, so that no text is shuffled for the choice
-    chosen = (usable.select("doc_id", "lang").withColumn("_k", F.row_number().over(w))
-              .where(F.col("_k") <= docs_per_label).select("doc_id", "lang").distinct())
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    usable = usable.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("key.doc_id"), "key.doc_id", "key.h")
+    # keys first, so that no text is shuffled for the choice
+    chosen = (usable.select("key", "lang").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= docs_per_label)
+              .select(F.col("key").alias("_key"), F.col("lang").alias("_lang")).distinct())
+    texts = usable.join(F.broadcast(chosen), F.col("key").eqNullSafe(F.col("_key")) & (F.col("lang") == F.col("_lang")),
+                        "left_semi").dropDuplicates(["key", "lang"])
 
     def cut(batches):
         for batch in batches:
