@@ -34,6 +34,10 @@ MIN_REVISIT = 100
 #: Bytes of records a file's dictionary is built from, the dictionary's size,
 #: and the compressed size at which a task begins its next file.
 SAMPLE_BYTES, DICTIONARY_BYTES, FILE_BYTES = 1 << 20, 32 << 10, 64 << 20
+#: Payload bytes of a task, at least and at most.
+TASK_LEAST, TASK_MOST = 2 << 20, 256 << 20
+#: What a trained dictionary begins with; a raw one is any other bytes.
+TRAINED_MAGIC = b"\x37\xa4\x30\xec"
 #: A record counts up to so many bytes towards the sample; a dictionary needs so
 #: many records, which are waited for; with them, so many whole bytes are held.
 RECORD_SAMPLE, MIN_RECORDS, HELD_BYTES = 4096, 8, 16 << 20
@@ -87,17 +91,20 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records, or None where they are too few or too small
-    to gain from one; such a file has no dictionary frame."""
+    """A dictionary from records: trained, or, where they are too few or too
+    much alike to train on, the beginnings of the records themselves.  Only
+    records of fewer than 8 bytes in all have none."""
     # samples of bounded size, so that one long page does not fill the sample
     samples = [r[:RECORD_SAMPLE] for r in records]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    if len(records) < MIN_RECORDS or size < 512:
-        return None
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8)
-    except zstandard.ZstdError:
-        return None
+    if len(records) >= MIN_RECORDS and size >= 512:
+        try:
+            return zstandard.train_dictionary(size, samples, k=512, d=8)
+        except zstandard.ZstdError:
+            pass
+    raw = b"".join(samples)[-DICTIONARY_BYTES:]
+    raw = raw[1:] if raw[:4] == TRAINED_MAGIC else raw
+    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
 
 
 class ArchiveWriter:
@@ -106,7 +113,7 @@ class ArchiveWriter:
     def __init__(self, sink):
         self._sink, self._head, self._size, self._held = sink, [], 0, 0
         self._compressor: zstandard.ZstdCompressor | None = None
-        self.bytes = 0
+        self.bytes = self.dictionary_bytes = 0
 
     def add(self, record: bytes) -> None:
         if self._compressor is None:
@@ -125,6 +132,7 @@ class ArchiveWriter:
                        b"format: WARC File Format 1.1\r\n")
         if dictionary is not None:
             raw = dictionary.as_bytes()
+            self.dictionary_bytes = len(raw)
             self._write(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
             dictionary.precompute_compress(level=LEVEL)
             self._compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
@@ -149,7 +157,10 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
     magic, size = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
     rest, dictionary = head, None
     if magic == SKIPPABLE_MAGIC:
-        dictionary, rest = zstandard.ZstdCompressionDict(file.read(size)), b""
+        raw = file.read(size)
+        trained = raw[:4] == TRAINED_MAGIC
+        dictionary, rest = zstandard.ZstdCompressionDict(
+            raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT), b""
     frames = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     out: list[bytes] = []
     one = None
@@ -191,7 +202,12 @@ def with_origins(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", files: int | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Write all pages as WARC records into ``folder``; returns the manifest:
-    path, records, bytes.
+    path, records, bytes, dictionary_bytes (0: the file has none, see
+    ``build_dictionary``).
+
+    The number of tasks follows the payloads: as many as Spark's shuffles have,
+    but with ``TASK_LEAST`` to ``TASK_MOST`` bytes each (or ``files``), so that
+    a file has records enough for a dictionary.
 
     * payload: the html in UTF-8; null html: empty
     * of equal payloads of ``min_bytes`` or more the smallest page_id is the
@@ -203,7 +219,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     spark = pages.sparkSession
     make_folder(folder)
     short_batches(spark)
-    n = files or shuffle_partitions(spark)
+    total = pages.agg(F.sum(F.octet_length(F.col(f"`{html_col}`")))).first()[0] or 0
+    n = files or max(1, -(-total // TASK_MOST), min(shuffle_partitions(spark), total // TASK_LEAST))
     dealt = (with_origins(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)
              .repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "mark", "url"))
 
@@ -218,7 +235,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             writer.close()
             sink.close()
             commit_file(fs, tmp, f"{root}/{name}")
-            done.append((f"{folder}/{name}", records, writer.bytes))
+            done.append((f"{folder}/{name}", records, writer.bytes, writer.dictionary_bytes))
 
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "first", "mark")]
@@ -245,11 +262,12 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         if writer is not None:
             end()
         if done:
-            paths, counts, sizes = zip(*done)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()),
-                                              pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
+            kinds = [pa.string(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)],
+                                             ["path", "records", "bytes", "dictionary_bytes"])
 
-    return materialise(dealt.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(dealt.mapInArrow(write, "path string, records long, bytes long, dictionary_bytes long"),
+                       "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFrame:

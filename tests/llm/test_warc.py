@@ -108,3 +108,32 @@ def test_a_long_page_among_the_first_leaves_the_dictionary(long):
     assert struct.unpack("<I", data[:4])[0] == warc.SKIPPABLE_MAGIC
     back = [h["x-page-id"] for h, _ in warc.read_archive(io.BytesIO(data)) if h["warc-type"] != "warcinfo"]
     assert back == [str(i) for i in range(1500)]
+
+
+def test_every_file_has_its_dictionary(spark):
+    """Also with far more shuffle partitions than the pages fill."""
+    pages = spark.read.parquet(f"{SF01}/pages.parquet")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        files = warc.write_archives(pages, fresh_dir(spark, "warc")).collect()
+        many = warc.write_archives(pages, fresh_dir(spark, "warc"), files=200)
+        assert {r.page_id for r in warc.read_archives(many).collect()} == {r.page_id for r in pages.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert files and min(f.dictionary_bytes for f in files) > 0
+    assert many.count() > 100 and many.where("dictionary_bytes = 0").count() == 0
+
+
+@pytest.mark.parametrize("n, payload", [(1, b""), (3, b"a few words"), (9, b"z" * 5000), (20, b"same " * 400)])
+def test_few_or_equal_records_have_a_raw_dictionary(n, payload):
+    sink = io.BytesIO()
+    writer = warc.ArchiveWriter(sink)
+    for i in range(n):
+        writer.add(warc.page_record(i, "u", payload, "", None, False))
+    writer.close()
+    back = list(warc.read_archive(io.BytesIO(sink.getvalue())))
+    assert [h["x-page-id"] for h, _ in back[1:]] == [str(i) for i in range(n)] and writer.dictionary_bytes > 0
+    assert all(b.partition(b"\r\n\r\n")[2] == payload for _, b in back[1:])
+    assert warc.build_dictionary([b"", b"x"]) is None
