@@ -87,3 +87,15 @@ def test_edges(spark):
     runs = langid.label_runs(trained, "héllo wörld" * 30)
     assert runs[0][0] == 0 and runs[-1][1] == len(("héllo wörld" * 30).encode())
     assert all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_rows_without_or_with_repeated_ids_train(spark):
+    """Null ids and one id for all rows; rows that repeat serve once."""
+    texts = {"aa": "ab ba abab baba " * 12, "zz": "xy yx xyxy yxyx " * 12}
+    rows = [(i, t + str(k), lang) for lang, t in texts.items() for k in range(20) for i in (None, 7)]
+    rows += [rows[0]] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, docs_per_label=16, epochs=6)
+    assert model.labels == ["aa", "zz"]
+    got = {r.lang: r.lang_pred for r in langid.detect(docs, model).collect()}
+    assert got == {"aa": "aa", "zz": "zz"}
