@@ -117,10 +117,21 @@ def load_exports(spark: SparkSession, path: str, columns: Sequence[str] = S.RAW_
     return load_sales([f.where(F.col(CORRUPT).isNull()) for f in frames], [*columns, FILE]), bad
 
 
-def load_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+def load_workbook(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Every sheet of a written folder, the sheet's name as its last column.
+    A workbook without rows has no file that would tell the columns: with
+    ``schema`` it is a table without rows, without it an error."""
+    if schema is None:
+        return spark.read.parquet(path)
+    names = [c for c in schema.fieldNames() if c != "sheet"]
+    # an empty folder has no partition either
+    return spark.read.schema(schema).parquet(path).select(*[F.col(f"`{c}`") for c in names], "sheet")
+
+
+def load_sheet(spark: SparkSession, path: str, sheet: str, schema: T.StructType | None = None) -> DataFrame:
     """One named sheet of a sheet-partitioned Parquet folder (partition
-    pruning)."""
-    return spark.read.parquet(path).where(F.col("sheet") == sheet)
+    pruning); ``schema`` as in ``load_workbook``."""
+    return load_workbook(spark, path, schema).where(F.col("sheet") == sheet)
 
 
 def load_deadstock(df: DataFrame, name_col: str = S.RAW_NAME, flag: str = S.DEADSTOCK_FLAG) -> DataFrame:
