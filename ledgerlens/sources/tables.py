@@ -109,21 +109,27 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias(S.GROUP))
 
 
-def deadstock_report(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+def deadstock_report(spark: SparkSession, sf_dir: str, years: int = 1, window: DataFrame | None = None) -> DataFrame:
     """The dead-stock report: one row per part, DS = '100' when the part has
     no sale in the last ``years`` before the latest order date.
 
+    ``window``: lines (date, id_barang) with those of these years, where the
+    caller has them (``sales_lines(years=...)``: the latest order may have no
+    line, so its window begins no later); the ledger is not read again then.
+
     Columns: id_barang, `Deskripsi Brg`, `Jenis Barang`, DS.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     latest = orders.agg(F.max("o_orderdate").alias("_ref"))
-    recent = (orders.crossJoin(F.broadcast(latest))
-              .where(F.col("o_orderdate") >= F.expr(f"_ref - make_ym_interval({years}, 0)"))
-              .select(F.col("o_orderkey").alias("l_orderkey")))
-    sold = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-            .join(recent, "l_orderkey", "left_semi")
-            .select(F.col("l_partkey").alias(S.ITEM_ID)).distinct()
-            .withColumn("_sold", F.lit(True)))
+    since = F.expr(f"_ref - make_ym_interval({years}, 0)")
+    if window is None:
+        recent = (orders.crossJoin(F.broadcast(latest)).where(F.col("o_orderdate") >= since)
+                  .select(F.col("o_orderkey").alias("l_orderkey")))
+        lines = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+                 .join(recent, "l_orderkey", "left_semi").select(F.col("l_partkey").alias(S.ITEM_ID)))
+    else:
+        lines = window.crossJoin(F.broadcast(latest)).where(F.col(S.DATE) >= since).select(S.ITEM_ID)
+    sold = lines.distinct().withColumn("_sold", F.lit(True))
     part = products(spark, sf_dir)
     return (part.join(sold, S.ITEM_ID, "left")
             .select(S.ITEM_ID, F.col(S.NAME).alias(S.RAW_NAME),
