@@ -194,25 +194,3 @@ def cosine_cte(prefix: str = "", name: str = "pairs") -> str:
     return (f"{name} AS (SELECT a.id AS id_1, b.id AS id_2, sum(a.w * b.w) AS score "
             f"FROM {p}w a JOIN {p}w b ON a.token = b.token AND a.side = 'A' AND b.side = 'B' "
             f"GROUP BY a.id, b.id)")
-
-
-def classes_cte(prefix: str = "", name: str = "cls") -> str:
-    """Every document of ``{p}docs`` with its class: the smallest id of its side
-    that has its text (the rows of one id are one document)."""
-    p = prefix
-    return (f"{name} AS (SELECT side, id, min(id) OVER (PARTITION BY side, texts) AS class_id FROM "
-            f"(SELECT side, id, list_sort(list(coalesce(md5(CAST(text AS VARCHAR)), ''))) AS texts "
-            f"FROM {p}docs GROUP BY side, id))")
-
-
-def between_classes(cls: str = "cls") -> str:
-    """The condition that both ids of a pair stand for their classes."""
-    return (f"id_1 IN (SELECT class_id FROM {cls} WHERE side = 'A') "
-            f"AND id_2 IN (SELECT class_id FROM {cls} WHERE side = 'B')")
-
-
-def members_sql(cls: str = "cls", extra: str = "") -> str:
-    """The membership rows beside the pairs: kind, id_1, id_2, id."""
-    return (f"SELECT CASE side WHEN 'A' THEN 'member_1' ELSE 'member_2' END AS kind, {extra}"
-            f"CASE side WHEN 'A' THEN class_id END AS id_1, CASE side WHEN 'B' THEN class_id END AS id_2, "
-            f"id, CAST(NULL AS DOUBLE) AS score FROM {cls}")
